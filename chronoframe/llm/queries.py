@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoframe.llm import common, packing, token_output
+from chronoframe.llm import common, embeddings, media, mixing, packing, quality, sharding, simhash, token_counts, token_output, warc
+
+SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.links(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch(spark, "token-files")
     token_output.write(_table(spark, sf_dir, "documents"), path)
@@ -23,9 +29,48 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, *quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(_table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.choose(_table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(_table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id")
+    return sharding.place(docs, "doc_id", SHARDS)
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.scratch(spark, "media")
+    table = media.write(_table(spark, sf_dir, "documents"), path)
+    return media.read(spark, path, table)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.scratch(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_token_output": op2_token_output,
-    "op3_packing": op3_packing,
+    f.__name__: f
+    for f in (op1_embedding_near_dedup, op2_token_output, op3_packing, op4_quality_classifier, op5_simhash_near_dedup,
+              op6_mixing, op7_token_counts, op8_sharding, op9_media_columns, op10_warc)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SHARD_SQL = f"""
+WITH s AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % {sharding.PRIME} AS INTEGER) AS slot FROM documents)
+SELECT doc_id, slot, 'shard-' || lpad(CAST(([{','.join(map(str, sharding.lookup_table(SHARDS)))}])[slot + 1] AS VARCHAR), 3, '0') AS shard FROM s"""
+
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle_sql(), "op8_sharding": _SHARD_SQL}

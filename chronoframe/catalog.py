@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+import pkgutil
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from chronoframe import queries
+from chronoframe.queries.registry import ORACLE_SQL, QUERIES
 
+for _module in pkgutil.iter_modules(queries.__path__):
+    importlib.import_module(f"chronoframe.queries.{_module.name}")
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    return QUERIES["breadth_daily"](spark, folder)
+
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

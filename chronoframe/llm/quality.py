@@ -69,7 +69,7 @@ def worker_words() -> Words:
     return Words()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = 500_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with the rows' words, about `most` of them at a time."""
     words = worker_words()
     for batch in batches:
@@ -132,22 +132,27 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
     return np.hstack([damped, own]).astype(np.float32)
 
 
-def pooled(held: list[bytes], vectors: np.ndarray) -> np.ndarray:
+def pooled(held: list[bytes], vectors: np.ndarray, documents: int = 256) -> np.ndarray:
     """Mean word vector by document, with the share of words that repeat one of the two before, and
-    the logarithm of the number of words; zeros for documents without words."""
+    the logarithm of the number of words; zeros for documents without words.
+
+    A few documents at a time are counted by word, and the counts are multiplied by the vectors."""
     out = np.zeros((len(held), vectors.shape[1] + 2), np.float32)
-    full = [k for k, x in enumerate(held) if x]
-    if not full:
-        return out
-    n = np.array([len(held[k]) // 4 for k in full])
-    ids = np.frombuffer(b"".join(held), "<i4")
-    starts = np.cumsum(n) - n
-    out[full, :-2] = np.add.reduceat(vectors[ids], starts, axis=0) / n[:, None]
-    same = np.zeros(len(ids), np.float32)
-    for k in (1, 2):
-        same[k:] = np.maximum(same[k:], (ids[k:] == ids[:-k]) & (ids[k:] >= FIRST))
-    out[full, -2] = np.add.reduceat(same, starts) / n
-    out[full, -1] = np.log1p(n) / 10
+    for at in range(0, len(held), documents):
+        some = held[at:at + documents]
+        n = np.array([len(x) // 4 for x in some])
+        if not n.any():
+            continue
+        ids = np.frombuffer(b"".join(some), "<i4").astype(np.int64)
+        row = np.repeat(np.arange(len(some)), n)
+        counts = np.bincount(row * WORDS + ids, minlength=len(some) * WORDS).reshape(len(some), WORDS)
+        rows, under = slice(at, at + len(some)), np.maximum(n, 1)
+        out[rows, :-2] = counts.astype(np.float32) @ vectors / under[:, None]
+        same = np.zeros(len(ids), bool)
+        for k in (1, 2):
+            same[k:] |= (ids[k:] == ids[:-k]) & (ids[k:] >= FIRST) & (row[k:] == row[:-k])
+        out[rows, -2] = np.bincount(row, same, len(some)) / under
+        out[rows, -1] = np.log1p(n) / 10
     return out
 
 

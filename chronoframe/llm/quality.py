@@ -102,6 +102,7 @@ def contexts(docs: DataFrame, window: int = 2) -> np.ndarray:
                     base = here * SIZE
                     for j in range(NONZERO):
                         total += np.bincount(base + places[there, j], weights=signs[there, j], minlength=WORDS * SIZE)
+        total[GAP * SIZE:(GAP + 1) * SIZE] = 0
         parts = total.astype("<i8").reshape(SLICES, -1)
         some = [k for k in range(SLICES) if parts[k].any()]
         yield pa.record_batch([pa.array(some, pa.int32()), pa.array([zlib.compress(parts[k].tobytes(), 1) for k in some], pa.binary())], names=["slice", "sums"])
@@ -175,7 +176,7 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x.astype(np.float64)) / self.temperature, -500, 500)))
 
 
-def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Network:
+def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7, least_steps: int = 1500) -> Network:
     """Adam on the logistic loss over four fifths of the rows; the temperature, by golden-section
     search, has the least loss on the others.  Rows of one class give that class's score throughout;
     no rows give 0.5."""
@@ -192,8 +193,8 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, rate
     z = (x - shift) / scale
     p = [random.normal(0, 1 / np.sqrt(width), (width, hidden)), np.zeros(hidden), random.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
     m, v, step = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p], 0
-    size = min(256, len(y))
-    for _ in range(epochs):
+    size = min(64, len(y))
+    for _ in range(max(epochs, -(-least_steps * size // len(y)))):
         order = random.permutation(len(y))
         for at in range(0, len(y) - size + 1, size):
             rows = order[at:at + size]

@@ -126,6 +126,8 @@ def groups(docs: DataFrame, seed: int = 42, shingle: int = 3) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, seed: int = 42, shingle: int = 3) -> DataFrame:
-    """docs with one row of each group: the one with the smallest doc_id; equal doc_ids stay together."""
-    keep = groups(docs, seed, shingle).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """docs with one document of each group: the one with the smallest doc_id; rows that share it stay
+    together.  A group without any doc_id keeps its rows."""
+    keep = groups(docs, seed, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    # A merge join: the kept ids grow with the corpus and are never broadcast.
+    return docs.join(keep.hint("merge"), docs.doc_id.eqNullSafe(keep["_kept"]), "left_semi")

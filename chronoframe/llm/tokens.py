@@ -52,7 +52,7 @@ class ByteBpe:
     special strings go to the library whole.
     """
 
-    def __init__(self, vocabulary_json: str, most: int = 700_000):
+    def __init__(self, vocabulary_json: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer

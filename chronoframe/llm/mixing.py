@@ -50,7 +50,8 @@ def _pour(nodes: DataFrame, parents: tuple[str, ...], level: str, mixture: Mixtu
     order = by.orderBy(F.col("capacity") / F.col("weight"), level)
     rows = nodes.withColumn("weight", _weight(level, mixture))
     rows = rows.withColumn("before", F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("onward", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
+    passed = F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("onward", F.sum("weight").over(by) - passed)
     rows = rows.withColumn("height", F.max((F.col("budget") - F.col("before")).cast("double") / F.col("onward")).over(by))
     poured = F.least(F.col("capacity"), F.floor(F.col("height") * F.col("weight")).cast("long"))
     return rows.withColumn("budget", poured).drop("weight", "before", "onward", "height")

@@ -51,3 +51,13 @@ def key_hash(*parts: Column | str, length: int = 64) -> Column:
     """SHA-256 of the parts' texts joined by '|', its first hex digits: deterministic ids."""
     text = F.concat_ws("|", *[F.coalesce(col(p).cast("string"), F.lit("")) for p in parts])
     return F.substring(F.sha2(text, 256), 1, length)
+
+
+def corr(x: str | Column, y: str | Column, over=None) -> Column:
+    """Aggregate: correlation over the pairs, null where either side doesn't vary (the built-in one
+    fails there under ANSI)."""
+    a, b = F.when(col(y).isNotNull(), col(x)), F.when(col(x).isNotNull(), col(y))
+    parts = [F.covar_pop(a, b), F.stddev_pop(a), F.stddev_pop(b)]
+    if over is not None:
+        parts = [p.over(over) for p in parts]
+    return ratio(parts[0], parts[1] * parts[2])

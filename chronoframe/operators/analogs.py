@@ -88,3 +88,23 @@ def dtw(a: Sequence[float], b: Sequence[float]) -> float:
             row.append(abs(x - y) + min(last[j], row[j - 1], last[j - 1]))
         last = row
     return last[-1]
+
+
+def nearest_representative(days: DataFrame, representatives: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
+    """Each day with its nearest representative's position (ties: the earlier): two passes over one
+    order, one looking back and one ahead."""
+    both = days.select(*keys, F.col(position).alias("_p"), F.lit(None).cast("long").alias("_rep"), F.lit(1).alias("_day"))
+    both = both.unionByName(representatives.select(*keys, F.col(position).alias("_p"), F.col(position).cast("long").alias("_rep"), F.lit(0).alias("_day")))
+    w = Window.partitionBy(*keys)
+    back = F.last("_rep", True).over(w.orderBy("_p", "_day").rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.last("_rep", True).over(w.orderBy(F.col("_p").desc(), "_day").rowsBetween(Window.unboundedPreceding, 0))
+    rows = both.withColumn("_a", back).withColumn("_b", ahead).where("_day = 1")
+    near = F.when(F.col("_a").isNull(), F.col("_b")).when(F.col("_b").isNull(), F.col("_a")).when(F.col("_p") - F.col("_a") <= F.col("_b") - F.col("_p"), F.col("_a")).otherwise(F.col("_b"))
+    return rows.select(*keys, F.col("_p").alias(position), near.alias("representative"))
+
+
+def compatibility(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Share of the regime dimensions known on both sides that agree; null if none is known."""
+    known = [a[k].isNotNull() & b[k].isNotNull() for k in a]
+    same = sum((F.when(n & (a[k] == b[k]), 1).otherwise(0) for k, n in zip(a, known)), F.lit(0))
+    return ratio(same, sum((F.when(n, 1).otherwise(0) for n in known), F.lit(0)))

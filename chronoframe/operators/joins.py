@@ -17,17 +17,14 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str,
     inner drops left rows without a match.
     """
     packed = F.struct(F.col(right_time).alias("_at"), *[F.col(c) for c in columns])
-    a = left.select(F.struct("*").alias("_row"), *keys, F.col(left_time).cast("timestamp").alias("_t"), F.lit(1 if not forward else 0).alias("_side"), F.lit(None).cast(right.select(packed.alias("p")).schema["p"].dataType).alias("_seen"))
-    b = right.select(F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), *keys, F.col(right_time).cast("timestamp").alias("_t"), F.lit(0 if not forward else 1).alias("_side"), packed.alias("_seen"))
-    order = [F.col("_t"), F.col("_side"), F.col("_seen").asc_nulls_last()]
-    w = Window.partitionBy(*keys)
-    if forward:
-        w = w.orderBy("_t", F.col("_side"), F.col("_seen").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
-        seen = F.first("_seen", ignorenulls=True).over(w)
-    else:
-        w = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        seen = F.last("_seen", ignorenulls=True).over(w)
-    rows = a.unionByName(b).withColumn("_found", seen).where(F.col("_row").isNotNull())
+    seen = right.select(*keys, F.col(right_time).cast("timestamp").alias("_t"), packed.alias("_seen"))
+    asked = left.select(F.struct("*").alias("_row"), *keys, F.col(left_time).cast("timestamp").alias("_t"))
+    a = asked.select("_row", *keys, "_t", F.lit(1).alias("_side"), F.lit(None).cast(seen.schema["_seen"].dataType).alias("_seen"))
+    b = seen.select(F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), *keys, "_t", F.lit(0).alias("_side"), "_seen")
+    # Forward is backward in reversed time: a frame that only grows costs one pass either way.
+    order = [F.col("_t").desc(), F.col("_side"), F.col("_seen").desc()] if forward else [F.col("_t"), F.col("_side"), F.col("_seen")]
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = a.unionByName(b).withColumn("_found", F.last("_seen", ignorenulls=True).over(w)).where(F.col("_row").isNotNull())
     if inner:
         rows = rows.where(F.col("_found").isNotNull())
     return rows.select("_row.*", F.col("_found._at").alias(f"asof_{right_time}"), *[F.col(f"_found.{c}").alias(c) for c in columns])

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from chronoframe.functions.expr import corr
+
 
 def nearest(vectors: DataFrame, key: str, column: str, is_query: Column, k: int, block: int = 512) -> DataFrame:
     """(query_id, <key>, rank, cosine): the k nearest other rows of every query row.
@@ -236,3 +238,139 @@ def block_bootstrap(df: DataFrame, entity: str, time: str, value: str, block: in
 
     kind = dict(df.dtypes)[entity]
     return df.groupBy(entity).applyInPandas(run, f"{entity} {kind}, n long, mean double, low double, high double")
+
+
+def elastic_net(df: DataFrame, features: Sequence[str], target: str, train: Column, alpha: float = 0.5, strength: float = 0.01) -> DataFrame:
+    """Adds prediction of a pooled elastic net learnt on the train rows only, scaling included."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    rows = df.na.drop(subset=list(features))
+    steps = [VectorAssembler(inputCols=list(features), outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_x", withMean=True),
+             LinearRegression(featuresCol="_x", labelCol=target, elasticNetParam=alpha, regParam=strength)]
+    model = Pipeline(stages=steps).fit(rows.where(train & F.col(target).isNotNull()))
+    return model.transform(rows).drop("_raw", "_x")
+
+
+def spectral_clusters(pairs: DataFrame, k: int, seed_iterations: int = 30) -> DataFrame:
+    """(id, cluster) of similarity rows (src, dst, weight > 0) by power iteration."""
+    from pyspark.ml.clustering import PowerIterationClustering
+
+    return PowerIterationClustering(k=k, maxIter=seed_iterations, weightCol="weight").assignClusters(pairs)
+
+
+def select_features(df: DataFrame, features: Sequence[str], train: Column, missing: float = 0.4, floor: float = 1e-9, limit: float = 0.9, cap: int = 35) -> list[str]:
+    """Features that are rarely missing, vary (median absolute deviation) and don't repeat a better
+    one, by train rows only; the better of two has the larger deviation.  Statistics are one row."""
+    rows = df.where(train)
+    mid = rows.agg(*[F.percentile(c, 0.5).alias(c) for c in features]).first()
+    aggs = [a for c in features for a in (F.avg(F.col(c).isNull().cast("double")).alias(f"m_{c}"), F.percentile(F.abs(F.col(c) - F.lit(mid[c])), 0.5).alias(f"d_{c}"))]
+    pairs = [(a, b) for k, a in enumerate(features) for b in features[:k]]
+    stats = rows.agg(*aggs, *[corr(a, b).alias(f"c_{a}|{b}") for a, b in pairs]).first().asDict()
+    fit = [c for c in features if stats[f"m_{c}"] is not None and stats[f"m_{c}"] <= missing and (stats[f"d_{c}"] or 0) > floor]
+    chosen: list[str] = []
+    for c in sorted(fit, key=lambda c: (-stats[f"d_{c}"], c)):
+        near = [stats.get(f"c_{c}|{o}", stats.get(f"c_{o}|{c}")) for o in chosen]
+        if all(x is None or abs(x) <= limit for x in near) and len(chosen) < cap:
+            chosen.append(c)
+    return chosen
+
+
+def tournament(df: DataFrame, entity: str, time: str, features: Sequence[str], target: str, horizon: int) -> DataFrame:
+    """(entity, model, n, validation_mae, holdout_mae, winner): zero, mean, ridge models of three
+    strengths; the winner has the least validation error, the last 15 % only score it."""
+    names = ("zero", "mean", "ridge_0.1", "ridge_1", "ridge_10")
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(time)
+        f, y = x[list(features)].to_numpy(float), x[target].to_numpy(float)
+        ok = np.isfinite(f).all(1) & np.isfinite(y)
+        f, y = f[ok], y[ok]
+        n = len(y)
+        a, b = int(n * 0.6), int(n * 0.85)
+        if a - horizon < 20 or n - b < 5:
+            return pd.DataFrame(columns=[entity, "model", "n", "validation_mae", "holdout_mae", "winner"])
+
+        def predict(name: str, end: int) -> np.ndarray:
+            t = slice(0, max(0, end - horizon))
+            if name == "zero":
+                return np.zeros(n)
+            if name == "mean":
+                return np.full(n, y[t].mean())
+            m, s = f[t].mean(0), np.maximum(f[t].std(0), 1e-9)
+            z = np.hstack([np.ones((n, 1)), (f - m) / s])
+            penalty = float(name.split("_")[1]) * np.diag([0.0] + [1.0] * f.shape[1])
+            return z @ np.linalg.solve(z[t].T @ z[t] + penalty, z[t].T @ y[t])
+
+        rows = [(x[entity].iloc[0], k, n, np.abs(y[a:b] - predict(k, a)[a:b]).mean(), np.abs(y[b:] - predict(k, b)[b:]).mean()) for k in names]
+        out = pd.DataFrame(rows, columns=[entity, "model", "n", "validation_mae", "holdout_mae"])
+        return out.assign(winner=out.index == out["validation_mae"].idxmin())
+
+    return df.groupBy(entity).applyInPandas(run, f"{entity} {dict(df.dtypes)[entity]}, model string, n long, validation_mae double, holdout_mae double, winner boolean")
+
+
+def permutation_sanity(df: DataFrame, entity: str, time: str, x: str, y: str, draws: int = 200, seed: int = 5) -> DataFrame:
+    """(entity, n, correlation, p_value): how often a shuffled series correlates as strongly."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(time)
+        ok = b[[x, y]].dropna()
+        if len(ok) < 10:
+            return pd.DataFrame(columns=[entity, "n", "correlation", "p_value"])
+        p, q = ok[x].to_numpy(float), ok[y].to_numpy(float)
+        p, q = (p - p.mean()) / max(p.std(), 1e-12), (q - q.mean()) / max(q.std(), 1e-12)
+        random = np.random.default_rng([seed, len(p)])
+        real = float((p * q).mean())
+        null = np.array([(random.permutation(p) * q).mean() for _ in range(draws)])
+        return pd.DataFrame({entity: [b[entity].iloc[0]], "n": [len(p)], "correlation": [real], "p_value": [(1 + (np.abs(null) >= abs(real)).sum()) / (draws + 1)]})
+
+    return df.groupBy(entity).applyInPandas(run, f"{entity} {dict(df.dtypes)[entity]}, n long, correlation double, p_value double")
+
+
+def distribution_methods(df: DataFrame, entity: str, time: str, target: str, spread: str, horizon: int, quantiles: Sequence[float] = (0.1, 0.5, 0.9), seed: int = 9) -> DataFrame:
+    """(entity, method, n, pinball, coverage): historical, rolling-volatility, residual-bootstrap,
+    regime, analog and linear quantile forecasts on the last 30 % of each entity's rows, learnt on
+    what was known before."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(time)[[entity, target, spread]].dropna()
+        y, s = b[target].to_numpy(float), b[spread].to_numpy(float)
+        n = len(y)
+        a = int(n * 0.7)
+        t = slice(0, max(0, a - horizon))
+        columns = [entity, "method", "n", "pinball", "coverage"]
+        if t.stop < 40 or n - a < 10:
+            return pd.DataFrame(columns=columns)
+        ty, ts, qs = y[t], s[t], np.array(quantiles)
+        random = np.random.default_rng([seed, n])
+        test = n - a
+        z = np.array([-1.2816, 0.0, 1.2816]) if len(qs) == 3 else np.zeros(len(qs))
+        cut = np.median(ts)
+        halves = [np.quantile(ty[ts <= cut], qs), np.quantile(ty[ts > cut], qs) if (ts > cut).any() else np.quantile(ty, qs)]
+        near = np.argsort(np.abs(s[a:, None] - ts[None, :]), axis=1, kind="stable")[:, :50]
+        design = lambda v: np.column_stack([np.ones(len(v)), (v - ts.mean()) / max(ts.std(), 1e-9)])
+
+        def linear(q: float) -> np.ndarray:
+            w, x = np.array([np.quantile(ty, q), 0.0]), design(ts)
+            rate = 0.05 * max(ty.std(), 1e-9)
+            for k in range(400):
+                e = ty - x @ w
+                w = w + rate / np.sqrt(1 + k) * (x * np.where(e > 0, q, q - 1)[:, None]).mean(0) * 2
+            return design(s[a:]) @ w
+
+        forecasts = {
+            "historical": np.tile(np.quantile(ty, qs), (test, 1)),
+            "rolling_volatility": ty.mean() + s[a:, None] * z * (ty.std() / max(ts.mean(), 1e-9)),
+            "residual_bootstrap": np.tile(np.quantile(ty.mean() + random.choice(ty - ty.mean(), 2000), qs), (test, 1)),
+            "regime": np.where((s[a:] <= cut)[:, None], halves[0], halves[1]),
+            "analog": np.quantile(ty[near], qs, axis=1).T,
+            "linear_quantile": np.column_stack([linear(q) for q in qs]),
+        }
+        rows = []
+        for name, f in forecasts.items():
+            e = y[a:, None] - f
+            rows.append((b[entity].iloc[0], name, test, float(np.maximum(qs * e, (qs - 1) * e).mean()), float(((y[a:] >= f[:, 0]) & (y[a:] <= f[:, -1])).mean())))
+        return pd.DataFrame(rows, columns=columns)
+
+    return df.groupBy(entity).applyInPandas(run, f"{entity} {dict(df.dtypes)[entity]}, method string, n long, pinball double, coverage double")

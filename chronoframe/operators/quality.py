@@ -103,3 +103,24 @@ def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """df, failing at run time where a key repeats."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     return df.withColumn("_n", F.when(n > 1, F.raise_error(F.lit("duplicate key")).cast("long")).otherwise(n)).where("_n = 1").drop("_n")
+
+
+def dividend_rules(dividends: DataFrame, prices: DataFrame) -> DataFrame:
+    """Dividends that are not positive, lie on no trading day, or outside the entity's history."""
+    span = prices.groupBy("entity").agg(F.min("d").alias("_a"), F.max("d").alias("_b"))
+    rows = dividends.join(span, "entity", "left")
+    parts = [_issue(dividends.where("dividend <= 0"), "nonpositive_dividend", F.col("dividend")), orphans(dividends, prices, "orphan_dividend"),
+             _issue(rows.where(F.col("_a").isNull() | ~F.col("d").between(F.col("_a"), F.col("_b"))), "dividend_out_of_history", F.lit(""))]
+    return suite(parts)
+
+
+def index_rules(returns: DataFrame) -> DataFrame:
+    """Total-return indices that are null, not positive or not finite."""
+    x = F.col("total_return_index")
+    return _issue(returns.where(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) | (x <= 0)), "invalid_index", F.lit(""))
+
+
+def priority_score(relevance: Column, depth: Column, integrity: Column, value: Column, breadth: Column, cost: Column, complexity: Column, risk: Column) -> Column:
+    """Gains less burdens of a data source, all in 0..1, held within 0..100."""
+    gain = 0.25 * relevance + 0.15 * depth + 0.2 * integrity + 0.25 * value + 0.15 * breadth
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (gain - 0.1 * cost - 0.1 * complexity - 0.1 * risk)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.functions.expr import count_if, ratio, round6, share
+from chronoframe.functions.expr import corr, count_if, ratio, round6, share
 from chronoframe.operators import stats as S
 from chronoframe.operators import windows as W
 from chronoframe.operators.panel import returns
@@ -30,7 +30,7 @@ def filtered_aggregates(t: Tables) -> DataFrame:
 def distribution_aggregates(t: Tables) -> DataFrame:
     b = "c_acctbal"
     return t("customer").groupBy("c_mktsegment").agg(round6(F.median(b)).alias("median"), round6(F.percentile(b, 0.25)).alias("q25"), round6(F.percentile(b, 0.75) - F.percentile(b, 0.25)).alias("iqr"),
-                                                     round6(F.stddev_samp(b)).alias("sd"), round6(F.stddev_pop(b)).alias("sdp"), round6(F.corr(b, "c_nationkey")).alias("corr"))
+                                                     round6(F.stddev_samp(b)).alias("sd"), round6(F.stddev_pop(b)).alias("sdp"), round6(corr(b, "c_nationkey")).alias("corr"))
 
 
 @query("SELECT entity, arg_max(close, d) AS last_close, arg_min(close, d) AS first_close, max(d) AS last_d FROM panel GROUP BY 1")
@@ -147,7 +147,7 @@ SELECT d, count(*) AS n, CASE WHEN count(*) >= 5 THEN round(corr(ry, rp), 5) END
 def rank_ic(t: Tables) -> DataFrame:
     rows = predictions(t).where("y IS NOT NULL AND p IS NOT NULL")
     rows = rows.withColumn("ry", W.average_rank("y", ["d"])).withColumn("rp", W.average_rank("p", ["d"]))
-    return rows.groupBy("d").agg(F.count("*").alias("n"), F.when(F.count("*") >= 5, F.round(F.corr("ry", "rp"), 5)).alias("rank_ic"))
+    return rows.groupBy("d").agg(F.count("*").alias("n"), F.when(F.count("*") >= 5, F.round(corr("ry", "rp"), 5)).alias("rank_ic"))
 
 
 @query(f"""WITH {PRED}, k AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY p DESC, entity) AS top, row_number() OVER (PARTITION BY d ORDER BY p, entity) AS low, row_number() OVER (PARTITION BY d ORDER BY y DESC, entity) AS ideal,

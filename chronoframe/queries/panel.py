@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.functions.expr import clip, count_if, ratio, round6, share
+from chronoframe.functions.expr import clip, corr, count_if, ratio, round6, share
 from chronoframe.operators import panel as P
 from chronoframe.operators import windows as W
 from chronoframe.plans.bindings import Tables
@@ -274,7 +274,7 @@ def feature_diagnostics(t: Tables) -> DataFrame:
     w = W.by_time("entity", "d")
     a = P.returns(t.panel()).select(F.col("r").alias("f1"), (ratio("close", F.avg("close").over(W.frame(w, 20))) - 1).alias("f2"), (ratio("close", F.lag("close", 5).over(w)) - 1).alias("f3"))
     pairs = (("f1", "f2", "f1"), ("f1", "f3", "f3"), ("f2", "f3", "f2"))
-    row = a.agg(*[F.corr(x, y).alias(f"c{k}") for k, (x, y, _) in enumerate(pairs)], *[share(F.col(m).isNull()).alias(f"m{k}") for k, (_, _, m) in enumerate(pairs)])
+    row = a.agg(*[corr(x, y).alias(f"c{k}") for k, (x, y, _) in enumerate(pairs)], *[share(F.col(m).isNull()).alias(f"m{k}") for k, (_, _, m) in enumerate(pairs)])
     parts = F.explode(F.array(*[F.struct(F.lit(x).alias("feature_a"), F.lit(y).alias("feature_b"), F.col(f"c{k}").alias("c"), F.col(f"m{k}").alias("m")) for k, (x, y, _) in enumerate(pairs)]))
     return row.select(parts.alias("p")).select("p.feature_a", "p.feature_b", round6("p.c").alias("correlation"), (F.abs("p.c") >= 0.9).alias("redundant"), round6("p.m").alias("missing_share"))
 
@@ -351,7 +351,7 @@ def lead_lag_scan(t: Tables) -> DataFrame:
     m = P.returns(t.market().withColumn("entity", F.lit(0))).select("d", F.col("r").alias("m"))
     w = W.by_time("entity", "d")
     rows = P.returns(t.panel()).join(m, "d").select("entity", "r", *[F.lag("m", k).over(w).alias(f"m{k}") for k in range(6)])
-    agg = rows.groupBy("entity").agg(*[x for k in range(6) for x in (F.corr("r", f"m{k}").alias(f"c{k}"), count_if(F.col("r").isNotNull() & F.col(f"m{k}").isNotNull()).alias(f"n{k}"))])
+    agg = rows.groupBy("entity").agg(*[x for k in range(6) for x in (corr("r", f"m{k}").alias(f"c{k}"), count_if(F.col("r").isNotNull() & F.col(f"m{k}").isNotNull()).alias(f"n{k}"))])
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"c{k}").alias("c"), F.col(f"n{k}").alias("n")) for k in range(6)]))
     return agg.select("entity", pairs.alias("p")).select("entity", "p.lag", F.round("p.c", 5).alias("correlation"), "p.n")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.functions.expr import count_if, ratio, round6, share
+from chronoframe.functions.expr import corr, count_if, ratio, round6, share
 from chronoframe.operators import models as M
 from chronoframe.operators import portfolio as Po
 from chronoframe.operators import stats as S
@@ -129,7 +129,7 @@ SELECT c.feature, c.period, n, round(ic, 5) AS ic, sign(ic) = sign(m) AS same_si
 def feature_learning(t: Tables) -> DataFrame:
     p = predictions(t).withColumn("period", F.year("d").cast("long"))
     u = p.unpivot(["entity", "d", "period", "y"], ["p", "s"], "feature", "x").where("x IS NOT NULL AND y IS NOT NULL").withColumn("feature", F.when(F.col("feature") == "p", "mean").otherwise("spread"))
-    c = u.groupBy("feature", "period").agg(F.count("*").alias("n"), F.corr("x", "y").alias("ic"))
+    c = u.groupBy("feature", "period").agg(F.count("*").alias("n"), corr("x", "y").alias("ic"))
     m = F.avg("ic").over(Window.partitionBy("feature"))
     return c.select("feature", "period", "n", F.round("ic", 5).alias("ic"), (F.signum("ic") == F.signum(m)).alias("same_sign"), F.when(F.abs("ic") >= 0.05, "strong").when(F.abs("ic") >= 0.01, "weak").otherwise("none").alias("class"))
 

@@ -289,18 +289,96 @@ def test_pipeline_stages(spark):
     assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in cp.run(spark, FOLDER).collect()) == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in seen.collect())
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_pipeline_equals_brute_force(spark):
+    """Each stage redone by plain means over the rows the stage before kept."""
+    import duckdb
+    import pandas as pd
+
+    import corpus_pipeline as cp
+    from chronoframe.llm import tokens
+    from test_ops_dedup import components_by_force, fingerprint_by_force
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    vectors, net = quality.fit(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    words = quality.Words()
+    rows = [r for r in docs.orderBy("doc_id").collect() if net.scores(quality.pooled([words.of(r.text)], vectors))[0] >= 0.5]
+    assert 0 < len(rows) < docs.count()
+    fps = [fingerprint_by_force(r.text) for r in rows]
+    root = components_by_force(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 3])
+    rows = [r for k, r in enumerate(rows) if root[k] == k]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([r.asDict() for r in rows]))
+    chosen = con.execute(f"SELECT doc_id, count(*) FROM ({mixing.oracle_sql()}) GROUP BY 1").fetchall()
+    bpe, texts, want = tokens.ByteBpe(tokens.vocabulary("byte_bpe_50k.json")), {r.doc_id: r.text for r in rows}, {}
+    for doc, times in chosen:
+        ids = np.array(bpe.whole.encode(texts[doc], add_special_tokens=False).ids + [0], "<i4").tobytes()
+        want[doc] = (ids, times)
+    got, placed = {}, {}
+    for p in cp.run(spark, FOLDER).collect():
+        ids, times = want[p.doc_id]
+        assert p.doc_tokens == len(ids) // 4 and p.ids_crc32 == zlib.crc32(ids[4 * p.start:4 * (p.start + p.length)])
+        got[p.doc_id] = got.get(p.doc_id, 0) + p.length
+        placed.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    assert got == {doc: len(ids) // 4 * times for doc, (ids, times) in want.items()}
+    for part in placed.values():
+        at = 0
+        for offset, length in sorted(part):
+            assert offset == at
+            at += length
+        assert at <= 1024 and at & (at - 1) == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 def test_queries_with_sql(spark):
     import duckdb
 
     for name, sql in queries.ORACLE_SQL.items():
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+        for table in ("documents", "pages", "embeddings"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
         got = queries.QUERIES[name](spark, FOLDER)
         want = con.execute(sql)
         columns = [d[0] for d in want.description]
         assert sorted(columns) == sorted(got.columns)
-        assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, want.fetchall()))
+        assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, want.fetchall())), name
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_queries_without_sql_equal_brute_force(spark):
+    from tokenizers import Tokenizer
+
+    from chronoframe.llm import tokens
+    from test_ops_dedup import components_by_force, fingerprint_by_force
+    from test_ops_tokens import check_pieces
+
+    run = lambda n: queries.QUERIES[n](spark, FOLDER).collect()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    bpe, word = (Tokenizer.from_str(tokens.vocabulary(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    ids = {k: bpe.encode(t, add_special_tokens=False).ids for k, t in docs.items()}
+    packed = lambda x: np.array(x, "<i4").tobytes()
+    at = 0
+    for r in sorted(run("op2_token_output"), key=lambda r: r.doc_id):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids[r.doc_id]) + 1, zlib.crc32(packed(ids[r.doc_id] + [2])))
+        at += r.n_tokens
+    check_pieces(run("op3_packing"), {k: packed(x + [0]) for k, x in ids.items()})
+    counts = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in run("op7_token_counts")}
+    for k, t in docs.items():
+        n = len(word.encode(t, add_special_tokens=False).ids)
+        assert counts[k] == (len(t.encode()), n, n > 2048)
+    keys = sorted(docs)
+    fps = [fingerprint_by_force(docs[k]) for k in keys]
+    root = components_by_force(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 3])
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in run("op5_simhash_near_dedup")) == [(k, f"{f:016x}", keys[c]) for k, f, c in zip(keys, fps, root)]
+    for r in run("op9_media_columns"):
+        raw = docs[r.doc_id].encode()
+        p = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    scored = run("op4_quality_classifier")
+    assert len(scored) == len(docs)
+    held = [r.predicted == labels[r.doc_id] for r in scored if r.held_out and r.doc_id in labels]
+    assert np.mean(held) >= 0.9
 
 
 def test_the_rest_works_without_this_subpackage(tmp_path):

@@ -26,18 +26,24 @@ def higher_quantile(values: str | Column, q: float) -> Column:
     return F.try_element_at(v, F.ceil((F.size(v) - 1) * F.lit(q)).cast("int") + 1)
 
 
-def quantile_code(df: DataFrame, value: str, ties: Sequence[str], buckets: int, name: str) -> DataFrame:
+def quantile_code(df: DataFrame, value: str, ties: Sequence[str], buckets: int, name: str, parts: int = 256) -> DataFrame:
     """Equal-count buckets 1..n in (value, ties) order.
 
-    A value's rank is the rows before its value (a running count over distinct values) plus its place
-    among equals, so that rows are never sorted in one task."""
-    by = df.groupBy(value).agg(F.count("*").alias("_n"))
+    A value's rank is the rows before its value plus its place among equals.  The running count goes
+    over `parts` ranges of values first (by approximate cut points, a bounded list), then over the
+    distinct values within a range, so rows or values are never sorted in one task."""
+    cuts = sorted({x for x in df.approxQuantile(value, [k / parts for k in range(1, parts)], 0.5 / parts)}) if parts > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(value))) if cuts else F.lit(0)
+    by = df.groupBy(value).agg(F.count("*").alias("_n")).withColumn("_part", part)
+    totals = by.groupBy("_part").agg(F.sum("_n").alias("_here"))
+    offsets = totals.select("_part", F.coalesce(F.sum("_here").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = by.join(F.broadcast(offsets), "_part").select(value, (F.col("_offset") + F.coalesce(F.sum("_n").over(within), F.lit(0))).alias("_before"))
     total = df.agg(F.count("*").alias("_total"))
-    before = by.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     rows = df.join(before, value).join(F.broadcast(total)).withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy(value).orderBy(*ties)))
     size, extra = F.floor(F.col("_total") / buckets), F.col("_total") % buckets
     large = extra * (size + 1)
-    code = F.when(F.col("_r") <= large, F.floor((F.col("_r") - 1) / (size + 1))).otherwise(extra + F.floor((F.col("_r") - 1 - large) / size))
+    code = F.when(F.col("_r") <= large, F.floor((F.col("_r") - 1) / (size + 1))).otherwise(extra + F.floor((F.col("_r") - 1 - large) / F.greatest(size, F.lit(1))))
     return rows.withColumn(name, (code + 1).cast("int")).drop("_before", "_total", "_r")
 
 

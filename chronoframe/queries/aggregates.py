@@ -207,7 +207,7 @@ def signs(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {SIGNS}, c AS (SELECT *, CASE WHEN lag(s) OVER w IS DISTINCT FROM s OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS ch FROM sg WINDOW w AS (PARTITION BY entity ORDER BY d)),
-e AS (SELECT *, CAST(sum(ch) OVER (PARTITION BY entity ORDER BY d) AS BIGINT) AS run FROM c) SELECT entity, d, s, run, row_number() OVER (PARTITION BY entity, run ORDER BY d) AS duration FROM e""")
+e AS (SELECT *, CAST(sum(ch) OVER (PARTITION BY entity ORDER BY d) AS BIGINT) AS run FROM c) SELECT entity, d, s, run, CAST(row_number() OVER (PARTITION BY entity, run ORDER BY d) AS INTEGER) AS duration FROM e""")
 def run_length_regimes(t: Tables) -> DataFrame:
     runs = W.run_id(signs(t), ["entity"], "d", "s")
     return runs.withColumn("duration", F.row_number().over(W.by_time(["entity", "run"], "d"))).select("entity", "d", "s", "run", "duration")
@@ -221,7 +221,7 @@ def transition_matrix(t: Tables) -> DataFrame:
 
 
 @query("""SELECT entity, d, round(close - avg(close) OVER (PARTITION BY d), 4) AS demeaned, count(*) OVER (PARTITION BY entity ORDER BY d) AS history, round(percent_rank() OVER (PARTITION BY d ORDER BY close NULLS LAST), 6) AS percentile,
-  dense_rank() OVER (PARTITION BY d ORDER BY trades DESC) AS trade_rank, round(max(close) OVER (PARTITION BY entity ORDER BY d) , 6) AS peak FROM panel""")
+  CAST(dense_rank() OVER (PARTITION BY d ORDER BY trades DESC) AS INTEGER) AS trade_rank, round(max(close) OVER (PARTITION BY entity ORDER BY d) , 6) AS peak FROM panel""")
 def cross_section_windows(t: Tables) -> DataFrame:
     day = Window.partitionBy("d")
     w = W.so_far(W.by_time("entity", "d"))
@@ -245,7 +245,7 @@ def expanding_quantiles(t: Tables) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT entity, d, quantile_cont(value, 0.5) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS liq, count(*) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS n FROM panel WINDOW w AS (PARTITION BY entity ORDER BY d))
-SELECT entity, d, rank, round(liq, 4) AS liquidity FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY liq DESC, entity) AS rank FROM a WHERE n >= 20) WHERE rank <= 30""")
+SELECT entity, d, rank, round(liq, 4) AS liquidity FROM (SELECT *, CAST(row_number() OVER (PARTITION BY d ORDER BY liq DESC, entity) AS INTEGER) AS rank FROM a WHERE n >= 20) WHERE rank <= 30""")
 def point_in_time_membership(t: Tables) -> DataFrame:
     w = W.by_time("entity", "d").rowsBetween(-20, -1)
     a = t.panel().select("entity", "d", F.percentile("value", F.lit(0.5)).over(w).alias("liq"), F.count(F.lit(1)).over(w).alias("n")).where("n >= 20")

@@ -154,7 +154,7 @@ def scalar_date(t: Tables) -> DataFrame:
                              F.from_utc_timestamp(ts, "Europe/Moscow").cast("timestamp_ntz").alias("local_ts"))
 
 
-@query("""SELECT p_partkey, lower(p_name) || ':' || upper(right(p_brand, 2)) AS label, p_type LIKE '%STEEL' AS steel, regexp_matches(p_type, '^(PROMO|ECONOMY)') AS campaign, substr(sha256(p_name), 1, 12) AS digest, length(p_name) AS n FROM part""")
+@query("""SELECT p_partkey, lower(p_name) || ':' || upper(right(p_brand, 2)) AS label, p_type LIKE '%STEEL' AS steel, regexp_matches(p_type, '^(PROMO|ECONOMY)') AS campaign, substr(sha256(p_name), 1, 12) AS digest, CAST(length(p_name) AS INTEGER) AS n FROM part""")
 def scalar_string(t: Tables) -> DataFrame:
     return t("part").select("p_partkey", F.concat(F.lower("p_name"), F.lit(":"), F.upper(F.right(F.col("p_brand"), F.lit(2)))).alias("label"), F.col("p_type").like("%STEEL").alias("steel"), F.col("p_type").rlike("^(PROMO|ECONOMY)").alias("campaign"), F.substring(F.sha2("p_name", 256), 1, 12).alias("digest"), F.length("p_name").alias("n"))
 

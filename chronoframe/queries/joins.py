@@ -26,7 +26,7 @@ def _grid(t: Tables) -> DataFrame:
 @query(f"""WITH o AS ({OBS}), g AS (SELECT d, series FROM (SELECT DISTINCT d FROM market) CROSS JOIN (SELECT DISTINCT series FROM observations))
 SELECT g.d, g.series, o.available, o.value, o.vintage FROM g ASOF LEFT JOIN o ON g.series = o.series AND g.d >= o.available""")
 def asof_backward(t: Tables) -> DataFrame:
-    return J.asof(_grid(t), _obs(t), ["series"], "d", "available", ["value", "vintage"]).select("d", "series", F.col("asof_available").alias("available"), "value", "vintage")
+    return J.asof(_grid(t), _obs(t), ["series"], "d", "available", ["value", "vintage"], bucket="month").select("d", "series", F.col("asof_available").alias("available"), "value", "vintage")
 
 
 @query(f"""WITH o AS ({OBS}), g AS (SELECT d, series FROM (SELECT DISTINCT d FROM market) CROSS JOIN (SELECT DISTINCT series FROM observations))
@@ -39,7 +39,7 @@ def asof_inner(t: Tables) -> DataFrame:
 SELECT o.entity, o.o_orderkey, o.published, p.d AS first_session, p.close FROM o ASOF LEFT JOIN panel p ON o.entity = p.entity AND o.published <= p.d""")
 def asof_forward_first_price(t: Tables) -> DataFrame:
     o = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("l_suppkey").alias("entity"), "o_orderkey").agg(F.max(F.to_date("o_orderdate")).alias("published"))
-    return J.asof(o, t.panel().select("entity", "d", "close"), ["entity"], "published", "d", ["close"], forward=True).select("entity", "o_orderkey", "published", F.col("asof_d").alias("first_session"), "close")
+    return J.asof(o, t.panel().select("entity", "d", "close"), ["entity"], "published", "d", ["close"], forward=True, bucket="year").select("entity", "o_orderkey", "published", F.col("asof_d").alias("first_session"), "close")
 
 
 @query("""SELECT series, observed, available, vintage, value FROM (SELECT *, row_number() OVER (PARTITION BY series, observed ORDER BY available DESC, vintage DESC) AS n
@@ -187,7 +187,7 @@ def largest_moves(t: Tables) -> DataFrame:
     return returns(t.panel()).where("r IS NOT NULL").orderBy(F.abs("r").desc(), "entity", "d").limit(10).select("entity", "d", round6("r").alias("r"))
 
 
-@query("SELECT d, entity, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY value DESC, entity) AS rank FROM panel) WHERE rank <= 3")
+@query("SELECT d, entity, value, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY d ORDER BY value DESC, entity) AS INTEGER) AS rank FROM panel) WHERE rank <= 3")
 def top_k_per_group(t: Tables) -> DataFrame:
     return W.top_k(t.panel(), ["d"], [F.col("value").desc(), F.col("entity")], 3).select("d", "entity", "value", "rank")
 

@@ -132,7 +132,7 @@ def market_state_zscore(t: Tables) -> DataFrame:
 
 @query(f"""SELECT entity, d, {', '.join(f"round(close / nullif(lag(close, {k}) OVER w, 0) - 1, 6) AS momentum_{k}" for k in (1, 5, 20, 60, 120, 252))},
   {', '.join(f"CASE WHEN count(close) OVER (w ROWS {n - 1} PRECEDING) >= {n} THEN round(avg(close) OVER (w ROWS {n - 1} PRECEDING), 4) END AS sma_{n}" for n in (20, 50, 200))},
-  CASE WHEN count(close) OVER (w ROWS 199 PRECEDING) >= 200 AND avg(close) OVER (w ROWS 49 PRECEDING) > avg(close) OVER (w ROWS 199 PRECEDING) THEN 1.0 ELSE 0.0 END AS sma_50_above_200
+  CASE WHEN count(close) OVER (w ROWS 199 PRECEDING) >= 200 AND avg(close) OVER (w ROWS 49 PRECEDING) > avg(close) OVER (w ROWS 199 PRECEDING) THEN 1.0::DOUBLE ELSE 0.0 END AS sma_50_above_200
 FROM panel WINDOW w AS ({BY})""")
 def features_momentum_sma(t: Tables) -> DataFrame:
     w = W.by_time("entity", "d")

@@ -167,10 +167,10 @@ def membership_validation(t: Tables) -> DataFrame:
     return s.select("entity", "sector", F.col("a").alias("valid_from"), (F.lag("b").over(w) >= F.col("a")).alias("overlaps"), (F.count(F.lit(1)).over(Window.partitionBy("sector", "a")) > 1).alias("duplicated"))
 
 
-@query("""SELECT p_partkey, p_size BETWEEN 1 AND 50 AS size_valid, p_retailprice > 0 AS price_valid, list_filter([CASE WHEN p_size > 45 THEN 'oversize' END, CASE WHEN p_retailprice < 950 THEN 'cheap' END, CASE WHEN p_type LIKE '%BRASS' THEN 'brass' END], lambda x: x IS NOT NULL) AS missing FROM part""")
+@query("""SELECT p_partkey, p_size BETWEEN 1 AND 50 AS size_valid, p_retailprice > 0 AS price_valid, array_to_string(list_filter([CASE WHEN p_size > 45 THEN 'oversize' END, CASE WHEN p_retailprice < 950 THEN 'cheap' END, CASE WHEN p_type LIKE '%BRASS' THEN 'brass' END], lambda x: x IS NOT NULL), ',') AS missing FROM part""")
 def evidence_gates(t: Tables) -> DataFrame:
     found = F.array_compact(F.array(F.when(F.col("p_size") > 45, "oversize"), F.when(F.col("p_retailprice") < 950, "cheap"), F.when(F.col("p_type").like("%BRASS"), "brass")))
-    return t("part").select("p_partkey", F.col("p_size").between(1, 50).alias("size_valid"), (F.col("p_retailprice") > 0).alias("price_valid"), found.alias("missing"))
+    return t("part").select("p_partkey", F.col("p_size").between(1, 50).alias("size_valid"), (F.col("p_retailprice") > 0).alias("price_valid"), F.array_join(found, ",").alias("missing"))
 
 
 @query("SELECT substr(sha256(entity || '|' || count(*) || '|' || max(d)), 1, 20) AS run_id, entity FROM panel GROUP BY entity")

@@ -117,7 +117,7 @@ def walk_forward_splits(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {PRED}, x AS (SELECT *, ntile(4) OVER (PARTITION BY entity ORDER BY d) AS fold FROM pred WHERE y IS NOT NULL AND p IS NOT NULL), c AS (SELECT entity, fold, regr_slope(y, p) AS b, regr_intercept(y, p) AS a FROM x GROUP BY 1, 2)
-SELECT x.entity, x.fold, count(*) AS n, round(avg(abs(y - (a + b * p))), 6) AS mae_model, round(avg(abs(y)), 6) AS mae_zero FROM x JOIN c ON x.entity = c.entity AND x.fold = c.fold + 1 GROUP BY 1, 2""")
+SELECT x.entity, CAST(x.fold AS INTEGER) AS fold, count(*) AS n, round(avg(abs(y - (a + b * p))), 6) AS mae_model, round(avg(abs(y)), 6) AS mae_zero FROM x JOIN c ON x.entity = c.entity AND x.fold = c.fold + 1 GROUP BY 1, 2""")
 def factor_screen(t: Tables) -> DataFrame:
     x = predictions(t).where("y IS NOT NULL AND p IS NOT NULL").withColumn("fold", F.ntile(4).over(W.by_time("entity", "d")))
     c = x.groupBy("entity", (F.col("fold") + 1).alias("fold")).agg(F.regr_slope("y", "p").alias("b"), F.regr_intercept("y", "p").alias("a"))

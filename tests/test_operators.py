@@ -108,6 +108,16 @@ def test_asof_matches_exactly_backward_and_forward(spark):
     assert [r.asof_at for r in ahead] == [day(1), day(1), day(3), day(3)]
 
 
+@pytest.mark.parametrize("forward", [False, True])
+def test_asof_in_buckets_is_the_same(spark, forward):
+    left = spark.createDataFrame([("a" if k % 3 else None, day(k * 7), k) for k in range(60)], "s string, t date, n int")
+    right = spark.createDataFrame([("a" if k % 2 else "b", day(k * 23 % 400), k) for k in range(20)] + [(None, day(50), 99)], "s string, at date, v int")
+    one = J.asof(left, right, ["s"], "t", "at", ["v"], forward=forward)
+    for unit in ("day", "month", "year"):
+        cut = J.asof(left, right, ["s"], "t", "at", ["v"], forward=forward, bucket=unit)
+        assert sorted(map(str, cut.collect())) == sorted(map(str, one.collect()))
+
+
 def test_spaced_top_k(spark):
     df = spark.createDataFrame([(1, 0.1, 10), (1, 0.2, 15), (1, 0.3, 40), (1, 0.3, 35), (1, 0.4, 90)], "e int, x double, pos int")
     assert [(r["rank"], r.pos) for r in A.spaced_top_k(df, ["e"], "x", "pos", 20, 3).orderBy("rank").collect()] == [(1, 10), (2, 35), (3, 90)]

@@ -76,6 +76,18 @@ def _tidy() -> None:
 atexit.register(_tidy)
 
 
+_slot: dict = {}
+
+
+def only(kind, make):
+    """What one operator keeps in a Python worker between tasks.  A worker keeps one such thing: asking
+    for another drops it, so that stages of one job don't pile up their caches."""
+    if kind not in _slot:
+        _slot.clear()
+        _slot[kind] = make()
+    return _slot[kind]
+
+
 def text_of(column: str | Column) -> Column:
     """The whole text, a null one as an empty one."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -105,7 +105,7 @@ def plan(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: floa
 
 
 def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 0, vocabulary: str = "byte_bpe_50k.json",
-         linear: float = 1.0, quadratic: float = 1.0 / 1024, batch_tokens: int = 4_000_000) -> DataFrame:
+         linear: float = 1.0, quadratic: float = 1.0 / 1024, batch_tokens: int = 4_000_000, cache_entries: int = 500_000) -> DataFrame:
     """Pack docs(doc_id, text) into sequences of `capacity` tokens (a power of two); rows are pieces.
 
     Each task encodes its documents and balances them over sequences in batches of batch_tokens
@@ -125,7 +125,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 0, vocabulary: str
     names = [f.strip().split(" ")[0] for f in PIECE_SCHEMA.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end, first = tokens.byte_bpe(spec.value), np.array([end_id], "<i4").tobytes(), TaskContext.get().partitionId() << 32
+        bpe, end, first = tokens.byte_bpe(spec.value, cache_entries), np.array([end_id], "<i4").tobytes(), TaskContext.get().partitionId() << 32
         held: list[tuple[int | None, bytes]] = []
         size = 0
 

@@ -64,9 +64,8 @@ class Words(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-@lru_cache(maxsize=1)
 def worker_words() -> Words:
-    return Words()
+    return common.only("quality words", Words)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = 500_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

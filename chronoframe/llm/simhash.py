@@ -42,6 +42,7 @@ def fingerprints(docs: DataFrame, seed: int = 42, shingle: int = 3) -> DataFrame
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.only("simhash", dict)
         for batch in batches:
             fps = np.fromiter((fingerprint(t, seed, shingle) for t in batch.column(1).to_pylist()), dtype=np.uint64, count=batch.num_rows)
             yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
@@ -99,7 +100,8 @@ def links(fps: DataFrame) -> DataFrame:
     """
     home = _anchors(fps, near=False)
     near = _anchors(fps, near=True).withColumnRenamed("fp", "other")
-    pairs = home.join(near, "anchor").where(
+    # Copies of anchors are many times what a plan's estimate says: never broadcast them.
+    pairs = home.join(near.hint("merge"), "anchor").where(
         (F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= THRESHOLD)
     )
     return pairs.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from chronoframe.llm import common, tokens
 
-_counters: dict[int, tokens.WordCounts] = {}
-
 
 def frequent_lengths(docs: DataFrame, spec, entries: int = 8192, sample_docs: int = 1000) -> dict[str, int]:
     """The broadcast tier: token lengths of the most frequent pre-tokens, at most `entries` of them.
@@ -63,7 +61,4 @@ def count(docs: DataFrame, limit: int = 2048, vocabulary: str = "word_bpe_49k.js
 def _counter(spec, table) -> tokens.WordCounts:
     """One counter a worker process, broadcast table and vocabulary."""
     key = hash((spec.value[:200], len(spec.value), tuple(sorted(table.value.items())[:50]), len(table.value)))
-    if key not in _counters:
-        _counters.clear()
-        _counters[key] = tokens.WordCounts(spec.value, table.value)
-    return _counters[key]
+    return common.only(("word counts", key), lambda: tokens.WordCounts(spec.value, table.value))

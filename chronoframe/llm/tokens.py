@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import os
 from array import array
-from functools import lru_cache
+
+from chronoframe.llm.common import only
 
 #: The library's byte-level split and the word tokenizer's split.
 BYTE_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -130,7 +131,6 @@ class WordCounts:
         return total
 
 
-@lru_cache(maxsize=2)
-def byte_bpe(vocabulary_json: str) -> ByteBpe:
-    """One encoder a worker process and vocabulary."""
-    return ByteBpe(vocabulary_json)
+def byte_bpe(vocabulary_json: str, most: int = 1_000_000) -> ByteBpe:
+    """One encoder a worker process, vocabulary and cache size."""
+    return only(("byte_bpe", hash(vocabulary_json), most), lambda: ByteBpe(vocabulary_json, most))

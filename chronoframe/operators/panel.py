@@ -110,15 +110,11 @@ def forward(prices: DataFrame, horizons: Sequence[int], close: str = "close") ->
     return rows
 
 
-def path_shape(path: Column) -> Column:
-    """Name of a path of returns since the start, first rule wins.
-
-    path: array of cumulative returns t+1..t+h.  Volatile when its steps deviate over 4 %; then dip
-    and recovery, rise and fall, steady moves over 3 %, else sideways."""
-    end, low, high = F.element_at(path, -1), F.array_min(path), F.array_max(path)
-    steps = F.transform(path, lambda x, i: x - F.when(i == 0, F.lit(0.0)).otherwise(F.element_at(path, F.greatest(i, F.lit(1)))))
-    n = F.size(path).cast("double")
-    mean = F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / n
-    spread = F.sqrt(F.aggregate(steps, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
-    return (F.when(spread > 0.04, "high_volatility").when((low < -0.03) & (end > 0), "dip_then_recover")
-            .when((high > 0.03) & (end < 0), "rise_then_fall").when(end > 0.03, "steady_up").when(end < -0.03, "steady_down").otherwise("sideways"))
+def path_facts(df: DataFrame, path: str) -> DataFrame:
+    """Adds what path rules ask for, from an array of cumulative returns t+1..t+h: terminal, low,
+    high, sd (population deviation of the steps), ups (share of steps that don't fall)."""
+    rows = df.withColumn("_s", F.expr(f"transform({path}, (x, i) -> x - if(i = 0, 0D, {path}[i - 1]))"))
+    rows = rows.withColumn("_m", F.expr("aggregate(_s, 0D, (a, x) -> a + x) / size(_s)"))
+    rows = rows.withColumn("sd", F.sqrt(F.expr("aggregate(_s, 0D, (a, x) -> a + (x - _m) * (x - _m)) / size(_s)")))
+    rows = rows.withColumn("ups", F.size(F.filter("_s", lambda x: x >= 0)) / F.size("_s"))
+    return rows.withColumn("terminal", F.element_at(path, -1)).withColumn("low", F.array_min(path)).withColumn("high", F.array_max(path)).drop("_s", "_m")

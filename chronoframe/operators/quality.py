@@ -85,13 +85,6 @@ def tier(score: Column) -> Column:
     return F.when(score >= 0.85, "A").when(score >= 0.65, "B").when(score >= 0.45, "C").otherwise("excluded")
 
 
-def integrity_score(available: Column, ordered: Column, revisions: Column, duplicates: Column, impossible: Column, stale: Column) -> Column:
-    """100 less penalties for what breaks point-in-time use, held within 0..100."""
-    lost = (F.when(available, 0).otherwise(40) + F.when(ordered, 0).otherwise(20) + F.when(revisions, 0).otherwise(10)
-            + F.least(duplicates * 2, F.lit(15)) + F.least(impossible * 5, F.lit(20)) + F.least(F.greatest(stale, F.lit(0.0)), F.lit(1.0)) * 10)
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - lost))
-
-
 def require_no_future(df: DataFrame, source: str, decision: str) -> DataFrame:
     """df, failing at run time on the first row whose source date is after its decision date."""
     message = F.concat(F.lit("future data: "), F.col(source).cast("string"), F.lit(" > "), F.col(decision).cast("string"))
@@ -118,9 +111,3 @@ def index_rules(returns: DataFrame) -> DataFrame:
     """Total-return indices that are null, not positive or not finite."""
     x = F.col("total_return_index")
     return _issue(returns.where(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) | (x <= 0)), "invalid_index", F.lit(""))
-
-
-def priority_score(relevance: Column, depth: Column, integrity: Column, value: Column, breadth: Column, cost: Column, complexity: Column, risk: Column) -> Column:
-    """Gains less burdens of a data source, all in 0..1, held within 0..100."""
-    gain = 0.25 * relevance + 0.15 * depth + 0.2 * integrity + 0.25 * value + 0.15 * breadth
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (gain - 0.1 * cost - 0.1 * complexity - 0.1 * risk)))

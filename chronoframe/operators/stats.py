@@ -26,15 +26,19 @@ def higher_quantile(values: str | Column, q: float) -> Column:
     return F.try_element_at(v, F.ceil((F.size(v) - 1) * F.lit(q)).cast("int") + 1)
 
 
-def quantile_code(df: DataFrame, value: str, ties: Sequence[str], buckets: int, name: str, parts: int = 256) -> DataFrame:
-    """Equal-count buckets 1..n in (value, ties) order.
+def quantile_code(df: DataFrame, value: str, ties: Sequence[str], buckets: int, name: str, parts: int = 128) -> DataFrame:
+    """Equal-count buckets 1..n in (value, ties) order; rows without a value are left out.
 
     A value's rank is the rows before its value plus its place among equals.  The running count goes
     over `parts` ranges of values first (by approximate cut points, a bounded list), then over the
     distinct values within a range, so rows or values are never sorted in one task."""
-    cuts = sorted({x for x in df.approxQuantile(value, [k / parts for k in range(1, parts)], 0.5 / parts)}) if parts > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(value))) if cuts else F.lit(0)
-    by = df.groupBy(value).agg(F.count("*").alias("_n")).withColumn("_part", part)
+    from pyspark.ml.feature import Bucketizer
+
+    df = df.where(F.col(value).isNotNull())
+    cuts = sorted(set(df.approxQuantile(value, [k / parts for k in range(1, parts)], 0.5 / parts)))
+    by = df.groupBy(value).agg(F.count("*").alias("_n")).withColumn("_v", F.col(value).cast("double"))
+    edges = [-float("inf"), *cuts, float("inf")] if cuts else [-float("inf"), 0.0, float("inf")]
+    by = Bucketizer(splits=edges, inputCol="_v", outputCol="_part", handleInvalid="keep").transform(by).drop("_v")
     totals = by.groupBy("_part").agg(F.sum("_n").alias("_here"))
     offsets = totals.select("_part", F.coalesce(F.sum("_here").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
     within = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.functions.expr import finite, key_hash, ratio, round6
 from chronoframe.operators import events as E
+from chronoframe.operators import rules as R
 from chronoframe.operators import windows as W
 from chronoframe.operators.joins import asof
 from chronoframe.operators.panel import returns
@@ -53,9 +54,13 @@ def dedup_primary(t: Tables) -> DataFrame:
 PATTERNS = {"alpha": "the ", "beta": " la ", "gamma": " und ", "delta": " de "}
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'dividend|payout') THEN 'dividend' WHEN regexp_matches(lower(text), 'profit|revenue|earning') THEN 'earnings' WHEN regexp_matches(lower(text), 'rating|upgrade|downgrade') THEN 'rating' WHEN regexp_matches(lower(text), 'law|court|sanction') THEN 'regulation' ELSE 'other' END AS class,
-  CASE WHEN regexp_matches(lower(text), 'rise|growth|record|strong') AND regexp_matches(lower(text), 'fall|loss|weak|decline') THEN 'mixed' WHEN regexp_matches(lower(text), 'rise|growth|record|strong') THEN 'positive' WHEN regexp_matches(lower(text), 'fall|loss|weak|decline') THEN 'negative' ELSE 'uncertain' END AS tone,
-  array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), 'the ') THEN 'alpha' END, CASE WHEN regexp_matches(lower(text), ' la ') THEN 'beta' END, CASE WHEN regexp_matches(lower(text), ' und ') THEN 'gamma' END, CASE WHEN regexp_matches(lower(text), ' de ') THEN 'delta' END], lambda x: x IS NOT NULL), ',') AS entities FROM documents""")
+def _match(pattern: str) -> str:
+    return f"regexp_matches(lower(text), '{pattern}')"
+
+
+@query(f"""SELECT doc_id, CASE {' '.join(f"WHEN {_match(p)} THEN '{n}'" for n, p in R.EVENT_CLASS)} ELSE 'other' END AS class,
+  CASE WHEN {_match(R.POSITIVE)} AND {_match(R.NEGATIVE)} THEN 'mixed' WHEN {_match(R.POSITIVE)} THEN 'positive_wording' WHEN {_match(R.NEGATIVE)} THEN 'negative_wording' ELSE 'uncertain' END AS tone,
+  array_to_string(list_filter([{', '.join(f"CASE WHEN {_match(p)} THEN '{n}' END" for n, p in PATTERNS.items())}], lambda x: x IS NOT NULL), ',') AS entities FROM documents""")
 def news_entities_tone(t: Tables) -> DataFrame:
     return t("documents").select("doc_id", E.event_class("text").alias("class"), E.tone("text").alias("tone"), F.concat_ws(",", E.entities("text", PATTERNS)).alias("entities"))
 
@@ -117,12 +122,14 @@ def data_inventory(t: Tables) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("table_name", "rows", "first_d", "last_d")
 
 
-@query("""SELECT CAST(ts AS DATE) AS d, CASE WHEN hour(ts) < 7 THEN 'night' WHEN hour(ts) < 10 THEN 'opening' WHEN hour(ts) < 18 OR (hour(ts) = 18 AND minute(ts) < 40) THEN 'main' ELSE 'evening' END AS session, count(*) AS n, round(arg_min(value, (ts, event_id)), 6) AS open, round(arg_max(value, (ts, event_id)), 6) AS close, round(stddev_samp(value), 6) AS sd FROM events GROUP BY 1, 2""")
+@query(f"""WITH x AS (SELECT *, strftime(ts, '%H:%M') AS clock FROM events), y AS (SELECT *, {R.case(R.SESSION_3, 'evening')} AS three, {R.case(R.SESSION_4, 'overnight')} AS four, {R.case(R.SESSION_5, 'evening')} AS five FROM x)
+SELECT CAST(ts AS DATE) AS d, three, four, five, count(*) AS n, round(arg_min(value, (ts, event_id)), 6) AS open, round(arg_max(value, (ts, event_id)), 6) AS close, round(stddev_samp(value), 6) AS sd FROM y GROUP BY 1, 2, 3, 4""")
 def intraday_sessions(t: Tables) -> DataFrame:
-    clock = F.date_format("ts", "HH:mm")
-    session = F.when(clock < "07:00", "night").when(clock < "10:00", "opening").when(clock < "18:40", "main").otherwise("evening")
+    """The three ways of cutting a day, with the first and last value of each part."""
+    x = t("events").withColumn("clock", F.date_format("ts", "HH:mm"))
     at = F.struct("ts", "event_id")
-    return t("events").groupBy(F.to_date("ts").alias("d"), session.alias("session")).agg(F.count("*").alias("n"), round6(F.min_by("value", at)).alias("open"), round6(F.max_by("value", at)).alias("close"), round6(F.stddev_samp("value")).alias("sd"))
+    parts = [R.label(R.SESSION_3, "evening").alias("three"), R.label(R.SESSION_4, "overnight").alias("four"), R.label(R.SESSION_5, "evening").alias("five")]
+    return x.groupBy(F.to_date("ts").alias("d"), *parts).agg(F.count("*").alias("n"), round6(F.min_by("value", at)).alias("open"), round6(F.max_by("value", at)).alias("close"), round6(F.stddev_samp("value")).alias("sd"))
 
 
 @query("""WITH x AS (SELECT CAST(ts AS DATE) AS d, arg_min(value, (ts, event_id)) AS o, arg_max(value, (ts, event_id)) AS c, sum(ln(greatest(value, 0.01)) * ln(greatest(value, 0.01))) AS q FROM events GROUP BY 1) SELECT d, round(o / nullif(lag(c) OVER (ORDER BY d), 0) - 1, 6) AS overnight_gap, round(c / nullif(o, 0) - 1, 6) AS day_return, round(sqrt(q), 6) AS realised FROM x""")

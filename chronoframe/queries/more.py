@@ -9,6 +9,7 @@ from chronoframe.functions.expr import corr, ratio, round6
 from chronoframe.operators import analogs as A
 from chronoframe.operators import models as M
 from chronoframe.operators import quality as Q
+from chronoframe.operators import rules as R
 from chronoframe.operators import stats as S
 from chronoframe.operators import windows as W
 from chronoframe.operators.panel import returns, total_returns
@@ -56,10 +57,12 @@ def index_rules(t: Tables) -> DataFrame:
     return Q.index_rules(total_returns(t.panel().withColumn("close", F.round("close", 4)), none))
 
 
-@query("""SELECT p_brand, round(greatest(0, least(100, 100 * (0.25 * avg(p_size) / 50 + 0.15 * 0.5 + 0.2 * 0.8 + 0.25 * (max(p_size) / 50.0) + 0.15 * 0.4 - 0.1 * 0.2 - 0.1 * 0.3 - 0.1 * 0.1))), 6) AS priority FROM part GROUP BY 1""")
+@query("""WITH j AS (SELECT p_partkey, p_size % 4 AS a, p_partkey % 4 AS b, (p_size + p_partkey) % 4 AS c FROM part), s AS (SELECT *, a * 3 + b * 2 + c * 3 + a * 3 + b * 2 - c * 2 - a - b * 3 AS score FROM j)
+SELECT p_partkey, score, CASE WHEN score >= 20 AND c >= 2 THEN 'paid_optional' WHEN score >= 27 THEN 'critical' WHEN score >= 20 THEN 'high' WHEN score >= 12 THEN 'medium' ELSE 'low' END AS status FROM s""")
 def source_priority(t: Tables) -> DataFrame:
-    one = F.lit
-    return t("part").groupBy("p_brand").agg(round6(Q.priority_score(F.avg("p_size") / 50, one(0.5), one(0.8), F.max("p_size") / 50.0, one(0.4), one(0.2), one(0.3), one(0.1))).alias("priority"))
+    a, b, c = F.col("p_size") % 4, F.col("p_partkey") % 4, (F.col("p_size") + F.col("p_partkey")) % 4
+    score, status = R.source_priority(a, b, c, a, b, c, a, b)
+    return t("part").select("p_partkey", score.alias("score"), status.alias("status"))
 
 
 @query(f"""WITH {STATE}, rep AS (SELECT pos AS r FROM state WHERE pos % 60 = 0), x AS (SELECT s.pos, r, row_number() OVER (PARTITION BY s.pos ORDER BY abs(s.pos - r), r) AS n FROM state s, rep) SELECT pos, r AS representative FROM x WHERE n = 1""")
@@ -86,14 +89,12 @@ def diebold_mariano(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {PRED}, c AS (SELECT entity, corr(y, p) FILTER (WHERE d < DATE '1999-01-01') AS h, corr(y, p) FILTER (WHERE d >= DATE '1999-01-01') AS r FROM pred WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY 1)
-SELECT entity, round(h, 5) AS historical_ic, round(r, 5) AS recent_ic, CASE WHEN h IS NULL OR r IS NULL THEN 'insufficient' WHEN sign(h) <> sign(r) AND abs(r) > 0.02 THEN 'reversed' WHEN abs(r) < 0.5 * abs(h) THEN 'degraded' ELSE 'stable' END AS drift FROM c""")
+SELECT entity, round(h, 5) AS historical_ic, round(r, 5) AS recent_ic, {R.case(R.DRIFT, 'stable')} AS drift FROM c""")
 def concept_drift(t: Tables) -> DataFrame:
     early = F.col("d") < F.lit("1999-01-01").cast("date")
     part = lambda c: corr(F.when(c, F.col("y")), F.when(c, F.col("p")))
     c = predictions(t).where("y IS NOT NULL AND p IS NOT NULL").groupBy("entity").agg(part(early).alias("h"), part(~early).alias("r"))
-    h, r = F.col("h"), F.col("r")
-    kind = F.when(h.isNull() | r.isNull(), "insufficient").when((F.signum(h) != F.signum(r)) & (F.abs(r) > 0.02), "reversed").when(F.abs(r) < 0.5 * F.abs(h), "degraded").otherwise("stable")
-    return c.select("entity", F.round(h, 5).alias("historical_ic"), F.round(r, 5).alias("recent_ic"), kind.alias("drift"))
+    return c.select("entity", F.round("h", 5).alias("historical_ic"), F.round("r", 5).alias("recent_ic"), R.label(R.DRIFT, "stable").alias("drift"))
 
 
 @query("""WITH f AS (SELECT event_id, user_id, ts, value, avg(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS m, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM events)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.functions.expr import clip, corr, count_if, ratio, round6, share
 from chronoframe.operators import panel as P
+from chronoframe.operators import rules as R
 from chronoframe.operators import windows as W
 from chronoframe.plans.bindings import Tables
 from chronoframe.queries.registry import query
@@ -116,18 +117,15 @@ def breadth_iqr_drawdown(t: Tables) -> DataFrame:
     return a.select("d", "n", round6(F.col("q75") - F.col("q25")).alias("iqr"), round6("level").alias("level"), round6(F.col("level") - F.max("level").over(w)).alias("drawdown"))
 
 
-@query(BREADTH + """, s AS (SELECT b.d, CAST(advancing - declining AS DOUBLE) / entities AS net, market.close AS close,
-  avg(market.close) OVER (ORDER BY b.d ROWS 59 PRECEDING) AS sma, dispersion FROM b JOIN market ON b.d = market.d),
-z AS (SELECT *, (net - avg(net) OVER p) / nullif(stddev_samp(net) OVER p, 0) AS bz, (dispersion - avg(dispersion) OVER p) / nullif(stddev_samp(dispersion) OVER p, 0) AS dz,
-  close / sma - 1 AS trend FROM s WINDOW p AS (ORDER BY d ROWS BETWEEN 249 PRECEDING AND 1 PRECEDING))
-SELECT d, round(bz, 4) AS breadth_z, round(dz, 4) AS dispersion_z, round(trend, 6) AS trend,
-  CASE WHEN dz > 2 THEN 'stress' WHEN bz > 0.5 AND trend > 0 THEN 'risk_on' WHEN bz < -0.5 AND trend < 0 THEN 'risk_off' ELSE 'neutral' END AS state FROM z""")
+@query(BREADTH + f""", s AS (SELECT d, CAST(advancing - declining AS DOUBLE) / entities AS net, (above_mean - 0.5) * 2 AS trend, -dispersion AS dispersion FROM b),
+z AS (SELECT *, (net - avg(net) OVER p) / nullif(stddev_samp(net) OVER p, 0) AS breadth_z, (dispersion - avg(dispersion) OVER p) / nullif(stddev_samp(dispersion) OVER p, 0) AS dispersion_z
+  FROM s WINDOW p AS (ORDER BY d ROWS BETWEEN 249 PRECEDING AND 1 PRECEDING))
+SELECT d, round(breadth_z, 4) AS breadth_z, round(dispersion_z, 4) AS dispersion_z, round(trend, 6) AS trend, {R.case(R.MARKET_STATE, 'mixed')} AS state FROM z""")
 def market_state_zscore(t: Tables) -> DataFrame:
     w = Window.orderBy("d")
-    s = P.breadth(t.panel()).join(t.market().select("d", "close"), "d").withColumn("net", (F.col("advancing") - F.col("declining")).cast("double") / F.col("entities"))
-    s = s.withColumn("trend", F.col("close") / F.avg("close").over(W.frame(w, 60)) - 1).withColumn("bz", P.zscore_before("net", w)).withColumn("dz", P.zscore_before("dispersion", w))
-    state = F.when(F.col("dz") > 2, "stress").when((F.col("bz") > 0.5) & (F.col("trend") > 0), "risk_on").when((F.col("bz") < -0.5) & (F.col("trend") < 0), "risk_off").otherwise("neutral")
-    return s.select("d", F.round("bz", 4).alias("breadth_z"), F.round("dz", 4).alias("dispersion_z"), round6("trend").alias("trend"), state.alias("state"))
+    s = P.breadth(t.panel()).select("d", ((F.col("advancing") - F.col("declining")).cast("double") / F.col("entities")).alias("net"), ((F.col("above_mean") - 0.5) * 2).alias("trend"), (-F.col("dispersion")).alias("dispersion"))
+    s = s.withColumn("breadth_z", P.zscore_before("net", w)).withColumn("dispersion_z", P.zscore_before("dispersion", w))
+    return s.select("d", F.round("breadth_z", 4).alias("breadth_z"), F.round("dispersion_z", 4).alias("dispersion_z"), round6("trend").alias("trend"), R.label(R.MARKET_STATE, "mixed").alias("state"))
 
 
 @query(f"""SELECT entity, d, {', '.join(f"round(close / nullif(lag(close, {k}) OVER w, 0) - 1, 6) AS momentum_{k}" for k in (1, 5, 20, 60, 120, 252))},
@@ -230,17 +228,13 @@ def targets_supervised(t: Tables) -> DataFrame:
 @query(f"""WITH a AS (SELECT entity, d, close, list(close) OVER ({BY} ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS path FROM panel),
 b AS (SELECT entity, d, list_transform(path, lambda x: x / close - 1) AS p FROM a WHERE len(path) = 10),
 c AS (SELECT *, list_transform(p, lambda x, i: x - CASE WHEN i = 1 THEN 0.0 ELSE p[i - 1] END) AS s FROM b),
-e AS (SELECT entity, d, p[-1] AS e, list_min(p) AS lo, list_max(p) AS hi, list_stddev_pop(s) AS sd FROM c)
-SELECT entity, d, round(sd, 6) AS step_deviation, CASE WHEN sd > 0.04 THEN 'high_volatility' WHEN lo < -0.03 AND e > 0 THEN 'dip_then_recover' WHEN hi > 0.03 AND e < 0 THEN 'rise_then_fall'
-  WHEN e > 0.03 THEN 'steady_up' WHEN e < -0.03 THEN 'steady_down' ELSE 'sideways' END AS path_shape FROM e""")
+e AS (SELECT entity, d, p[-1] AS terminal, list_min(p) AS low, list_max(p) AS high, list_stddev_pop(s) AS sd, list_avg(list_transform(s, lambda x: CAST(x >= 0 AS INT))) AS ups FROM c)
+SELECT entity, d, round(sd, 6) AS step_deviation, {R.case(R.PATH_SHAPE, 'sideways')} AS path_shape FROM e""")
 def path_shapes(t: Tables) -> DataFrame:
     w = W.by_time("entity", "d").rowsBetween(1, 10)
     a = t.panel().select("entity", "d", "close", F.collect_list("close").over(w).alias("path")).where(F.size("path") == 10)
     a = a.select("entity", "d", F.expr("transform(path, x -> x / close - 1)").alias("p"))
-    steps = F.expr("transform(p, (x, i) -> x - if(i = 0, 0D, p[i - 1]))")
-    a = a.withColumn("s", steps).withColumn("m", F.expr("aggregate(s, 0D, (a, x) -> a + x) / 10"))
-    sd = F.sqrt(F.expr("aggregate(s, 0D, (a, x) -> a + (x - m) * (x - m)) / 10"))
-    return a.select("entity", "d", round6(sd).alias("step_deviation"), P.path_shape(F.col("p")).alias("path_shape"))
+    return P.path_facts(a, "p").select("entity", "d", round6("sd").alias("step_deviation"), R.label(R.PATH_SHAPE, "sideways").alias("path_shape"))
 
 
 @query(f"""WITH a AS (SELECT entity, d, close, lead(close, 20) OVER w AS e, lead(close, 5) OVER w AS wait, list(close) OVER (w ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS path FROM panel WINDOW w AS ({BY})),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.functions.expr import count_if, key_hash, ratio, round6, share
 from chronoframe.operators import quality as Q
+from chronoframe.operators import rules as R
 from chronoframe.operators.panel import canonical, returns
 from chronoframe.plans.bindings import Tables
 from chronoframe.queries.panel import SEGMENTS, _segments
@@ -114,11 +115,11 @@ def training_adequacy(t: Tables) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT series, avg(CAST(available > observed AS INT)) = 1 AS ordered, count(DISTINCT vintage) > count(DISTINCT observed) AS revisions, count(*) - count(DISTINCT (observed, vintage)) AS dup, count(*) FILTER (WHERE observed > DATE '2002-01-01') AS imp, avg(CAST(available - observed > 5 AS INT)) AS stale FROM observations GROUP BY 1)
-SELECT series, round(greatest(0, least(100, 100 - (CASE WHEN ordered THEN 0 ELSE 20 END + CASE WHEN revisions THEN 0 ELSE 10 END + least(dup * 2, 15) + least(imp * 5, 20) + stale * 10))), 6) AS score FROM s""")
+SELECT series, greatest(0.0::DOUBLE, round(100.0::DOUBLE - (CASE WHEN ordered THEN 0 ELSE 30 END + CASE WHEN revisions THEN 0 ELSE 10 END + least(15, dup * 3) + least(15, imp * 5) + least(10.0, stale * 20)), 1)) AS score FROM s""")
 def pit_integrity(t: Tables) -> DataFrame:
     s = t.observations().groupBy("series").agg((share(F.col("available") > F.col("observed")) == 1).alias("ordered"), (F.count_distinct("vintage") > F.count_distinct("observed")).alias("revisions"),
                                                (F.count("*") - F.count_distinct("observed", "vintage")).alias("dup"), count_if(F.col("observed") > F.lit("2002-01-01").cast("date")).alias("imp"), share(F.datediff("available", "observed") > 5).alias("stale"))
-    return s.select("series", round6(Q.integrity_score(F.lit(True), F.col("ordered"), F.col("revisions"), F.col("dup"), F.col("imp"), F.col("stale"))).alias("score"))
+    return s.select("series", R.integrity(F.lit(True), F.col("ordered"), F.col("revisions"), F.col("dup"), F.col("imp"), F.col("stale"), F.lit(True)).alias("score"))
 
 
 @query("""WITH l AS (SELECT entity, max(d) AS last_d FROM panel GROUP BY 1), o AS (SELECT max(available) AS c FROM observations), f AS (SELECT max(available) AS f FROM statements), n AS (SELECT max(d) AS now FROM market)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.functions.expr import clip, count_if, ratio, round6
+from chronoframe.functions.expr import count_if, ratio, round6
 from chronoframe.operators import analogs as A
 from chronoframe.operators import models as M
+from chronoframe.operators import rules as R
 from chronoframe.operators import windows as W
 from chronoframe.operators.panel import returns
 from chronoframe.plans.bindings import Tables
@@ -144,11 +145,10 @@ def medoid_path(t: Tables) -> DataFrame:
     return W.latest(m, ["entity"], [F.col("m"), F.col("d")]).select("entity", "d", F.round("m", 5).alias("mean_difference"))
 
 
-@query(f"""WITH {PATHS}, c AS (SELECT entity, d, v[20] AS e, list_min(v) AS lo, list_max(v) AS hi FROM np) SELECT CASE WHEN lo < -0.5 AND e > 0 THEN 'recovery' WHEN e > 0.5 THEN 'rally' WHEN e < -0.5 THEN 'decline' WHEN hi > 0.5 AND e < 0 THEN 'reversal' ELSE 'range' END AS scenario, count(*) AS n, round(avg(e), 6) AS mean_end FROM c GROUP BY 1""")
+@query(f"""WITH {PATHS}, c AS (SELECT v[20] AS terminal, list_min(v) AS low, list_max(v) AS high FROM np) SELECT {R.case(R.SCENARIO, 'volatile_mixed')} AS scenario, count(*) AS n, round(avg(terminal), 6) AS mean_end FROM c GROUP BY 1""")
 def scenario_classes(t: Tables) -> DataFrame:
-    c = paths(t).select(F.element_at("v", -1).alias("e"), F.array_min("v").alias("lo"), F.array_max("v").alias("hi"))
-    kind = F.when((F.col("lo") < -0.5) & (F.col("e") > 0), "recovery").when(F.col("e") > 0.5, "rally").when(F.col("e") < -0.5, "decline").when((F.col("hi") > 0.5) & (F.col("e") < 0), "reversal").otherwise("range")
-    return c.groupBy(kind.alias("scenario")).agg(F.count("*").alias("n"), round6(F.avg("e")).alias("mean_end"))
+    c = paths(t).select(F.element_at("v", -1).alias("terminal"), F.array_min("v").alias("low"), F.array_max("v").alias("high"))
+    return c.groupBy(R.label(R.SCENARIO, "volatile_mixed").alias("scenario")).agg(F.count("*").alias("n"), round6(F.avg("terminal")).alias("mean_end"))
 
 
 @query(f"""WITH {STATE}, c AS (SELECT pos AS cutoff, mom AS m0, vol AS v0 FROM state WHERE pos % 250 = 0), x AS (SELECT cutoff, s.pos, abs(s.mom - m0) + abs(s.vol - v0) AS dist FROM c JOIN state s ON s.pos < cutoff - 20), n AS (SELECT *, row_number() OVER (PARTITION BY cutoff ORDER BY round(dist, 9), pos) AS k FROM x),
@@ -182,36 +182,55 @@ def state_distances_mahalanobis(t: Tables) -> DataFrame:
 
 # Regimes
 
-@query(f"""WITH {STATE} SELECT d, CASE WHEN vol IS NULL OR mom IS NULL THEN 'unknown' WHEN vol > 0.35 THEN 'panic' WHEN mom > 0.3 AND dist > 0 THEN 'strong_up' WHEN mom > 0 AND dist > 0 THEN 'up' WHEN mom < -0.3 AND dist < 0 THEN 'strong_down' WHEN mom < 0 AND dist < 0 THEN 'down' ELSE 'sideways' END AS regime,
-  array_to_string(list_filter([CASE WHEN vol > 0.35 THEN 'volatility' END, CASE WHEN mom > 0 THEN 'momentum' END, CASE WHEN dist > 0 THEN 'above_mean' END], lambda x: x IS NOT NULL), ',') AS reasons FROM state""")
+MARKET = """mk AS (SELECT d, row_number() OVER w AS pos, close / max(close) OVER w - 1 AS drawdown, CASE WHEN count(r) OVER (w ROWS 19 PRECEDING) >= 20 THEN stddev_samp(r) OVER (w ROWS 19 PRECEDING) END AS vol, close / nullif(lag(close, 20) OVER w, 0) - 1 AS r20, close / nullif(lag(close, 60) OVER w, 0) - 1 AS r60,
+  CASE WHEN count(close) OVER (w ROWS 49 PRECEDING) >= 50 THEN close / avg(close) OVER (w ROWS 49 PRECEDING) - 1 END AS p50, CASE WHEN count(close) OVER (w ROWS 199 PRECEDING) >= 200 THEN avg(close) OVER (w ROWS 199 PRECEDING) END AS sma, close FROM mret WINDOW w AS (ORDER BY d)),
+mf AS (SELECT d, pos, drawdown, vol, r20, r60, p50, close / sma - 1 AS p200, sma / nullif(lag(sma, 20) OVER (ORDER BY d), 0) - 1 AS slope FROM mk)"""
+
+
+def market_facts(t: Tables) -> DataFrame:
+    """(d, pos, drawdown, vol, r20, r60, p50, p200, slope) of the market, a row a day."""
+    w = W.by_time("entity", "d")
+    m = returns(t.market().withColumn("entity", F.lit(0)))
+    mean = lambda n: W.rolling(F.avg("close"), F.col("close"), W.frame(w, n), n)
+    back = lambda n: ratio("close", F.lag("close", n).over(w)) - 1
+    m = m.select("entity", "d", "close", F.row_number().over(w).cast("long").alias("pos"), (F.col("close") / F.max("close").over(W.so_far(w)) - 1).alias("drawdown"), W.rolling(F.stddev_samp("r"), F.col("r"), W.frame(w, 20), 20).alias("vol"),
+                 back(20).alias("r20"), back(60).alias("r60"), (F.col("close") / mean(50) - 1).alias("p50"), mean(200).alias("sma"))
+    return m.select("d", "pos", "drawdown", "vol", "r20", "r60", "p50", (F.col("close") / F.col("sma") - 1).alias("p200"), (ratio("sma", F.lag("sma", 20).over(w)) - 1).alias("slope"))
+
+
+@query(f"""WITH {MARKET} SELECT d, {R.case(R.REGIME, R.REGIME_ELSE)} AS regime FROM mf""")
 def regime_rules(t: Tables) -> DataFrame:
-    m, v, x = F.col("mom"), F.col("vol"), F.col("dist")
-    regime = F.when(v.isNull() | m.isNull(), "unknown").when(v > 0.35, "panic").when((m > 0.3) & (x > 0), "strong_up").when((m > 0) & (x > 0), "up").when((m < -0.3) & (x < 0), "strong_down").when((m < 0) & (x < 0), "down").otherwise("sideways")
-    return state(t).select("d", regime.alias("regime"), F.concat_ws(",", F.when(v > 0.35, "volatility"), F.when(m > 0, "momentum"), F.when(x > 0, "above_mean")).alias("reasons"))
+    return market_facts(t).select("d", R.label(R.REGIME, R.REGIME_ELSE).alias("regime"))
 
 
-@query(f"""WITH {STATE}, q AS (SELECT *, quantile_cont(vol, 0.33) OVER h AS v33, quantile_cont(vol, 0.67) OVER h AS v67, quantile_cont(mom, 0.33) OVER h AS m33, quantile_cont(mom, 0.67) OVER h AS m67, count(*) OVER h AS n FROM state WINDOW h AS (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT d, CASE WHEN n < 60 THEN 'forming' WHEN mom > m67 THEN 'up' WHEN mom < m33 THEN 'down' ELSE 'flat' END AS trend, CASE WHEN n < 60 THEN 'forming' WHEN vol > v67 THEN 'high' WHEN vol < v33 THEN 'low' ELSE 'normal' END AS volatility FROM q""")
+@query(f"""WITH {MARKET}, q AS (SELECT d, r60 AS ret60, drawdown, vol, quantile_cont(vol, 0.33) OVER h AS v33, quantile_cont(vol, 0.67) OVER h AS v67, count(vol) OVER h AS n FROM mf WINDOW h AS (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT d, {R.case(R.MARKET_TREND, 'strong_bull')} AS market_trend, CASE WHEN n < 60 OR vol IS NULL THEN 'insufficient' WHEN vol > v67 THEN 'high' WHEN vol < v33 THEN 'low' ELSE 'normal' END AS volatility FROM q""")
 def regime_dimensions(t: Tables) -> DataFrame:
     w = W.before(Window.partitionBy("k").orderBy("pos"))
-    q = state(t).withColumn("k", F.lit(1))
-    for c in ("vol", "mom"):
-        q = q.withColumn(f"{c}33", F.percentile(c, F.lit(0.33)).over(w)).withColumn(f"{c}67", F.percentile(c, F.lit(0.67)).over(w))
-    q = q.withColumn("n", F.count(F.lit(1)).over(w))
-    name = lambda c, hi, lo, mid: F.when(F.col("n") < 60, "forming").when(F.col(c) > F.col(f"{c}67"), hi).when(F.col(c) < F.col(f"{c}33"), lo).otherwise(mid)
-    return q.select("d", name("mom", "up", "down", "flat").alias("trend"), name("vol", "high", "low", "normal").alias("volatility"))
+    q = market_facts(t).withColumnRenamed("r60", "ret60").withColumn("k", F.lit(1))
+    q = q.withColumn("v33", F.percentile("vol", F.lit(0.33)).over(w)).withColumn("v67", F.percentile("vol", F.lit(0.67)).over(w)).withColumn("n", F.count("vol").over(w))
+    volatility = F.when((F.col("n") < 60) | F.col("vol").isNull(), "insufficient").when(F.col("vol") > F.col("v67"), "high").when(F.col("vol") < F.col("v33"), "low").otherwise("normal")
+    return q.select("d", R.label(R.MARKET_TREND, "strong_bull").alias("market_trend"), volatility.alias("volatility"))
+
+
+def _bound(x: str, scale: float) -> str:
+    return f"CASE WHEN {x} IS NULL THEN 0.0 ELSE greatest(-1.0, least(1.0, {x} / {scale})) END"
 
 
-@query(f"""WITH {STATE}, x AS (SELECT *, greatest(least(mom / 0.5, 1), -1) AS a, -greatest(least((vol - 0.3) / 0.2, 1), -1) AS b, greatest(least(dist / 0.3, 1), -1) AS c FROM state), s AS (SELECT *, 0.5 * a + 0.3 * b + 0.2 * c AS total FROM x)
-SELECT d, round(total, 6) AS total, CASE WHEN total >= 0.4 THEN 'favourable' WHEN total <= -0.4 THEN 'unfavourable' ELSE 'mixed' END AS status FROM s""")
+@query(f"""WITH {MARKET}, g AS (SELECT *, {R.case(R.REGIME, R.REGIME_ELSE)} AS regime FROM mf), x AS (SELECT d, pos AS n, 0.20 * (({_bound('p50', 0.1)}) + ({_bound('p200', 0.2)})) / 2 + 0.15 * (({_bound('r20', 0.1)}) + ({_bound('r60', 0.2)})) / 2 - 0.15 * (({_bound('vol', 0.5)}) + ({_bound('drawdown', -0.3)})) / 2
+  + 0.10 * CASE regime {' '.join(f"WHEN '{k}' THEN {v}" for k, v in R.REGIME_SCORE.items())} ELSE 0 END AS total FROM g) SELECT d, round(total, 6) AS total, {R.case(R.STATUS, R.STATUS_ELSE)} AS status FROM x""")
 def score_blocks(t: Tables) -> DataFrame:
-    total = 0.5 * clip(F.col("mom") / 0.5, -1, 1) - 0.3 * clip((F.col("vol") - 0.3) / 0.2, -1, 1) + 0.2 * clip(F.col("dist") / 0.3, -1, 1)
-    s = state(t).withColumn("total", total)
-    return s.select("d", round6("total").alias("total"), F.when(F.col("total") >= 0.4, "favourable").when(F.col("total") <= -0.4, "unfavourable").otherwise("mixed").alias("status"))
+    """Weighted blocks of the market; blocks without data (strength, liquidity, analogues) count 0."""
+    g = market_facts(t).withColumn("regime", R.label(R.REGIME, R.REGIME_ELSE))
+    b, c, w = R.bounded, F.col, R.BLOCK_WEIGHT
+    regime = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in R.REGIME_SCORE.items() for x in kv]), c("regime")), F.lit(0.0))
+    total = w["trend"] * (b(c("p50"), 0.1) + b(c("p200"), 0.2)) / 2 + w["momentum"] * (b(c("r20"), 0.1) + b(c("r60"), 0.2)) / 2 - w["risk"] * (b(c("vol"), 0.5) + b(c("drawdown"), -0.3)) / 2 + w["market_regime"] * regime
+    x = g.select("d", c("pos").alias("n"), total.alias("total"))
+    return x.select("d", round6("total").alias("total"), R.label(R.STATUS, R.STATUS_ELSE).alias("status"))
 
 
 @query(f"""WITH {STATE}, n AS (SELECT max(pos) - 500 AS cut FROM state), c AS (SELECT avg(mom) AS m, avg(vol) AS v FROM state, n WHERE pos <= cut), x AS (SELECT d, pos, pos <= cut AS train, round(sqrt((mom - m) ** 2 + (vol - v) ** 2), 9) AS x FROM state, c, n), r AS (SELECT list_sort(list(x)) AS ref, count(*) AS k FROM x WHERE train)
-SELECT d, round(p, 6) AS percentile, CASE WHEN p >= 0.99 THEN 'novel' WHEN p >= 0.95 THEN 'unusual' WHEN p >= 0.8 THEN 'stretched' ELSE 'typical' END AS label FROM (SELECT d, len(list_filter(ref, lambda y: y <= x.x)) / CAST(k AS DOUBLE) AS p FROM x, r)""")
+SELECT d, round(p, 6) AS percentile, {R.case(R.NOVELTY, 'historically_novel')} AS label FROM (SELECT d, len(list_filter(ref, lambda y: y <= x.x)) / CAST(k AS DOUBLE) AS p FROM x, r)""")
 def novelty_percentile(t: Tables) -> DataFrame:
     """Share of training distances at or below a day's: a running count over the merged order."""
     s = state(t)
@@ -221,7 +240,7 @@ def novelty_percentile(t: Tables) -> DataFrame:
     w = Window.partitionBy("k")
     p = F.sum(F.col("train").cast("int")).over(w.orderBy("x").rangeBetween(Window.unboundedPreceding, 0)) / F.sum(F.col("train").cast("int")).over(w)
     x = x.withColumn("p", p)
-    return x.select("d", round6("p").alias("percentile"), F.when(F.col("p") >= 0.99, "novel").when(F.col("p") >= 0.95, "unusual").when(F.col("p") >= 0.8, "stretched").otherwise("typical").alias("label"))
+    return x.select("d", round6("p").alias("percentile"), R.label(R.NOVELTY, "historically_novel").alias("label"))
 
 
 @query(None)

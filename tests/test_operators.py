@@ -255,3 +255,28 @@ def test_quantile_code_equals_ntile(spark):
     df = spark.createDataFrame([(k % 4 * 1.0, k) for k in range(23)], "x double, t int")
     w = Window.orderBy("x", "t")
     assert S.quantile_code(df, "x", ["t"], 5, "c").withColumn("n", F.ntile(5).over(w)).where("c <> n").count() == 0
+
+
+@pytest.mark.parametrize("path,shape", [([0.05, -0.06, 0.05], "high_volatility"), ([-0.02, -0.05, -0.03, 0.0, 0.02], "dip_then_recover"), ([0.03, 0.05, 0.02, 0.0], "rise_then_fall"), ([0.01, 0.02, 0.03], "steady_up"), ([-0.01, -0.02, -0.03], "steady_down"), ([0.01, -0.01, 0.0], "sideways")])
+def test_path_shape_rules(spark, path, shape):
+    from chronoframe.operators import rules as R
+
+    df = P.path_facts(spark.createDataFrame([(path,)], "p array<double>"), "p")
+    assert df.select(R.label(R.PATH_SHAPE, "sideways").alias("x")).first().x == shape
+
+
+def test_fixed_rules(spark):
+    from chronoframe.operators import rules as R
+
+    one = spark.range(1)
+    lit = F.lit
+    get = lambda c: one.select(c.alias("x")).first().x
+    assert get(R.integrity(lit(False), lit(False), lit(True), lit(2), lit(1), lit(0.1), lit(True))) == 100 - 25 - 30 - 6 - 5 - 2
+    assert get(R.confounding(lit(2), lit(-0.04), lit(False))) == "heavily_confounded" and get(R.confounding(lit(1), lit(0.0), lit(False))) == "clean_event"
+    score, status = R.source_priority(*[lit(k) for k in (3, 3, 3, 3, 3, 2, 0, 0)])
+    assert (get(score), get(status)) == (35, "paid_optional")
+    assert get(R.bounded(lit(None).cast("double"), 0.1)) == 0.0 and get(R.bounded(lit(-0.15), -0.3)) == 0.5
+    clock = spark.createDataFrame([("09:59",), ("10:05",), ("18:45",), ("19:00",)], "clock string")
+    assert [r.x for r in clock.select(R.label(R.SESSION_5, "evening").alias("x")).collect()] == ["morning", "opening_auction", "closing_auction", "evening"]
+    text = spark.createDataFrame([("Key rate and dividend",), ("Profit growth, risk",), ("x",)], "t string")
+    assert [(r.c, r.k) for r in text.select(E.event_class("t").alias("c"), E.tone("t").alias("k")).collect()] == [("rates", "uncertain"), ("earnings", "mixed"), ("other", "uncertain")]

@@ -81,10 +81,6 @@ def suite(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [p.select(*ISSUE) for p in parts])
 
 
-def tier(score: Column) -> Column:
-    return F.when(score >= 0.85, "A").when(score >= 0.65, "B").when(score >= 0.45, "C").otherwise("excluded")
-
-
 def require_no_future(df: DataFrame, source: str, decision: str) -> DataFrame:
     """df, failing at run time on the first row whose source date is after its decision date."""
     message = F.concat(F.lit("future data: "), F.col(source).cast("string"), F.lit(" > "), F.col(decision).cast("string"))

@@ -140,3 +140,20 @@ def bounded(c: Column, scale: float) -> Column:
     """c / scale within -1..1; 0 for null."""
     x = c / F.lit(scale)
     return F.coalesce(F.when(c.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))), F.lit(0.0))
+
+
+#: Columns years, observations, missing, volume_coverage, trade_coverage, flags.
+SECURITY_TIER: Rules = (
+    ("years >= 10 AND observations >= 1500 AND missing <= 0.02 AND volume_coverage >= 0.95 AND trade_coverage >= 0.8 AND flags = 0", "A"),
+    ("years >= 5 AND observations >= 750 AND missing <= 0.05 AND volume_coverage >= 0.8", "B"),
+    ("observations >= 250 AND missing <= 0.15", "C"),
+)
+#: Columns n, ic, recent, signs (distinct fold signs over 0.01), stability (share of folds with ic's sign).
+IC_CLASS: Rules = (
+    ("n < 80 OR ic IS NULL", "insufficient_sample"),
+    ("signs > 1 AND stability < 0.65", "sign_flip"),
+    ("recent IS NOT NULL AND abs(recent) < abs(ic) * 0.4 AND abs(ic) >= 0.03", "decaying"),
+    ("abs(ic) < 0.015", "noise"),
+    ("stability >= 0.7 AND ic > 0", "stable_positive"),
+    ("stability >= 0.7", "stable_negative"),
+)

@@ -97,12 +97,13 @@ def event_validation(t: Tables) -> DataFrame:
     return x.select("event_id", F.explode(F.array_compact(rules)).alias("issue"))
 
 
-@query("""WITH q AS (SELECT entity, avg(CAST(value > 20000 AS INT)) AS liquid, avg(CAST(trades > 1 AS INT)) AS active, (max(d) - min(d)) / 365.25 AS years FROM panel GROUP BY 1), s AS (SELECT *, 0.4 * liquid + 0.3 * least(active * 5, 1) + 0.3 * least(years / 7, 1) AS score FROM q)
-SELECT entity, round(liquid, 6) AS liquid, round(active, 6) AS active, round(years, 6) AS years, round(score, 6) AS score, CASE WHEN score >= 0.85 THEN 'A' WHEN score >= 0.65 THEN 'B' WHEN score >= 0.45 THEN 'C' ELSE 'excluded' END AS tier FROM s""")
+@query(f"""WITH q AS (SELECT entity, (max(d) - min(d)) / 365.25 AS years, count(*) AS observations, avg(CAST(close IS NULL OR value < 3000 AS INT)) AS missing, avg(CAST(volume > 1 AS INT)) AS volume_coverage, avg(CAST(trades >= 1 AS INT)) AS trade_coverage, count(*) FILTER (WHERE high > low * 100) AS flags FROM panel GROUP BY 1)
+SELECT entity, round(years, 6) AS years, observations, round((1 - missing + volume_coverage + trade_coverage) / 3, 6) AS score, {R.case(R.SECURITY_TIER, 'excluded')} AS tier FROM q""")
 def security_tiers(t: Tables) -> DataFrame:
-    q = t.panel().groupBy("entity").agg(share(F.col("value") > 20000).alias("liquid"), share(F.col("trades") > 1).alias("active"), (F.datediff(F.max("d"), F.min("d")) / 365.25).alias("years"))
-    q = q.withColumn("score", 0.4 * F.col("liquid") + 0.3 * F.least(F.col("active") * 5, F.lit(1.0)) + 0.3 * F.least(F.col("years") / 7, F.lit(1.0)))
-    return q.select("entity", *[round6(c).alias(c) for c in ("liquid", "active", "years", "score")], Q.tier(F.col("score")).alias("tier"))
+    q = t.panel().groupBy("entity").agg((F.datediff(F.max("d"), F.min("d")) / 365.25).alias("years"), F.count("*").alias("observations"), share(F.col("close").isNull() | (F.col("value") < 3000)).alias("missing"),
+                                        share(F.col("volume") > 1).alias("volume_coverage"), share(F.col("trades") >= 1).alias("trade_coverage"), count_if(F.col("high") > F.col("low") * 100).alias("flags"))
+    score = (1 - F.col("missing") + F.col("volume_coverage") + F.col("trade_coverage")) / 3
+    return q.select("entity", round6("years").alias("years"), "observations", round6(score).alias("score"), R.label(R.SECURITY_TIER, "excluded").alias("tier"))
 
 
 @query("""WITH h AS (SELECT unnest([1, 5, 20, 60, 250]) AS h), n AS (SELECT entity, count(*) AS n FROM panel GROUP BY 1), m AS (SELECT median(n) AS m FROM n)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronoframe.functions.expr import corr, count_if, ratio, round6, share
 from chronoframe.operators import models as M
 from chronoframe.operators import portfolio as Po
+from chronoframe.operators import rules as R
 from chronoframe.operators import stats as S
 from chronoframe.operators import windows as W
 from chronoframe.operators.panel import returns
@@ -124,14 +125,19 @@ def factor_screen(t: Tables) -> DataFrame:
     return x.join(c, ["entity", "fold"]).groupBy("entity", "fold").agg(F.count("*").alias("n"), round6(F.avg(F.abs(F.col("y") - (F.col("a") + F.col("b") * F.col("p"))))).alias("mae_model"), round6(F.avg(F.abs("y"))).alias("mae_zero"))
 
 
-@query(f"""WITH {PRED}, u AS (SELECT entity, d, year(d) AS period, y, 'mean' AS feature, p AS x FROM pred UNION ALL SELECT entity, d, year(d), y, 'spread', s FROM pred), c AS (SELECT feature, period, count(*) AS n, corr(x, y) AS ic FROM u WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2), a AS (SELECT feature, avg(ic) AS m FROM c GROUP BY 1)
-SELECT c.feature, c.period, n, round(ic, 5) AS ic, sign(ic) = sign(m) AS same_sign, CASE WHEN abs(ic) >= 0.05 THEN 'strong' WHEN abs(ic) >= 0.01 THEN 'weak' ELSE 'none' END AS class FROM c JOIN a ON c.feature = a.feature""")
+@query(f"""WITH {PRED}, u AS (SELECT entity, d, year(d) AS period, y, 'mean' AS feature, p AS x FROM pred UNION ALL SELECT entity, d, year(d), y, 'spread', s FROM pred), k AS (SELECT * FROM u WHERE x IS NOT NULL AND y IS NOT NULL),
+c AS (SELECT feature, period, corr(x, y) AS f FROM k GROUP BY 1, 2), l AS (SELECT feature, count(*) AS n, corr(x, y) AS ic, corr(x, y) FILTER (WHERE d >= DATE '2000-01-01') AS recent FROM k GROUP BY 1),
+g AS (SELECT l.feature, any_value(n) AS n, any_value(ic) AS ic, any_value(recent) AS recent, count(DISTINCT sign(f)) FILTER (WHERE abs(f) >= 0.01) AS signs, avg(CAST(sign(f) = sign(ic) AS INT)) AS stability FROM l JOIN c ON l.feature = c.feature GROUP BY 1)
+SELECT feature, n, round(ic, 5) AS ic, round(recent, 5) AS recent_ic, round(stability, 6) AS stability, {R.case(R.IC_CLASS, 'regime_dependent')} AS class FROM g""")
 def feature_learning(t: Tables) -> DataFrame:
-    p = predictions(t).withColumn("period", F.year("d").cast("long"))
-    u = p.unpivot(["entity", "d", "period", "y"], ["p", "s"], "feature", "x").where("x IS NOT NULL AND y IS NOT NULL").withColumn("feature", F.when(F.col("feature") == "p", "mean").otherwise("spread"))
-    c = u.groupBy("feature", "period").agg(F.count("*").alias("n"), corr("x", "y").alias("ic"))
-    m = F.avg("ic").over(Window.partitionBy("feature"))
-    return c.select("feature", "period", "n", F.round("ic", 5).alias("ic"), (F.signum("ic") == F.signum(m)).alias("same_sign"), F.when(F.abs("ic") >= 0.05, "strong").when(F.abs("ic") >= 0.01, "weak").otherwise("none").alias("class"))
+    """Long-run, recent and yearly correlations of each feature with what follows, and their class."""
+    p = predictions(t)
+    u = p.unpivot(["entity", "d", "y"], ["p", "s"], "feature", "x").where("x IS NOT NULL AND y IS NOT NULL").withColumn("feature", F.when(F.col("feature") == "p", "mean").otherwise("spread"))
+    late = F.col("d") >= F.lit("2000-01-01").cast("date")
+    folds = u.groupBy("feature", F.year("d").alias("period")).agg(corr("x", "y").alias("f"))
+    long = u.groupBy("feature").agg(F.count("*").alias("n"), corr("x", "y").alias("ic"), corr(F.when(late, F.col("x")), F.when(late, F.col("y"))).alias("recent"))
+    g = long.join(folds, "feature").groupBy("feature", "n", "ic", "recent").agg(F.count_distinct(F.when(F.abs("f") >= 0.01, F.signum("f"))).alias("signs"), share(F.signum("f") == F.signum("ic")).alias("stability"))
+    return g.select("feature", "n", F.round("ic", 5).alias("ic"), F.round("recent", 5).alias("recent_ic"), round6("stability").alias("stability"), R.label(R.IC_CLASS, "regime_dependent").alias("class"))
 
 
 @query(f"""WITH {PRED}, e AS (SELECT entity, d, y, p, lag(y, 5) OVER w AS ky, lag(p, 5) OVER w AS kp FROM pred WINDOW w AS (PARTITION BY entity ORDER BY d)), w AS (SELECT *, 1 / (avg(abs(ky - kp)) OVER z + 0.01) AS wm, 1 / (avg(abs(ky)) OVER z + 0.01) AS wz FROM e WINDOW z AS (PARTITION BY entity ORDER BY d ROWS 59 PRECEDING))

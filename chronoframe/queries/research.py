@@ -213,35 +213,73 @@ def portfolio_risk(t: Tables) -> DataFrame:
 COV = """x AS (SELECT entity, d, r FROM ret WHERE entity <= 8 AND r IS NOT NULL), mo AS (SELECT entity, CAST(date_trunc('month', d) AS DATE) AS m, avg(r) AS r FROM x GROUP BY 1, 2), cov AS (SELECT a.entity AS i, b.entity AS j, covar_samp(a.r, b.r) AS c, count(*) AS n FROM mo a JOIN mo b ON a.m = b.m GROUP BY 1, 2)"""
 
 
+#: The same over every entity; COV and the queries on it are its first eight.
+COV_ALL = COV.replace("entity <= 8 AND ", "")
+
+
+def monthly(panel: DataFrame) -> DataFrame:
+    return returns(panel).where("r IS NOT NULL").groupBy("entity", F.to_date(F.date_trunc("month", "d")).alias("d")).agg(F.avg("r").alias("r"))
+
+
 def covariance(t: Tables) -> DataFrame:
-    mo = returns(t.panel().where("entity <= 8")).where("r IS NOT NULL").groupBy("entity", F.to_date(F.date_trunc("month", "d")).alias("d")).agg(F.avg("r").alias("r"))
-    return Po.covariance(mo)
+    return Po.covariance(monthly(t.panel().where("entity <= 8")))
+
+
+def covariance_all(t: Tables) -> DataFrame:
+    return Po.covariance(monthly(t.panel()))
+
 
+MATRIX = "SELECT i, j, round(c, 8) AS covariance, n FROM cov"
 
-@query(f"WITH {COV} SELECT i, j, round(c, 8) AS covariance, n FROM cov")
+
+@query(f"WITH {COV} {MATRIX}")
 def covariance_matrix(t: Tables) -> DataFrame:
     return covariance(t).select("i", "j", F.round("c", 8).alias("covariance"), "n")
 
 
-@query(f"""WITH {COV}, k AS (SELECT count(DISTINCT i) AS k FROM cov), m AS (SELECT i, sum(c) / any_value(k) AS mc FROM cov, k GROUP BY 1), v AS (SELECT sum(mc) / any_value(k) AS v FROM m, k) SELECT i AS entity, round(1.0 / k, 6) AS weight, round(mc / k / sqrt(v), 6) AS contribution, round(mc / k / v, 6) AS share FROM m, v, k""")
-def risk_contributions(t: Tables) -> DataFrame:
-    c = covariance(t)
+@query(f"WITH {COV_ALL} {MATRIX}")
+def covariance_matrix_all(t: Tables) -> DataFrame:
+    return covariance_all(t).select("i", "j", F.round("c", 8).alias("covariance"), "n")
+
+
+EULER = "k AS (SELECT count(DISTINCT i) AS k FROM cov), m AS (SELECT i, sum(c) / any_value(k) AS mc FROM cov, k GROUP BY 1), v AS (SELECT sum(mc) / any_value(k) AS v FROM m, k) SELECT i AS entity, round(1.0 / k, 6) AS weight, round(mc / k / sqrt(v), 6) AS contribution, round(mc / k / v, 6) AS share FROM m, v, k"
+
+
+def equal_contributions(c: DataFrame) -> DataFrame:
     equal = c.select(F.col("i").alias("entity")).distinct()
     equal = equal.join(F.broadcast(equal.agg(F.count("*").alias("k")))).select("entity", (1.0 / F.col("k")).alias("weight"))
     out = Po.contributions(c, equal)
     return out.select("entity", round6("weight").alias("weight"), round6("contribution").alias("contribution"), round6("share").alias("share"))
 
 
-@query(f"WITH {COV} SELECT i AS entity, round((1 / sqrt(c)) / sum(1 / sqrt(c)) OVER (), 6) AS weight FROM cov WHERE i = j")
+@query(f"WITH {COV}, {EULER}")
+def risk_contributions(t: Tables) -> DataFrame:
+    return equal_contributions(covariance(t))
+
+
+@query(f"WITH {COV_ALL}, {EULER}")
+def risk_contributions_all(t: Tables) -> DataFrame:
+    return equal_contributions(covariance_all(t))
+
+
+INVERSE = "SELECT i AS entity, round((1 / sqrt(c)) / sum(1 / sqrt(c)) OVER (), 6) AS weight FROM cov WHERE i = j"
+
+
+@query(f"WITH {COV} {INVERSE}")
 def inverse_volatility_weights(t: Tables) -> DataFrame:
     return Po.inverse_volatility(covariance(t)).select("entity", round6("weight").alias("weight"))
 
 
+@query(f"WITH {COV_ALL} {INVERSE}")
+def inverse_volatility_weights_all(t: Tables) -> DataFrame:
+    return Po.inverse_volatility(covariance_all(t)).select("entity", round6("weight").alias("weight"))
+
+
 @query(None)
 def optimised_weights(t: Tables) -> DataFrame:
-    """Minimum variance, maximum diversification, risk parity and hierarchical risk parity; the matrix
-    has a row a candidate and is solved on the driver."""
-    return Po.optimised(covariance(t)).select("method", "entity", round6("weight").alias("weight"))
+    """Minimum variance, maximum diversification, risk parity and hierarchical risk parity over every
+    entity; the matrix has a row a candidate and is solved on the driver, more than 500 raise."""
+    return Po.optimised(covariance_all(t)).select("method", "entity", round6("weight").alias("weight"))
 
 
 @query("""WITH m AS (SELECT entity, CAST(date_trunc('month', d) AS DATE) AS m, product(1 + greatest(least(r, 0.2), -0.2)) - 1 AS mr FROM ret WHERE r IS NOT NULL GROUP BY 1, 2) SELECT entity, count(*) AS months, round(avg(mr), 6) AS mean, round(min(mr), 6) AS worst, round(avg(CAST(mr > 0 AS INT)), 6) AS positive FROM m GROUP BY 1""")
@@ -285,12 +323,20 @@ def non_overlapping_backtest(t: Tables) -> DataFrame:
     return m.groupBy("block").agg(F.count("*").alias("n"), round6(F.avg(ratio("b", "a") - 1)).alias("equal_weight"))
 
 
-@query(f"""WITH {COV}, k AS (SELECT count(DISTINCT i) AS k FROM cov), v AS (SELECT sum(c) / any_value(k * k) AS v FROM cov, k), m AS (SELECT i, sum(c) / any_value(k) AS mc, max(c) FILTER (WHERE i = j) AS own FROM cov, k GROUP BY 1)
-SELECT i AS entity, round(sqrt(0.9 * 0.9 * v + 2 * 0.9 * 0.1 * mc + 0.01 * own) - sqrt(v), 8) AS impact FROM m, v""")
+IMPACT = """k AS (SELECT count(DISTINCT i) AS k FROM cov), v AS (SELECT sum(c) / any_value(k * k) AS v FROM cov, k), m AS (SELECT i, sum(c) / any_value(k) AS mc, max(c) FILTER (WHERE i = j) AS own FROM cov, k GROUP BY 1)
+SELECT i AS entity, round(sqrt(0.9 * 0.9 * v + 2 * 0.9 * 0.1 * mc + 0.01 * own) - sqrt(v), 8) AS impact FROM m, v"""
+
+
+@query(f"WITH {COV}, {IMPACT}")
 def marginal_impact(t: Tables) -> DataFrame:
     return Po.marginal(covariance(t), 0.1).select("entity", F.round("impact", 8).alias("impact"))
 
 
+@query(f"WITH {COV_ALL}, {IMPACT}")
+def marginal_impact_all(t: Tables) -> DataFrame:
+    return Po.marginal(covariance_all(t), 0.1).select("entity", F.round("impact", 8).alias("impact"))
+
+
 @query(f"""WITH {STATS}, m AS (SELECT entity, arg_max(close, d) / max(close) - 1 AS from_high FROM panel GROUP BY 1) SELECT s.entity, gain, risk, round(from_high, 6) AS from_high, round(percent_rank() OVER (ORDER BY gain) * 0.5 + percent_rank() OVER (ORDER BY risk DESC) * 0.5, 6) AS opportunity FROM s JOIN m ON s.entity = m.entity""")
 def opportunity_map(t: Tables) -> DataFrame:
     m = t.panel().groupBy("entity").agg((F.max_by("close", "d") / F.max("close") - 1).alias("from_high"))

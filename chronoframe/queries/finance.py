@@ -19,40 +19,94 @@ chain AS (SELECT d, contract, expiry, close, volume FROM live WHERE n = CASE WHE
 ROLLS = CHAIN + """, ch AS (SELECT *, lag(contract) OVER (ORDER BY d) AS old FROM chain), rolls AS (SELECT ch.d, ch.old, ch.contract AS new, ch.close AS new_close, o.close AS old_close, ch.close - o.close AS difference, ch.close / nullif(o.close, 0) AS ratio
   FROM ch LEFT JOIN contracts o ON o.d = ch.d AND o.contract = ch.old WHERE ch.old <> ch.contract)"""
 
+#: The same over every entity: far ids are far expiries.  CHAIN and ROLLS are of the first twenty.
+CHAIN_ALL, ROLLS_ALL = (text.replace(" WHERE entity <= 20", "") for text in (CHAIN, ROLLS))
+
 
 def contracts(t: Tables) -> DataFrame:
-    return t.panel().where("entity <= 20").select("d", F.col("entity").alias("contract"), F.date_add(F.lit("1995-03-31").cast("date"), (F.col("entity") * 91).cast("int")).alias("expiry"), "close", "volume")
+    return contracts_all(t).where("contract <= 20")
+
+
+def contracts_all(t: Tables) -> DataFrame:
+    return t.panel().select("d", F.col("entity").alias("contract"), F.date_add(F.lit("1995-03-31").cast("date"), (F.col("entity") * 91).cast("int")).alias("expiry"), "close", "volume")
 
 
 def chain(t: Tables) -> DataFrame:
     return Fi.continuous(contracts(t), 10)
 
 
-@query(f"WITH {CHAIN} SELECT d, contract, expiry, close FROM chain")
+def chain_all(t: Tables) -> DataFrame:
+    return Fi.continuous(contracts_all(t), 10)
+
+
+CONTINUOUS = "SELECT d, contract, expiry, close FROM chain"
+
+
+@query(f"WITH {CHAIN} {CONTINUOUS}")
 def continuous_contract(t: Tables) -> DataFrame:
     return chain(t).select("d", "contract", "expiry", "close")
 
 
-@query(f"WITH {ROLLS} SELECT d, old, new, round(difference, 6) AS difference, round(ratio, 6) AS ratio FROM rolls")
+@query(f"WITH {CHAIN_ALL} {CONTINUOUS}")
+def continuous_contract_all(t: Tables) -> DataFrame:
+    return chain_all(t).select("d", "contract", "expiry", "close")
+
+
+ROLL_ROWS = "SELECT d, old, new, round(difference, 6) AS difference, round(ratio, 6) AS ratio FROM rolls"
+
+
+def roll_rows(c: DataFrame, k: DataFrame) -> DataFrame:
+    return Fi.rolls(c, k).select("d", "old", "new", round6("difference").alias("difference"), round6("ratio").alias("ratio"))
+
+
+@query(f"WITH {ROLLS} {ROLL_ROWS}")
 def futures_rolls(t: Tables) -> DataFrame:
-    return Fi.rolls(chain(t), contracts(t)).select("d", "old", "new", round6("difference").alias("difference"), round6("ratio").alias("ratio"))
+    return roll_rows(chain(t), contracts(t))
 
 
-@query(f"""WITH {ROLLS} SELECT chain.d, chain.contract, round(chain.close + coalesce(sum(difference) OVER l, 0), 4) AS back_adjusted, round(chain.close * exp(coalesce(sum(ln(ratio)) OVER l, 0)), 4) AS ratio_adjusted
-FROM chain LEFT JOIN rolls ON chain.d = rolls.d WINDOW l AS (ORDER BY chain.d DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
-def futures_adjusted(t: Tables) -> DataFrame:
-    c = chain(t)
-    out = Fi.adjusted(c, Fi.rolls(c, contracts(t)))
+@query(f"WITH {ROLLS_ALL} {ROLL_ROWS}")
+def futures_rolls_all(t: Tables) -> DataFrame:
+    return roll_rows(chain_all(t), contracts_all(t))
+
+
+ADJUSTED = """SELECT chain.d, chain.contract, round(chain.close + coalesce(sum(difference) OVER l, 0), 4) AS back_adjusted, round(chain.close * exp(coalesce(sum(ln(ratio)) OVER l, 0)), 4) AS ratio_adjusted
+FROM chain LEFT JOIN rolls ON chain.d = rolls.d WINDOW l AS (ORDER BY chain.d DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+
+
+def adjusted_rows(c: DataFrame, k: DataFrame) -> DataFrame:
+    out = Fi.adjusted(c, Fi.rolls(c, k))
     return out.select("d", "contract", F.round("back_adjusted", 4).alias("back_adjusted"), F.round("ratio_adjusted", 4).alias("ratio_adjusted"))
 
 
-@query(f"""WITH {CHAIN} SELECT chain.d, round(chain.close / nullif(market.close, 0) - 1, 6) AS basis, CASE WHEN expiry > chain.d THEN round((chain.close / nullif(market.close, 0) - 1) * 365.0 / (expiry - chain.d), 6) END AS annualised FROM chain JOIN market ON chain.d = market.d""")
-def futures_basis(t: Tables) -> DataFrame:
-    rows = chain(t).join(t.market().select("d", F.col("close").alias("spot")), "d")
+@query(f"WITH {ROLLS} {ADJUSTED}")
+def futures_adjusted(t: Tables) -> DataFrame:
+    return adjusted_rows(chain(t), contracts(t))
+
+
+@query(f"WITH {ROLLS_ALL} {ADJUSTED}")
+def futures_adjusted_all(t: Tables) -> DataFrame:
+    return adjusted_rows(chain_all(t), contracts_all(t))
+
+
+BASIS = """SELECT chain.d, round(chain.close / nullif(market.close, 0) - 1, 6) AS basis, CASE WHEN expiry > chain.d THEN round((chain.close / nullif(market.close, 0) - 1) * 365.0 / (expiry - chain.d), 6) END AS annualised FROM chain JOIN market ON chain.d = market.d"""
+
+
+def basis_rows(c: DataFrame, market: DataFrame) -> DataFrame:
+    rows = c.join(market.select("d", F.col("close").alias("spot")), "d")
     basis, days = ratio("close", "spot") - 1, F.datediff("expiry", "d")
     return rows.select("d", round6(basis).alias("basis"), F.when(days > 0, round6(basis * 365.0 / F.nullif(days, F.lit(0)))).alias("annualised"))
 
 
+@query(f"WITH {CHAIN} {BASIS}")
+def futures_basis(t: Tables) -> DataFrame:
+    return basis_rows(chain(t), t.market())
+
+
+@query(f"WITH {CHAIN_ALL} {BASIS}")
+def futures_basis_all(t: Tables) -> DataFrame:
+    return basis_rows(chain_all(t), t.market())
+
+
 @query("""WITH m AS (SELECT y, q * 3 AS m FROM range(1995, 2003) a(y), range(1, 5) b(q)), f AS (SELECT y, m, make_date(y, m, 1) AS first FROM m)
 SELECT CAST(y AS INT) AS y, CAST(m AS INT) AS m, CAST(first + CAST((11 - isodow(first)) % 7 + 14 AS INT) AS DATE) AS expiry FROM f""")
 def quarterly_expiries(t: Tables) -> DataFrame:

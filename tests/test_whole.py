@@ -32,3 +32,19 @@ def test_more_candidates_than_the_bound_raise(spark):
         Po.optimised(cov, most=7)
     with pytest.raises(ValueError, match="more than 2"):
         Po.optimised(cov, most=2)
+
+
+@tables
+@pytest.mark.parametrize("name", ["continuous_contract_all", "futures_adjusted_all", "futures_basis_all"])
+def test_chain_has_every_day(spark, name):
+    days = {r.d for r in Tables(spark, FOLDER).panel().select("d", "entity").where("d <= date_add(date'1995-03-31', cast(entity * 91 as int))").distinct().collect()}
+    assert {r.d for r in QUERIES[name](spark, FOLDER).select("d").collect()} == days
+
+
+def test_chain_takes_contracts_past_the_twentieth(spark, tmp_path):
+    days = [(k, f"{1995 + k // 12:04d}-{k % 12 + 1:02d}-15", e) for k in range(80) for e in (1, 12, 20, 21, 30)]
+    rows = [(e, k, 1, d, 10.0 * e, 2.0) for k, d, e in days]
+    spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_linenumber int, l_shipdate string, l_extendedprice double, l_quantity double").withColumn("l_shipdate", F.to_date("l_shipdate")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {str(r.d): r.contract for r in QUERIES["continuous_contract_all"](spark, str(tmp_path)).collect()}
+    assert len(got) == 80 and got["1995-01-15"] == 1 and got["2000-04-15"] == 21 and got["2001-08-15"] == 30
+    assert {r.new for r in QUERIES["futures_rolls_all"](spark, str(tmp_path)).collect()} == {12, 20, 21, 30}

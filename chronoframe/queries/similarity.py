@@ -151,13 +151,15 @@ def scenario_classes(t: Tables) -> DataFrame:
     return c.groupBy(R.label(R.SCENARIO, "volatile_mixed").alias("scenario")).agg(F.count("*").alias("n"), round6(F.avg("terminal")).alias("mean_end"))
 
 
-@query(f"""WITH {STATE}, c AS (SELECT pos AS cutoff, mom AS m0, vol AS v0 FROM state WHERE pos % 250 = 0), x AS (SELECT cutoff, s.pos, abs(s.mom - m0) + abs(s.vol - v0) AS dist FROM c JOIN state s ON s.pos < cutoff - 20), n AS (SELECT *, row_number() OVER (PARTITION BY cutoff ORDER BY round(dist, 9), pos) AS k FROM x),
+REPLAY = f"""WITH {STATE}, c AS (SELECT pos AS cutoff, mom AS m0, vol AS v0 FROM state WHERE pos % 250 = 0), x AS (SELECT cutoff, s.pos, abs(s.mom - m0) + abs(s.vol - v0) AS dist FROM c JOIN state s ON s.pos < cutoff - 20), n AS (SELECT *, row_number() OVER (PARTITION BY cutoff ORDER BY round(dist, 9), pos) AS k FROM x),
 f AS (SELECT pos, lead(close, 20) OVER (ORDER BY d) / nullif(close, 0) - 1 AS y FROM (SELECT d, close, row_number() OVER (ORDER BY d) AS pos FROM market))
-SELECT n.cutoff, count(*) AS analogs, round(avg(f.y), 6) AS forecast, round(max(a.y), 6) AS actual FROM n JOIN f ON n.pos = f.pos LEFT JOIN f a ON a.pos = n.cutoff WHERE k <= 15 GROUP BY 1""")
-def walk_forward_replay(t: Tables) -> DataFrame:
-    """Forecasts from the nearest states known at each cutoff; a state counts once its outcome is known."""
+SELECT n.cutoff, count(*) AS analogs, round(avg(f.y), 6) AS forecast, round(max(a.y), 6) AS actual FROM n JOIN f ON n.pos = f.pos LEFT JOIN f a ON a.pos = n.cutoff WHERE k <= 15 GROUP BY 1"""
+
+
+def replay(t: Tables, stride: int) -> DataFrame:
+    """A cutoff at every stride-th state; a state counts once its outcome is known."""
     s = state(t)
-    c = s.where("pos % 250 = 0").select(F.col("pos").alias("cutoff"), F.col("mom").alias("m0"), F.col("vol").alias("v0"))
+    c = s.where(F.col("pos") % stride == 0).select(F.col("pos").alias("cutoff"), F.col("mom").alias("m0"), F.col("vol").alias("v0"))
     x = s.join(F.broadcast(c), F.col("pos") < F.col("cutoff") - 20).withColumn("x", F.round(F.abs(F.col("mom") - F.col("m0")) + F.abs(F.col("vol") - F.col("v0")), 9))
     n = W.top_k(x, ["cutoff"], [F.col("x"), F.col("pos")], 15, "k").select("cutoff", "pos")
     w = Window.orderBy("d")
@@ -166,6 +168,18 @@ def walk_forward_replay(t: Tables) -> DataFrame:
     return n.join(f, "pos").join(actual, "cutoff", "left").groupBy("cutoff").agg(F.count("*").alias("analogs"), round6(F.avg("y")).alias("forecast"), round6(F.max("actual")).alias("actual"))
 
 
+@query(REPLAY)
+def walk_forward_replay(t: Tables) -> DataFrame:
+    """Forecasts from the nearest states known at each cutoff; a state counts once its outcome is known."""
+    return replay(t, 250)
+
+
+@query(REPLAY.replace(" WHERE pos % 250 = 0", ""))
+def walk_forward_replay_all(t: Tables) -> DataFrame:
+    """The same with a cutoff at every state."""
+    return replay(t, 1)
+
+
 @query(None)
 def dtw_paths(t: Tables) -> DataFrame:
     """Dynamic time warping distance of each path to its entity's first path."""

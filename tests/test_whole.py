@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronoframe.catalog import QUERIES
 from chronoframe.operators import portfolio as Po
 from chronoframe.plans.bindings import Tables
+from chronoframe.queries.similarity import state
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -48,3 +49,10 @@ def test_chain_takes_contracts_past_the_twentieth(spark, tmp_path):
     got = {str(r.d): r.contract for r in QUERIES["continuous_contract_all"](spark, str(tmp_path)).collect()}
     assert len(got) == 80 and got["1995-01-15"] == 1 and got["2000-04-15"] == 21 and got["2001-08-15"] == 30
     assert {r.new for r in QUERIES["futures_rolls_all"](spark, str(tmp_path)).collect()} == {12, 20, 21, 30}
+
+
+@tables
+def test_replay_has_a_cutoff_at_every_state_with_a_known_past(spark):
+    got = {r.cutoff for r in QUERIES["walk_forward_replay_all"](spark, FOLDER).select("cutoff").collect()}
+    positions = {r.pos for r in state(Tables(spark, FOLDER)).select("pos").collect()}
+    assert got == {p for p in positions if p > min(positions) + 20}

@@ -253,6 +253,21 @@ def elastic_net(df: DataFrame, features: Sequence[str], target: str, train: Colu
     return model.transform(rows).drop("_raw", "_x")
 
 
+def nearest_pairs(df: DataFrame, key: str, features: Sequence[str], neighbours: int) -> DataFrame:
+    """(src, dst, weight), src < dst: each row and its nearest by squared distance, ties by key.  A pair
+    that is near from either side is kept once.  The weight is exp(-distance / scale), the scale the
+    median distance of a row to its last kept neighbour.  All pairs are compared: for bounded tables."""
+    from chronoframe.operators import windows as W
+
+    a = df.select(F.col(key).alias("src"), *[F.col(c).alias(f"_a{k}") for k, c in enumerate(features)])
+    b = df.select(F.col(key).alias("dst"), *[F.col(c).alias(f"_b{k}") for k, c in enumerate(features)])
+    gap = sum(((F.col(f"_a{k}") - F.col(f"_b{k}")) ** 2 for k in range(len(features))), F.lit(0.0))
+    near = W.top_k(a.join(b, F.col("src") != F.col("dst")).select("src", "dst", gap.alias("gap")), ["src"], [F.col("gap"), F.col("dst")], neighbours, "k")
+    scale = near.groupBy("src").agg(F.max("gap").alias("gap")).agg((F.percentile("gap", 0.5) + 1e-8).alias("scale"))
+    pairs = near.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("gap").alias("gap"))
+    return pairs.join(F.broadcast(scale)).select("src", "dst", F.greatest(F.exp(-F.col("gap") / F.col("scale")), F.lit(1e-12)).alias("weight"))
+
+
 def spectral_clusters(pairs: DataFrame, k: int, seed_iterations: int = 30) -> DataFrame:
     """(id, cluster) of similarity rows (src, dst, weight > 0) by power iteration."""
     from pyspark.ml.clustering import PowerIterationClustering

@@ -142,10 +142,8 @@ def train_only_selection(t: Tables) -> DataFrame:
 
 @query(None)
 def spectral_regimes(t: Tables) -> DataFrame:
-    """Clusters of months by the similarity of their mean state."""
+    """Clusters of months by the similarity of their mean state: each month and its twelve nearest by
+    state, however far apart in time."""
     m = state(t).groupBy(F.trunc("d", "month").alias("m")).agg(*[F.avg(c).alias(c) for c in FEATURES]).na.drop()
     m = m.withColumn("id", F.datediff("m", F.lit("1995-01-01").cast("date")).cast("long"))
-    a, b = m.alias("a"), m.alias("b")
-    gap = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in FEATURES), F.lit(0.0))
-    near = a.join(b, (F.col("a.id") < F.col("b.id")) & (F.col("b.id") - F.col("a.id") < 400))
-    return M.spectral_clusters(near.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), (F.exp(-gap * 10) + 1e-6).alias("weight")), 2)
+    return M.spectral_clusters(M.nearest_pairs(m, "id", FEATURES, 12), 2)

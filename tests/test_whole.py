@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoframe.catalog import QUERIES
+from chronoframe.operators import models as M
 from chronoframe.operators import portfolio as Po
 from chronoframe.plans.bindings import Tables
 from chronoframe.queries.similarity import state
@@ -56,3 +57,17 @@ def test_replay_has_a_cutoff_at_every_state_with_a_known_past(spark):
     got = {r.cutoff for r in QUERIES["walk_forward_replay_all"](spark, FOLDER).select("cutoff").collect()}
     positions = {r.pos for r in state(Tables(spark, FOLDER)).select("pos").collect()}
     assert got == {p for p in positions if p > min(positions) + 20}
+
+
+def test_nearest_pairs_are_by_state_at_any_distance_in_time(spark):
+    rows = [(0, 0.0), (31, 5.0), (59, 5.1), (2000, 0.01), (2031, 5.05)]
+    got = M.nearest_pairs(spark.createDataFrame(rows, "id long, x double"), "id", ["x"], 1).collect()
+    assert {(r.src, r.dst) for r in got} == {(0, 2000), (31, 2031), (59, 2031)}
+    assert all(0 < r.weight <= 1 for r in got)
+
+
+@tables
+def test_spectral_regimes_have_every_month(spark):
+    months = state(Tables(spark, FOLDER)).na.drop().select(F.trunc("d", "month")).distinct().count()
+    got = QUERIES["spectral_regimes"](spark, FOLDER).collect()
+    assert len(got) == len({r.id for r in got}) == months and len({r.cluster for r in got}) == 2

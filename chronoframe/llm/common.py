@@ -106,7 +106,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps (Kiveris et al., 2014): every step is a minimum by
     node and a join on it, so no neighbourhood is ever gathered in one place; every round is written
     to shared scratch space and its predecessor is removed.  Nodes without a link to another node
-    have no row.  Null ends and loops are ignored; repeated links count once.
+    have no row.  Null ends and loops are ignored; repeated links count once.  Links that still change
+    after `rounds` rounds raise: no unfinished components are returned.
     """
     spark = edges.sparkSession
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -131,6 +132,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if after_state == state:
             break
         state = after_state
+    else:
+        if state[0]:
+            remove(spark, uri)
+            raise RuntimeError(f"components still change after {rounds} rounds")
     return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

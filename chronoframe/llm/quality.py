@@ -220,13 +220,16 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, rate
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> tuple[np.ndarray, Network]:
     """Word vectors from all of docs, a network from a bounded sample of labelled rows.
 
-    At most sample_rows rows of labels(doc_id, quality) outside the held-out third (CRC-32 of doc_id
-    as text, modulo 3, is 1) are learnt from, those with the smallest hash of doc_id.  Null doc_ids
-    and null qualities are left out.
+    At most sample_rows documents with a label of labels(doc_id, quality) outside the held-out third
+    (CRC-32 of doc_id as text, modulo 3, is 1) are learnt from, those with the smallest hash of
+    doc_id; nothing else bounds them.  A doc_id counts once: of several labels its largest, of several
+    texts its smallest.  Null doc_ids and null qualities are left out.  Very long texts are read whole.
     """
     vectors = word_vectors(contexts(docs))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IS NOT NULL")
-    known = known.where(~held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
+    known = known.where(~held_out("doc_id"))
+    chosen = common.few_keys(known, "doc_id", sample_rows).withColumnRenamed("key", "doc_id")
+    known = known.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vectors)
 
@@ -236,8 +239,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> tuple[
             yield pa.record_batch([some.column(0), some.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of("text").alias("text")).join(F.broadcast(known), "doc_id")
-    got = rows.mapInArrow(features, "doc_id long, quality int, x binary").limit(2 * sample_rows).collect()
-    got.sort(key=lambda r: (r.doc_id, r.quality, bytes(r.x)))
+    one = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
+    got = one.mapInArrow(features, "doc_id long, quality int, x binary").collect()  # sample_rows rows at most
+    got.sort(key=lambda r: r.doc_id)
     x = np.array([np.frombuffer(r.x, np.float32) for r in got])
     return vectors, train(x, np.array([int(r.quality > 0) for r in got]))
 
@@ -249,9 +253,10 @@ def held_out(column: str):
 def score(docs: DataFrame, vectors: np.ndarray, net: Network) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs(doc_id, text), from the text alone.
 
-    Null and empty texts have the score of a document without words.  Repeated rows and null doc_ids
-    have rows each; a null doc_id is not held out.  An empty table gives no rows.  Other columns are
-    ignored.
+    Null and empty texts have the score of a document without words.  Very long texts are read whole,
+    half a million words and a document at a time.  Repeated rows and null doc_ids have rows each and,
+    with equal texts, equal scores; a null doc_id is not held out.  An empty table gives no rows.  Other
+    columns, those named score, held_out or predicted too, are ignored.
     """
     spark = docs.sparkSession
     common.ship(spark)

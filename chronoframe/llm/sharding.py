@@ -64,10 +64,12 @@ def place(df: DataFrame, key: str, shards: list[str], size: int = PRIME) -> Data
 
 
 def write_sharded(df: DataFrame, key: str, shards: list[str], path: str, files: int, size: int = PRIME) -> None:
-    """Write df as Parquet under shard=<name>; a shard's rows are dealt over `files` tasks by key
-    hash, so a hot shard, source or key range is written by many tasks."""
-    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(files))
-    placed = place(df, key, shards, size).withColumn("_deal", salt)
+    """Write df as Parquet under shard=<name>; a shard's rows are dealt over `files` tasks by a hash of
+    all their columns, so a hot shard, source or key range is written by many tasks and a retried task
+    deals alike.  Rows equal in every column go to one task."""
+    placed = place(df, key, shards, size)
+    flat = [F.to_json(F.struct(c)) if t.startswith("map") else F.col(c) for c, t in placed.dtypes]
+    placed = placed.withColumn("_deal", F.pmod(F.xxhash64(*flat), F.lit(files)))
     placed.repartition("shard", "_deal").drop("_deal").write.partitionBy("shard").parquet(path)
 
 

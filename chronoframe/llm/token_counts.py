@@ -12,24 +12,36 @@ from pyspark.sql import functions as F
 from chronoframe.llm import common, tokens
 
 
-def frequent_lengths(docs: DataFrame, spec, entries: int = 8192, sample_docs: int = 1000) -> dict[str, int]:
-    """The broadcast tier: token lengths of the most frequent pre-tokens, at most `entries` of them.
+def frequent_pieces(docs: DataFrame, entries: int = 8192, held: int = 1 << 18) -> DataFrame:
+    """(piece, n): the `entries` most frequent pieces between white space, counted over all documents.
 
-    It is a cache's first filling, so it may come from a bounded sample: whole texts of the
-    `sample_docs` rows with the smallest hash of doc_id.  Counts do not depend on it.
+    A task counts whole texts in one table; where it grows past `held` pieces, the rarer half goes.  It
+    sends its `entries` most frequent ones, so what is summed by piece is a bounded list a task, never
+    the pre-tokens themselves.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = tokens.WordCounts(spec.value, {}), Counter()
+        seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(counts.pre_tokens(text) or ())
-        best = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:entries]
-        yield pa.record_batch([pa.array([w for w, _ in best], pa.string()), pa.array([counts.words[w] for w, _ in best], pa.int32())], names=["word", "n"])
+                seen.update(text.split())
+            if len(seen) > held:
+                seen = Counter(dict(seen.most_common(held // 2)))
+        best = [x for x in seen.most_common(entries) if len(x[0]) <= 64]
+        yield pa.record_batch([pa.array([w for w, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], names=["piece", "n"])
 
-    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), common.text_of("text").alias("text"))
-    sample = rows.orderBy("h").limit(sample_docs).select("text").mapInArrow(run, "word string, n int")
-    return {r.word: r.n for r in sample.collect()}  # `entries` rows of one task
+    found = docs.select(common.text_of("text").alias("text")).mapInArrow(run, "piece string, n long")
+    return found.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "piece").limit(entries)
+
+
+def frequent_lengths(docs: DataFrame, spec, entries: int = 8192) -> dict[str, int]:
+    """The broadcast tier: token lengths of the pre-tokens of the most frequent pieces, at most
+    `entries` of them.  Counts do not depend on it."""
+    counts, seen = tokens.WordCounts(spec.value, {}), Counter()
+    for r in frequent_pieces(docs, entries).collect():  # `entries` rows
+        for word in counts.pre_tokens(r.piece) or ():
+            seen[word] += r.n
+    return {w: counts.words[w] for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:entries]}
 
 
 def count(docs: DataFrame, limit: int = 2048, vocabulary: str = "word_bpe_49k.json", entries: int = 8192) -> DataFrame:
@@ -39,8 +51,9 @@ def count(docs: DataFrame, limit: int = 2048, vocabulary: str = "word_bpe_49k.js
     cache, filled by the library's own model.  Special strings, and characters whose normalization
     only the library knows, send the whole text through the library.
 
-    Null and empty texts have 0 bytes and 0 tokens.  Repeated rows and null doc_ids have a row each.
-    An empty table gives no rows.  Other columns are ignored.
+    Null and empty texts have 0 bytes and 0 tokens.  Very long texts are counted whole.  Repeated rows
+    and null doc_ids have a row each.  An empty table gives no rows.  Other columns, those named
+    n_bytes, n_tokens or over_limit too, are ignored.
     """
     spark = docs.sparkSession
     common.ship(spark)

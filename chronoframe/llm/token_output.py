@@ -32,7 +32,9 @@ def write(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str = "byte_b
     doc_id, and stripes that readers take in parallel and skip by their statistics.
     part is the file's ordinal, pos the ids before the document in its file.
 
-    Null and empty texts hold end_id alone.  Null doc_ids come first.  Rows of one doc_id follow each
+    Null and empty texts hold end_id alone; very long ones are encoded whole, as one list.  There is a
+    file for each 64 MB of input, and as many as the session's shuffle partitions at least.  Null doc_ids
+    come first.  Rows of one doc_id follow each
     other by their texts' hash, over several files if need be; each is a document.  An empty table
     gives files without rows.  Other columns are not written, whatever their names.
     """
@@ -52,7 +54,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, vocabulary: str = "byte_b
                 yield pa.record_batch([some.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(before), pa.array(n), list_array(ids)], names=["doc_id", "part", "pos", "n_tokens", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of("text").alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(common.parts_for(spark, docs), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     (rows.mapInArrow(encode, FILE_SCHEMA).write.option("compression", "zstd")
      .option("orc.create.index", "true").option("orc.row.index.stride", str(row_index_stride))
      .option("orc.stripe.size", str(stripe_bytes))

@@ -10,7 +10,6 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +17,19 @@ from chronoframe.llm import common
 
 #: Fixed values of the format: the skippable frame that holds a dictionary, Zstandard's frame magic.
 DICTIONARY_FRAME, FRAME = 0x184D2A5D, 0xFD2FB528
+#: An empty skippable frame: four bytes of magic, 0x184D2A50, and a length of zero.
+NOTHING = "P*M\x18\x00\x00\x00\x00"
+FRAME_NAMES, FRAME_TYPES = ["page_id", "url", "sha", "n", "frame"], [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 ROW_SCHEMA = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+def base32(sha1: str) -> str:
+    """A digest's hex digits in base 32."""
+    return base64.b32encode(bytes.fromhex(sha1)).decode()
+
+
 def base32_sha1(payload: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return base32(hashlib.sha1(payload).hexdigest())
 
 
 def train(samples: list[bytes], size: int = 65_536) -> bytes:
@@ -46,10 +53,13 @@ def _line(value: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
-    """One response record, or, with refers_to, one revisit record without the payload itself."""
-    digest, name = base32_sha1(payload), "" if page_id is None else str(page_id)
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id: int | None, url: str | None, payload: bytes | None, refers_to: int | None, date: str, n: int = 0, sha: str = "") -> bytes:
+    """One response record, or, with refers_to, one revisit record without the payload itself: its
+    length and the hex digits of its SHA-1 are enough."""
+    if payload is not None:
+        n, sha = len(payload), hashlib.sha1(payload).hexdigest()
+    digest, name = base32(sha), "" if page_id is None else str(page_id)
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
     body = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
             f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{name}:{digest}')}>", f"WARC-Date: {date}",
@@ -65,26 +75,35 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def _kinds(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """(page_id, sha, first) of the rows that revisit another: by digest only, payloads stay put."""
-    rows = pages.select("page_id", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("n")).where(F.col("n") >= min_bytes)
-    first = rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    return rows.join(first, "sha").where("first IS NOT NULL AND NOT (page_id <=> first)").select("page_id", "sha", "first").distinct()
+def _kinds(rows: DataFrame, min_bytes: int) -> DataFrame:
+    """(page_id, sha, first) of the rows(page_id, sha, n) that revisit another, each once.
+
+    Rows are made distinct before they meet their first: what the join gives is dealt by another key
+    afterwards, so a digest that many pages have may be split over tasks.
+    """
+    long = rows.where(F.col("n") >= min_bytes).select("page_id", "sha").distinct()
+    first = long.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 AND first IS NOT NULL")
+    return long.join(first.select("sha", "first"), "sha").where("NOT (page_id <=> first)")
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0, dictionary_bytes: int = 65_536, sample_records: int = 1000,
           sample_bytes: int = 8 << 20, level: int = 3, file_bytes: int = 8 << 20, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Write pages(page_id, url, html) to .warc.zst files at path.
+    """Write pages(page_id, url, html) to WARC files, compressed with Zstandard, at path.
 
-    The dictionary is trained on whole records of at most sample_records rows with the smallest hash
-    of page_id, up to sample_bytes; it leads each file in a skippable frame.  Every record is a frame
-    of its own.  Files roll at file_bytes.  A task writes under a temporary name and renames, so a
-    retried or doubled task leaves the same files.
+    The dictionary is trained on whole records of at most sample_records rows, one of each page_id with
+    the smallest hashes, up to sample_bytes; it leads each file in a skippable frame.  Records are
+    compressed one by one where their page is read, and only their frames move: each to the task that
+    knows whether it is a revisit.  A frame whose payload that task's reader has seen under a smaller
+    page_id is not sent.  Files roll at file_bytes and are written by Spark's text writer: binary rows
+    of a whole archive each, one a file (part-*.txt), behind each an empty skippable frame in place of
+    an end of line.  Its commit protocol and Hadoop's file systems hold for them, so retried or doubled
+    tasks leave no second copy and any path that Spark reads can be written.
 
     Of rows with equal payloads of min_bytes or more, those with the smallest page_id are responses,
     the others revisits of it; shorter ones are all responses.  Null html is an empty payload.  A row
     without page_id is a revisit where a numbered one has its payload, else a response.  Repeated
-    rows are records each.  An empty table gives no files.  Other columns are ignored.
+    rows are records each.  A record longer than file_bytes has a file of its own.  An empty table gives
+    no archives.  Other columns, those named like a record's fields too, are ignored.
     """
     spark = pages.sparkSession
     common.ship(spark)
@@ -99,51 +118,73 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, dictionary_bytes: int
                     size += len(samples[-1])
         yield pa.record_batch([pa.array([train(samples, dictionary_bytes)], pa.binary())], names=["dictionary"])
 
-    sample = rows.withColumn("h", F.xxhash64("page_id")).orderBy("h", "page_id").limit(sample_records).drop("h")
+    chosen = common.few_keys(rows, "page_id", sample_records).withColumnRenamed("key", "page_id")
+    sample = rows.join(F.broadcast(chosen), "page_id").groupBy("page_id").agg(F.min(F.struct("payload", "url")).alias("r"))
+    sample = sample.orderBy(F.xxhash64("page_id"), "page_id").limit(sample_records).select("page_id", "r.url", "r.payload")
     learnt = sample.mapInArrow(learn, "dictionary binary").collect()
     raw = spark.sparkContext.broadcast(bytes(learnt[0][0]) if learnt else b"")
-    from pyarrow import fs
 
-    store, root = fs.FileSystem.from_uri(path)
-    store.create_dir(root, recursive=True)
-
-    def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def squeeze():
         import zstandard
 
-        store, root = fs.FileSystem.from_uri(path)
-        own, part, k, n = _dictionary(raw.value), TaskContext.get().partitionId(), 0, 0
+        own = _dictionary(raw.value)
         if own:
             own.precompute_compress(level=level)
-        compress = zstandard.ZstdCompressor(level=level, dict_data=own).compress
-        lead = struct.pack("<II", DICTIONARY_FRAME, len(raw.value)) + raw.value
-        held = io.BytesIO()
+        return zstandard.ZstdCompressor(level=level, dict_data=own).compress
 
-        def close() -> None:
-            nonlocal k
-            name = f"{root}/part-{part:06d}-{k:04d}.warc.zst"
-            temporary = f"{root}/_{uuid.uuid4().hex}.tmp"
-            with store.open_output_stream(temporary) as f:
-                f.write(held.getbuffer())
-            store.move(temporary, name)
-            k += 1
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress, most = squeeze(), 4 << 20
+        for batch in batches:
+            ids, digests = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            least: dict = {}
+            for page_id, sha in zip(ids, digests):
+                if page_id is not None and page_id < least.get(sha, 1 << 63):
+                    least[sha] = page_id
+            out, size = [], 0
+            for k, (url, payload) in enumerate(zip(batch.column(1), batch.column(2))):
+                payload = payload.as_py()
+                again = len(payload) >= min_bytes and digests[k] in least and (ids[k] is None or ids[k] > least[digests[k]])
+                frame = None if again else compress(record(ids[k], url.as_py(), payload, None, date))
+                out.append((ids[k], url.as_py(), digests[k], len(payload), frame))
+                size += len(frame or b"")
+                if size > most:
+                    yield _batch(out, FRAME_NAMES, FRAME_TYPES)
+                    out, size = [], 0
+            if out:
+                yield _batch(out, FRAME_NAMES, FRAME_TYPES)
 
+    def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = squeeze()
+        lead = struct.pack("<II", DICTIONARY_FRAME, len(raw.value)) + raw.value
+        held, some = io.BytesIO(), False
         for batch in batches:
-            for page_id, url, payload, first in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                if not held.tell():
+            for page_id, url, sha, n, frame, first in zip(*(batch.column(c) for c in range(6))):
+                if first.is_valid:
+                    data = compress(record(page_id.as_py(), url.as_py(), None, first.as_py(), date, n.as_py(), sha.as_py()))
+                else:
+                    data = frame.as_py()
+                if some and held.tell() + len(data) > file_bytes:
+                    yield pa.record_batch([pa.array([held.getvalue()], pa.binary())], names=["archive"])
+                    held, some = io.BytesIO(), False
+                if not some:
                     held.write(lead)
-                held.write(compress(record(page_id, url, payload, first, date)))
-                n += 1
-                if held.tell() >= file_bytes:
-                    close()
-                    held = io.BytesIO()
-        if held.tell():
-            close()
-        yield pa.record_batch([pa.array([n], pa.int64())], names=["records"])
-
-    again = _kinds(rows, min_bytes).select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), F.col("first").alias("_first"))
+                    some = True
+                held.write(data)
+        if some:
+            yield pa.record_batch([pa.array([held.getvalue()], pa.binary())], names=["archive"])
+
     keyed = rows.withColumn("sha", F.sha1("payload"))
-    joined = keyed.join(again, keyed.page_id.eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
-    joined.select("page_id", "url", "payload", "_first").mapInArrow(archive, "records long").agg(F.sum("records")).collect()
+    again = _kinds(keyed.select("page_id", "sha", F.octet_length("payload").alias("n")), min_bytes)
+    again = again.select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), F.col("first").alias("_first"))
+    sent = keyed.mapInArrow(frames, "page_id long, url string, sha string, n long, frame binary")
+    joined = sent.join(again, sent.page_id.eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
+    files = joined.select("page_id", "url", "sha", "n", "frame", "_first").mapInArrow(archive, "archive binary")
+    with common.freed(spark):
+        files.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", NOTHING).option("maxRecordsPerFile", 1).text(path)
+
+
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -155,7 +196,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0):
                 yield from _records(content.as_buffer())
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
     return files.select("content").mapInArrow(parse, ROW_SCHEMA)
 
 
@@ -171,7 +212,7 @@ def _records(content, most: int = 2000) -> Iterator[pa.RecordBatch]:
     names = [f.strip().split(" ")[0] for f in ROW_SCHEMA.split(",")]
     types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     rows: list[tuple] = []
-    while stream.readline():
+    while stream.readline():  # skippable frames between records hold no bytes
         head = {}
         while line := stream.readline().strip():
             name, _, value = line.decode().partition(": ")
@@ -187,7 +228,7 @@ def _records(content, most: int = 2000) -> Iterator[pa.RecordBatch]:
         number = lambda key: int(head[key]) if key in head else None
         rows.append((number("X-Page-ID"), None if "X-No-URL" in head else head["WARC-Target-URI"], payload if kind == "response" else None, n, digest, kind, number("X-Refers-To-Page-ID")))
         if len(rows) >= most:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            yield _batch(rows, names, types)
             rows = []
     if rows:
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        yield _batch(rows, names, types)

@@ -259,7 +259,7 @@ def test_warc_file_layout(spark):
     rows = [(k, f"http://h/{k}", "<html>" + " ".join(f"<p>line {x}</p>" for x in r.integers(0, 50, 60))) for k in range(300)]
     path = common.scratch(spark, "test-warc")
     warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, dictionary_bytes=4096)
-    data = open(sorted(glob.glob(path.removeprefix("file://") + "/*.warc.zst"))[0], "rb").read()
+    data = open(sorted(glob.glob("/" + path.removeprefix("file:").lstrip("/") + "/part-*"))[0], "rb").read()
     magic, size = struct.unpack_from("<II", data)
     assert magic == 0x184D2A5D and 0 < size <= 4096 and struct.unpack_from("<I", data, 8)[0] == 0xEC30A437
     own = zstandard.ZstdCompressionDict(data[8:8 + size])

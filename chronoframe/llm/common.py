@@ -120,11 +120,12 @@ def few_keys(rows: DataFrame, key: str, n: int) -> DataFrame:
     return some.distinct().orderBy("h", "key").limit(n).select("key")
 
 
-def parts_for(spark: SparkSession, df: DataFrame, each: int = 64 << 20) -> int:
-    """Partitions for a shuffle of df's rows: one a part of `each` bytes by the plan's estimate, and as
-    many as the session's setting at least."""
+def parts_for(spark: SparkSession, df: DataFrame, each: int = 64 << 20, most: int = 100_000) -> int:
+    """Partitions for a shuffle of df's rows: one for each `each` bytes by the plan's estimate, where it
+    has one, and as many as the session's setting at least."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, -(-size // each)))
+    known = -(-size // each) if size < 1 << 60 else 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(most, known))
 
 
 def text_of(column: str | Column) -> Column:

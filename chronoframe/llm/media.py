@@ -7,6 +7,7 @@ import math
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from chronoframe.llm import common
 
 UNIT = 576
+CHUNKS, LISTS = "digest binary, size int, data binary", "doc_id long, n_bytes long, recipe binary, digests array<binary>, rid long"
+REMEMBERED = 1 << 20  # chunks whose smallest row a task remembers; one forgotten is sent again
 FEATURES = "recipe binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -71,36 +74,82 @@ def recipe_of(digests: list[bytes]) -> bytes:
     return hashlib.sha256(b"".join(digests)).digest()
 
 
+#: A chunk in more payloads than this is dealt over several tasks when payloads are rebuilt.
+SHARED, HOT_CHUNKS = 5_000, 50_000
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of("text").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of("text").alias("text"))
+    return rows.withColumn("rid", F.xxhash64("doc_id", "text"))
 
 
-def write(docs: DataFrame, path: str, level: int = 9) -> str:
-    """Store the payloads of docs(doc_id, text) under path: a chunk table, each distinct chunk once,
-    and a list of chunk digests for each row.  Returns the chunk table's name.
+@dataclass(frozen=True)
+class Store:
+    """Where a chunk table and its lists lie, and by how many buckets the table is dealt."""
+
+    path: str
+    buckets: int
 
-    Digests are SHA-256 over a chunk's bytes; a stored chunk is one Zstandard frame.  A task sends a
-    chunk once, then chunks meet by digest, so copies of a hot chunk are one row a task at most.  The
-    chunk table is bucketed by digest in path: later joins on it don't move its bytes.
+    def chunks(self, spark: SparkSession) -> DataFrame:
+        """(digest, size, data), each digest once, bucketed by digest.  The name in the catalog that
+        Spark needs to know of the buckets is given up at once; the files stay."""
+        name = f"chunks_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE TABLE {name} ({CHUNKS}) USING parquet CLUSTERED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/chunks'")
+        try:
+            return spark.table(name)
+        finally:
+            spark.sql(f"DROP TABLE {name}")
 
-    Null and empty texts are one unit of bytes 255.  Repeated rows and null doc_ids have lists each.
-    An empty table gives an empty store.  Other columns are ignored.
+    def lists(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(LISTS).parquet(f"{self.path}/lists")
+
+
+def write(docs: DataFrame, path: str, level: int = 9, earlier: Store | None = None) -> Store:
+    """Store the payloads of docs(doc_id, text) under path: a chunk table, each distinct chunk once,
+    and a list of chunk digests for each row.
+
+    Digests are SHA-256 over a chunk's bytes; a stored chunk is one Zstandard frame.  First the lists
+    are written.  A join decides which row brings a chunk: its owner is the row with the smallest hash
+    of those that hold it.  A task sends a chunk when a row comes that could be its owner, seen from
+    there; the chunks that more than one in HOT_CHUNKS of all uses name, so HOT_CHUNKS chunks at most, are
+    held against their owner before they leave, all others where they meet.  Rows equal in doc_id and
+    text have equal hashes: what they bring twice is made distinct.  With `earlier`, chunks that store
+    already has are left out by an anti join, for the caller to union its chunk table.  The chunk table
+    is bucketed by digest, a bucket for each 64 MB of input and as many as the session's shuffle
+    partitions at least: later joins on it don't move its bytes.
+
+    Null and empty texts are one unit of bytes 255.  Very long texts are cut whole, a task holding one
+    at a time.  Repeated rows and null doc_ids have lists each.  An empty table gives an empty store.
+    Other columns, those named like a result's too, are ignored.
     """
     spark = docs.sparkSession
     common.ship(spark)
 
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, keys, own = [], [], []
+            for text in batch.column(1):
+                payload = payload_of(t := text.as_py())
+                digests = [hashlib.sha256(c).digest() for c in chunks_of(payload)]
+                n.append(len(t.encode("utf-8", "surrogatepass")))
+                keys.append(recipe_of(digests))
+                own.append(digests)
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(own, pa.list_(pa.binary())), batch.column(2)], names=["doc_id", "n_bytes", "recipe", "digests", "rid"])
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        compress, seen = zstandard.ZstdCompressor(level=level).compress, set()
+        compress, least = zstandard.ZstdCompressor(level=level).compress, {}
         for batch in batches:
             out, size = [], 0
-            for text in batch.column(1):
+            for text, rid in zip(batch.column(1), batch.column(2).to_pylist()):
                 for chunk in chunks_of(payload_of(text.as_py())):
                     digest = hashlib.sha256(chunk).digest()
-                    if digest not in seen:
-                        seen.add(digest)
-                        out.append((digest, len(chunk), compress(chunk)))
+                    if rid < least.get(digest[:16], 1 << 63):
+                        if len(least) >= REMEMBERED:
+                            least.clear()
+                        least[digest[:16]] = rid
+                        out.append((digest, len(chunk), compress(chunk), rid))
                         size += len(out[-1][2])
                 if size > 4 << 20:
                     yield _chunk_batch(out)
@@ -108,40 +157,28 @@ def write(docs: DataFrame, path: str, level: int = 9) -> str:
             if out:
                 yield _chunk_batch(out)
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for batch in batches:
-            fresh = []
-            for digest in batch.column(0).to_pylist():
-                fresh.append(digest not in seen)
-                seen.add(digest)
-            yield batch.filter(pa.array(fresh, pa.bool_()))
-
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, keys, own = [], [], []
-            for text in batch.column(1):
-                payload = payload_of(t := text.as_py())
-                digests = [hashlib.sha256(c).digest() for c in chunks_of(payload)]
-                n.append(len(t.encode("utf-8", "surrogatepass")))
-                keys.append(recipe_of(digests))
-                own.append(digests)
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(own, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "recipe", "digests"])
-
-    schema = "digest binary, size int, data binary"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"chunks_{uuid.uuid4().hex}"
-    stored = _texts(docs).mapInArrow(send, schema).repartition(n, "digest").mapInArrow(once, schema)
-    stored.write.bucketBy(n, "digest").option("path", f"{path}/chunks").option("compression", "uncompressed").saveAsTable(table)
-    del stored
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the finished shuffle's files
-    _texts(docs).mapInArrow(lists, "doc_id long, n_bytes long, recipe binary, digests array<binary>").write.parquet(f"{path}/lists")
-    return table
-
-
-def _chunk_batch(rows: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
-    digest, size, data = zip(*rows)
-    return pa.record_batch([pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(data, pa.binary())], names=["digest", "size", "data"])
+    buckets = common.parts_for(spark, docs)
+    texts, store = _texts(docs), Store(path, buckets)
+    texts.mapInArrow(lists, LISTS).write.parquet(f"{path}/lists")
+    held = store.lists(spark).select("rid", F.explode("digests").alias("digest"))
+    owners = held.groupBy("digest").agg(F.min("rid").alias("rid"), F.count("*").alias("rows"))
+    uses = store.lists(spark).agg(F.sum(F.size("digests"))).first()[0] or 0
+    hot = owners.where(F.col("rows") > max(SHARED, uses // HOT_CHUNKS)).select("digest", F.col("rid").alias("owner"))  # HOT_CHUNKS rows at most
+    sent = texts.mapInArrow(send, f"{CHUNKS}, rid long").join(F.broadcast(hot), "digest", "left").where("owner IS NULL OR owner = rid").drop("owner")
+    owned = owners.select("digest", "rid").repartition(buckets, "digest").hint("shuffle_hash")
+    mine = sent.repartition(buckets, "digest").join(owned, ["digest", "rid"], "left_semi").drop("rid").dropDuplicates(["digest"])
+    if earlier:
+        mine = mine.join(earlier.chunks(spark).select("digest"), "digest", "left_anti")
+    name = f"chunks_{uuid.uuid4().hex}"
+    with common.freed(spark):
+        mine.write.bucketBy(buckets, "digest").option("path", f"{path}/chunks").option("compression", "uncompressed").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")
+    return store
+
+
+def _chunk_batch(rows: list[tuple[bytes, int, bytes, int]]) -> pa.RecordBatch:
+    digest, size, data, rid = zip(*rows)
+    return pa.record_batch([pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(data, pa.binary()), pa.array(rid, pa.int64())], names=["digest", "size", "data", "rid"])
 
 
 class _Media:
@@ -195,19 +232,25 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(now.row()), types)], names=names)
 
 
-def read(spark: SparkSession, path: str, table: str) -> DataFrame:
+def read(spark: SparkSession, store: Store) -> DataFrame:
     """Rebuild every distinct payload from stored chunks, check it, and give its features by row.
 
     Payloads with one chunk are rebuilt where the chunk lies; only those of several chunks move, each
-    distinct list once however many rows have it.
+    distinct list once however many rows have it.  A chunk of over SHARED payloads is copied for each
+    SHARED of them, and their parts are dealt over the copies.
     """
     common.ship(spark)
-    chunks, lists = spark.table(table), spark.read.parquet(f"{path}/lists")
+    chunks, lists = store.chunks(spark), store.lists(spark)
     recipes = lists.select("recipe", "digests").groupBy("recipe").agg(F.first("digests").alias("digests"))
     parts = recipes.select("recipe", F.size("digests").alias("n"), F.posexplode("digests").alias("pos", "digest"))
-    found = parts.join(chunks, "digest", "left")
     columns = ["recipe", "pos", "digest", F.coalesce("data", F.raise_error(F.lit("a chunk is missing")).cast("binary")).alias("data")]
-    one = found.where("n = 1").select(*columns).mapInArrow(_rebuild, FEATURES)
-    more = found.where("n > 1").select(*columns).repartition("recipe").sortWithinPartitions("recipe", "pos").mapInArrow(_rebuild, FEATURES)
-    features = one.unionByName(more)
-    return lists.select("doc_id", "n_bytes", "recipe").join(features, "recipe").drop("recipe")
+    one = parts.where("n = 1").join(chunks, "digest", "left").select(*columns).mapInArrow(_rebuild, FEATURES)
+    several = parts.where("n > 1")
+    shared = several.groupBy("digest").agg(F.ceil(F.count("*") / SHARED).cast("int").alias("copies")).where("copies > 1")
+    several = several.join(shared, "digest", "left")
+    plain = several.where("copies IS NULL").join(chunks, "digest", "left").select(*columns)
+    copied = chunks.join(shared, "digest").select("digest", "data", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    dealt = several.where("copies IS NOT NULL").withColumn("copy", F.pmod(F.xxhash64("recipe", "pos"), F.col("copies")).cast("int"))
+    spread = dealt.join(copied, ["digest", "copy"], "left").select(*columns)
+    more = plain.unionByName(spread).repartition("recipe").sortWithinPartitions("recipe", "pos").mapInArrow(_rebuild, FEATURES)
+    return lists.select("doc_id", "n_bytes", "recipe").join(one.unionByName(more), "recipe").drop("recipe")

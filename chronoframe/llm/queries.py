@@ -53,8 +53,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch(spark, "media")
-    table = media.write(_table(spark, sf_dir, "documents"), path)
-    return media.read(spark, path, table)
+    return media.read(spark, media.write(_table(spark, sf_dir, "documents"), path))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

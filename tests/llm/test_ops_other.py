@@ -197,8 +197,8 @@ def test_media_round_trip(spark):
     texts = {1: "short", 2: None, 3: "", 4: long, 5: "intro " + long, 6: "short", 7: "x" * 576, 8: "é" * 400}
     df = spark.createDataFrame([(k, t, "z") for k, t in texts.items()] + [(6, "short", "z"), (None, long, "z")], "doc_id long, text string, feature string").repartition(3)
     path = common.scratch(spark, "test-media")
-    table = media.write(df, path)
-    got = media.read(spark, path, table).collect()
+    store = media.write(df, path)
+    got = media.read(spark, store).collect()
     assert len(got) == 10
     for x in got:
         t = (long if x.doc_id is None else texts[x.doc_id]) or ""
@@ -206,11 +206,44 @@ def test_media_round_trip(spark):
         assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(t.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
     by = {x.doc_id: (x.media_bytes, x.media_sha256, x.feature) for x in got}
     assert by[1] == by[6] and by[2] == by[3] and by[4] == by[None]
-    chunks = spark.table(table)
+    chunks = store.chunks(spark)
     assert chunks.count() == chunks.select("digest").distinct().count()
     assert sum(c.size for c in chunks.select("size").collect()) < 1.3 * len(long)
     empty = common.scratch(spark, "test-media")
-    assert media.read(spark, empty, media.write(df.limit(0), empty)).count() == 0
+    assert media.read(spark, media.write(df.limit(0), empty)).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("chunks_")]
+    later = media.write(df, common.scratch(spark, "test-media"), earlier=store)
+    assert later.chunks(spark).count() == 0 and later.lists(spark).count() == 10
+
+
+def test_hot_chunks_are_sent_once_and_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(media, "SHARED", 3)
+    r = np.random.default_rng(3)
+    head = " ".join(f"w{k}" for k in r.integers(0, 9000, 9000))
+    texts = [head + f" tail {k}" for k in range(20)] + ["same"] * 9 + [head]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    store = media.write(df, common.scratch(spark, "test-media"))
+    chunks = store.chunks(spark).collect()
+    assert len(chunks) == len({bytes(c.digest) for c in chunks}) == len({x for t in texts for x in media.chunks_of(media.payload_of(t))})
+    got = {x.doc_id: x for x in media.read(spark, store).collect()}
+    assert [got[k].payload_sha256 for k in range(len(texts))] == [hashlib.sha256(media.payload_of(t)).hexdigest() for t in texts]
+
+
+def test_media_columns_equal_brute_force(spark):
+    import math
+
+    import zstandard
+
+    texts = ["a b", "é" * 700, "", " ".join(str(k * k) for k in range(9000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in media.read(spark, media.write(df, common.scratch(spark, "test-media"))).collect():
+        p = texts[x.doc_id].encode()
+        p += b"\xff" * (max(1, -(-len(p) // 576)) * 576 - len(p))
+        stored = b"".join(zstandard.ZstdCompressor(level=9).compress(p[a:b]) for a, b in zip([0, *media.cuts(p)[:-1]], media.cuts(p)))
+        assert (x.media_bytes, x.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        shares = [p.count(bytes([b])) / len(p) for b in set(p)]
+        want = {"mean": sum(p) / len(p), "rms": math.sqrt(sum(b * b for b in p) / len(p)), "entropy": -sum(s * math.log2(s) for s in shares), "samples": len(p)}
+        assert {k: float(v) for k, v in (f.split("=") for f in x.feature.split(";"))} == pytest.approx(want, abs=2e-6)
 
 
 def test_media_finds_damage(spark):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 _own: dict[str, str] = {}
+_root: dict[tuple[str, str], str] = {}
 _shipped: set[str] = set()
 
 
@@ -40,17 +41,24 @@ def scratch(spark: SparkSession, name: str) -> str:
 
     A folder named without a scheme is one of Hadoop's default file system.  Where none is named, a
     folder of this process's own stands in for it, on a local master only: executors of a cluster
-    would each write to their own disks.
+    would each write to their own disks.  All of an application's folders lie in one, which Hadoop's
+    file system deletes when the driver ends: results that read them hold until then.
     """
+    context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        app = spark.sparkContext.applicationId
-        base = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="chronoframe-scratch-"))
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return f"{base.rstrip('/')}/chronoframe-{name}-{uuid.uuid4().hex}"
+        base = _own.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="chronoframe-scratch-"))
+    key = (context.applicationId, base)
+    if key not in _root:
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/chronoframe-{uuid.uuid4().hex}")
+        store = path.getFileSystem(context._jsc.hadoopConfiguration())
+        path = store.makeQualified(path)
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _root[key] = path.toString()
+    return f"{_root[key]}/{name}-{uuid.uuid4().hex}"
 
 
 def remove(spark: SparkSession, uri: str) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.llm import common
 
-BITS, HALF, THRESHOLD = 64, 31, 3
+BITS, HALF, THRESHOLD, BLOCK = 64, 31, 3, 4096
 
 
 def fingerprint(text: str, seed: int = 42, shingle: int = 3, block: int = 1 << 17) -> int:
@@ -38,17 +38,19 @@ def fingerprint(text: str, seed: int = 42, shingle: int = 3, block: int = 1 << 1
 
 
 def fingerprints(docs: DataFrame, seed: int = 42, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) for every row of docs(doc_id, text); fp holds the 64 bits as a signed long."""
+    """(doc_id, same, fp) for every row of docs(doc_id, text); fp holds the 64 bits as a signed long,
+    same is a hash of the text."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.only("simhash", dict)
         for batch in batches:
-            fps = np.fromiter((fingerprint(t, seed, shingle) for t in batch.column(1).to_pylist()), dtype=np.uint64, count=batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), seed, shingle) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "same", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of("text").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    text = common.text_of("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("same"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, same long, fp long")
 
 
 def _masks() -> list[list[int]]:
@@ -96,12 +98,17 @@ def links(fps: DataFrame) -> DataFrame:
     Of two words that differ in three bits or fewer, one of two 31-bit halves differs in one bit at
     most.  So in each half a fingerprint stands at the anchor within covering radius 1, is copied to
     every anchor within radius 1 + 1, and the two are compared anchor by anchor in full: no link is
-    missed.  A fingerprint has 32 copies at most and 43,744 partners at most, whatever the corpus.
+    missed.  A fingerprint has 32 copies at most and 43,744 partners at most, whatever the corpus.  An
+    anchor where over BLOCK fingerprints stand is dealt over blocks of them, and the copies to each.
     """
     home = _anchors(fps, near=False)
     near = _anchors(fps, near=True).withColumnRenamed("fp", "other")
+    crowds = home.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    one = F.coalesce("blocks", F.lit(1))
+    home = home.join(crowds, "anchor", "left").select("anchor", "fp", F.pmod(F.xxhash64("fp"), one).cast("int").alias("block"))
+    near = near.join(crowds, "anchor", "left").select("anchor", "other", F.explode(F.sequence(F.lit(0), one - 1)).alias("block"))
     # Copies of anchors are many times what a plan's estimate says: never broadcast them.
-    pairs = home.join(near.hint("merge"), "anchor").where(
+    pairs = home.join(near.hint("merge"), ["anchor", "block"]).where(
         (F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= THRESHOLD)
     )
     return pairs.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
@@ -114,8 +121,13 @@ def groups(docs: DataFrame, seed: int = 42, shingle: int = 3) -> DataFrame:
     that links of three bits or fewer reach.  Null and empty texts, and texts of white space alone,
     have fingerprint zero and link like any other.  Repeated rows are rows each.  A null doc_id has
     a row and a component; as a component's name it counts only where there is no other.  An empty
-    table gives no rows.  Other columns are ignored.
+    table gives no rows.  Very long texts are read whole, 131,072 shingles at a time.  Other columns,
+    those named fingerprint or component_id too, are ignored.
     """
+    return _grouped(docs, seed, shingle).drop("same")
+
+
+def _grouped(docs: DataFrame, seed: int, shingle: int) -> DataFrame:
     prints = common.kept(fingerprints(docs, seed, shingle), "simhash")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     nodes = common.kept(nodes, "simhash-nodes")
@@ -124,12 +136,13 @@ def groups(docs: DataFrame, seed: int = 42, shingle: int = 3) -> DataFrame:
     names = roots.groupBy("component").agg(F.min("low").alias("component_id"))
     named = roots.join(names, "component").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(named, "fp").select("doc_id", hexed, "component_id")
+    return prints.join(named, "fp").select("doc_id", "same", hexed, "component_id")
 
 
 def deduplicate(docs: DataFrame, seed: int = 42, shingle: int = 3) -> DataFrame:
-    """docs with one document of each group: the one with the smallest doc_id; rows that share it stay
-    together.  A group without any doc_id keeps its rows."""
-    keep = groups(docs, seed, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    """docs with one document of each group: the one with the smallest doc_id.  Rows equal in doc_id and
+    text stay together; of a group without any doc_id all rows stay, of any other none without one."""
+    keep = _grouped(docs, seed, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"), F.col("same").alias("_same")).distinct()
     # A merge join: the kept ids grow with the corpus and are never broadcast.
-    return docs.join(keep.hint("merge"), docs.doc_id.eqNullSafe(keep["_kept"]), "left_semi")
+    match = docs["doc_id"].cast("long").eqNullSafe(keep["_kept"]) & (F.xxhash64(common.text_of(docs["text"])) == keep["_same"])
+    return docs.join(keep.hint("merge"), match, "left_semi")

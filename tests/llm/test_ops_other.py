@@ -75,11 +75,41 @@ def test_contexts_equal_brute_force(spark):
 
 def test_temperature_lowers_the_loss():
     r = np.random.default_rng(0)
-    x = r.standard_normal((2000, 6))
-    y = (r.random(2000) < 1 / (1 + np.exp(-x[:, 0]))).astype(int)
+    x = r.standard_normal((300, 40))
+    y = (r.random(300) < 1 / (1 + np.exp(-x[:, 0]))).astype(int)
     net = quality.train(x, y, epochs=60)
-    p = net.scores(x)
-    assert abs(p.mean() - y.mean()) < 0.05 and net.temperature > 0
+    held = np.random.default_rng(7).permutation(300)[:60]  # what train() keeps for the temperature
+
+    def loss(t):
+        z = net.logits(x[held]) / t
+        return np.mean(np.logaddexp(0, z) - y[held] * z)
+
+    best = min(loss(t) for t in np.exp(np.linspace(-3, 3, 601)))
+    assert net.temperature > 1.5 and loss(net.temperature) < loss(1.0) - 0.1 and loss(net.temperature) < best + 1e-4
+
+
+def test_scores_equal_brute_force(spark):
+    rows = corpus(90) + [(500, "Word " * 30_000, "en", "s", 0, 1), (501, "", "en", "s", 0, 1)]
+    docs = spark.createDataFrame([(r[0], r[1], 0.5) for r in rows], "doc_id long, text string, score double")
+    vectors, net = quality.fit(docs, spark.createDataFrame([(r[0], r[5]) for r in rows], "doc_id long, quality int"))
+    got = {r.doc_id: r.score for r in quality.score(docs, vectors, net).collect()}
+    for doc, text, *_ in rows:
+        ids = np.frombuffer(quality.Words().of(text), "<i4").tolist()
+        n = max(1, len(ids))
+        again = sum(1 for k, w in enumerate(ids) if w >= quality.FIRST and w in ids[max(0, k - 2):k])
+        x = np.array([*(sum(vectors[w].astype(float) for w in ids) / n if ids else np.zeros(vectors.shape[1])), again / n, np.log1p(len(ids)) / 10])
+        hidden = np.tanh((x - net.shift) / net.scale @ net.a + net.b)
+        assert got[doc] == pytest.approx(1 / (1 + np.exp(-(hidden @ net.c + net.d) / net.temperature)), abs=1e-4)
+
+
+def test_labels_are_bounded_and_count_once(spark):
+    rows = corpus(200)
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows for _ in range(3)], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[5]) for r in rows for _ in range(2)], "doc_id long, quality int")
+    once = quality.fit(docs.distinct(), labels.distinct(), sample_rows=40)[1]
+    thrice = quality.fit(docs, labels.repartition(7), sample_rows=40)[1]
+    assert np.array_equal(once.shift, quality.fit(docs.distinct().repartition(5), labels, sample_rows=40)[1].shift)
+    assert np.allclose(once.shift[-2:], thrice.shift[-2:])  # the same documents, whatever repeats
 
 
 def pour_by_hand(capacity, weight, budget):

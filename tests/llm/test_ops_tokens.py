@@ -78,14 +78,24 @@ def test_token_files_round_trip(spark, byte_bpe):
 
 
 def test_token_files_have_the_format(spark):
-    from pyarrow import orc
-
     path = common.scratch(spark, "test-tokens")
-    token_output.write(documents(spark), path, row_index_stride=10_000)
-    import glob
-
-    names = glob.glob(path.removeprefix("file://") + "/*.orc")
-    assert sum(orc.ORCFile(n).nrows for n in names) == 8 and all(orc.ORCFile(n).row_index_stride == 10_000 for n in names)
+    docs = spark.range(48_000).selectExpr("id AS doc_id", "sha2(cast(id AS string), 512) AS text")
+    token_output.write(docs, path, row_index_stride=1000, stripe_bytes=1 << 20)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = [f.getPath() for f in folder.getFileSystem(conf).listStatus(folder) if f.getPath().getName().endswith(".orc")]
+    stripes, rows, runs, blooms = 0, 0, 0, 0
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(f, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        rows, found = rows + reader.getNumberOfRows(), list(reader.getStripes())
+        assert reader.getRowIndexStride() == 1000 and list(reader.getSchema().getFieldNames()) == ["doc_id", "part", "pos", "n_tokens", "tokens"]
+        for stripe in found:
+            footer, stripes = reader.rows().readStripeFooter(stripe), stripes + 1
+            streams = [(s.getKind().toString(), s.getColumn()) for s in footer.getStreamsList()]
+            assert {("ROW_INDEX", k) for k in range(1, 7)} <= set(streams)
+            blooms += ("BLOOM_FILTER_UTF8", 1) in streams
+            runs += all(footer.getColumns(k).getKind().toString() == "DIRECT_V2" for k in (1, 4, 6))  # run-length encoding, second version
+    assert rows == 48_000 and stripes > len(files) and runs == blooms == stripes
 
 
 def test_token_files_of_an_empty_table(spark):
@@ -146,6 +156,31 @@ def test_plan_fills_and_balances(lengths):
         assert sum(m for _, m in seen[d]) == n
 
 
+def plan_by_hand(lengths, capacity, quadratic):
+    """The rule word for word, every sequence looked at for every document."""
+    whole = [(d, s, capacity) for d, n in enumerate(lengths) for s in range(0, n - n % capacity, capacity)]
+    rests = sorted(((n % capacity, d) for d, n in enumerate(lengths) if n % capacity), key=lambda r: (-r[0], r[1]))
+    total = sum(n for n, _ in rests)
+    room = [capacity] * (total // capacity) + [1 << k for k in reversed(range(capacity.bit_length())) if total % capacity >> k & 1]
+    cost, out = [0.0] * len(room), [(d, s, n, k) for k, (d, s, n) in enumerate(whole)]
+    for n, d in rests:
+        start = lengths[d] - n
+        while n:
+            fits = [k for k in range(len(room)) if room[k] >= n]
+            k = min(fits, key=lambda k: (cost[k], k)) if fits else min((k for k in range(len(room)) if room[k] == max(room)), key=lambda k: (cost[k], k))
+            take = min(n, room[k])
+            out.append((d, start, take, len(whole) + k))
+            room[k], cost[k], n, start = room[k] - take, cost[k] + take + quadratic * take * take, n - take, start + take
+    return out
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 200), max_size=40))
+def test_plan_follows_the_costs(lengths):
+    got = sorted(p[:4] for p in packing.plan(lengths, 64, 1.0, 1 / 16))
+    assert got == sorted(plan_by_hand(lengths, 64, 1 / 16))
+
+
 def test_descending_documents_go_to_the_cheapest_sequence():
     pieces = packing.plan([6, 5, 5, 4, 4, 8], 8)
     first = {d: q for d, s, n, q, o in pieces if s == 0}
@@ -160,3 +195,12 @@ def test_counts(spark, word_counts):
         n = len(word_counts.whole.encode(t or "", add_special_tokens=False).ids)
         assert (got[k].n_bytes, got[k].n_tokens, got[k].over_limit) == (len((t or "").encode()), n, n > 3)
     assert token_counts.count(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, "a b", 5), (1, "a b", 5), (None, "a b", 5), (2, "a " * 50_000, 5)], "doc_id long, text string, n_bytes long")
+    rows = sorted(((r.doc_id or 0), r.n_bytes, r.n_tokens) for r in token_counts.count(twice).collect())
+    assert rows == [(0, 3, 2), (1, 3, 2), (1, 3, 2), (2, 100_000, 50_000)]
+
+
+def test_frequent_pieces_come_from_all_documents(spark):
+    df = spark.createDataFrame([(k, "common " * 3 + f"rare{k} " + ("late" if k > 180 else "")) for k in range(200)], "doc_id long, text string").repartition(5)
+    got = [(r.piece, r.n) for r in token_counts.frequent_pieces(df, 2, held=64).collect()]
+    assert got[0] == ("common", 600) and got[1][0] == "late" and got[1][1] <= 19

@@ -165,8 +165,9 @@ def write(docs: DataFrame, path: str, level: int = 9, earlier: Store | None = No
     uses = store.lists(spark).agg(F.sum(F.size("digests"))).first()[0] or 0
     hot = owners.where(F.col("rows") > max(SHARED, uses // HOT_CHUNKS)).select("digest", F.col("rid").alias("owner"))  # HOT_CHUNKS rows at most
     sent = texts.mapInArrow(send, f"{CHUNKS}, rid long").join(F.broadcast(hot), "digest", "left").where("owner IS NULL OR owner = rid").drop("owner")
-    owned = owners.select("digest", "rid").repartition(buckets, "digest").hint("shuffle_hash")
-    mine = sent.repartition(buckets, "digest").join(owned, ["digest", "rid"], "left_semi").drop("rid").dropDuplicates(["digest"])
+    owned = owners.select(F.col("digest").alias("_digest"), F.col("rid").alias("_least")).repartition(buckets, "_digest").hint("shuffle_hash")
+    # Joined by digest alone, as the rows are dealt: no row has less than the owner's hash.
+    mine = sent.repartition(buckets, "digest").join(owned, (F.col("digest") == F.col("_digest")) & (F.col("rid") <= F.col("_least")), "left_semi").drop("rid").dropDuplicates(["digest"])
     if earlier:
         mine = mine.join(earlier.chunks(spark).select("digest"), "digest", "left_anti")
     name = f"chunks_{uuid.uuid4().hex}"
@@ -241,7 +242,7 @@ def read(spark: SparkSession, store: Store) -> DataFrame:
     """
     common.ship(spark)
     chunks, lists = store.chunks(spark), store.lists(spark)
-    recipes = lists.select("recipe", "digests").groupBy("recipe").agg(F.first("digests").alias("digests"))
+    recipes = common.kept(lists.select("recipe", "digests").groupBy("recipe").agg(F.first("digests").alias("digests")), "recipes")
     parts = recipes.select("recipe", F.size("digests").alias("n"), F.posexplode("digests").alias("pos", "digest"))
     columns = ["recipe", "pos", "digest", F.coalesce("data", F.raise_error(F.lit("a chunk is missing")).cast("binary")).alias("data")]
     one = parts.where("n = 1").join(chunks, "digest", "left").select(*columns).mapInArrow(_rebuild, FEATURES)

@@ -17,7 +17,8 @@ def frequent_pieces(docs: DataFrame, entries: int = 8192, held: int = 1 << 18) -
 
     A task counts whole texts in one table; where it grows past `held` pieces, the rarer half goes.  It
     sends its `entries` most frequent ones, so what is summed by piece is a bounded list a task, never
-    the pre-tokens themselves.
+    the pre-tokens themselves.  Pieces under one in 16 * entries of all are left out before the rest is
+    ordered, so at most that many are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,7 +32,9 @@ def frequent_pieces(docs: DataFrame, entries: int = 8192, held: int = 1 << 18) -
         yield pa.record_batch([pa.array([w for w, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], names=["piece", "n"])
 
     found = docs.select(common.text_of("text").alias("text")).mapInArrow(run, "piece string, n long")
-    return found.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "piece").limit(entries)
+    found = common.kept(found.groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
+    total = found.agg(F.sum("n")).first()[0] or 0
+    return found.where(F.col("n") * 16 * entries >= total).orderBy(F.col("n").desc(), "piece").limit(entries)
 
 
 def frequent_lengths(docs: DataFrame, spec, entries: int = 8192) -> dict[str, int]:

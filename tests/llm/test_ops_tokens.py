@@ -202,5 +202,5 @@ def test_counts(spark, word_counts):
 
 def test_frequent_pieces_come_from_all_documents(spark):
     df = spark.createDataFrame([(k, "common " * 3 + f"rare{k} " + ("late" if k > 180 else "")) for k in range(200)], "doc_id long, text string").repartition(5)
-    got = [(r.piece, r.n) for r in token_counts.frequent_pieces(df, 2, held=64).collect()]
+    got = [(r.piece, r.n) for r in token_counts.frequent_pieces(df, 4, held=64).collect()]
     assert got[0] == ("common", 600) and got[1][0] == "late" and got[1][1] <= 19

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.llm import common
 
-BITS, HALF, THRESHOLD, BLOCK = 64, 31, 3, 4096
+BITS, HALF, THRESHOLD, BLOCK, CROWDS = 64, 31, 3, 4096, 200_000
 
 
 def fingerprint(text: str, seed: int = 42, shingle: int = 3, block: int = 1 << 17) -> int:
@@ -99,11 +99,14 @@ def links(fps: DataFrame) -> DataFrame:
     most.  So in each half a fingerprint stands at the anchor within covering radius 1, is copied to
     every anchor within radius 1 + 1, and the two are compared anchor by anchor in full: no link is
     missed.  A fingerprint has 32 copies at most and 43,744 partners at most, whatever the corpus.  An
-    anchor where over BLOCK fingerprints stand is dealt over blocks of them, and the copies to each.
+    anchor where over BLOCK fingerprints stand, or over one in CROWDS of all, is dealt over blocks of
+    them, and the copies to each; so the crowded anchors are CROWDS at most.
     """
     home = _anchors(fps, near=False)
     near = _anchors(fps, near=True).withColumnRenamed("fp", "other")
-    crowds = home.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    crowded = max(BLOCK, -(-2 * fps.count() // CROWDS))
+    crowds = home.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowded)
+    crowds = F.broadcast(crowds.select("anchor", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))  # CROWDS rows at most
     one = F.coalesce("blocks", F.lit(1))
     home = home.join(crowds, "anchor", "left").select("anchor", "fp", F.pmod(F.xxhash64("fp"), one).cast("int").alias("block"))
     near = near.join(crowds, "anchor", "left").select("anchor", "other", F.explode(F.sequence(F.lit(0), one - 1)).alias("block"))

@@ -45,6 +45,13 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str,
     return rows.select("_row.*", F.col("_found._at").alias(f"asof_{right_time}"), *[F.col(f"_found.{c}").alias(c) for c in columns])
 
 
+def small(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """df as a broadcast table where it has `most` rows at most (a calendar, a market's sessions), else
+    df as it is, for a join that the planner chooses.  It is run once, up to that many rows, to know."""
+    rows = df.limit(most + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df
+
+
 def locf_intervals(observations: DataFrame, keys: Sequence[str], available: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
     """[valid_from, valid_to) by the next availability; the last interval is open (null end)."""
     w = Window.partitionBy(*keys).orderBy(available)

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.functions.expr import clip, corr, count_if, ratio, round6, share
+from chronoframe.operators import features as X
 from chronoframe.operators import panel as P
 from chronoframe.operators import rules as R
+from chronoframe.operators import targets as T
 from chronoframe.operators import windows as W
 from chronoframe.plans.bindings import Tables
 from chronoframe.queries.registry import query
@@ -128,14 +130,14 @@ def market_state_zscore(t: Tables) -> DataFrame:
     return s.select("d", F.round("breadth_z", 4).alias("breadth_z"), F.round("dispersion_z", 4).alias("dispersion_z"), round6("trend").alias("trend"), R.label(R.MARKET_STATE, "mixed").alias("state"))
 
 
-@query(f"""SELECT entity, d, {', '.join(f"round(close / nullif(lag(close, {k}) OVER w, 0) - 1, 6) AS momentum_{k}" for k in (1, 5, 20, 60, 120, 252))},
+@query(f"""SELECT entity, d, {', '.join(f"round(close / nullif(lag(close, {k}) OVER w, 0) - 1, 6) AS momentum_{k}" for k in (1, 5, 20, 60, 120, 250))},
   {', '.join(f"CASE WHEN count(close) OVER (w ROWS {n - 1} PRECEDING) >= {n} THEN round(avg(close) OVER (w ROWS {n - 1} PRECEDING), 4) END AS sma_{n}" for n in (20, 50, 200))},
   CASE WHEN count(close) OVER (w ROWS 199 PRECEDING) >= 200 AND avg(close) OVER (w ROWS 49 PRECEDING) > avg(close) OVER (w ROWS 199 PRECEDING) THEN 1.0::DOUBLE ELSE 0.0 END AS sma_50_above_200
 FROM panel WINDOW w AS ({BY})""")
 def features_momentum_sma(t: Tables) -> DataFrame:
     w = W.by_time("entity", "d")
     out = t.panel()
-    momentum = [round6(ratio("close", F.lag("close", k).over(w)) - 1).alias(f"momentum_{k}") for k in (1, 5, 20, 60, 120, 252)]
+    momentum = [round6(ratio("close", F.lag("close", k).over(w)) - 1).alias(f"momentum_{k}") for k in (1, 5, 20, 60, 120, 250)]
     sma = {n: W.rolling(F.avg("close"), F.col("close"), W.frame(w, n), n) for n in (20, 50, 200)}
     above = F.when(sma[50] > sma[200], 1.0).otherwise(0.0).alias("sma_50_above_200")
     return out.select("entity", "d", *momentum, *[F.round(x, 4).alias(f"sma_{n}") for n, x in sma.items()], above)
@@ -205,24 +207,38 @@ def forward_returns_paths(t: Tables) -> DataFrame:
     return out.select("entity", "d", *[round6(f"forward_{k}_{h}").alias(f"forward_{k}_{h}") for h in (5, 20) for k in ("return", "drawdown", "gain")])
 
 
-@query(f"""WITH a AS (SELECT entity, d, lead(close, 20) OVER w / nullif(close, 0) - 1 AS fr, min(close) OVER f / nullif(close, 0) - 1 AS mae, max(close) OVER f / nullif(close, 0) - 1 AS mfe,
-  list(close) OVER f AS path, close FROM panel WINDOW w AS ({BY}), f AS ({BY} ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)),
-b AS (SELECT *, fr - median(fr) OVER (PARTITION BY d) AS excess, (rank() OVER (PARTITION BY d ORDER BY fr NULLS LAST) + (count(*) OVER (PARTITION BY d, fr) - 1) / 2.0) / count(fr) OVER (PARTITION BY d) AS pr
-  FROM a WHERE fr IS NOT NULL)
-SELECT entity, d, round(fr, 6) AS forward_return, round(mae, 6) AS mae, round(mfe, 6) AS mfe, list_position(path, list_max(path)) AS time_to_high, list_position(path, list_min(path)) AS time_to_low,
-  round(excess, 6) AS excess_median, round(pr, 6) AS percentile_rank, CAST(least(10, floor(pr * 10) + 1) AS INTEGER) AS decile, pr > 0.8 AS top_20, pr <= 0.2 AS bottom_20,
-  fr >= 0.05 AS up_5, fr <= -0.05 AS down_5 FROM b""")
+def _levels(t: Tables) -> DataFrame:
+    """(entity, d, level): the total-return index."""
+    return P.total_returns(t.panel(), _dividends(t)).select("entity", "d", F.round("total_return_index", 9).alias("level"))
+
+
+def _market_levels(t: Tables) -> DataFrame:
+    return t.market().select("d", F.col("close").alias("level"))
+
+
+LEVELS = f"""lv AS (SELECT entity, d, round(exp(coalesce(sum(CASE WHEN tr > -1 THEN ln(1 + tr) END) OVER ({BY} ROWS UNBOUNDED PRECEDING), 0.0)), 9) AS level FROM (
+  SELECT *, close / nullif(prev, 0) - 1 + coalesce(CASE WHEN day(d) = 15 THEN close * 0.02 END / nullif(prev, 0), 0.0) AS tr FROM (
+    SELECT *, last_value(close IGNORE NULLS) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM panel)))"""
+PATH_HORIZONS = "(VALUES " + ", ".join(f"({h})" for h in T.HORIZONS) + ") AS hs(horizon)"
+
+
+@query(f"""WITH {LEVELS}, o AS (SELECT *, ln(level / lag(level) OVER ({BY})) AS l, row_number() OVER ({BY}) AS n FROM lv),
+g AS (SELECT entity, list(level ORDER BY d) AS ls, list(d ORDER BY d) AS ds, list(l ORDER BY d) AS os FROM o GROUP BY 1),
+a AS (SELECT entity, d, horizon, ds[n + horizon] AS exit_date, list_transform(ls[n + 1:n + horizon], lambda x: x / level - 1) AS p, list_stddev_pop(os[n + 1:n + horizon]) * sqrt(252) AS vol FROM o JOIN g USING (entity) CROSS JOIN {PATH_HORIZONS} WHERE n + horizon <= len(ls)),
+b AS (SELECT *, p[-1] AS r, list_max(p) AS high, list_min(p) AS low, list_reduce(list_transform(list_prepend(0.0::DOUBLE, p), lambda c: {{'k': c, 'v': 0.0::DOUBLE}}), lambda q, z: {{'k': greatest(q.k, z.k), 'v': least(q.v, (1 + z.k) / (1 + greatest(q.k, z.k)) - 1)}}).v AS dd,
+  list_transform(p, lambda x, i: x - CASE WHEN i = 1 THEN 0.0 ELSE p[i - 1] END) AS s FROM a),
+c AS (SELECT * EXCLUDE (p, s), p[-1] AS terminal, list_position(p, high) AS th, list_position(p, low) AS tl, list_stddev_pop(s) AS sd, list_avg(list_transform(s, lambda x: CAST(x >= 0 AS INT))) AS ups FROM b),
+e AS (SELECT c.*, r - median(r) OVER k AS xm, (rank() OVER (PARTITION BY c.d, horizon ORDER BY r) + (count(*) OVER (PARTITION BY c.d, horizon, r) - 1) / 2.0) / count(*) OVER k AS pr, count(*) OVER k AS eligible,
+  r - (m1.close / nullif(m0.close, 0) - 1) AS xb FROM c LEFT JOIN market m0 ON c.d = m0.d LEFT JOIN market m1 ON c.exit_date = m1.d WINDOW k AS (PARTITION BY c.d, horizon))
+SELECT entity, d, horizon, exit_date, round(r, 6) AS total_return, round(ln(1 + r), 6) AS log_return, round(xb, 6) AS excess_benchmark, round(xm, 6) AS excess_median, round(pr, 6) AS percentile_rank, eligible AS eligible_count,
+  pr >= 0.9 AS top_10, pr >= 0.8 AS top_20, pr <= 0.1 AS bottom_10, pr <= 0.2 AS bottom_20, {', '.join(f"r > {m} AS move_up_{round(m * 100)}, r < -{m} AS move_down_{round(m * 100)}" for m in T.MOVES)},
+  round(high, 6) AS mfe, round(low, 6) AS mae, round(dd, 6) AS max_drawdown, th AS time_to_high, tl AS time_to_low, {R.case(R.PATH_SHAPE, 'sideways')} AS path_shape, round(vol, 6) AS realised_vol,
+  round(r / nullif(round(vol, 9), 0), 4) AS return_over_vol, round(r / nullif(abs(least(low, 0)), 0), 4) AS return_over_downside, round(r / nullif(abs(dd), 0), 4) AS calmar FROM e""")
 def targets_supervised(t: Tables) -> DataFrame:
-    w = W.by_time("entity", "d")
-    f = w.rowsBetween(1, 20)
-    a = t.panel().select("entity", "d", "close", (ratio(F.lead("close", 20).over(w), "close") - 1).alias("fr"), (ratio(F.min("close").over(f), "close") - 1).alias("mae"),
-                         (ratio(F.max("close").over(f), "close") - 1).alias("mfe"), F.collect_list("close").over(f).alias("path")).where("fr IS NOT NULL")
-    day = Window.partitionBy("d")
-    a = a.withColumn("excess", F.col("fr") - F.median("fr").over(day)).withColumn("pr", W.percentile_rank("fr", ["d"]))
-    at = lambda g: F.array_position("path", g("path")).cast("int")
-    return a.select("entity", "d", round6("fr").alias("forward_return"), round6("mae").alias("mae"), round6("mfe").alias("mfe"), at(F.array_max).alias("time_to_high"), at(F.array_min).alias("time_to_low"),
-                    round6("excess").alias("excess_median"), round6("pr").alias("percentile_rank"), F.least(F.lit(10), F.floor(F.col("pr") * 10).cast("int") + 1).alias("decile"),
-                    (F.col("pr") > 0.8).alias("top_20"), (F.col("pr") <= 0.2).alias("bottom_20"), (F.col("fr") >= 0.05).alias("up_5"), (F.col("fr") <= -0.05).alias("down_5"))
+    out = T.supervised(_levels(t), benchmark=_market_levels(t)).withColumn("return_over_vol", ratio("total_return", F.round("realised_vol", 9)))
+    fine = {"total_return", "log_return", "excess_benchmark", "excess_median", "percentile_rank", "mfe", "mae", "max_drawdown", "realised_vol"}
+    rough = {"return_over_vol", "return_over_downside", "calmar"}
+    return out.select(*[round6(c).alias(c) if c in fine else F.round(c, 4).alias(c) if c in rough else c for c in out.columns])
 
 
 @query(f"""WITH a AS (SELECT entity, d, close, list(close) OVER ({BY} ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS path FROM panel),
@@ -237,17 +253,46 @@ def path_shapes(t: Tables) -> DataFrame:
     return P.path_facts(a, "p").select("entity", "d", round6("sd").alias("step_deviation"), R.label(R.PATH_SHAPE, "sideways").alias("path_shape"))
 
 
-@query(f"""WITH a AS (SELECT entity, d, close, lead(close, 20) OVER w AS e, lead(close, 5) OVER w AS wait, list(close) OVER (w ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS path FROM panel WINDOW w AS ({BY})),
-b AS (SELECT *, list_position(list_transform(path, lambda x: x <= close * 0.9), true) AS hit FROM a WHERE e IS NOT NULL)
-SELECT entity, d, round(e / nullif(close, 0) - 1, 6) AS buy_now, round(e / nullif(wait, 0) - 1, 6) AS wait_5, hit > 0 AS entered, CAST(CASE WHEN hit > 0 THEN hit END AS INTEGER) AS entry_session,
-  CASE WHEN hit > 0 THEN round(e / nullif(path[hit], 0) - 1, 6) END AS limit_10 FROM (SELECT * REPLACE (coalesce(hit, 0) AS hit) FROM b)""")
+_DELAY_SQL = " UNION ALL ".join(f"SELECT *, '{p}' AS policy, CAST(NULL AS DOUBLE) AS threshold, least({k}, horizon) AS hit FROM a" for p, k in T.DELAYS.items())
+_DIP_SQL = " UNION ALL ".join(f"SELECT *, '{p}' AS policy, level * (1 - {x}) AS threshold, list_position(list_transform(ls[n + 1:n + least(10, horizon)], lambda y: y <= level * (1 - {x})), true) AS hit FROM a" for p, x in T.DIPS.items())
+
+
+@query(f"""WITH {LEVELS}, o AS (SELECT *, row_number() OVER ({BY}) AS n FROM lv), g AS (SELECT entity, list(level ORDER BY d) AS ls, list(d ORDER BY d) AS ds FROM o GROUP BY 1),
+a AS (SELECT entity, d, level, n, ls, ds, horizon, ls[n + horizon] / nullif(ls[n + 1], 0) - 1 AS buy FROM o JOIN g USING (entity) CROSS JOIN {PATH_HORIZONS} WHERE n + horizon <= len(ls)),
+u AS ({_DELAY_SQL} UNION ALL {_DIP_SQL}), v AS (SELECT * REPLACE (nullif(hit, 0) AS hit) FROM u), x AS (SELECT *, ls[n + hit] AS price, ls[n + horizon] / nullif(ls[n + hit], 0) - 1 AS got FROM v)
+SELECT entity, d, horizon, policy, round(threshold, 6) AS threshold, ds[n + hit] AS entry_date, round(price, 6) AS entry_price, ds[n + horizon] AS exit_date, round(got, 6) AS policy_return, round(buy, 6) AS buy_now_return,
+  round(1 - price / nullif(ls[n + 1], 0), 6) AS entry_improvement, round(buy - coalesce(got, 0), 6) AS missed_return, hit IS NOT NULL AS entered FROM x""")
 def first_touch_entry(t: Tables) -> DataFrame:
-    w = W.by_time("entity", "d")
-    a = t.panel().select("entity", "d", "close", F.lead("close", 20).over(w).alias("e"), F.lead("close", 5).over(w).alias("wait"), F.collect_list("close").over(w.rowsBetween(1, 10)).alias("path")).where("e IS NOT NULL")
-    a = a.withColumn("hit", F.expr("array_position(transform(path, x -> x <= close * 0.9), true)").cast("int"))
-    hit = F.col("hit") > 0
-    return a.select("entity", "d", round6(ratio("e", "close") - 1).alias("buy_now"), round6(ratio("e", "wait") - 1).alias("wait_5"), hit.alias("entered"), F.when(hit, F.col("hit")).alias("entry_session"),
-                    F.when(hit, round6(ratio("e", F.expr("try_element_at(path, greatest(hit, 1))")) - 1)).alias("limit_10"))
+    out = T.entries(_levels(t))
+    rounded = {"threshold", "entry_price", "policy_return", "buy_now_return", "entry_improvement", "missed_return"}
+    return out.select(*[round6(c).alias(c) if c in rounded else c for c in out.columns])
+
+
+_FULL = lambda agg, x, n: f"CASE WHEN count({x}) OVER (w ROWS {n - 1} PRECEDING) >= {n} THEN {agg} OVER (w ROWS {n - 1} PRECEDING) END"
+_FALL = lambda n: f"CASE WHEN count(close) OVER (w ROWS {n - 1} PRECEDING) >= {n} THEN list(close) OVER (w ROWS {n - 1} PRECEDING) END"
+_FOLD = "list_reduce(list_transform({0}, lambda c: {{'k': c, 'v': 0.0::DOUBLE}}), lambda q, z: {{'k': greatest(q.k, z.k), 'v': least(q.v, z.k / greatest(q.k, z.k) - 1)}}).v"
+
+
+@query(f"""WITH b0 AS (SELECT ret.entity, ret.d, ret.close, ret.value, ret.volume, ret.r, mret.r AS m FROM ret LEFT JOIN mret ON ret.d = mret.d),
+b1 AS (SELECT *, coalesce(value, 0.0) AS v, CASE WHEN r < 0 THEN r END AS neg, CASE WHEN r IS NOT NULL AND m IS NOT NULL THEN r END AS y, CASE WHEN r IS NOT NULL THEN m END AS x, CAST(coalesce(volume, 0) <= 0 AS INT) AS zero FROM b0),
+b2 AS (SELECT *, {', '.join(f"close / nullif(lag(close, {n}) OVER w, 0) - 1 AS return_{n}" for n in X.RETURNS)}, {', '.join(_FULL('avg(close)', 'close', n) + f' AS sma_{n}' for n in X.MEANS)},
+  {_FULL('max(close)', 'close', 250)} AS hi, {_FULL('min(close)', 'close', 250)} AS lo, max(close) OVER (w ROWS UNBOUNDED PRECEDING) AS peak, row_number() OVER w AS n,
+  {', '.join(_FULL('stddev_samp(r)', 'r', n) + f' * sqrt(252) AS volatility_{n}' for n in X.DEVIATIONS)}, CASE WHEN count(neg) OVER (w ROWS 59 PRECEDING) >= 20 THEN stddev_samp(neg) OVER (w ROWS 59 PRECEDING) * sqrt(252) END AS downside_volatility_60,
+  {', '.join(_FALL(n) + f' AS f{n}' for n in X.DRAWDOWNS)}, {', '.join(_FULL('avg(v)', 'v', n) + f' AS turnover_mean_{n}, ' + _FULL('median(v)', 'v', n) + f' AS turnover_median_{n}' for n in X.TURNOVERS)}, {_FULL('sum(zero)', 'zero', 20)} AS zeros,
+  {', '.join(_FULL('sum(ln(1 + m))', 'm', n) + f' AS bl_{n}' for n in X.STRENGTHS)}, {', '.join(_FULL('covar_samp(y, x)', 'x', n) + f' AS c_{n}, ' + _FULL('var_samp(x)', 'x', n) + f' AS vx_{n}, ' + _FULL('var_samp(y)', 'x', n) + f' AS vy_{n}' for n in X.BETAS)}
+  FROM b1 WINDOW w AS ({BY})),
+b3 AS (SELECT *, coalesce(close >= sma_200, false) AS above FROM b2), b4 AS (SELECT *, coalesce(above <> lag(above) OVER ({BY}), true) AS step FROM b3), b5 AS (SELECT *, max(CASE WHEN step THEN n END) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS start FROM b4)
+SELECT entity, d, {', '.join(f'round(return_{n}, 6) AS return_{n}' for n in X.RETURNS)}, {', '.join(f'round(sma_{n}, 4) AS sma_{n}, round(close / nullif(sma_{n}, 0) - 1, 6) AS price_to_sma_{n}' for n in X.MEANS)},
+  {', '.join(f'round(sma_{n} / nullif(lag(sma_{n}, 5) OVER ({BY}), 0) - 1, 6) AS sma_{n}_slope' for n in X.SLOPES)}, coalesce(CAST(sma_50 > sma_200 AS DOUBLE), 0.0::DOUBLE) AS sma_50_above_200, CASE WHEN above THEN n - start + 1 ELSE -1 END AS days_vs_sma_200,
+  round((close - lo) / nullif(hi - lo, 0), 6) AS range_52w_position, round(close / nullif(hi, 0) - 1, 6) AS distance_to_52w_high, round(close / nullif(lo, 0) - 1, 6) AS distance_to_52w_low,
+  {', '.join(f'round(volatility_{n}, 6) AS volatility_{n}' for n in X.DEVIATIONS)}, round(downside_volatility_60, 6) AS downside_volatility_60, {', '.join(f"round({_FOLD.format(f'f{n}')}, 6) AS max_drawdown_{n}" for n in X.DRAWDOWNS)},
+  round(close / nullif(peak, 0) - 1, 6) AS current_drawdown, {', '.join(f'round(turnover_{k}_{n}, 4) AS turnover_{k}_{n}' for n in X.TURNOVERS for k in ('mean', 'median'))}, round(v / nullif(turnover_mean_20, 0), 6) AS turnover_to_mean_20, CAST(zeros AS BIGINT) AS zero_volume_days_20,
+  {', '.join(f'round((1 + return_{n}) / nullif(exp(bl_{n}), 0) - 1, 6) AS relative_strength_{n}' for n in X.STRENGTHS)}, {', '.join(f'round(c_{n} / nullif(vx_{n}, 0), 4) AS beta_{n}, round(c_{n} / nullif(sqrt(vx_{n}) * sqrt(vy_{n}), 0), 4) AS correlation_{n}' for n in X.BETAS)} FROM b5""")
+def features_standard(t: Tables) -> DataFrame:
+    out = X.standard(t.panel().select("entity", "d", "close", "value", "volume"), t.market()).drop("close", "value", "volume")
+    four = {f"sma_{n}" for n in X.MEANS} | {f"turnover_{k}_{n}" for n in X.TURNOVERS for k in ("mean", "median")} | {f"{k}_{n}" for n in X.BETAS for k in ("beta", "correlation")}
+    as_is = {"entity", "d", "days_vs_sma_200", "zero_volume_days_20", "sma_50_above_200"}
+    return out.select(*[c if c in as_is else F.round(c, 4 if c in four else 6).alias(c) for c in out.columns])
 
 
 @query(f"""SELECT entity, d, CAST(max(high) OVER f >= close * 1.05 AS INT) AS high_touch, CAST(min(low) OVER f <= close * 0.95 AS INT) AS low_touch,

@@ -8,24 +8,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.functions.expr import clip, ratio
+from chronoframe.operators import rules as R
 
 
 def spaced_top_k(df: DataFrame, keys: Sequence[str], distance: str, position: str, spacing: int, k: int) -> DataFrame:
     """The k nearest rows of each key, taken in order of (distance, position), skipping rows within
-    `spacing` positions of one already taken.  A fold over one sorted array: stays in the JVM."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(distance).alias("distance"), F.col(position).alias("position"))))
-    rows = df.groupBy(*keys).agg(items.alias("items"))
+    `spacing` positions of one already taken; positions are distinct by key.
+
+    A row taken rules out 2 * spacing - 2 others at most, so the k-th stands among the first
+    (k - 1) * (2 * spacing - 1) + 1: a key's array holds that many, however long its series."""
+    order = Window.partitionBy(*keys).orderBy(F.col(distance).asc_nulls_last(), position)
+    near = df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= (k - 1) * (2 * spacing - 1) + 1)
+    items = F.array_sort(F.collect_list(F.struct("_n", F.col(distance).alias("distance"), F.col(position).alias("position"))))
+    rows = near.groupBy(*keys).agg(items.alias("items"))
     none = F.slice("items", 1, 0)
     taken = F.aggregate("items", none, lambda acc, x: F.when((F.size(acc) < k) & F.forall(acc, lambda y: F.abs(y["position"] - x["position"]) >= spacing), F.concat(acc, F.array(x))).otherwise(acc))
     return rows.select(*keys, F.posexplode(taken).alias("rank", "item")).select(*keys, (F.col("rank") + 1).alias("rank"), F.col("item.position").alias(position), F.col("item.distance").alias(distance))
 
 
 def robust_scaled(df: DataFrame, columns: Sequence[str], train: Column, limit: float = 12.0) -> DataFrame:
-    """(x - median) / IQR with the statistics of the train rows, clipped; a zero IQR gives null."""
+    """(x - median) / IQR with the statistics of the train rows, clipped; an unknown value counts as the
+    median, an IQR that is zero or unknown as 1."""
     stats = df.where(train).agg(*[s for c in columns for s in (F.percentile(c, 0.5).alias(f"_m_{c}"), (F.percentile(c, 0.75) - F.percentile(c, 0.25)).alias(f"_q_{c}"))])
     out = df.join(F.broadcast(stats))
     for c in columns:
-        out = out.withColumn(c, clip(ratio(F.col(c) - F.col(f"_m_{c}"), f"_q_{c}"), -limit, limit))
+        scale = F.coalesce(F.nullif(F.col(f"_q_{c}"), F.lit(0.0)), F.lit(1.0))
+        out = out.withColumn(c, clip((F.coalesce(F.col(c), F.col(f"_m_{c}")) - F.col(f"_m_{c}")) / scale, -limit, limit))
     return out.select(*df.columns)
 
 
@@ -79,17 +87,6 @@ def first_passage(path: Column, upper: float, lower: float) -> Column:
     return F.struct(side.alias("side"), F.when((up > 0) | (down > 0), F.least(F.when(up > 0, up), F.when(down > 0, down))).cast("int").alias("session"))
 
 
-def dtw(a: Sequence[float], b: Sequence[float]) -> float:
-    """Dynamic time warping distance with absolute costs."""
-    last = [0.0] + [float("inf")] * len(b)
-    for x in a:
-        row = [float("inf")]
-        for j, y in enumerate(b, 1):
-            row.append(abs(x - y) + min(last[j], row[j - 1], last[j - 1]))
-        last = row
-    return last[-1]
-
-
 def nearest_representative(days: DataFrame, representatives: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
     """Each day with its nearest representative's position (ties: the earlier): two passes over one
     order, one looking back and one ahead."""
@@ -108,3 +105,25 @@ def compatibility(a: dict[str, Column], b: dict[str, Column]) -> Column:
     known = [a[k].isNotNull() & b[k].isNotNull() for k in a]
     same = sum((F.when(n & (a[k] == b[k]), 1).otherwise(0) for k, n in zip(a, known)), F.lit(0))
     return ratio(same, sum((F.when(n, 1).otherwise(0) for n in known), F.lit(0)))
+
+
+def regime_dimensions(facts: DataFrame, order: str, keys: Sequence[str]) -> DataFrame:
+    """Adds market_trend, volatility and rates to facts (ret60, drawdown, vol, level), each judged by the
+    quantiles and the deviation of the values up to its own row; for calendar-sized tables."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    h = w.rowsBetween(Window.unboundedPreceding, 0)
+    q = facts.withColumns({f"q{x}": F.percentile("vol", F.lit(x / 100)).over(h) for x in (25, 75, 90)} | {"n": F.count("vol").over(h)})
+    q = q.withColumns({"market_trend": R.label(R.MARKET_TREND, "strong_bull"), "volatility": R.label(R.VOLATILITY_REGIME, "normal")})
+    q = q.withColumns({"n": F.count("level").over(h), "change": F.col("level") - F.lag("level", 20).over(w), "meaningful": F.nullif(F.stddev_samp("level").over(h), F.lit(0.0)) * 0.1, "q75": F.percentile("level", F.lit(0.75)).over(h)})
+    return q.withColumn("rates", R.label(R.RATES_REGIME, "stable_normal")).drop("q25", "q75", "q90", "n", "change", "meaningful")
+
+
+def novelty(df: DataFrame, columns: Sequence[str], train: Column) -> DataFrame:
+    """Adds distance, root mean square difference to the train rows' medians, and p, the share of train
+    rows whose distance is at most that: a running count over the merged order."""
+    stats = df.where(train).agg(*[F.percentile(c, 0.5).alias(f"_c_{c}") for c in columns])
+    squares = sum(((F.col(c) - F.col(f"_c_{c}")) * (F.col(c) - F.col(f"_c_{c}")) for c in columns), F.lit(0.0))
+    rows = df.join(F.broadcast(stats)).withColumn("distance", F.round(F.sqrt(squares / len(columns)), 9)).withColumn("_t", train.cast("int")).withColumn("_k", F.lit(1))
+    w = Window.partitionBy("_k")
+    share = F.sum("_t").over(w.orderBy("distance").rangeBetween(Window.unboundedPreceding, 0)) / F.sum("_t").over(w)
+    return rows.withColumn("p", share).drop("_t", "_k", *[f"_c_{c}" for c in columns])

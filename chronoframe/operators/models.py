@@ -7,73 +7,92 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from chronoframe.functions.expr import corr
+from chronoframe.functions.workers import ship
 
 
-def nearest(vectors: DataFrame, key: str, column: str, is_query: Column, k: int, block: int = 512) -> DataFrame:
-    """(query_id, <key>, rank, cosine): the k nearest other rows of every query row.
+def nearest(vectors: DataFrame, key: str, column: str, is_query: Column, k: int, queries_at_once: int = 2048, rows_at_once: int = 32_768) -> DataFrame:
+    """(query_id, <key>, rank, cosine): the k nearest other rows of every query row; ties by id.
 
-    Queries go out in blocks of bounded size and meet all rows, once a block; a task keeps k rows a
-    query, so what is shuffled is k rows a query and task.
+    Queries and rows are dealt over blocks by a hash of their ids and every query block meets every row
+    block in a task of its own: one pass, whatever the number of either, and k rows a query and block
+    are what is ranked in the end.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    queries = vectors.where(is_query).select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    found = None
-    held: list = []
-
-    def unit(x: np.ndarray) -> np.ndarray:
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(n > 0, n, np.nan)
-
-    def scan(part: list) -> DataFrame:
-        ids, q = np.array([r.id for r in part]), unit(np.array([r.v for r in part]))
-        shared = spark.sparkContext.broadcast((ids, q))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qid, qv = shared.value
-            best = pd.DataFrame({"query_id": [], "id": [], "cosine": []})
-            for b in batches:
-                b = b[b["v"].map(len) == qv.shape[1]]
-                if not len(b):
-                    continue
-                ids_ = b["id"].to_numpy()
-                sim = np.round(qv @ unit(np.stack(b["v"].to_numpy())).T, 9)
-                sim[qid[:, None] == ids_[None, :]] = -np.inf
-                sim = np.where(np.isnan(sim), -np.inf, sim)
-                frame = pd.DataFrame({"query_id": np.repeat(qid, len(ids_)), "id": np.tile(ids_, len(qid)), "cosine": sim.ravel()})
-                frame = pd.concat([best, frame[np.isfinite(frame["cosine"])]])
-                best = frame.sort_values(["query_id", "cosine", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            yield best.astype({"query_id": "int64", "id": "int64", "cosine": "float64"})
-
-        return rows.mapInPandas(run, "query_id long, id long, cosine double")
-
-    for row in queries.toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            found = scan(held) if found is None else found.unionByName(scan(held))
-            held = []
-    if held or found is None:
-        empty = spark.createDataFrame([], "query_id long, id long, cosine double")
-        part = scan(held) if held else empty
-        found = part if found is None else found.unionByName(part)
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"), is_query.alias("q")).where("id IS NOT NULL AND v IS NOT NULL")
+    n = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("q"), 1)).alias("q")).first()
+    across, down = max(1, -(-n.q // queries_at_once)), max(1, -(-n.n // rows_at_once))
+    block = lambda name, of: F.pmod(F.xxhash64("id"), F.lit(of)).cast("int").alias(name)
+    every = lambda name, of: F.explode(F.sequence(F.lit(0), F.lit(of - 1))).alias(name)
+    asked = rows.where("q").select("id", "v", F.lit(True).alias("q"), block("a", across), every("b", down))
+    seen = rows.select("id", "v", F.lit(False).alias("q"), block("b", down), every("a", across))
+
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        x = np.array(column.to_pylist(), float)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(size > 0, size, np.nan)
+
+    def scan(table: pa.Table) -> pa.Table:
+        out: list[pa.Table] = []
+        width = pa.compute.list_value_length(table["v"])
+        for dim in pa.compute.unique(width.filter(table["q"])).to_pylist():
+            part = table.filter(pa.compute.equal(width, dim))
+            some, all_ = part.filter(part["q"]), part.filter(pa.compute.invert(part["q"]))
+            if not len(all_):
+                continue
+            qid, rid, q, r = some["id"].to_numpy(), all_["id"].to_numpy(), unit(some["v"]), unit(all_["v"])
+            for at in range(0, len(qid), 256):
+                near = np.round(q[at:at + 256] @ r.T, 9)
+                near[(qid[at:at + 256, None] == rid[None, :]) | np.isnan(near)] = -np.inf
+                least = np.partition(near, -min(k, len(rid)), axis=1)[:, -min(k, len(rid))]
+                i, j = np.nonzero((near >= least[:, None]) & np.isfinite(near))
+                order = np.lexsort((rid[j], -near[i, j], i))
+                i, j = i[order], j[order]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j = i[first], j[first]
+                out.append(pa.table({"query_id": qid[at:at + 256][i], "id": rid[j], "cosine": near[i, j]}))
+        none = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        return pa.concat_tables([none, *out])
+
+    found = asked.unionByName(seen).groupBy("a", "b").applyInArrow(scan, "query_id long, id long, cosine double")
     w = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("id", key)
 
 
+def warping(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dynamic time warping distances with absolute costs of rows of a to rows of b, all at once."""
+    last = np.full((b.shape[1] + 1, len(a)), np.inf)
+    last[0] = 0.0
+    for i in range(a.shape[1]):
+        row = np.full_like(last, np.inf)
+        for j in range(1, b.shape[1] + 1):
+            row[j] = np.abs(a[:, i] - b[:, j - 1]) + np.minimum(np.minimum(last[j], row[j - 1]), last[j - 1])
+        last = row
+    return last[-1]
+
+
 def dtw_distance(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Adds dtw, the warping distance of two array columns."""
-    from chronoframe.operators.analogs import dtw
+    """Adds dtw, the warping distance of two array columns; null where one is null or empty."""
+    ship(df.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            yield x.assign(dtw=[dtw(p, q) for p, q in zip(x[a], x[b])])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = batch.column(batch.schema.get_field_index(a)).to_pylist(), batch.column(batch.schema.get_field_index(b)).to_pylist()
+            out, groups = [None] * len(p), {}
+            for k, (x, y) in enumerate(zip(p, q)):
+                if x and y:
+                    groups.setdefault((len(x), len(y)), []).append(k)
+            for some in groups.values():
+                for k, d in zip(some, warping(np.array([p[k] for k in some], float), np.array([q[k] for k in some], float)).tolist()):
+                    out[k] = d
+            yield pa.record_batch([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "dtw"])
 
-    return df.mapInPandas(run, StructType([*df.schema.fields, StructField("dtw", DoubleType())]))
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("dtw", DoubleType())]))
 
 
 def moments(df: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
@@ -157,6 +176,7 @@ def viterbi(log_emission: np.ndarray, transition: np.ndarray, start: np.ndarray)
 
 def viterbi_by_entity(df: DataFrame, entity: str, time: str, value: str, states: int, rounds: int = 15) -> DataFrame:
     """Adds state: hidden states of each entity's series (one series a task call, a row a session)."""
+    ship(df.sparkSession)
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(time)
@@ -187,6 +207,7 @@ def viterbi_by_entity(df: DataFrame, entity: str, time: str, value: str, states:
 def walk_forward_ridge(df: DataFrame, entity: str, time: str, features: Sequence[str], target: str, horizon: int, folds: int = 4, alpha: float = 1.0, kind: str = "ridge") -> DataFrame:
     """Adds fold and prediction: expanding training windows, the last `horizon` rows before a fold
     purged, scaling from training rows only; kind ridge or logistic (probability of a positive target)."""
+    ship(df.sparkSession)
 
     def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         if kind == "ridge":
@@ -225,6 +246,7 @@ def walk_forward_ridge(df: DataFrame, entity: str, time: str, features: Sequence
 
 def block_bootstrap(df: DataFrame, entity: str, time: str, value: str, block: int, draws: int = 300, seed: int = 3) -> DataFrame:
     """(entity, n, mean, low, high): circular block bootstrap of the mean, 95 %."""
+    ship(df.sparkSession)
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         v = x.sort_values(time)[value].dropna().to_numpy(float)
@@ -296,6 +318,7 @@ def tournament(df: DataFrame, entity: str, time: str, features: Sequence[str], t
     """(entity, model, n, validation_mae, holdout_mae, winner): zero, mean, ridge models of three
     strengths; the winner has the least validation error, the last 15 % only score it."""
     names = ("zero", "mean", "ridge_0.1", "ridge_1", "ridge_10")
+    ship(df.sparkSession)
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(time)
@@ -327,6 +350,7 @@ def tournament(df: DataFrame, entity: str, time: str, features: Sequence[str], t
 
 def permutation_sanity(df: DataFrame, entity: str, time: str, x: str, y: str, draws: int = 200, seed: int = 5) -> DataFrame:
     """(entity, n, correlation, p_value): how often a shuffled series correlates as strongly."""
+    ship(df.sparkSession)
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(time)
@@ -347,6 +371,7 @@ def distribution_methods(df: DataFrame, entity: str, time: str, target: str, spr
     """(entity, method, n, pinball, coverage): historical, rolling-volatility, residual-bootstrap,
     regime, analog and linear quantile forecasts on the last 30 % of each entity's rows, learnt on
     what was known before."""
+    ship(df.sparkSession)
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(time)[[entity, target, spread]].dropna()

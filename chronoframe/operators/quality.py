@@ -107,3 +107,42 @@ def index_rules(returns: DataFrame) -> DataFrame:
     """Total-return indices that are null, not positive or not finite."""
     x = F.col("total_return_index")
     return _issue(returns.where(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) | (x <= 0)), "invalid_index", F.lit(""))
+
+
+def history_audit(prices: DataFrame, rules: dict[str, Column], jump: float = 0.5) -> DataFrame:
+    """(issue_id, issue, entity, board, d, r): rows of prices(entity, board, d, close) for which a named
+    condition holds, and returns on the board's row before beyond `jump` either way, for review."""
+    w = Window.partitionBy("entity", "board").orderBy("d")
+    rows = prices.withColumn("r", ratio("close", F.lag("close").over(w)) - 1)
+    rules = {"large_return_corporate_action_review": F.abs("r") > jump, **rules}
+    named = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
+    out = rows.select("entity", "board", "d", F.explode(named).alias("issue"), "r").withColumn("r", F.when(F.col("issue") == "large_return_corporate_action_review", F.col("r")))
+    issue_id = F.substring(F.sha2(F.concat_ws(":", "issue", F.col("entity").cast("string"), "board", F.col("d").cast("string")), 256), 1, 24)
+    return out.select(issue_id.alias("issue_id"), "issue", "entity", "board", "d", "r")
+
+
+def event_issues(events: DataFrame) -> DataFrame:
+    """(event_id, issue, severity) of events(event_id, available_from, announcement_time, effective_time,
+    event_start, scheduled, surprise, content_hash, status, source_url): what must be known and in order.
+    Of events with one content hash, all but the first by id are copies."""
+    c = F.col
+    first = F.min("event_id").over(Window.partitionBy("content_hash"))
+    x = events.withColumn("_first", F.when(c("content_hash").isNotNull(), first))
+    rule = lambda when, name, severity: F.when(when, F.struct(F.lit(name).alias("issue"), F.lit(severity).alias("severity")))
+    found = F.array_compact(F.array(
+        rule(c("available_from").isNull(), "missing_available_from", "critical"), rule(c("announcement_time") > c("available_from"), "publication_leakage", "critical"), rule(c("scheduled") & c("surprise"), "schedule_conflict", "critical"),
+        rule((c("status") == "validated") & c("event_start").isNull(), "missing_event_time", "critical"), rule(c("effective_time") < c("announcement_time"), "effective_before_announcement", "warning"),
+        rule(c("_first") < c("event_id"), "duplicate_source_copy", "warning"), rule(F.coalesce(c("source_url"), F.lit("")) == "", "missing_source", "critical"), rule(c("status") == "manual_review", "manual_review", "warning")))
+    return x.select("event_id", F.inline(found))
+
+
+def fundamental_issues(facts: DataFrame, standards: Sequence[str] = ("IFRS", "RAS"), positive: Sequence[str] = ("assets", "equity", "ordinary_shares", "client_funds")) -> DataFrame:
+    """(metric, period_end, standard, revision, issue) of facts(metric, period_end, standard, revision,
+    published, available, value): repeated keys (all but one), a publication before the period's end,
+    availability before publication, an unknown standard, a negative value of what can't be."""
+    c, key = F.col, ["metric", "period_end", "standard", "revision"]
+    again = F.row_number().over(Window.partitionBy(*key).orderBy("published", "available", "value")) > 1
+    x = facts.withColumn("_again", again)
+    rules = {"duplicate": c("_again"), "publication_before_period_end": c("published") < c("period_end"), "available_before_publication": F.to_date("available") < c("published"),
+             "unknown_standard": ~F.coalesce(c("standard").isin(*standards), F.lit(False)), "impossible_negative": c("metric").isin(*positive) & (c("value") < 0)}
+    return x.select(*key, F.explode(F.array_compact(F.array(*[F.when(w, F.lit(n)) for n, w in rules.items()]))).alias("issue"))

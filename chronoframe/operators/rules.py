@@ -48,6 +48,17 @@ REGIME: Rules = (
     ("p200 < 0 AND r60 <= -0.03", "умеренный нисходящий тренд"),
 )
 REGIME_ELSE = "боковой рынок"
+#: What each regime was read from.
+REGIME_REASONS = {
+    "недостаточно данных": "недостаточная история для правил",
+    "стрессовый режим": "глубокая просадка или высокая волатильность",
+    "восстановление после стресса": "сильный рост после заметной просадки",
+    "устойчивый восходящий тренд": "выше SMA50/200;SMA200 растёт",
+    "умеренный восходящий тренд": "выше SMA200;положительная доходность",
+    "устойчивый нисходящий тренд": "ниже SMA50/200;SMA200 снижается",
+    "умеренный нисходящий тренд": "ниже SMA200;отрицательная доходность",
+    "боковой рынок": "нет достаточного подтверждения направленного режима",
+}
 #: Score of each regime; others count 0.
 REGIME_SCORE = {
     "устойчивый восходящий тренд": 1.0,
@@ -77,6 +88,31 @@ MARKET_TREND: Rules = (
     ("ret60 < 0.03", "sideways"),
     ("ret60 < 0.15", "weak_bull"),
 )
+#: Columns n (volatilities known so far), vol, q25, q75, q90 (of them).
+VOLATILITY_REGIME: Rules = (
+    ("vol IS NULL OR n < 60", "insufficient"),
+    ("vol >= q90", "extreme"),
+    ("vol >= q75", "elevated"),
+    ("vol <= q25", "low"),
+)
+#: Columns n (levels known so far), level, change (over 20 rows), meaningful (a tenth of the deviation so far), q75 (of the levels so far).
+RATES_REGIME: Rules = (
+    ("level IS NULL OR n < 60 OR meaningful IS NULL", "insufficient"),
+    ("change < -meaningful", "easing"),
+    ("change > meaningful", "tightening"),
+    ("level > q75", "stable_high"),
+)
+#: Columns r20, r60, drawdown, p20 (distance to the 20-row mean).
+STOCK_STATE: Rules = (
+    ("r20 IS NULL OR r60 IS NULL OR drawdown IS NULL", "insufficient"),
+    ("drawdown <= -0.35 AND r20 <= -0.12", "capitulation"),
+    ("r60 <= -0.10", "downtrend"),
+    ("r20 <= -0.05", "correction"),
+    ("r20 >= 0.08 AND drawdown <= -0.08", "recovery"),
+    ("r20 >= 0.10 AND p20 > 0", "breakout"),
+    ("r20 >= 0.03", "uptrend"),
+    ("r20 > 0 AND p20 <= 0", "accumulation"),
+)
 #: Columns breadth_z, trend, dispersion (negative spread of returns).
 MARKET_STATE: Rules = (
     ("coalesce(breadth_z, 0) > 0.5 AND trend > 0.2", "broad_risk_on"),
@@ -148,6 +184,55 @@ SECURITY_TIER: Rules = (
     ("years >= 5 AND observations >= 750 AND missing <= 0.05 AND volume_coverage >= 0.8", "B"),
     ("observations >= 250 AND missing <= 0.15", "C"),
 )
+#: Why a security has no tier, or is to be reviewed; columns as above.
+SECURITY_REASON: Rules = (
+    ("observations < 250", "short_history"),
+    ("missing > 0.15", "excessive_missingness"),
+    ("flags > 0", "corporate_action_review"),
+)
+#: Columns years, observations, missing, volume_coverage, trade_coverage, unresolved.
+QUALITY_TIER: Rules = (
+    ("years >= 8 AND observations >= 1200 AND missing <= 0.03 AND volume_coverage >= 0.9 AND trade_coverage >= 0.7 AND unresolved <= greatest(1, observations * 0.001)", "A"),
+    ("years >= 4 AND observations >= 600 AND missing <= 0.08 AND volume_coverage >= 0.7 AND unresolved <= greatest(3, observations * 0.005)", "B"),
+    ("observations >= 250 AND missing <= 0.15", "C"),
+)
+QUALITY_REASON: Rules = (
+    ("observations < 250", "short_history"),
+    ("missing > 0.15", "excessive_missingness"),
+    ("unresolved > greatest(3, observations * 0.005)", "corporate_action_uncertainty"),
+)
+#: Columns high (gain at the median or over it), calm (risk at the median or under it).
+QUADRANT: Rules = (
+    ("high AND calm", "high_opportunity_low_downside"),
+    ("high", "high_opportunity_high_downside"),
+    ("calm", "low_opportunity_low_downside"),
+)
+QUADRANT_ELSE = "low_opportunity_high_downside"
+#: Column n, a number of outcomes.
+SAMPLE_QUALITY: Rules = (("n < 10", "недостаточно данных"), ("n < 20", "очень слабая статистика"), ("n < 50", "ограниченная статистика"))
+SAMPLE_QUALITY_ELSE = "приемлемая историческая база, но не гарантия"
+#: Column psi, null where either sample has fewer values than bins.
+PSI_STATUS: Rules = (("psi IS NULL", "insufficient_sample"), ("psi >= 0.25", "significant_drift"), ("psi >= 0.1", "watch"))
+#: Patterns of named things over lower-cased text.
+ENTITY_PATTERNS = {
+    "Russia": r"\brussia|росси",
+    "CBR": r"bank of russia|банк росс|key rate|ключев.*ставк",
+    "MOEX": r"moscow exchange|московск.*бирж|\bmoex\b",
+    "USA": r"united states|\bu\.s\.\b|сша",
+    "Fed": r"federal reserve|\bfed\b|фрс",
+    "oil": r"\boil\b|нефт",
+    "Brent": r"\bbrent\b",
+    "RUB": r"rouble|ruble|рубл",
+    "sanctions": r"sanction|санкц",
+    "SBERP": r"sber|сбер",
+    "LKOH": r"lukoil|лукойл",
+    "MTSS": r"\bmts\b|мтс",
+    "TRNFP": r"transneft|транснефт",
+    "PHOR": r"phosagro|фосагро",
+    "TATNP": r"tatneft|татнефт",
+    "LSNGP": r"lenenergo|ленэнерго",
+    "X5": r"\bx5\b|пят[её]рочк",
+}
 #: Columns n, ic, recent, signs (distinct fold signs over 0.01), stability (share of folds with ic's sign).
 IC_CLASS: Rules = (
     ("n < 80 OR ic IS NULL", "insufficient_sample"),

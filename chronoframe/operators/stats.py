@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.functions.expr import col, ratio, round6
+from chronoframe.operators import rules as R
 from chronoframe.operators import windows as W
 
 
@@ -20,10 +21,13 @@ def exclusive_quantile(values: str, n: str, q: float) -> Column:
     return F.when(F.col(n) == 1, F.element_at(values, 1)).otherwise(low + (at - k) * (high - low))
 
 
-def higher_quantile(values: str | Column, q: float) -> Column:
-    """The sorted array's element at ceil((n - 1) q), counted from 0: no interpolation."""
-    v = col(values)
-    return F.try_element_at(v, F.ceil((F.size(v) - 1) * F.lit(q)).cast("int") + 1)
+def higher_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """n and, by key, the value at rank ceil((n - 1) q), counted from 0, for each named q: no
+    interpolation, and no group is gathered."""
+    w = Window.partitionBy(*keys)
+    rows = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    at = lambda q: F.max(F.when(F.col("_r") == F.ceil((F.col("_n") - 1) * F.lit(q)), F.col(value)))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[at(q).alias(name) for name, q in quantiles.items()])
 
 
 def quantile_code(df: DataFrame, value: str, ties: Sequence[str], buckets: int, name: str, parts: int = 128) -> DataFrame:
@@ -93,16 +97,28 @@ def bh_qvalues(df: DataFrame, p: str, order: Sequence[str]) -> DataFrame:
     return rows.withColumn("q", F.least(q, F.lit(1.0))).drop("_k", "_n")
 
 
-def psi(reference: DataFrame, current: DataFrame, value: str, edges: Sequence[float], floor: float = 1e-4) -> DataFrame:
-    """Population stability index over the bins between edges."""
-    code = sum((F.when(F.col(value) > e, 1).otherwise(0) for e in edges), F.lit(0))
-    a = reference.groupBy(code.alias("b")).agg(F.count("*").alias("x"))
-    c = current.groupBy(code.alias("b")).agg(F.count("*").alias("y"))
-    grid = reference.sparkSession.range(len(edges) + 1).select(F.col("id").cast("int").alias("b"))
-    all_ = Window.partitionBy(F.lit(1))
-    rows = grid.join(a, "b", "left").join(c, "b", "left").fillna(0, ["x", "y"])
-    rows = rows.withColumn("p", F.greatest(F.col("x") / F.sum("x").over(all_), F.lit(floor))).withColumn("q", F.greatest(F.col("y") / F.sum("y").over(all_), F.lit(floor)))
-    return rows.agg(round6(F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p")))).alias("psi"))
+def psi(reference: DataFrame, current: DataFrame, value: str, bins: int = 10, floor: float = 1e-6) -> DataFrame:
+    """(psi, status): population stability index over the quantile bins of the reference.
+
+    Bins are closed on the left, the last on both sides; values outside are in none, and shares are of
+    all values.  Equal edges are one; fewer than two bins give 0 and stable; a sample with fewer values
+    than bins gives null and insufficient_sample.
+    """
+    x = F.col(value)
+    ref, cur = reference.where(x.isNotNull()), current.where(x.isNotNull())
+    cuts = ref.agg(*[F.percentile(x, k / bins).alias(f"e{k}") for k in range(bins + 1)], F.count("*").alias("n")).first()
+    m = cur.count()
+    spark = reference.sparkSession
+    if cuts.n < bins or m < bins:
+        return spark.createDataFrame([(None, "insufficient_sample")], "psi double, status string")
+    edges = sorted({cuts[f"e{k}"] for k in range(bins + 1)})
+    if len(edges) < 3:
+        return spark.createDataFrame([(0.0, "stable")], "psi double, status string")
+    inside = [(x >= a) & ((x < b) if b < edges[-1] else (x <= b)) for a, b in zip(edges, edges[1:])]
+    shares = lambda df, n: df.agg(*[(F.count(F.when(c, 1)) / n).alias(f"s{k}") for k, c in enumerate(inside)])
+    both = shares(ref, cuts.n).join(F.broadcast(shares(cur, m).toDF(*[f"t{k}" for k in range(len(inside))])))
+    p, q = [F.greatest(f"s{k}", F.lit(floor)) for k in range(len(inside))], [F.greatest(f"t{k}", F.lit(floor)) for k in range(len(inside))]
+    return both.select(sum(((b - a) * F.log(b / a) for a, b in zip(p, q)), F.lit(0.0)).alias("psi")).withColumn("status", R.label(R.PSI_STATUS, "stable"))
 
 
 def autocovariances(df: DataFrame, keys: Sequence[str], time: str, value: str, lags: int) -> DataFrame:
@@ -127,3 +143,49 @@ def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Colum
     centre, under = p + z2 / (2 * n), 1 + F.lit(z2) / n
     half = z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))
     return (centre - half) / under, (centre + half) / under
+
+
+def effective_sample_size(df: DataFrame, keys: Sequence[str], time: str, value: str, most_lag: int | None = None) -> DataFrame:
+    """(n, ar1_n, sequence_n) by key: observations worth by first-order autocorrelation, and by the run of
+    positive ones, lag k weighted 1 - k / n, up to the first that isn't positive and to sqrt(n) lags.
+
+    Rows are numbered by key, and each lag is one lag() over the same sorted window; the number of lags
+    is the square root of the longest series.  Under three rows, or without variation, n itself.
+    """
+    w = Window.partitionBy(*keys)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, time, (F.col(value) - F.avg(value).over(w)).alias("_z"), F.count(F.lit(1)).over(w).alias("_n"))
+    longest = rows.agg(F.max("_n")).first()[0] or 0
+    lags = range(1, max(1, min(most_lag or int(longest**0.5), longest - 2)) + 1)
+    line = w.orderBy(time)
+    rows = rows.withColumns({f"_p{k}": F.col("_z") * F.lag("_z", k).over(line) for k in lags})
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("_z") * F.col("_z")).alias("_den"), F.array(*[F.coalesce(F.sum(f"_p{k}"), F.lit(0.0)) for k in lags]).alias("_c"))
+    top = F.least(F.lit(most_lag) if most_lag else F.floor(F.sqrt("n")), F.col("n") - 2).cast("int")
+    rho = F.transform(F.slice("_c", 1, F.greatest(top, F.lit(1))), lambda c: ratio(c, "_den"))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(False).alias("stop"), F.lit(0).alias("k"))
+
+    def step(acc: Column, r: Column) -> Column:
+        stop = acc["stop"] | (F.round(r, 12) <= 0)
+        k = acc["k"] + 1
+        return F.struct((acc["sum"] + F.when(stop, 0.0).otherwise((1 - k / F.col("n")) * r)).alias("sum"), stop.alias("stop"), k.alias("k"))
+
+    n = F.col("n").cast("double")
+    whole = (F.col("n") < 3) | (F.col("_den") <= 0)
+    total = F.when(whole, 0.0).otherwise(F.aggregate(rho, start, step, lambda acc: acc["sum"]))
+    first = ratio(F.element_at("_c", 1), "_den")
+    return out.select(*keys, "n", (n * (1 - first) / (1 + first)).alias("ar1_n"), F.when(whole, n).otherwise(F.greatest(F.lit(1.0), F.least(n, n / (1 + 2 * total)))).alias("sequence_n"))
+
+
+def outcomes(df: DataFrame, keys: Sequence[str], time: str, value: str, drawdown: str, z: float = 1.96) -> DataFrame:
+    """What became of like days, by key: number, share of gains with its Wilson interval, mean, median,
+    quartiles, extremes, drawdowns, the sample's quality, and two warnings: concentrated, where over half
+    stand in one calendar year, and extreme, where the mean moves by over 0.02 without the best and worst.
+    Rows without a value are left out."""
+    rows = df.where(F.col(value).isNotNull()).withColumn("_y", F.count(F.lit(1)).over(Window.partitionBy(*keys, F.year(time))))
+    v, n = F.col(value), F.col("n").cast("double")
+    q = lambda p: F.percentile(v, p)
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count(F.when(v > 0, 1)).alias("_p"), F.avg(v).alias("mean"), q(0.5).alias("median"), q(0.25).alias("q25"), q(0.75).alias("q75"), F.max(v).alias("best"), F.min(v).alias("worst"),
+                                  F.avg(drawdown).alias("mean_max_drawdown"), F.percentile(drawdown, 0.5).alias("median_max_drawdown"), F.max("_y").alias("_top"), F.sum(v).alias("_s"))
+    low, high = wilson(F.col("_p"), F.col("n"), z)
+    trimmed = ratio(F.col("_s") - F.col("best") - F.col("worst"), n - 2)
+    return out.select(*keys, "n", (F.col("_p") / n).alias("positive_frequency"), low.alias("positive_low"), high.alias("positive_high"), "mean", "median", "q25", "q75", "best", "worst", "mean_max_drawdown", "median_max_drawdown",
+                      R.label(R.SAMPLE_QUALITY, R.SAMPLE_QUALITY_ELSE).alias("quality"), (F.col("_top") / n > 0.5).alias("concentrated"), ((F.col("n") >= 3) & F.coalesce(F.abs(F.col("mean") - trimmed) > 0.02, F.lit(False))).alias("extreme"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.functions.expr import corr, count_if, ratio, round6, share
+from chronoframe.operators import panel as P
+from chronoframe.operators import rules as R
 from chronoframe.operators import stats as S
 from chronoframe.operators import windows as W
 from chronoframe.operators.panel import returns
@@ -104,25 +106,30 @@ def _exclusive(q: float) -> str:
     return f"CASE WHEN n = 1 THEN v[1] ELSE v[{k}] + ({at} - {k}) * (v[{k} + 1] - v[{k}]) END"
 
 
-@query(f"""WITH a AS (SELECT entity, list(r ORDER BY r) AS v, CAST(count(*) AS INT) AS n FROM ret WHERE r IS NOT NULL AND day(d) = 15 GROUP BY 1)
+@query(f"""WITH a AS (SELECT entity, list(r ORDER BY r) AS v, CAST(count(*) AS INT) AS n FROM ret WHERE r IS NOT NULL GROUP BY 1)
 SELECT entity, n, round(list_avg(v), 6) AS mean, round(list_median(v), 6) AS median, round(list_avg(list_transform(v, lambda x: CAST(x > 0 AS INT))), 6) AS positive, round({_exclusive(0.25)}, 6) AS q25,
   round({_exclusive(0.75)}, 6) AS q75, round(v[n], 6) AS best, round(v[1], 6) AS worst, CASE WHEN n >= 30 THEN 'good' WHEN n >= 10 THEN 'fair' ELSE 'poor' END AS quality FROM a""")
 def event_study_summary(t: Tables) -> DataFrame:
-    rows = returns(t.panel()).where(F.col("r").isNotNull() & (F.dayofmonth("d") == 15))
+    rows = returns(t.panel()).where("r IS NOT NULL")
     out = rows.groupBy("entity").agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list("r")).alias("v"), F.avg("r").alias("m"), F.median("r").alias("md"), share(F.col("r") > 0).alias("pos"))
     quality = F.when(F.col("n") >= 30, "good").when(F.col("n") >= 10, "fair").otherwise("poor")
     return out.select("entity", "n", round6("m").alias("mean"), round6("md").alias("median"), round6("pos").alias("positive"), round6(S.exclusive_quantile("v", "n", 0.25)).alias("q25"), round6(S.exclusive_quantile("v", "n", 0.75)).alias("q75"),
                       round6(F.element_at("v", -1)).alias("best"), round6(F.element_at("v", 1)).alias("worst"), quality.alias("quality"))
 
 
-@query("""WITH a AS (SELECT entity, list(r ORDER BY r) AS v, CAST(count(*) AS INT) AS n, sum(abs(r)) AS s, max(abs(r)) AS m FROM ret WHERE r IS NOT NULL GROUP BY 1)
-SELECT entity, n, round(m / nullif(s, 0), 6) AS concentration, round(list_avg(v[CAST(floor(n * 0.1) AS INT) + 1 : n - CAST(floor(n * 0.1) AS INT)]), 6) AS trimmed_mean, m / nullif(s, 0) > 0.3 AS concentrated FROM a""")
+@query(f"""WITH y AS (SELECT entity, d, lead(close, 20) OVER w / nullif(close, 0) - 1 AS r, CASE WHEN lead(close, 20) OVER w IS NOT NULL THEN list(close) OVER (w ROWS BETWEEN CURRENT ROW AND 20 FOLLOWING) END AS p FROM panel WINDOW w AS (PARTITION BY entity ORDER BY d)),
+k AS (SELECT *, list_reduce(list_transform(p, lambda c: {{'k': c, 'v': 0.0::DOUBLE}}), lambda q, z: {{'k': greatest(q.k, z.k), 'v': least(q.v, z.k / greatest(q.k, z.k) - 1)}}).v AS dd, count(*) OVER (PARTITION BY entity, year(d)) AS in_year FROM y WHERE r IS NOT NULL),
+a AS (SELECT entity, count(*) AS n, count(*) FILTER (WHERE r > 0) AS pos, avg(r) AS mean, median(r) AS median, quantile_cont(r, 0.25) AS q25, quantile_cont(r, 0.75) AS q75, max(r) AS best, min(r) AS worst, avg(dd) AS mdd, median(dd) AS meddd, max(in_year) AS top, sum(r) AS s FROM k GROUP BY 1)
+SELECT entity, n, round(pos / n::DOUBLE, 6) AS positive_frequency, round((pos + 1.96 * 1.96 / 2) / (n + 1.96 * 1.96) - 1.96 * sqrt(pos * (n - pos) / n::DOUBLE + 1.96 * 1.96 / 4) / (n + 1.96 * 1.96), 6) AS positive_low,
+  round((pos + 1.96 * 1.96 / 2) / (n + 1.96 * 1.96) + 1.96 * sqrt(pos * (n - pos) / n::DOUBLE + 1.96 * 1.96 / 4) / (n + 1.96 * 1.96), 6) AS positive_high, round(mean, 6) AS mean, round(median, 6) AS median, round(q25, 6) AS q25, round(q75, 6) AS q75, round(best, 6) AS best, round(worst, 6) AS worst,
+  round(mdd, 6) AS mean_max_drawdown, round(meddd, 6) AS median_max_drawdown, {R.case(R.SAMPLE_QUALITY, R.SAMPLE_QUALITY_ELSE)} AS quality, top / n::DOUBLE > 0.5 AS concentrated, n >= 3 AND abs(mean - (s - best - worst) / nullif(n - 2, 0)) > 0.02 AS extreme FROM a""")
 def outcome_summary(t: Tables) -> DataFrame:
-    a = returns(t.panel()).where("r IS NOT NULL").groupBy("entity").agg(F.array_sort(F.collect_list("r")).alias("v"), F.count("*").cast("int").alias("n"), F.sum(F.abs("r")).alias("s"), F.max(F.abs("r")).alias("m"))
-    cut = F.floor(F.col("n") * 0.1).cast("int")
-    kept = F.slice("v", cut + 1, F.col("n") - 2 * cut)
-    trimmed = F.aggregate(kept, F.lit(0.0), lambda s, x: s + x) / F.size(kept)
-    return a.select("entity", "n", round6(ratio("m", "s")).alias("concentration"), round6(trimmed).alias("trimmed_mean"), (ratio("m", "s") > 0.3).alias("concentrated"))
+    from chronoframe.operators.panel import forward
+
+    y = forward(t.panel().select("entity", "d", "close"), (20,)).select("entity", "d", F.col("forward_return_20").alias("r"), F.col("forward_drawdown_20").alias("drawdown")).where("r IS NOT NULL")
+    out = S.outcomes(y, ["entity"], "d", "r", "drawdown")
+    as_is = {"entity", "n", "quality", "concentrated", "extreme"}
+    return out.select(*[c if c in as_is else round6(c).alias(c) for c in out.columns])
 
 
 PRED = """pred AS (SELECT entity, d, lead(close, 5) OVER w / nullif(close, 0) - 1 AS y, avg(r) OVER (w ROWS 19 PRECEDING) AS p, stddev_samp(r) OVER (w ROWS 19 PRECEDING) AS s FROM ret WINDOW w AS (PARTITION BY entity ORDER BY d))"""
@@ -244,12 +251,14 @@ def expanding_quantiles(t: Tables) -> DataFrame:
     return m.select("d", F.round(F.percentile("close", F.lit(0.33)).over(w), 5).alias("q33"), F.round(F.percentile("close", F.lit(0.67)).over(w), 5).alias("q67"), F.round(F.stddev_samp("close").over(w), 5).alias("sd"))
 
 
-@query("""WITH a AS (SELECT entity, d, quantile_cont(value, 0.5) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS liq, count(*) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS n FROM panel WINDOW w AS (PARTITION BY entity ORDER BY d))
-SELECT entity, d, rank, round(liq, 4) AS liquidity FROM (SELECT *, CAST(row_number() OVER (PARTITION BY d ORDER BY liq DESC, entity) AS INTEGER) AS rank FROM a WHERE n >= 20) WHERE rank <= 30""")
+@query("""WITH seg AS (SELECT entity, board, min(d) AS a, CASE WHEN board <> 'N' THEN max(d) END AS b, board = 'R' AS is_primary FROM boards WHERE entity % 7 <> 0 OR board <> 'N' GROUP BY 1, 2),
+x AS (SELECT b.entity, b.board, b.d, b.close, quantile_cont(b.value, 0.5) OVER (PARTITION BY b.entity, b.board ORDER BY b.d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS liq FROM boards b),
+y AS (SELECT x.*, coalesce(is_primary, false) AS is_primary, coalesce(a IS NOT NULL AND d >= a AND (b IS NULL OR d <= b), false) AND close > 0 AND coalesce(liq, 0) >= 20000 AS eligible FROM x LEFT JOIN seg ON x.entity = seg.entity AND x.board = seg.board)
+SELECT entity, d, board, eligible, round(liq, 4) AS liquidity FROM (SELECT *, row_number() OVER (PARTITION BY d, entity ORDER BY is_primary DESC, liq DESC NULLS LAST, board) AS k FROM y) WHERE k = 1""")
 def point_in_time_membership(t: Tables) -> DataFrame:
-    w = W.by_time("entity", "d").rowsBetween(-20, -1)
-    a = t.panel().select("entity", "d", F.percentile("value", F.lit(0.5)).over(w).alias("liq"), F.count(F.lit(1)).over(w).alias("n")).where("n >= 20")
-    return W.top_k(a, ["d"], [F.col("liq").desc(), F.col("entity")], 30).select("entity", "d", "rank", F.round("liq", 4).alias("liquidity"))
+    boards = t.boards().select("entity", "board", "d", "close", "value")
+    life = boards.where("entity % 7 <> 0 OR board <> 'N'").groupBy("entity", "board").agg(F.min("d").alias("valid_from"), F.max(F.when(F.col("board") != "N", F.col("d"))).alias("valid_to"), (F.first("board") == "R").alias("is_primary"))
+    return P.membership(boards, life, 20_000.0).select("entity", "d", "board", "eligible", F.round("liquidity", 4).alias("liquidity"))
 
 
 @query("""WITH a AS (SELECT entity, d, lead(close, 5) OVER w / nullif(close, 0) - 1 AS y FROM panel WINDOW w AS (PARTITION BY entity ORDER BY d)), k AS (SELECT *, lag(y, 5) OVER (PARTITION BY entity ORDER BY d) AS known FROM a)

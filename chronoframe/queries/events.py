@@ -21,11 +21,20 @@ def urgent(t: Tables) -> DataFrame:
     return t("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("event_id"), (F.col("o_custkey") % 100 + 1).alias("entity"), F.to_date("o_orderdate").alias("event_d"))
 
 
-@query(f"""WITH {MIL}, x AS (SELECT p.entity, p.d, p.close, lag(p.close) OVER w AS pc, lag(m.close) OVER w AS mp, {', '.join(f'lead(p.close, {h - 1}) OVER w AS c{h}, lead(m.close, {h - 1}) OVER w AS m{h}' for h in (1, 5))} FROM panel p JOIN market m ON p.d = m.d WINDOW w AS (PARTITION BY p.entity ORDER BY p.d))
-SELECT event_id, ev.entity, x.d AS anchor, {', '.join(f'round(c{h} / nullif(pc, 0) - 1, 6) AS raw_{h}, round(c{h} / nullif(pc, 0) - m{h} / nullif(mp, 0), 6) AS abnormal_{h}' for h in (1, 5))} FROM ev ASOF JOIN x ON ev.entity = x.entity AND ev.event_d <= x.d""")
+REACTION_HORIZONS = (0, 1, 3, 5, 20, 60)
+
+
+@query(f"""WITH {MIL}, o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY d) AS n FROM panel), g AS (SELECT entity, list(close ORDER BY d) AS cs, list(d ORDER BY d) AS ds FROM o GROUP BY 1),
+e AS (SELECT *, count(*) OVER (PARTITION BY entity, event_d) AS same_day, day(event_d) = 15 AS dividend_day FROM ev), a AS (SELECT event_id, e.entity, same_day, dividend_day, o.d AS anchor, n, close FROM e ASOF JOIN o ON e.entity = o.entity AND e.event_d <= o.d),
+p AS (SELECT a.*, h AS horizon, ds[n + h] AS exit_date, cs[n:n + h] AS path FROM a JOIN g ON a.entity = g.entity, (SELECT unnest({list(REACTION_HORIZONS)}) AS h) WHERE n + h <= len(cs)),
+b AS (SELECT p.*, path[-1] / nullif(p.close, 0) - 1 AS raw, m1.close / nullif(m0.close, 0) - 1 AS bench, list_transform(path[2:], lambda x, i: x / path[i] - 1) AS s FROM p LEFT JOIN market m0 ON p.anchor = m0.d LEFT JOIN market m1 ON p.exit_date = m1.d),
+c AS (SELECT *, CAST(same_day > 1 AS INT) + CAST(abs(coalesce(bench, 0)) > 0.03 AS INT) + CAST(dividend_day AS INT) AS k FROM b)
+SELECT event_id, entity, anchor, horizon, exit_date, round(raw, 6) AS raw, round(raw - bench, 6) AS abnormal, CASE WHEN len(s) > 1 THEN round(list_stddev_pop(s), 6) END AS volatility, round(list_max(path) / nullif(close, 0) - 1, 6) AS max_gain,
+  round(list_min(path) / nullif(close, 0) - 1, 6) AS max_drawdown, list_position(path, list_max(path)) - 1 AS sessions_to_max, CASE WHEN k >= 2 THEN 'heavily_confounded' WHEN k = 1 THEN 'partially_confounded' ELSE 'clean_event' END AS confounding FROM c""")
 def event_reaction(t: Tables) -> DataFrame:
-    out = E.reactions(t.panel().select("entity", "d", "close"), t.market(), urgent(t), (1, 5))
-    return out.select("event_id", "entity", "anchor", *[round6(f"{k}_{h}").alias(f"{k}_{h}") for h in (1, 5) for k in ("raw", "abnormal")])
+    ev = urgent(t).withColumn("same_day_events", F.count(F.lit(1)).over(Window.partitionBy("entity", "event_d"))).withColumn("dividend_day", F.dayofmonth("event_d") == 15)
+    out = E.reactions(t.panel().select("entity", "d", "close"), t.market(), ev, REACTION_HORIZONS)
+    return out.select("event_id", "entity", "anchor", "horizon", "exit_date", *[round6(c).alias(c) for c in ("raw", "abnormal", "volatility", "max_gain", "max_drawdown")], "sessions_to_max", "confounding")
 
 
 @query(f"""WITH {MIL}, x AS (SELECT event_id, entity, event_d, m.d - event_d AS k, m.d FROM ev JOIN market m ON m.d BETWEEN event_d - CASE WHEN event_id % 2 = 0 THEN 0 ELSE 5 END AND event_d + 20)
@@ -51,18 +60,15 @@ def dedup_primary(t: Tables) -> DataFrame:
     return E.primary_source(c, ["k"], "trust", "ts").select("k", "event_id", "trust", "first_known")
 
 
-PATTERNS = {"alpha": "the ", "beta": " la ", "gamma": " und ", "delta": " de "}
-
-
 def _match(pattern: str) -> str:
     return f"regexp_matches(lower(text), '{pattern}')"
 
 
 @query(f"""SELECT doc_id, CASE {' '.join(f"WHEN {_match(p)} THEN '{n}'" for n, p in R.EVENT_CLASS)} ELSE 'other' END AS class,
   CASE WHEN {_match(R.POSITIVE)} AND {_match(R.NEGATIVE)} THEN 'mixed' WHEN {_match(R.POSITIVE)} THEN 'positive_wording' WHEN {_match(R.NEGATIVE)} THEN 'negative_wording' ELSE 'uncertain' END AS tone,
-  array_to_string(list_filter([{', '.join(f"CASE WHEN {_match(p)} THEN '{n}' END" for n, p in PATTERNS.items())}], lambda x: x IS NOT NULL), ',') AS entities FROM documents""")
+  array_to_string(list_filter([{', '.join(f"CASE WHEN {_match(p)} THEN '{n}' END" for n, p in sorted(R.ENTITY_PATTERNS.items()))}], lambda x: x IS NOT NULL), ',') AS entities FROM documents""")
 def news_entities_tone(t: Tables) -> DataFrame:
-    return t("documents").select("doc_id", E.event_class("text").alias("class"), E.tone("text").alias("tone"), F.concat_ws(",", E.entities("text", PATTERNS)).alias("entities"))
+    return t("documents").select("doc_id", E.event_class("text").alias("class"), E.tone("text").alias("tone"), F.concat_ws(",", E.entities("text")).alias("entities"))
 
 
 @query("""WITH r AS (SELECT substr(sha256(event_type || '|' || user_id % 10 || '|' || CAST(ts AS DATE)), 1, 16) AS story_id, ts, user_id AS source FROM events)
@@ -79,10 +85,10 @@ def event_impact(t: Tables) -> DataFrame:
     return t("events").select("event_id", F.when(kind == "purchase", "issuer").when(kind == "error", "sector").otherwise("market").alias("relevance"), round6(sign * F.least(F.col("value") / 10, F.lit(1.0)) * 0.8).alias("impact"))
 
 
-@query("""WITH c AS (SELECT d, row_number() OVER (ORDER BY d) AS s FROM (SELECT DISTINCT d FROM market)), f AS (SELECT entity, panel.d AS cutoff, 20 AS horizon, close FROM panel WHERE day(panel.d) = 15), x AS (SELECT f.*, e.d AS matures FROM f JOIN c ON f.cutoff = c.d LEFT JOIN c e ON e.s = c.s + 20)
+@query("""WITH c AS (SELECT d, row_number() OVER (ORDER BY d) AS s FROM (SELECT DISTINCT d FROM market)), f AS (SELECT entity, panel.d AS cutoff, 20 AS horizon, close FROM panel), x AS (SELECT f.*, e.d AS matures FROM f JOIN c ON f.cutoff = c.d LEFT JOIN c e ON e.s = c.s + 20)
 SELECT x.entity, cutoff, matures, CASE WHEN matures IS NULL THEN 'pending' WHEN o.d IS NULL THEN 'unpriced' ELSE 'matured' END AS status, round(o.close / nullif(x.close, 0) - 1, 6) AS outcome FROM x ASOF LEFT JOIN panel o ON x.entity = o.entity AND x.matures >= o.d""")
 def forecast_maturity(t: Tables) -> DataFrame:
-    f = t.panel().where(F.dayofmonth("d") == 15).select("entity", F.col("d").alias("cutoff"), F.lit(20).alias("horizon"), F.col("close").alias("c0"))
+    f = t.panel().select("entity", F.col("d").alias("cutoff"), F.lit(20).alias("horizon"), F.col("close").alias("c0"))
     x = E.maturity(f, t.market())
     known = asof(x.where("matures IS NOT NULL"), t.panel().select("entity", "d", "close"), ["entity"], "matures", "d", ["close"])
     status = F.when(F.col("asof_d").isNull(), "unpriced").otherwise("matured")

@@ -8,105 +8,84 @@ from pyspark.sql import functions as F
 from chronoframe.functions.expr import ratio, round6, share
 from chronoframe.operators import finance as Fi
 from chronoframe.operators import windows as W
-from chronoframe.operators.panel import returns
+from chronoframe.operators.scoring import fundamental_confidence as fundamental_score
+from chronoframe.operators.panel import board_chain, returns
 from chronoframe.plans.bindings import Tables
 from chronoframe.queries.registry import query
 
-#: Contracts: entities 1..20 of the panel, each expiring at the end of a quarter of its own.
-CONTRACTS = """contracts AS (SELECT d, entity AS contract, DATE '1995-03-31' + CAST(entity * 91 AS INT) AS expiry, close, volume FROM panel WHERE entity <= 20)"""
+#: Contracts: every entity of the panel, each expiring at the end of a quarter of its own; trades stand
+#: for the open interest.
+CONTRACTS = """contracts AS (SELECT d, entity AS contract, DATE '1995-03-31' + CAST(entity * 91 AS INT) AS expiry, close, volume, trades AS open_interest FROM panel)"""
+
+
 CHAIN = CONTRACTS + """, live AS (SELECT *, row_number() OVER w AS n, first_value(expiry) OVER w AS fe, count(*) OVER (PARTITION BY d) AS k FROM contracts WHERE d <= expiry WINDOW w AS (PARTITION BY d ORDER BY expiry, contract)),
 chain AS (SELECT d, contract, expiry, close, volume FROM live WHERE n = CASE WHEN fe - d <= 10 AND k > 1 THEN 2 ELSE 1 END)"""
 ROLLS = CHAIN + """, ch AS (SELECT *, lag(contract) OVER (ORDER BY d) AS old FROM chain), rolls AS (SELECT ch.d, ch.old, ch.contract AS new, ch.close AS new_close, o.close AS old_close, ch.close - o.close AS difference, ch.close / nullif(o.close, 0) AS ratio
   FROM ch LEFT JOIN contracts o ON o.d = ch.d AND o.contract = ch.old WHERE ch.old <> ch.contract)"""
 
-#: The same over every entity: far ids are far expiries.  CHAIN and ROLLS are of the first twenty.
-CHAIN_ALL, ROLLS_ALL = (text.replace(" WHERE entity <= 20", "") for text in (CHAIN, ROLLS))
-
 
 def contracts(t: Tables) -> DataFrame:
-    return contracts_all(t).where("contract <= 20")
-
-
-def contracts_all(t: Tables) -> DataFrame:
-    return t.panel().select("d", F.col("entity").alias("contract"), F.date_add(F.lit("1995-03-31").cast("date"), (F.col("entity") * 91).cast("int")).alias("expiry"), "close", "volume")
+    return t.panel().select("d", F.col("entity").alias("contract"), F.date_add(F.lit("1995-03-31").cast("date"), (F.col("entity") * 91).cast("int")).alias("expiry"), "close", "volume", F.col("trades").alias("open_interest"))
 
 
 def chain(t: Tables) -> DataFrame:
     return Fi.continuous(contracts(t), 10)
 
 
-def chain_all(t: Tables) -> DataFrame:
-    return Fi.continuous(contracts_all(t), 10)
-
-
-CONTINUOUS = "SELECT d, contract, expiry, close FROM chain"
-
-
-@query(f"WITH {CHAIN} {CONTINUOUS}")
+@query(f"WITH {CHAIN} SELECT d, contract, expiry, close FROM chain")
 def continuous_contract(t: Tables) -> DataFrame:
     return chain(t).select("d", "contract", "expiry", "close")
 
 
-@query(f"WITH {CHAIN_ALL} {CONTINUOUS}")
-def continuous_contract_all(t: Tables) -> DataFrame:
-    return chain_all(t).select("d", "contract", "expiry", "close")
-
-
-ROLL_ROWS = "SELECT d, old, new, round(difference, 6) AS difference, round(ratio, 6) AS ratio FROM rolls"
+_PICK = {"expiry": "near", "volume": "sv > v", "open_interest": "so > oi", "combined": "near OR (sv > v AND so > oi)"}
 
 
-def roll_rows(c: DataFrame, k: DataFrame) -> DataFrame:
-    return Fi.rolls(c, k).select("d", "old", "new", round6("difference").alias("difference"), round6("ratio").alias("ratio"))
-
-
-@query(f"WITH {ROLLS} {ROLL_ROWS}")
-def futures_rolls(t: Tables) -> DataFrame:
-    return roll_rows(chain(t), contracts(t))
+@query(f"""WITH {CONTRACTS}, live AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY expiry, contract) AS n FROM contracts WHERE d <= expiry),
+p AS (SELECT f.d, f.contract AS front, s.contract AS next, f.close AS fc, s.close AS sc, f.expiry - f.d <= 5 AS near, coalesce(f.volume, 0) AS v, coalesce(s.volume, 0) AS sv, coalesce(f.open_interest, 0) AS oi, coalesce(s.open_interest, 0) AS so FROM (SELECT * FROM live WHERE n = 1) f LEFT JOIN (SELECT * FROM live WHERE n = 2) s ON f.d = s.d),
+u AS ({' UNION ALL '.join(f"SELECT *, '{r}' AS rule, next IS NOT NULL AND ({c}) AS roll FROM p" for r, c in _PICK.items())})
+SELECT d, rule, front, next, CASE WHEN roll THEN next ELSE front END AS contract, CASE WHEN roll THEN sc ELSE fc END AS close FROM u""")
+def continuous_rules(t: Tables) -> DataFrame:
+    """The chain by each of the four rules."""
+    parts = [Fi.continuous(contracts(t), 5, rule).select("d", F.lit(rule).alias("rule"), "front", "next", "contract", "close") for rule in Fi.ROLL_RULES]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
-@query(f"WITH {ROLLS_ALL} {ROLL_ROWS}")
-def futures_rolls_all(t: Tables) -> DataFrame:
-    return roll_rows(chain_all(t), contracts_all(t))
+_CROSS = {"liquidity": "n.volume > o.volume", "open_interest": "n.open_interest > o.open_interest", "expiry": "o.expiry - o.d <= 5"}
 
 
-ADJUSTED = """SELECT chain.d, chain.contract, round(chain.close + coalesce(sum(difference) OVER l, 0), 4) AS back_adjusted, round(chain.close * exp(coalesce(sum(ln(ratio)) OVER l, 0)), 4) AS ratio_adjusted
-FROM chain LEFT JOIN rolls ON chain.d = rolls.d WINDOW l AS (ORDER BY chain.d DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+@query(f"""WITH {CONTRACTS}, j AS (SELECT o.contract AS old, n.contract AS new, o.d, o.close AS oc, n.close AS nc, {', '.join(f'{c} AS {r}' for r, c in _CROSS.items())} FROM contracts o JOIN contracts n ON n.contract = o.contract + 1 AND n.d = o.d),
+u AS ({' UNION ALL '.join(f"SELECT old, new, '{r}' AS rule, coalesce(min(d) FILTER (WHERE {r}), max(d)) AS d FROM j GROUP BY 1, 2" for r in _CROSS)})
+SELECT u.old, u.new, u.rule, u.d, round(nc - oc, 6) AS difference, round(nc / nullif(oc, 0), 6) AS ratio FROM u JOIN j ON u.old = j.old AND u.new = j.new AND u.d = j.d""")
+def crossover_rolls(t: Tables) -> DataFrame:
+    """Each contract with the next one: when to roll by liquidity, open interest and expiry."""
+    pairs = t.panel().select(F.col("entity").alias("old"), (F.col("entity") + 1).alias("new")).distinct()
+    parts = [Fi.crossovers(contracts(t), pairs, rule, 5).select("old", "new", F.lit(rule).alias("rule"), "d", round6("difference").alias("difference"), round6("ratio").alias("ratio")) for rule in _CROSS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def adjusted_rows(c: DataFrame, k: DataFrame) -> DataFrame:
-    out = Fi.adjusted(c, Fi.rolls(c, k))
-    return out.select("d", "contract", F.round("back_adjusted", 4).alias("back_adjusted"), F.round("ratio_adjusted", 4).alias("ratio_adjusted"))
+@query(f"WITH {ROLLS} SELECT d, old, new, round(difference, 6) AS difference, round(ratio, 6) AS ratio FROM rolls")
+def futures_rolls(t: Tables) -> DataFrame:
+    return Fi.rolls(chain(t), contracts(t)).select("d", "old", "new", round6("difference").alias("difference"), round6("ratio").alias("ratio"))
 
 
-@query(f"WITH {ROLLS} {ADJUSTED}")
+@query(f"""WITH {ROLLS} SELECT chain.d, chain.contract, round(chain.close + coalesce(sum(difference) OVER l, 0), 4) AS back_adjusted, round(chain.close * exp(coalesce(sum(ln(ratio)) OVER l, 0)), 4) AS ratio_adjusted
+FROM chain LEFT JOIN rolls ON chain.d = rolls.d WINDOW l AS (ORDER BY chain.d DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def futures_adjusted(t: Tables) -> DataFrame:
-    return adjusted_rows(chain(t), contracts(t))
-
-
-@query(f"WITH {ROLLS_ALL} {ADJUSTED}")
-def futures_adjusted_all(t: Tables) -> DataFrame:
-    return adjusted_rows(chain_all(t), contracts_all(t))
-
-
-BASIS = """SELECT chain.d, round(chain.close / nullif(market.close, 0) - 1, 6) AS basis, CASE WHEN expiry > chain.d THEN round((chain.close / nullif(market.close, 0) - 1) * 365.0 / (expiry - chain.d), 6) END AS annualised FROM chain JOIN market ON chain.d = market.d"""
+    c = chain(t)
+    out = Fi.adjusted(c, Fi.rolls(c, contracts(t)))
+    return out.select("d", "contract", F.round("back_adjusted", 4).alias("back_adjusted"), F.round("ratio_adjusted", 4).alias("ratio_adjusted"))
 
 
-def basis_rows(c: DataFrame, market: DataFrame) -> DataFrame:
-    rows = c.join(market.select("d", F.col("close").alias("spot")), "d")
+@query(f"""WITH {CHAIN} SELECT chain.d, round(chain.close / nullif(market.close, 0) - 1, 6) AS basis, CASE WHEN expiry > chain.d THEN round((chain.close / nullif(market.close, 0) - 1) * 365.0 / (expiry - chain.d), 6) END AS annualised FROM chain JOIN market ON chain.d = market.d""")
+def futures_basis(t: Tables) -> DataFrame:
+    rows = chain(t).join(t.market().select("d", F.col("close").alias("spot")), "d")
     basis, days = ratio("close", "spot") - 1, F.datediff("expiry", "d")
     return rows.select("d", round6(basis).alias("basis"), F.when(days > 0, round6(basis * 365.0 / F.nullif(days, F.lit(0)))).alias("annualised"))
 
 
-@query(f"WITH {CHAIN} {BASIS}")
-def futures_basis(t: Tables) -> DataFrame:
-    return basis_rows(chain(t), t.market())
-
-
-@query(f"WITH {CHAIN_ALL} {BASIS}")
-def futures_basis_all(t: Tables) -> DataFrame:
-    return basis_rows(chain_all(t), t.market())
-
-
 @query("""WITH m AS (SELECT y, q * 3 AS m FROM range(1995, 2003) a(y), range(1, 5) b(q)), f AS (SELECT y, m, make_date(y, m, 1) AS first FROM m)
 SELECT CAST(y AS INT) AS y, CAST(m AS INT) AS m, CAST(first + CAST((11 - isodow(first)) % 7 + 14 AS INT) AS DATE) AS expiry FROM f""")
 def quarterly_expiries(t: Tables) -> DataFrame:
@@ -137,18 +116,17 @@ def adjusted_prices_product(t: Tables) -> DataFrame:
 RATIOS = (0.1, 0.2, 0.25, 0.5, 2.0, 4.0, 5.0, 10.0)
 
 
-@query(f"""WITH c AS (SELECT entity, d, close / nullif(prev, 0) AS f FROM ret WHERE close / nullif(prev, 0) >= 4 OR close / nullif(prev, 0) <= 0.25),
-g AS (SELECT *, sum(CASE WHEN p IS NULL OR d - p > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY d) AS episode FROM (SELECT *, lag(d) OVER (PARTITION BY entity ORDER BY d) AS p FROM c)),
-e AS (SELECT entity, CAST(episode AS BIGINT) AS episode, min(d) AS first_d, max(d) AS last_d, count(*) AS jumps, round(exp(avg(ln(f))), 6) AS factor FROM g GROUP BY 1, 2)
-SELECT entity, episode, first_d, last_d, jumps, factor, ratio AS nearest FROM (SELECT *, row_number() OVER (PARTITION BY entity, episode ORDER BY round(abs(ln(factor) - ln(ratio)), 9), ratio) AS n FROM e CROSS JOIN (SELECT unnest([{', '.join(f'CAST({r} AS DOUBLE)' for r in RATIOS)}]) AS ratio)) WHERE n = 1""")
+@query(f"""WITH sel AS (SELECT entity, board FROM (SELECT entity, board, row_number() OVER (PARTITION BY entity ORDER BY round(sum(value), 2) DESC, count(*) DESC, board) AS k FROM boards GROUP BY 1, 2) WHERE k = 1),
+ch AS (SELECT b.*, lag(b.close) OVER (PARTITION BY b.entity ORDER BY b.d) AS p FROM boards b JOIN sel ON b.entity = sel.entity AND b.board = sel.board WHERE b.close > 0), c AS (SELECT * FROM ch WHERE p > 0 AND abs(ln(close) - ln(p)) > ln(1.5)),
+g AS (SELECT *, sum(CASE WHEN q IS NULL OR d - q > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY d) AS episode FROM (SELECT *, lag(d) OVER (PARTITION BY entity ORDER BY d) AS q FROM c)),
+e AS (SELECT entity, CAST(episode AS BIGINT) AS episode, min(d) AS first_d, max(d) AS last_d, count(*) AS jumps, array_to_string(list_sort(list(DISTINCT board)), ',') AS boards, arg_min(p, d) AS price_before, arg_max(close, d) AS price_after, round(exp(avg(ln(close / p))), 6) AS factor FROM g GROUP BY 1, 2),
+n AS (SELECT *, round(abs(ln(factor) - ln(ratio)), 9) AS error, row_number() OVER (PARTITION BY entity, episode ORDER BY round(abs(ln(factor) - ln(ratio)), 9), ratio) AS k FROM e CROSS JOIN (SELECT unnest([{', '.join(f'CAST({r} AS DOUBLE)' for r in RATIOS)}]) AS ratio))
+SELECT substr(sha256(entity || ':' || first_d), 1, 16) AS episode_id, entity, episode, first_d, last_d, jumps, boards, price_before, price_after, factor, ratio AS nearest, round(error, 6) AS ratio_error, CASE WHEN error <= 0.03 THEN 'ratio_candidate' ELSE 'unknown_large_move' END AS kind FROM n WHERE k = 1""")
 def corporate_action_episodes(t: Tables) -> DataFrame:
-    c = returns(t.panel()).select("entity", "d", (F.col("r") + 1).alias("f"), ratio("close", F.lag("close").over(W.by_time("entity", "d"))).alias("g"))
-    c = c.where((F.col("g") >= 4) | (F.col("g") <= 0.25))
-    w = W.by_time("entity", "d")
-    rows = W.episodes(c, ["entity"], "d", F.datediff("d", F.lag("d").over(w)) > 30)
-    e = rows.groupBy("entity", "episode").agg(F.min("d").alias("first_d"), F.max("d").alias("last_d"), F.count("*").alias("jumps"), round6(F.exp(F.avg(F.log("g")))).alias("factor"))
-    best = F.array_min(F.array(*[F.struct(F.round(F.abs(F.log("factor") - F.log(F.lit(r))), 9).alias("x"), F.lit(r).alias("r")) for r in RATIOS]))
-    return e.withColumn("nearest", best["r"])
+    boards = t.boards()
+    selected = board_chain(boards).where("selected").select("entity", "board")
+    e = Fi.action_episodes(boards.join(selected, ["entity", "board"]), RATIOS)
+    return e.select("episode_id", "entity", "episode", "first_d", "last_d", "jumps", F.array_join("boards", ",").alias("boards"), "price_before", "price_after", "factor", "nearest", round6("ratio_error").alias("ratio_error"), "kind")
 
 
 CURVE = """curve AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS d, CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 0.5 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 3 WHEN '4-NOT SPECIFIED' THEN 5 ELSE 10 END AS DOUBLE) AS tenor, round(avg(o_totalprice) / 1e4, 4) AS yield FROM orders GROUP BY 1, 2)"""
@@ -244,13 +222,17 @@ def derived_by_family(t: Tables) -> DataFrame:
     return t("part").groupBy("p_brand").agg(F.round(pick("STEEL|BRASS"), 4).alias("metal"), F.round(pick("^PROMO"), 4).alias("promo"), round6(pick("^PROMO") / F.avg("p_retailprice")).alias("promo_ratio"))
 
 
-@query("""WITH s AS (SELECT issuer, count(*) AS n, count(DISTINCT year(period)) AS years, avg(CAST(profit > 0 AS INT)) AS consistent, date_diff('day', max(period), DATE '2001-12-31') AS age FROM statements GROUP BY 1)
-SELECT issuer, n, years, age, round(greatest(0, least(100, 30 * least(n / 28.0, 1) + 30 * consistent + 20 * least(years / 7.0, 1) + 20 * greatest(0, 1 - age / 730.0))), 6) AS confidence FROM s""")
+@query("""WITH s AS (SELECT issuer, count(*) AS n, count(DISTINCT year(period)) AS years, date_diff('day', max(period), DATE '2001-12-31') AS age, count(*) FILTER (WHERE profit > 0) AS passed, issuer % 2 = 0 AS ifrs, issuer % 3 = 0 AS ras, min(shares) > 0 AS sh, issuer % 5 / 10.0 AS manual, issuer % 4 AS amb, issuer % 7 <> 0 AS stable FROM statements GROUP BY 1),
+c AS (SELECT *, least(100, 100 * least(n, 20) / 28.0) AS completeness, greatest(0, 100 - age / 7.0) AS freshness, least(100, n * 8 + years * 4) AS evidence, 100 * passed / greatest(n, 1)::DOUBLE AS consistency, 25 * ifrs::INT + 20 * ras::INT + 20 * sh::INT + 35 * stable::INT AS source, least(60, manual * 40 + amb * 10) AS penalty FROM s),
+d AS (SELECT *, greatest(0, least(100, 0.3 * completeness + 0.15 * freshness + 0.2 * evidence + 0.2 * consistency + 0.15 * source - penalty)) AS data FROM c)
+SELECT issuer, round(completeness::DOUBLE, 6) AS completeness, round(freshness::DOUBLE, 6) AS freshness, evidence::DOUBLE AS evidence, round(consistency, 6) AS consistency, source::DOUBLE AS source, penalty::DOUBLE AS penalty, round(data::DOUBLE, 1) AS data_confidence, round(data::DOUBLE * 0.85, 1) AS valuation_confidence, round(least(data, evidence)::DOUBLE * 0.8, 1) AS backtest_confidence FROM d""")
 def fundamental_confidence(t: Tables) -> DataFrame:
-    s = t.statements().groupBy("issuer").agg(F.count("*").alias("n"), F.count_distinct(F.year("period")).alias("years"), share(F.col("profit") > 0).alias("c"), F.datediff(F.lit("2001-12-31").cast("date"), F.max("period")).cast("long").alias("age"))
-    one, zero = F.lit(1.0), F.lit(0.0)
-    score = 30 * F.least(F.col("n") / 28.0, one) + 30 * F.col("c") + 20 * F.least(F.col("years") / 7.0, one) + 20 * F.greatest(zero, 1 - F.col("age") / 730.0)
-    return s.select("issuer", "n", "years", "age", round6(F.greatest(zero, F.least(F.lit(100.0), score))).alias("confidence"))
+    k = F.col("issuer")
+    s = t.statements().groupBy("issuer").agg(F.count("*").alias("n"), F.count_distinct(F.year("period")).alias("history_years"), F.datediff(F.lit("2001-12-31").cast("date"), F.max("period")).alias("age_days"), F.count(F.when(F.col("profit") > 0, 1)).alias("consistency_passed"), (F.min("shares") > 0).alias("has_shares"))
+    s = s.withColumns({"key_metrics": F.least("n", F.lit(20)), "total_key_metrics": F.lit(28), "has_ifrs": k % 2 == 0, "has_ras": k % 3 == 0, "consistency_checks": F.col("n"), "validated_releases": F.col("n"), "manual_ratio": k % 5 / 10.0, "ambiguities": k % 4, "stable_methodology": k % 7 != 0})
+    out = fundamental_score(s)
+    as_double = lambda c: F.col(c).cast("double").alias(c)
+    return out.select("issuer", round6("completeness").alias("completeness"), round6("freshness").alias("freshness"), as_double("evidence"), round6("consistency").alias("consistency"), as_double("source"), as_double("penalty"), "data_confidence", "valuation_confidence", "backtest_confidence")
 
 
 @query("""WITH f AS (SELECT entity, arg_max(close, d) AS price, count(*) AS n, regr_slope(ln(close), CAST(d - DATE '1995-01-01' AS DOUBLE)) * 365 AS growth, sum(CASE WHEN day(d) = 15 THEN close * 0.02 END) AS paid FROM panel GROUP BY 1)
@@ -275,16 +257,15 @@ def macro_sensitivity(t: Tables) -> DataFrame:
     return a.join(c, "entity").groupBy("entity", "n").agg(F.round(F.any_value("beta"), 5).alias("beta"), same.alias("same_sign"), (same == 4).alias("stable"))
 
 
-@query("""WITH o AS (SELECT series, available, value, vintage FROM (SELECT *, row_number() OVER (PARTITION BY series, available ORDER BY vintage DESC) AS n FROM observations) WHERE n = 1), s AS (SELECT DISTINCT CAST(date_trunc('month', d) AS DATE) AS d FROM market),
+@query("""WITH o AS (SELECT series, available, value, vintage FROM (SELECT *, row_number() OVER (PARTITION BY series, available ORDER BY vintage DESC) AS n FROM observations) WHERE n = 1), s AS (SELECT d FROM market),
 g AS (SELECT s.d, o.series FROM s CROSS JOIN (SELECT DISTINCT series FROM observations) o), j AS (SELECT g.d, g.series, o.value FROM g ASOF LEFT JOIN o ON g.series = o.series AND g.d >= o.available)
 SELECT d, h AS horizon, count(value) AS known, round(max(value) FILTER (WHERE series = '1-URGENT'), 2) AS urgent, round(max(value) FILTER (WHERE series = '5-LOW'), 2) AS low FROM j, (SELECT unnest([5, 20]) AS h) GROUP BY 1, 2""")
 def macro_snapshots(t: Tables) -> DataFrame:
     from chronoframe.operators.joins import asof
     from chronoframe.queries.joins import _obs
 
-    months = t.market().select(F.to_date(F.date_trunc("month", "d")).alias("d")).distinct()
-    grid = months.join(F.broadcast(t.observations().select("series").distinct()))
-    j = asof(grid, _obs(t), ["series"], "d", "available", ["value"]).withColumn("horizon", F.explode(F.array(F.lit(5), F.lit(20))))
+    grid = t.market().select("d").join(F.broadcast(t.observations().select("series").distinct()))  # sessions by series
+    j = asof(grid, _obs(t), ["series"], "d", "available", ["value"], bucket="quarter").withColumn("horizon", F.explode(F.array(F.lit(5), F.lit(20))))
     pick = lambda s: F.round(F.max(F.when(F.col("series") == s, F.col("value"))), 2)
     return j.groupBy("d", "horizon").agg(F.count("value").alias("known"), pick("1-URGENT").alias("urgent"), pick("5-LOW").alias("low"))
 

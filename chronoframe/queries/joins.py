@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.functions.expr import ratio, round6
 from chronoframe.operators import joins as J
+from chronoframe.operators import rules as R
 from chronoframe.operators import windows as W
 from chronoframe.operators.panel import returns
 from chronoframe.plans.bindings import Tables
@@ -32,7 +33,7 @@ def asof_backward(t: Tables) -> DataFrame:
 @query(f"""WITH o AS ({OBS}), g AS (SELECT d, series FROM (SELECT DISTINCT d FROM market) CROSS JOIN (SELECT DISTINCT series FROM observations))
 SELECT g.d, g.series, o.available, o.value FROM g ASOF JOIN o ON g.series = o.series AND g.d >= o.available""")
 def asof_inner(t: Tables) -> DataFrame:
-    return J.asof(_grid(t), _obs(t), ["series"], "d", "available", ["value"], inner=True).select("d", "series", F.col("asof_available").alias("available"), "value")
+    return J.asof(_grid(t), _obs(t), ["series"], "d", "available", ["value"], inner=True, bucket="quarter").select("d", "series", F.col("asof_available").alias("available"), "value")
 
 
 @query("""WITH o AS (SELECT l_suppkey AS entity, o_orderkey, max(CAST(o_orderdate AS DATE)) AS published FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)
@@ -114,7 +115,7 @@ def segment_overlap(t: Tables) -> DataFrame:
 @query(f"""WITH o AS ({OBS}) SELECT m.d, (SELECT o.value FROM o WHERE o.series = '1-URGENT' AND o.available <= m.d ORDER BY o.available DESC LIMIT 1) AS urgent FROM market m""")
 def correlated_latest_scalar(t: Tables) -> DataFrame:
     one = t.market().select("d").withColumn("series", F.lit("1-URGENT"))
-    return J.asof(one, _obs(t), ["series"], "d", "available", ["value"]).select("d", F.col("value").alias("urgent"))
+    return J.asof(one, _obs(t), ["series"], "d", "available", ["value"], bucket="quarter").select("d", F.col("value").alias("urgent"))
 
 
 @query("""SELECT d, name, item AS value FROM (SELECT d, close, value, volume FROM market) m CROSS JOIN LATERAL (VALUES ('close', close), ('log_value', round(ln(value), 6)), ('price_per_volume', round(value / volume, 6))) v(name, item)""")
@@ -244,13 +245,12 @@ def pareto_dominance(t: Tables) -> DataFrame:
     return s.select("entity", "gain", "risk", (above | (F.col("peer") < F.col("risk"))).alias("dominated"))
 
 
-@query(f"""WITH {STATS}, m AS (SELECT median(gain) AS g, median(risk) AS k FROM s)
-SELECT entity, CASE WHEN gain >= g AND risk <= k THEN 'strong_calm' WHEN gain >= g THEN 'strong_risky' WHEN risk <= k THEN 'weak_calm' ELSE 'weak_risky' END AS quadrant FROM s, m""")
+@query(f"""WITH {STATS}, m AS (SELECT median(gain) AS g, median(risk) AS k FROM s), x AS (SELECT entity, gain >= g AS high, risk <= k AS calm FROM s, m)
+SELECT entity, {R.case(R.QUADRANT, R.QUADRANT_ELSE)} AS quadrant FROM x""")
 def quadrant_labels(t: Tables) -> DataFrame:
     s = entity_stats(t)
     s = s.join(F.broadcast(s.agg(F.median("gain").alias("g"), F.median("risk").alias("k"))))
-    hi, calm = F.col("gain") >= F.col("g"), F.col("risk") <= F.col("k")
-    return s.select("entity", F.when(hi & calm, "strong_calm").when(hi, "strong_risky").when(calm, "weak_calm").otherwise("weak_risky").alias("quadrant"))
+    return s.withColumns({"high": F.col("gain") >= F.col("g"), "calm": F.col("risk") <= F.col("k")}).select("entity", R.label(R.QUADRANT, R.QUADRANT_ELSE).alias("quadrant"))
 
 
 @query(None)

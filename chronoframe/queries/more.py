@@ -19,14 +19,14 @@ from chronoframe.queries.registry import query
 from chronoframe.queries.similarity import FEATURES, STATE, state
 
 
-@query("""WITH a AS (SELECT entity, d, CASE WHEN count(close) OVER w >= 200 THEN close > avg(close) OVER w END AS above FROM panel WINDOW w AS (PARTITION BY entity ORDER BY d ROWS 199 PRECEDING)),
+@query("""WITH a AS (SELECT entity, d, CASE WHEN count(close) OVER w >= 200 THEN close >= avg(close) OVER w END AS above FROM panel WINDOW w AS (PARTITION BY entity ORDER BY d ROWS 199 PRECEDING)),
 c AS (SELECT *, coalesce(above, false) AS up, CASE WHEN coalesce(above, false) IS DISTINCT FROM lag(coalesce(above, false)) OVER (PARTITION BY entity ORDER BY d) THEN 1 ELSE 0 END AS ch FROM a),
 r AS (SELECT *, sum(ch) OVER (PARTITION BY entity ORDER BY d) AS run FROM c) SELECT entity, d, CASE WHEN up THEN row_number() OVER (PARTITION BY entity, run ORDER BY d) ELSE -1 END AS days_vs_sma_200 FROM r""")
 def trend_run_length(t: Tables) -> DataFrame:
-    """Rows since the close went above its 200-row mean; -1 below it and while the mean is forming."""
+    """Rows since the close came to its 200-row mean or above; -1 below it and while the mean is forming."""
     w = W.frame(W.by_time("entity", "d"), 200)
     mean = W.rolling(F.avg("close"), F.col("close"), w, 200)
-    a = t.panel().select("entity", "d", F.coalesce(F.col("close") > mean, F.lit(False)).alias("up"))
+    a = t.panel().select("entity", "d", F.coalesce(F.col("close") >= mean, F.lit(False)).alias("up"))
     return W.run_length(a, ["entity"], "d", "up").select("entity", "d", F.when(F.col("up"), F.col("duration")).otherwise(-1).cast("long").alias("days_vs_sma_200"))
 
 
@@ -51,10 +51,13 @@ def dividend_rules(t: Tables) -> DataFrame:
     return Q.dividend_rules(dv, t.panel()).groupBy("issue_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'invalid_index' AS issue_type, entity, d, '' AS detail FROM panel WHERE false")
+@query("""WITH x AS (SELECT entity, d, CASE WHEN entity % 5 = 0 AND day(d) = 1 THEN 0.0 WHEN entity % 5 = 1 AND day(d) = 2 THEN NULL WHEN entity % 5 = 2 AND day(d) = 3 THEN 'inf'::DOUBLE WHEN entity % 5 = 3 AND day(d) = 4 THEN 'nan'::DOUBLE WHEN entity % 5 = 4 AND day(d) = 5 THEN -close ELSE close END AS i FROM panel)
+SELECT 'invalid_index' AS issue_type, entity, d, '' AS detail FROM x WHERE i IS NULL OR NOT isfinite(i) OR i <= 0""")
 def index_rules(t: Tables) -> DataFrame:
-    none = t.panel().select("entity", "d", F.lit(0.0).alias("dividend")).limit(0)
-    return Q.index_rules(total_returns(t.panel().withColumn("close", F.round("close", 4)), none))
+    """Index levels broken on purpose: zero, unknown, infinite, not a number, negative."""
+    day, k = F.dayofmonth("d"), F.col("entity") % 5
+    level = F.when((k == 0) & (day == 1), 0.0).when((k == 1) & (day == 2), F.lit(None)).when((k == 2) & (day == 3), float("inf")).when((k == 3) & (day == 4), float("nan")).when((k == 4) & (day == 5), -F.col("close")).otherwise(F.col("close"))
+    return Q.index_rules(t.panel().select("entity", "d", level.cast("double").alias("total_return_index")))
 
 
 @query("""WITH j AS (SELECT p_partkey, p_size % 4 AS a, p_partkey % 4 AS b, (p_size + p_partkey) % 4 AS c FROM part), s AS (SELECT *, a * 3 + b * 2 + c * 3 + a * 3 + b * 2 - c * 2 - a - b * 3 AS score FROM j)

@@ -11,7 +11,8 @@ from chronoframe.operators import panel as P
 from chronoframe.operators import rules as R
 from chronoframe.operators import targets as T
 from chronoframe.operators import windows as W
-from chronoframe.plans.bindings import Tables
+from chronoframe.operators.joins import small
+from chronoframe.plans.bindings import SQL_VIEWS, Tables
 from chronoframe.queries.registry import query
 
 BY = "PARTITION BY entity ORDER BY d"
@@ -68,18 +69,19 @@ def returns_total_index(t: Tables) -> DataFrame:
     return out.select("entity", "d", *[round6(c).alias(c) for c in ("price_return", "log_return", "dividend_return", "total_return", "total_return_index")])
 
 
-@query(f"""WITH a AS (SELECT *, avg(value) OVER (w ROWS 4 PRECEDING) AS t5, avg(value) OVER (w ROWS 19 PRECEDING) AS t20,
-  avg(value) OVER (w ROWS 59 PRECEDING) AS t60, abs(r) / nullif(value, 0) AS am,
-  avg(CAST(volume = 0 AS INT)) OVER (w ROWS 19 PRECEDING) AS zs, avg(value) OVER (w ROWS BETWEEN 39 PRECEDING AND 20 PRECEDING) AS p20
-  FROM ret WINDOW w AS ({BY})),
-b AS (SELECT *, avg(am) OVER ({BY} ROWS 19 PRECEDING) AS am20, percent_rank() OVER (PARTITION BY d ORDER BY t20 NULLS LAST) AS pr FROM a)
-SELECT entity, d, round(t5, 8) AS turnover_5, round(t20, 8) AS turnover_20, round(t60, 8) AS turnover_60, round(am20 * 1e6, 6) AS amihud_20,
-  round(zs, 6) AS zero_share_20, round(t20 / nullif(p20, 0) - 1, 6) AS acceleration, round(pr, 6) AS liquidity_percentile,
-  CASE WHEN pr >= 0.8 THEN 'high' WHEN pr < 0.2 THEN 'low' ELSE 'normal' END AS liquidity_regime FROM b""")
+ROBUST = f"""rb AS (SELECT *, CASE WHEN m < ln(100) AND m > -ln(100) THEN exp(m) - 1 END AS r FROM (SELECT *, CASE WHEN close > 0 AND lag(close) OVER ({BY}) > 0 THEN ln(close) - ln(lag(close) OVER ({BY})) END AS m FROM panel))"""
+
+
+@query(f"""WITH {ROBUST}, a AS (SELECT *, {', '.join(f'avg(value) OVER (w ROWS {n - 1} PRECEDING) AS t{n}' for n in (5, 20, 60, 120, 250))}, avg(volume) OVER (w ROWS 19 PRECEDING) AS v20, avg(trades) OVER (w ROWS 19 PRECEDING) AS n20,
+  avg(volume) OVER (w ROWS BETWEEN 39 PRECEDING AND 20 PRECEDING) AS vp, avg(trades) OVER (w ROWS BETWEEN 39 PRECEDING AND 20 PRECEDING) AS np, stddev_samp(r) OVER (w ROWS 19 PRECEDING) AS sd FROM rb WINDOW w AS ({BY})),
+b AS (SELECT *, percent_rank() OVER (PARTITION BY d ORDER BY t20 NULLS LAST) AS lp, percent_rank() OVER (PARTITION BY d ORDER BY value NULLS LAST) AS tp, percent_rank() OVER (PARTITION BY d ORDER BY volume NULLS LAST) AS vq FROM a)
+SELECT entity, d, round(r, 6) AS r, {', '.join(f'round(t{n}, 6) AS turnover_{n}' for n in (5, 20, 60, 120, 250))}, round(v20, 6) AS volume_20, round(n20, 6) AS trades_20, round(abs(r) / nullif(value, 0) * 1e6, 6) AS amihud, round(abs(r) / nullif(volume, 0) * 1e6, 4) AS volume_impact,
+  round(value / nullif(trades, 0), 6) AS value_per_trade, round(volume / nullif(trades, 0), 6) AS volume_per_trade, coalesce(volume, 0) = 0 AS zero_volume, round(v20 / nullif(vp, 0) - 1, 6) AS volume_acceleration, round(n20 / nullif(np, 0) - 1, 6) AS trades_acceleration,
+  round(value / nullif(sd, 0), 2) AS value_over_volatility, round(lp, 6) AS liquidity_percentile, round(tp, 6) AS value_percentile, round(vq, 6) AS volume_percentile, CASE WHEN lp >= 0.8 THEN 'high' WHEN lp < 0.2 THEN 'low' ELSE 'normal' END AS liquidity_regime FROM b""")
 def liquidity_panel(t: Tables) -> DataFrame:
-    out = P.liquidity(t.panel())
-    return out.select("entity", "d", *[F.round(c, 8).alias(c) for c in ("turnover_5", "turnover_20", "turnover_60")], round6(F.col("amihud_20") * 1e6).alias("amihud_20"),
-                      *[round6(c).alias(c) for c in ("zero_share_20", "acceleration", "liquidity_percentile")], "liquidity_regime")
+    out = P.liquidity(t.panel().drop("open", "high", "low")).withColumns({"amihud": F.col("amihud") * 1e6, "volume_impact": F.col("volume_impact") * 1e6}).drop("close", "value", "volume", "trades")
+    as_is, places = {"entity", "d", "zero_volume", "liquidity_regime"}, {"volume_impact": 4, "value_over_volatility": 2}
+    return out.select(*[c if c in as_is else F.round(c, places.get(c, 6)).alias(c) for c in out.columns])
 
 
 BREADTH = f"""WITH a AS (SELECT *, avg(close) OVER (w ROWS 19 PRECEDING) AS m, count(close) OVER (w ROWS 19 PRECEDING) AS n,
@@ -119,15 +121,17 @@ def breadth_iqr_drawdown(t: Tables) -> DataFrame:
     return a.select("d", "n", round6(F.col("q75") - F.col("q25")).alias("iqr"), round6("level").alias("level"), round6(F.col("level") - F.max("level").over(w)).alias("drawdown"))
 
 
-@query(BREADTH + f""", s AS (SELECT d, CAST(advancing - declining AS DOUBLE) / entities AS net, (above_mean - 0.5) * 2 AS trend, -dispersion AS dispersion FROM b),
-z AS (SELECT *, (net - avg(net) OVER p) / nullif(stddev_samp(net) OVER p, 0) AS breadth_z, (dispersion - avg(dispersion) OVER p) / nullif(stddev_samp(dispersion) OVER p, 0) AS dispersion_z
-  FROM s WINDOW p AS (ORDER BY d ROWS BETWEEN 249 PRECEDING AND 1 PRECEDING))
-SELECT d, round(breadth_z, 4) AS breadth_z, round(dispersion_z, 4) AS dispersion_z, round(trend, 6) AS trend, {R.case(R.MARKET_STATE, 'mixed')} AS state FROM z""")
+@query(f"""WITH a AS (SELECT *, avg(close) OVER ({BY} ROWS 49 PRECEDING) AS m FROM ret),
+b AS (SELECT d, count(*) AS n, count(*) FILTER (WHERE close > prev) AS up, count(*) FILTER (WHERE close < prev) AS down, count(*) FILTER (WHERE close > m) AS above, stddev_samp(r) AS sd, sum(value) AS turnover, sum(value) FILTER (WHERE close > prev) AS uv, sum(value) FILTER (WHERE close < prev) AS dv FROM a GROUP BY d),
+s AS (SELECT *, (up - down)::DOUBLE / n AS net, (uv - dv) / nullif(turnover, 0) AS risk_appetite, (above::DOUBLE / n - 0.5) * 2 AS trend, -sd AS dispersion, ln(nullif(turnover, 0)) AS liq FROM b),
+z AS (SELECT *, {', '.join(f'({x} - avg({x}) OVER p) / nullif(stddev_samp({x}) OVER p, 0) AS {y}' for x, y in (('net', 'breadth_z'), ('liq', 'liquidity_z'), ('dispersion', 'dispersion_z')))} FROM s WINDOW p AS (ORDER BY d ROWS BETWEEN 249 PRECEDING AND 1 PRECEDING))
+SELECT d, round(breadth_z, 4) AS breadth_z, round(liquidity_z, 4) AS liquidity_z, round(dispersion_z, 4) AS dispersion_z, round(dispersion, 6) AS dispersion, round(trend, 6) AS trend, round(risk_appetite, 6) AS risk_appetite, {R.case(R.MARKET_STATE, 'mixed')} AS state,
+  up AS advancing, down AS declining, round(net, 6) AS breadth FROM z""")
 def market_state_zscore(t: Tables) -> DataFrame:
-    w = Window.orderBy("d")
-    s = P.breadth(t.panel()).select("d", ((F.col("advancing") - F.col("declining")).cast("double") / F.col("entities")).alias("net"), ((F.col("above_mean") - 0.5) * 2).alias("trend"), (-F.col("dispersion")).alias("dispersion"))
-    s = s.withColumn("breadth_z", P.zscore_before("net", w)).withColumn("dispersion_z", P.zscore_before("dispersion", w))
-    return s.select("d", F.round("breadth_z", 4).alias("breadth_z"), F.round("dispersion_z", 4).alias("dispersion_z"), round6("trend").alias("trend"), R.label(R.MARKET_STATE, "mixed").alias("state"))
+    s = P.market_state(t.panel().select("entity", "d", "close", "value"))
+    seen = F.from_json("context", "breadth double, advancing long, declining long")
+    s = s.withColumns({c: seen[c] for c in ("breadth", "advancing", "declining")})
+    return s.select("d", *[F.round(c, 4).alias(c) for c in ("breadth_z", "liquidity_z", "dispersion_z")], *[round6(c).alias(c) for c in ("dispersion", "trend", "risk_appetite", "breadth")], "state", "advancing", "declining")
 
 
 @query(f"""SELECT entity, d, {', '.join(f"round(close / nullif(lag(close, {k}) OVER w, 0) - 1, 6) AS momentum_{k}" for k in (1, 5, 20, 60, 120, 250))},
@@ -164,7 +168,7 @@ SELECT entity, d, CASE WHEN n >= 20 THEN round(c / nullif(vx, 0), 4) END AS beta
   CASE WHEN n >= 20 THEN round(sqrt(greatest(vy - c * c / nullif(vx, 0), 0)), 5) END AS idiosyncratic_60 FROM b""")
 def features_beta_alpha(t: Tables) -> DataFrame:
     m = P.returns(t.market().withColumn("entity", F.lit(0))).select("d", F.col("r").alias("m"))
-    rows = P.returns(t.panel()).join(m, "d")
+    rows = P.returns(t.panel()).join(small(m), "d")
     both = F.col("r").isNotNull() & F.col("m").isNotNull()
     rows = rows.withColumn("y", F.when(both, F.col("r"))).withColumn("x", F.when(both, F.col("m")))
     w = W.frame(W.by_time("entity", "d"), 60)
@@ -183,7 +187,7 @@ SELECT entity, d, CASE WHEN n >= 20 THEN round(exp(s) / exp(ms) - 1, 6) END AS r
 def relative_strength(t: Tables) -> DataFrame:
     m = P.returns(t.market().withColumn("entity", F.lit(0))).select("d", F.col("r").alias("m"))
     w = W.frame(W.by_time("entity", "d"), 20)
-    rows = P.returns(t.panel()).join(m, "d")
+    rows = P.returns(t.panel()).join(small(m), "d")
     rows = rows.withColumn("n", F.count("r").over(w)).withColumn("s", F.sum(F.log1p("r")).over(w)).withColumn("ms", F.sum(F.log1p("m")).over(w))
     return rows.select("entity", "d", F.when(F.col("n") >= 20, round6(F.exp("s") / F.exp("ms") - 1)).alias("relative_strength_20"))
 
@@ -273,7 +277,7 @@ _FALL = lambda n: f"CASE WHEN count(close) OVER (w ROWS {n - 1} PRECEDING) >= {n
 _FOLD = "list_reduce(list_transform({0}, lambda c: {{'k': c, 'v': 0.0::DOUBLE}}), lambda q, z: {{'k': greatest(q.k, z.k), 'v': least(q.v, z.k / greatest(q.k, z.k) - 1)}}).v"
 
 
-@query(f"""WITH b0 AS (SELECT ret.entity, ret.d, ret.close, ret.value, ret.volume, ret.r, mret.r AS m FROM ret LEFT JOIN mret ON ret.d = mret.d),
+FEATURES_SQL = f"""WITH b0 AS (SELECT ret.entity, ret.d, ret.close, ret.value, ret.volume, ret.r, mret.r AS m FROM ret LEFT JOIN mret ON ret.d = mret.d),
 b1 AS (SELECT *, coalesce(value, 0.0) AS v, CASE WHEN r < 0 THEN r END AS neg, CASE WHEN r IS NOT NULL AND m IS NOT NULL THEN r END AS y, CASE WHEN r IS NOT NULL THEN m END AS x, CAST(coalesce(volume, 0) <= 0 AS INT) AS zero FROM b0),
 b2 AS (SELECT *, {', '.join(f"close / nullif(lag(close, {n}) OVER w, 0) - 1 AS return_{n}" for n in X.RETURNS)}, {', '.join(_FULL('avg(close)', 'close', n) + f' AS sma_{n}' for n in X.MEANS)},
   {_FULL('max(close)', 'close', 250)} AS hi, {_FULL('min(close)', 'close', 250)} AS lo, max(close) OVER (w ROWS UNBOUNDED PRECEDING) AS peak, row_number() OVER w AS n,
@@ -287,7 +291,11 @@ SELECT entity, d, {', '.join(f'round(return_{n}, 6) AS return_{n}' for n in X.RE
   round((close - lo) / nullif(hi - lo, 0), 6) AS range_52w_position, round(close / nullif(hi, 0) - 1, 6) AS distance_to_52w_high, round(close / nullif(lo, 0) - 1, 6) AS distance_to_52w_low,
   {', '.join(f'round(volatility_{n}, 6) AS volatility_{n}' for n in X.DEVIATIONS)}, round(downside_volatility_60, 6) AS downside_volatility_60, {', '.join(f"round({_FOLD.format(f'f{n}')}, 6) AS max_drawdown_{n}" for n in X.DRAWDOWNS)},
   round(close / nullif(peak, 0) - 1, 6) AS current_drawdown, {', '.join(f'round(turnover_{k}_{n}, 4) AS turnover_{k}_{n}' for n in X.TURNOVERS for k in ('mean', 'median'))}, round(v / nullif(turnover_mean_20, 0), 6) AS turnover_to_mean_20, CAST(zeros AS BIGINT) AS zero_volume_days_20,
-  {', '.join(f'round((1 + return_{n}) / nullif(exp(bl_{n}), 0) - 1, 6) AS relative_strength_{n}' for n in X.STRENGTHS)}, {', '.join(f'round(c_{n} / nullif(vx_{n}, 0), 4) AS beta_{n}, round(c_{n} / nullif(sqrt(vx_{n}) * sqrt(vy_{n}), 0), 4) AS correlation_{n}' for n in X.BETAS)} FROM b5""")
+  {', '.join(f'round((1 + return_{n}) / nullif(exp(bl_{n}), 0) - 1, 6) AS relative_strength_{n}' for n in X.STRENGTHS)}, {', '.join(f'round(c_{n} / nullif(vx_{n}, 0), 4) AS beta_{n}, round(c_{n} / nullif(sqrt(vx_{n}) * sqrt(vy_{n}), 0), 4) AS correlation_{n}' for n in X.BETAS)} FROM b5"""
+SQL_VIEWS["feat"] = FEATURES_SQL
+
+
+@query(FEATURES_SQL)
 def features_standard(t: Tables) -> DataFrame:
     out = X.standard(t.panel().select("entity", "d", "close", "value", "volume"), t.market()).drop("close", "value", "volume")
     four = {f"sma_{n}" for n in X.MEANS} | {f"turnover_{k}_{n}" for n in X.TURNOVERS for k in ("mean", "median")} | {f"{k}_{n}" for n in X.BETAS for k in ("beta", "correlation")}
@@ -379,8 +387,8 @@ def trading_days_between(t: Tables) -> DataFrame:
 
     c = W.sessions(t.panel(), "d").withColumn("k", F.lit(1))
     o = t("orders").select(F.to_date("o_orderdate").alias("start_d")).distinct().withColumn("end_d", F.date_add("start_d", 30)).withColumn("k", F.lit(1))
-    a = asof(o, c, ["k"], "start_d", "d", ["session"]).withColumnRenamed("session", "s0").drop("asof_d")
-    b = asof(a, c, ["k"], "end_d", "d", ["session"])
+    a = asof(o, c, ["k"], "start_d", "d", ["session"], bucket="quarter").withColumnRenamed("session", "s0").drop("asof_d")
+    b = asof(a, c, ["k"], "end_d", "d", ["session"], bucket="quarter")
     return b.select("start_d", "end_d", (F.coalesce("session", F.lit(0)) - F.coalesce("s0", F.lit(0))).cast("long").alias("sessions"))
 
 

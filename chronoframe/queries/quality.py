@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronoframe.functions.expr import count_if, key_hash, ratio, round6, share
 from chronoframe.operators import quality as Q
 from chronoframe.operators import rules as R
+from chronoframe.operators import scoring as Sc
 from chronoframe.operators.panel import canonical, returns
 from chronoframe.plans.bindings import Tables
 from chronoframe.queries.panel import SEGMENTS, _segments
@@ -67,10 +68,12 @@ def orphan_facts(t: Tables) -> DataFrame:
     return Q.orphans(facts, t.panel(), "orphan_fact")
 
 
-@query("""SELECT sha256('jump:' || entity || ':' || d)[1:20] AS issue_id, entity, d, round(r, 4) AS r FROM ret WHERE abs(r) > 5""")
+@query("""WITH r AS (SELECT entity, board, d, close / nullif(lag(close) OVER (PARTITION BY entity, board ORDER BY d), 0) - 1 AS r, close, value, volume FROM boards),
+u AS (SELECT 'large_return_corporate_action_review' AS issue, entity, board, d, round(r, 4) AS r FROM r WHERE abs(r) > 0.5 UNION ALL SELECT 'nonpositive_close', entity, board, d, NULL FROM r WHERE close <= 0 UNION ALL SELECT 'value_below_close', entity, board, d, NULL FROM r WHERE value < close)
+SELECT substr(sha256(issue || ':' || entity || ':' || board || ':' || d), 1, 24) AS issue_id, * FROM u""")
 def market_history_audit(t: Tables) -> DataFrame:
-    rows = returns(t.panel()).where(F.abs("r") > 5)
-    return rows.select(F.substring(F.sha2(F.concat_ws(":", F.lit("jump"), F.col("entity").cast("string"), F.col("d").cast("string")), 256), 1, 20).alias("issue_id"), "entity", "d", F.round("r", 4).alias("r"))
+    rules = {"nonpositive_close": F.col("close") <= 0, "value_below_close": F.col("value") < F.col("close")}
+    return Q.history_audit(t.boards(), rules).withColumn("r", F.round("r", 4))
 
 
 @query("""WITH x AS (SELECT *, lag(observed) OVER w AS po, lag(value) OVER w AS pv, count(*) OVER (PARTITION BY series, observed, vintage) AS n FROM observations WINDOW w AS (PARTITION BY series ORDER BY observed, vintage))
@@ -81,38 +84,68 @@ def macro_quality(t: Tables) -> DataFrame:
     return x.groupBy("series").agg(count_if(F.col("available") < F.col("observed")).alias("leaked"), count_if(F.col("n") > 1).alias("duplicated"), count_if(F.datediff("observed", "po") > 10).alias("gaps"), count_if(F.abs(ratio("value", "pv") - 1) > 10).alias("jumps"))
 
 
-@query("""SELECT issuer, period, array_to_string(list_filter([CASE WHEN equity <= 0 THEN 'nonpositive_equity' END, CASE WHEN profit > equity * 40 THEN 'implausible_profit' END, CASE WHEN shares < 5 THEN 'few_facts' END], lambda x: x IS NOT NULL), ';') AS issues FROM statements""")
+@query("""WITH f AS (SELECT (['assets', 'equity', 'revenue'])[o_orderkey % 3 + 1] AS metric, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period_end, (['IFRS', 'RAS', 'GAAP'])[o_custkey % 3 + 1] AS standard, o_custkey % 50 AS revision, CAST(o_orderdate AS DATE) - CAST(o_orderkey % 11 AS INT) AS published,
+  CAST(o_orderdate AS DATE) - CAST(o_orderkey % 13 AS INT) AS available, o_totalprice - 20000 AS value FROM orders), x AS (SELECT *, row_number() OVER (PARTITION BY metric, period_end, standard, revision ORDER BY published, available, value) AS k FROM f),
+i AS (SELECT metric, period_end, standard, revision, unnest(list_filter([CASE WHEN k > 1 THEN 'duplicate' END, CASE WHEN published < period_end THEN 'publication_before_period_end' END, CASE WHEN available < published THEN 'available_before_publication' END, CASE WHEN standard NOT IN ('IFRS', 'RAS') THEN 'unknown_standard' END,
+  CASE WHEN metric IN ('assets', 'equity', 'ordinary_shares', 'client_funds') AND value < 0 THEN 'impossible_negative' END], lambda x: x IS NOT NULL)) AS issue FROM x)
+SELECT metric, period_end, standard, issue, count(*) AS n FROM i GROUP BY 1, 2, 3, 4""")
 def fundamental_quality(t: Tables) -> DataFrame:
-    found = F.concat_ws(";", F.when(F.col("equity") <= 0, "nonpositive_equity"), F.when(F.col("profit") > F.col("equity") * 40, "implausible_profit"), F.when(F.col("shares") < 5, "few_facts"))
-    return t.statements().select("issuer", "period", found.alias("issues"))
+    pick = lambda names, c: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col(c) % 3 + 1).cast("int"))
+    day = F.to_date("o_orderdate")
+    facts = t("orders").select(pick(("assets", "equity", "revenue"), "o_orderkey").alias("metric"), F.to_date(F.date_trunc("quarter", day)).alias("period_end"), pick(("IFRS", "RAS", "GAAP"), "o_custkey").alias("standard"), (F.col("o_custkey") % 50).alias("revision"),
+                               F.date_sub(day, (F.col("o_orderkey") % 11).cast("int")).alias("published"), F.date_sub(day, (F.col("o_orderkey") % 13).cast("int")).alias("available"), (F.col("o_totalprice") - 20000).alias("value"))
+    return Q.fundamental_issues(facts).groupBy("metric", "period_end", "standard", "issue").agg(F.count("*").alias("n"))
+
+
+@query("""WITH x AS (SELECT event_id, CASE WHEN event_id % 17 <> 0 THEN ts + INTERVAL 1 HOUR * (event_id % 5 - 1) END AS available, ts AS announced, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 1 HOUR * (event_id % 7 - 2) END AS effective, CASE WHEN event_id % 19 <> 0 THEN ts END AS start,
+  event_id % 4 = 0 AS scheduled, event_type = 'error' AS surprise, user_id || '|' || event_type || '|' || strftime(ts, '%Y-%m-%d %H') AS h, CASE WHEN event_id % 11 = 0 THEN 'manual_review' ELSE 'validated' END AS status, CASE WHEN event_id % 23 <> 0 THEN 'http://x' END AS url FROM events),
+y AS (SELECT *, min(event_id) OVER (PARTITION BY h) AS f FROM x)
+SELECT event_id, unnest(list_filter([CASE WHEN available IS NULL THEN 'missing_available_from' END, CASE WHEN announced > available THEN 'publication_leakage' END, CASE WHEN scheduled AND surprise THEN 'schedule_conflict' END, CASE WHEN status = 'validated' AND start IS NULL THEN 'missing_event_time' END,
+  CASE WHEN effective < announced THEN 'effective_before_announcement' END, CASE WHEN f < event_id THEN 'duplicate_source_copy' END, CASE WHEN url IS NULL THEN 'missing_source' END, CASE WHEN status = 'manual_review' THEN 'manual_review' END], lambda x: x IS NOT NULL)) AS issue FROM y""")
+def event_validation(t: Tables) -> DataFrame:
+    k = F.col("event_id")
+    hours = lambda n: F.col("ts") + F.make_dt_interval(F.lit(0), n.cast("int"))
+    events = t("events").select("event_id", F.when(k % 17 != 0, hours(k % 5 - 1)).alias("available_from"), F.col("ts").alias("announcement_time"), F.when(k % 3 == 0, hours(k % 7 - 2)).alias("effective_time"), F.when(k % 19 != 0, F.col("ts")).alias("event_start"),
+                                (k % 4 == 0).alias("scheduled"), (F.col("event_type") == "error").alias("surprise"), F.concat_ws("|", F.col("user_id").cast("string"), "event_type", F.date_format("ts", "yyyy-MM-dd HH")).alias("content_hash"),
+                                F.when(k % 11 == 0, "manual_review").otherwise("validated").alias("status"), F.when(k % 23 != 0, "http://x").alias("source_url"))
+    return Q.event_issues(events).select("event_id", "issue")
 
 
-@query("""WITH x AS (SELECT event_id, ts, user_id, event_type, ts + INTERVAL 1 HOUR * (event_id % 5 - 1) AS available, count(*) OVER (PARTITION BY user_id, event_type, date_trunc('hour', ts)) AS n FROM events)
-SELECT event_id, unnest(list_filter([CASE WHEN available < ts THEN 'publication_leakage' END, CASE WHEN n > 1 THEN 'duplicate_hash' END, CASE WHEN event_id % 5 = 4 AND event_type = 'error' THEN 'late_error' END], lambda x: x IS NOT NULL)) AS issue FROM x""")
-def event_validation(t: Tables) -> DataFrame:
-    available = F.expr("ts + make_interval(0, 0, 0, 0, CAST(event_id % 5 - 1 AS INT))")
-    same = F.count(F.lit(1)).over(Window.partitionBy("user_id", "event_type", F.date_trunc("hour", "ts")))
-    x = t("events").withColumn("available", available).withColumn("n", same)
-    rules = F.array(F.when(F.col("available") < F.col("ts"), "publication_leakage"), F.when(F.col("n") > 1, "duplicate_hash"), F.when((F.col("event_id") % 5 == 4) & (F.col("event_type") == "error"), "late_error"))
-    return x.select("event_id", F.explode(F.array_compact(rules)).alias("issue"))
+SECURITY = """q AS (SELECT entity, date_diff('day', min(d), max(d)) / 365.25 AS years, count(*) AS observations, avg(CAST(open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR value < 3000 AS INT)) AS missing, avg(CAST(volume > 1 AS INT)) AS volume_coverage, avg(CAST(trades >= 1 AS INT)) AS trade_coverage, count(*) FILTER (WHERE high > low * 100) AS flags FROM panel GROUP BY 1),
+b AS (SELECT entity, count(DISTINCT board) AS boards FROM boards GROUP BY 1)"""
+
 
+def securities(t: Tables) -> DataFrame:
+    """(entity, years, observations, missing, volume_coverage, trade_coverage, flags, boards): what is known of
+    each entity's history; values under 3000 stand for missing prices, volumes of 1 for missing volumes."""
+    gap = F.col("open").isNull() | F.col("high").isNull() | F.col("low").isNull() | F.col("close").isNull() | (F.col("value") < 3000)
+    q = t.panel().groupBy("entity").agg((F.datediff(F.max("d"), F.min("d")) / 365.25).alias("years"), F.count("*").alias("observations"), share(gap).alias("missing"), share(F.col("volume") > 1).alias("volume_coverage"), share(F.col("trades") >= 1).alias("trade_coverage"), count_if(F.col("high") > F.col("low") * 100).alias("flags"))
+    return q.join(t.boards().groupBy("entity").agg(F.count_distinct("board").alias("boards")), "entity")
 
-@query(f"""WITH q AS (SELECT entity, (max(d) - min(d)) / 365.25 AS years, count(*) AS observations, avg(CAST(close IS NULL OR value < 3000 AS INT)) AS missing, avg(CAST(volume > 1 AS INT)) AS volume_coverage, avg(CAST(trades >= 1 AS INT)) AS trade_coverage, count(*) FILTER (WHERE high > low * 100) AS flags FROM panel GROUP BY 1)
-SELECT entity, round(years, 6) AS years, observations, round((1 - missing + volume_coverage + trade_coverage) / 3, 6) AS score, {R.case(R.SECURITY_TIER, 'excluded')} AS tier FROM q""")
+
+@query(f"""WITH {SECURITY}, x AS (SELECT q.*, boards FROM q JOIN b ON q.entity = b.entity) SELECT entity, round(years, 6) AS years, observations, boards, flags, round((1 - missing + volume_coverage + trade_coverage) / 3, 6) AS score, {R.case(R.SECURITY_TIER, 'excluded')} AS tier, nullif({R.case(R.SECURITY_REASON, '')}, '') AS reason FROM x""")
 def security_tiers(t: Tables) -> DataFrame:
-    q = t.panel().groupBy("entity").agg((F.datediff(F.max("d"), F.min("d")) / 365.25).alias("years"), F.count("*").alias("observations"), share(F.col("close").isNull() | (F.col("value") < 3000)).alias("missing"),
-                                        share(F.col("volume") > 1).alias("volume_coverage"), share(F.col("trades") >= 1).alias("trade_coverage"), count_if(F.col("high") > F.col("low") * 100).alias("flags"))
-    score = (1 - F.col("missing") + F.col("volume_coverage") + F.col("trade_coverage")) / 3
-    return q.select("entity", round6("years").alias("years"), "observations", round6(score).alias("score"), R.label(R.SECURITY_TIER, "excluded").alias("tier"))
+    return Sc.security_quality(securities(t)).select("entity", round6("years").alias("years"), "observations", "boards", "flags", round6("feature_coverage").alias("score"), "tier", "reason")
+
+
+@query(f"""WITH {SECURITY}, e AS (SELECT entity, count(*) AS episodes, count(*) FILTER (WHERE year(d) % 2 = 0) AS resolved FROM ret WHERE abs(r) > 10 GROUP BY 1), s AS (SELECT entity, count(DISTINCT year(d)) AS periods FROM panel GROUP BY 1),
+x AS (SELECT q.*, boards, periods, coalesce(episodes, 0) AS episodes, coalesce(resolved, 0) AS resolved, coalesce(episodes, 0) - coalesce(resolved, 0) AS unresolved FROM q JOIN b ON q.entity = b.entity JOIN s ON q.entity = s.entity LEFT JOIN e ON q.entity = e.entity),
+y AS (SELECT *, CASE WHEN episodes = 0 THEN 1 ELSE resolved::DOUBLE / episodes END AS resolution FROM x)
+SELECT entity, unresolved, round(resolution, 6) AS resolution, round(100 * (0.20 * least(years / 10, 1) + 0.15 * (1 - missing) + 0.15 * volume_coverage + 0.10 * trade_coverage + 0.10 * (CASE WHEN boards = 1 THEN 1 ELSE 0.8 END) + 0.15 * resolution + 0.10 * 0.8 + 0.05 * least(periods / 5.0, 1)), 6) AS score,
+  {R.case(R.QUALITY_TIER, 'excluded')} AS tier, nullif({R.case(R.QUALITY_REASON, '')}, '') AS reason FROM y""")
+def quality_policy(t: Tables) -> DataFrame:
+    """Second policy; returns over 10 stand for corporate-action episodes, resolved in even years."""
+    e = returns(t.panel()).where(F.abs("r") > 10).groupBy("entity").agg(F.count("*").alias("episodes"), count_if(F.year("d") % 2 == 0).alias("resolved"))
+    s = t.panel().groupBy("entity").agg(F.count_distinct(F.year("d")).alias("periods"))
+    rows = securities(t).join(s, "entity").join(e, "entity", "left").fillna(0, ["episodes", "resolved"])
+    return Sc.quality_policy(rows).select("entity", "unresolved", round6("resolution").alias("resolution"), round6("score").alias("score"), "tier", "reason")
 
 
-@query("""WITH h AS (SELECT unnest([1, 5, 20, 60, 250]) AS h), n AS (SELECT entity, count(*) AS n FROM panel GROUP BY 1), m AS (SELECT median(n) AS m FROM n)
-SELECT entity, h AS horizon, n, greatest(n - h, 0) // h AS independent, CASE WHEN greatest(n - h, 0) // h >= 100 THEN 'adequate' WHEN greatest(n - h, 0) // h >= 30 THEN 'limited' ELSE 'insufficient' END AS adequacy, n >= m AS above_median FROM n, h, m""")
+@query(f"""WITH {SECURITY}, x AS (SELECT *, (1 - missing + volume_coverage + trade_coverage) / 3 AS coverage FROM q), y AS (SELECT *, {R.case(R.SECURITY_TIER, 'excluded')} AS tier FROM x), h AS (SELECT unnest([5, 20, 60, 120]) AS h)
+SELECT entity, h AS horizon, greatest(observations - h, 0) AS samples, round(greatest(observations - h, 0)::DOUBLE / h, 6) AS independent, CASE WHEN years >= 10 THEN 4 WHEN years >= 5 THEN 2 ELSE 1 END AS rating, round(1 - coverage, 6) AS missingness, tier IN ('A', 'B') AND observations >= h * 10 AS adequate, tier FROM y, h""")
 def training_adequacy(t: Tables) -> DataFrame:
-    n = t.panel().groupBy("entity").agg(F.count("*").alias("n"))
-    rows = n.join(F.broadcast(n.agg(F.median("n").alias("m")))).withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in (1, 5, 20, 60, 250)])))
-    free = F.floor(F.greatest(F.col("n") - F.col("horizon"), F.lit(0)) / F.col("horizon")).cast("long")
-    return rows.select("entity", "horizon", "n", free.alias("independent"), F.when(free >= 100, "adequate").when(free >= 30, "limited").otherwise("insufficient").alias("adequacy"), (F.col("n") >= F.col("m")).alias("above_median"))
+    out = Sc.training_adequacy(Sc.security_quality(securities(t)))
+    return out.select("entity", "horizon", "samples", round6("independent").alias("independent"), "rating", round6("missingness").alias("missingness"), "adequate", "tier")
 
 
 @query("""WITH s AS (SELECT series, avg(CAST(available > observed AS INT)) = 1 AS ordered, count(DISTINCT vintage) > count(DISTINCT observed) AS revisions, count(*) - count(DISTINCT (observed, vintage)) AS dup, count(*) FILTER (WHERE observed > DATE '2002-01-01') AS imp, avg(CAST(available - observed > 5 AS INT)) AS stale FROM observations GROUP BY 1)
@@ -147,7 +180,7 @@ def forward_fill_age(t: Tables) -> DataFrame:
     from chronoframe.queries.joins import _grid
 
     o = t.observations().select("series", "available").distinct()
-    x = asof(_grid(t), o, ["series"], "d", "available", [], inner=True).withColumn("age", F.datediff("d", "asof_available"))
+    x = asof(_grid(t), o, ["series"], "d", "available", [], inner=True, bucket="quarter").withColumn("age", F.datediff("d", "asof_available"))
     return x.groupBy("series").agg(F.max("age").cast("long").alias("max_age"), round6(F.avg("age")).alias("mean_age"))
 
 
@@ -169,10 +202,16 @@ def membership_validation(t: Tables) -> DataFrame:
     return s.select("entity", "sector", F.col("a").alias("valid_from"), (F.lag("b").over(w) >= F.col("a")).alias("overlaps"), (F.count(F.lit(1)).over(Window.partitionBy("sector", "a")) > 1).alias("duplicated"))
 
 
-@query("""SELECT p_partkey, p_size BETWEEN 1 AND 50 AS size_valid, p_retailprice > 0 AS price_valid, array_to_string(list_filter([CASE WHEN p_size > 45 THEN 'oversize' END, CASE WHEN p_retailprice < 950 THEN 'cheap' END, CASE WHEN p_type LIKE '%BRASS' THEN 'brass' END], lambda x: x IS NOT NULL), ',') AS missing FROM part""")
+@query("""WITH x AS (SELECT p_partkey, nullif(p_size % 3, 0) AS spot_scale, p_size AS futures_scale, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS multiplier, p_partkey % 4 AS lot, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'RUB' END AS currency, DATE '2001-01-01' AS expiration, CASE WHEN p_partkey % 11 <> 0 THEN 'd' || p_partkey END AS doc, p_retailprice / 2000 AS confidence, p_size % 6 = 0 AS legal FROM part)
+SELECT p_partkey, array_to_string(list_filter([CASE WHEN spot_scale IS NULL THEN 'spot_scale' END, CASE WHEN futures_scale = 0 THEN 'futures_scale' END, CASE WHEN multiplier IS NULL THEN 'multiplier' END, CASE WHEN lot = 0 THEN 'lot' END, CASE WHEN currency = '' THEN 'currency' END], lambda x: x IS NOT NULL), ',') AS futures_missing,
+  CASE WHEN doc IS NOT NULL AND multiplier IS NOT NULL AND confidence >= 0.9 THEN 'validated' ELSE 'requires_manual_review' END AS review, array_to_string(list_filter([CASE WHEN doc IS NULL THEN 'document_id' END, CASE WHEN multiplier IS NULL THEN 'candidate_value' END], lambda x: x IS NOT NULL), ',') AS review_missing,
+  array_to_string(list_filter([CASE WHEN doc IS NULL OR currency = '' THEN 'both SECID required' END, CASE WHEN coalesce(multiplier, 0) <= 0 THEN 'positive conversion ratio required' END, CASE WHEN NOT legal THEN 'legal continuity evidence required' END], lambda x: x IS NOT NULL), ',') AS identity_errors FROM x""")
 def evidence_gates(t: Tables) -> DataFrame:
-    found = F.array_compact(F.array(F.when(F.col("p_size") > 45, "oversize"), F.when(F.col("p_retailprice") < 950, "cheap"), F.when(F.col("p_type").like("%BRASS"), "brass")))
-    return t("part").select("p_partkey", F.col("p_size").between(1, 50).alias("size_valid"), (F.col("p_retailprice") > 0).alias("price_valid"), F.array_join(found, ",").alias("missing"))
+    k, size, price = F.col("p_partkey"), F.col("p_size"), F.col("p_retailprice")
+    rows = t("part").select("p_partkey", F.nullif(size % 3, F.lit(0)).alias("spot_scale"), size.alias("futures_scale"), F.when(k % 7 != 0, price).alias("multiplier"), (k % 4).alias("lot"), F.when(k % 5 == 0, "").otherwise("RUB").alias("currency"), F.lit("2001-01-01").alias("expiration"),
+                            F.when(k % 11 != 0, F.concat(F.lit("d"), k.cast("string"))).alias("document_id"), (price / 2000).alias("confidence"), (size % 6 == 0).alias("legal"), *[F.lit("x").alias(c) for c in Sc.REVIEW_FIELDS[1:]])
+    rows = Sc.review_gate(rows.withColumn("candidate_value", F.col("multiplier")))
+    return rows.select("p_partkey", F.array_join(Sc.missing_fields(*Sc.FUTURES_UNITS), ",").alias("futures_missing"), F.col("status").alias("review"), F.array_join("missing", ",").alias("review_missing"), F.array_join(Sc.identity_gate("document_id", "currency", "multiplier", "legal"), ",").alias("identity_errors"))
 
 
 @query("SELECT substr(sha256(entity || '|' || count(*) || '|' || max(d)), 1, 20) AS run_id, entity FROM panel GROUP BY entity")

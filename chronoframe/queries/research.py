@@ -63,9 +63,9 @@ def pinball_coverage(t: Tables) -> DataFrame:
 @query(f"""WITH {PRED}, e AS (SELECT entity, list(abs(y - p) ORDER BY abs(y - p)) AS v FROM pred WHERE y IS NOT NULL AND p IS NOT NULL AND d < DATE '1999-01-01' GROUP BY 1)
 SELECT entity, CAST(len(v) AS INT) AS n, round(v[CAST(ceil((len(v) - 1) * 0.8) AS INT) + 1], 6) AS radius_80, round(v[CAST(ceil((len(v) - 1) * 0.9) AS INT) + 1], 6) AS radius_90 FROM e""")
 def conformal_higher(t: Tables) -> DataFrame:
-    rows = predictions(t).where(F.col("y").isNotNull() & F.col("p").isNotNull() & (F.col("d") < F.lit("1999-01-01").cast("date")))
-    e = rows.groupBy("entity").agg(F.array_sort(F.collect_list(F.abs(F.col("y") - F.col("p")))).alias("v"))
-    return e.select("entity", F.size("v").alias("n"), round6(S.higher_quantile("v", 0.8)).alias("radius_80"), round6(S.higher_quantile("v", 0.9)).alias("radius_90"))
+    rows = predictions(t).where(F.col("y").isNotNull() & F.col("p").isNotNull() & (F.col("d") < F.lit("1999-01-01").cast("date"))).withColumn("e", F.abs(F.col("y") - F.col("p")))
+    out = S.higher_quantiles(rows, ["entity"], "e", {"radius_80": 0.8, "radius_90": 0.9})
+    return out.select("entity", F.col("n").cast("int").alias("n"), round6("radius_80").alias("radius_80"), round6("radius_90").alias("radius_90"))
 
 
 @query("""WITH z AS (SELECT entity, avg(r) / (stddev_samp(r) / sqrt(count(r))) AS tv FROM ret WHERE r IS NOT NULL GROUP BY 1), p AS (SELECT entity, round(exp(-0.717 * abs(tv) - 0.416 * tv * tv), 9) AS p FROM z), k AS (SELECT *, row_number() OVER (ORDER BY p, entity) AS k, count(*) OVER () AS n FROM p)
@@ -76,15 +76,14 @@ def bh_fdr(t: Tables) -> DataFrame:
     return S.bh_qvalues(p, "p", ["entity"]).select("entity", round6("p").alias("p"), round6("q").alias("q"))
 
 
-EDGES = (-0.5, -0.2, 0.0, 0.2, 0.5, 1.0)
-
-
-@query(f"""WITH b AS (SELECT {' + '.join(f'CASE WHEN r > {e} THEN 1 ELSE 0 END' for e in EDGES)} AS b, d < DATE '1999-01-01' AS ref FROM ret WHERE r IS NOT NULL), g AS (SELECT unnest(range(0, {len(EDGES) + 1})) AS b), c AS (SELECT g.b, count(*) FILTER (WHERE ref) AS x, count(*) FILTER (WHERE NOT ref) AS y FROM g LEFT JOIN b ON g.b = b.b GROUP BY 1),
-p AS (SELECT greatest(x / CAST(sum(x) OVER () AS DOUBLE), 1e-4) AS p, greatest(y / CAST(sum(y) OVER () AS DOUBLE), 1e-4) AS q FROM c) SELECT round(sum((q - p) * ln(q / p)), 6) AS psi FROM p""")
+@query(f"""WITH x AS (SELECT r, d < DATE '1999-01-01' AS ref FROM ret WHERE r IS NOT NULL), e AS (SELECT list_sort(list_distinct([{', '.join(f'quantile_cont(r, {k / 10}) FILTER (WHERE ref)' for k in range(11))}])) AS e, count(*) FILTER (WHERE ref) AS n, count(*) FILTER (WHERE NOT ref) AS m FROM x),
+b AS (SELECT k, e[k] AS lo, e[k + 1] AS hi, k = len(e) - 1 AS last, n, m FROM e, unnest(range(1, len(e))) u(k)),
+c AS (SELECT k, greatest(count(*) FILTER (WHERE ref) / any_value(n)::DOUBLE, 1e-6) AS p, greatest(count(*) FILTER (WHERE NOT ref) / any_value(m)::DOUBLE, 1e-6) AS q FROM b LEFT JOIN x ON r >= lo AND (r < hi OR (last AND r <= hi)) GROUP BY k),
+z AS (SELECT sum((q - p) * ln(q / p)) AS psi FROM c) SELECT round(psi, 6) AS psi, {R.case(R.PSI_STATUS, 'stable')} AS status FROM z""")
 def psi(t: Tables) -> DataFrame:
     r = returns(t.panel()).where("r IS NOT NULL")
     day = F.lit("1999-01-01").cast("date")
-    return S.psi(r.where(F.col("d") < day), r.where(F.col("d") >= day), "r", EDGES)
+    return S.psi(r.where(F.col("d") < day), r.where(F.col("d") >= day), "r").select(round6("psi").alias("psi"), "status")
 
 
 NW = """z AS (SELECT entity, d, r - avg(r) OVER (PARTITION BY entity) AS z, avg(r) OVER (PARTITION BY entity) AS m FROM ret WHERE r IS NOT NULL), l AS (SELECT *, lag(z, 1) OVER w AS z1, lag(z, 2) OVER w AS z2, lag(z, 3) OVER w AS z3 FROM z WINDOW w AS (PARTITION BY entity ORDER BY d)),
@@ -97,11 +96,15 @@ def newey_west_t(t: Tables) -> DataFrame:
     return g.select("entity", "n", F.round(S.newey_west(g, 3), 5).alias("t_value"))
 
 
-@query(f"WITH {NW} SELECT entity, n, round(n * (1 - g1 / nullif(g0, 0)) / (1 + g1 / nullif(g0, 0)), 4) AS ar1_n, round(n / greatest(1, 1 + 2 * (g1 + g2 + g3) / nullif(g0, 0)), 4) AS sequence_n FROM g")
+@query("""WITH z AS (SELECT entity, r - avg(r) OVER (PARTITION BY entity) AS z, row_number() OVER (PARTITION BY entity ORDER BY d) AS i, count(*) OVER (PARTITION BY entity) AS n FROM ret WHERE r IS NOT NULL),
+g0 AS (SELECT entity, any_value(n) AS n, sum(z * z) AS den FROM z GROUP BY 1), k AS (SELECT entity, n, den, unnest(range(1, CAST(least(floor(sqrt(n)), n - 2) AS BIGINT) + 1)) AS k FROM g0),
+a AS (SELECT k.entity, k.n, k.k, sum(x.z * y.z) / nullif(any_value(k.den), 0) AS rho FROM k JOIN z x ON x.entity = k.entity JOIN z y ON y.entity = k.entity AND y.i = x.i + k.k GROUP BY 1, 2, 3),
+s AS (SELECT *, min(CASE WHEN round(rho, 12) <= 0 THEN k END) OVER (PARTITION BY entity) AS stop FROM a),
+t AS (SELECT entity, sum((1 - k / n::DOUBLE) * rho) FILTER (WHERE stop IS NULL OR k < stop) AS total, max(rho) FILTER (WHERE k = 1) AS r1 FROM s GROUP BY 1)
+SELECT g0.entity, n, round(n * (1 - r1) / (1 + r1), 4) AS ar1_n, round(CASE WHEN n < 3 OR den <= 0 THEN n ELSE greatest(1, least(n, n / (1 + 2 * coalesce(total, 0)))) END, 4) AS sequence_n FROM g0 LEFT JOIN t ON g0.entity = t.entity""")
 def effective_n(t: Tables) -> DataFrame:
-    g = S.autocovariances(returns(t.panel()), ["entity"], "d", "r", 3)
-    rho = ratio("g1", "g0")
-    return g.select("entity", "n", F.round(F.col("n") * (1 - rho) / (1 + rho), 4).alias("ar1_n"), F.round(F.col("n") / F.greatest(F.lit(1.0), 1 + ratio(2 * (F.col("g1") + F.col("g2") + F.col("g3")), "g0")), 4).alias("sequence_n"))
+    out = S.effective_sample_size(returns(t.panel()), ["entity"], "d", "r")
+    return out.select("entity", "n", F.round("ar1_n", 4).alias("ar1_n"), F.round("sequence_n", 4).alias("sequence_n"))
 
 
 @query(f"""WITH {PRED}, c AS (SELECT row_number() OVER (ORDER BY d) - 1 AS s, d FROM (SELECT DISTINCT d FROM pred)), n AS (SELECT count(*) AS n FROM c), f AS (SELECT unnest([0, 1, 2, 3]) AS fold),
@@ -203,83 +206,44 @@ def isotonic_calibration(t: Tables) -> DataFrame:
 
 # Portfolio
 
-@query("""WITH w AS (SELECT *, exp(sum(ln(greatest(1 + r, 1e-6))) OVER (PARTITION BY entity ORDER BY d)) AS lvl FROM ret WHERE r IS NOT NULL), p AS (SELECT *, lvl / greatest(1, max(lvl) OVER (PARTITION BY entity ORDER BY d)) - 1 AS dd FROM w)
-SELECT entity, round(stddev_samp(r) * sqrt(252), 6) AS volatility, round(stddev_samp(r) FILTER (WHERE r < 0) * sqrt(252), 6) AS downside, round(min(dd), 6) AS max_drawdown, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 6) AS sharpe,
-  round(avg(r) / nullif(sqrt(avg(CASE WHEN r < 0 THEN r * r ELSE 0 END)), 0) * sqrt(252), 6) AS sortino FROM p GROUP BY 1""")
+@query("""WITH w AS (SELECT *, exp(sum(ln(greatest(1 + r, 1e-6))) OVER (PARTITION BY entity ORDER BY d)) AS lvl FROM ret WHERE r IS NOT NULL), p AS (SELECT *, lvl / max(lvl) OVER (PARTITION BY entity ORDER BY d) - 1 AS dd FROM w)
+SELECT entity, round(stddev_samp(r) * sqrt(252), 6) AS volatility, round(sqrt(avg(least(r, 0) * least(r, 0))) * sqrt(252), 6) AS downside, round(min(dd), 6) AS max_drawdown, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 6) AS sharpe,
+  round(avg(r) / nullif(sqrt(avg(least(r, 0) * least(r, 0))), 0) * sqrt(252), 6) AS sortino FROM p GROUP BY 1""")
 def portfolio_risk(t: Tables) -> DataFrame:
     return Po.risk(returns(t.panel()).where("r IS NOT NULL")).select("entity", *[round6(c).alias(c) for c in ("volatility", "downside", "max_drawdown", "sharpe", "sortino")])
 
 
-COV = """x AS (SELECT entity, d, r FROM ret WHERE entity <= 8 AND r IS NOT NULL), mo AS (SELECT entity, CAST(date_trunc('month', d) AS DATE) AS m, avg(r) AS r FROM x GROUP BY 1, 2), cov AS (SELECT a.entity AS i, b.entity AS j, covar_samp(a.r, b.r) AS c, count(*) AS n FROM mo a JOIN mo b ON a.m = b.m GROUP BY 1, 2)"""
-
-
-#: The same over every entity; COV and the queries on it are its first eight.
-COV_ALL = COV.replace("entity <= 8 AND ", "")
-
-
-def monthly(panel: DataFrame) -> DataFrame:
-    return returns(panel).where("r IS NOT NULL").groupBy("entity", F.to_date(F.date_trunc("month", "d")).alias("d")).agg(F.avg("r").alias("r"))
+COV = """mo AS (SELECT entity, CAST(date_trunc('month', d) AS DATE) AS m, avg(r) AS r FROM ret WHERE r IS NOT NULL GROUP BY 1, 2), cov AS (SELECT a.entity AS i, b.entity AS j, covar_samp(a.r, b.r) AS c, count(*) AS n FROM mo a JOIN mo b ON a.m = b.m GROUP BY 1, 2)"""
 
 
 def covariance(t: Tables) -> DataFrame:
-    return Po.covariance(monthly(t.panel().where("entity <= 8")))
-
+    """Of monthly mean returns, every entity with every entity."""
+    monthly = returns(t.panel()).where("r IS NOT NULL").groupBy("entity", F.to_date(F.date_trunc("month", "d")).alias("d")).agg(F.avg("r").alias("r"))
+    return Po.covariance(monthly)
 
-def covariance_all(t: Tables) -> DataFrame:
-    return Po.covariance(monthly(t.panel()))
 
-
-MATRIX = "SELECT i, j, round(c, 8) AS covariance, n FROM cov"
-
-
-@query(f"WITH {COV} {MATRIX}")
+@query(f"WITH {COV} SELECT i, j, round(c, 8) AS covariance, n FROM cov")
 def covariance_matrix(t: Tables) -> DataFrame:
     return covariance(t).select("i", "j", F.round("c", 8).alias("covariance"), "n")
 
 
-@query(f"WITH {COV_ALL} {MATRIX}")
-def covariance_matrix_all(t: Tables) -> DataFrame:
-    return covariance_all(t).select("i", "j", F.round("c", 8).alias("covariance"), "n")
-
-
-EULER = "k AS (SELECT count(DISTINCT i) AS k FROM cov), m AS (SELECT i, sum(c) / any_value(k) AS mc FROM cov, k GROUP BY 1), v AS (SELECT sum(mc) / any_value(k) AS v FROM m, k) SELECT i AS entity, round(1.0 / k, 6) AS weight, round(mc / k / sqrt(v), 6) AS contribution, round(mc / k / v, 6) AS share FROM m, v, k"
-
-
-def equal_contributions(c: DataFrame) -> DataFrame:
+@query(f"""WITH {COV}, k AS (SELECT count(DISTINCT i) AS k FROM cov), m AS (SELECT i, sum(c) / any_value(k) AS mc FROM cov, k GROUP BY 1), v AS (SELECT sum(mc) / any_value(k) AS v FROM m, k) SELECT i AS entity, round(1.0 / k, 6) AS weight, round(mc / k / sqrt(v), 6) AS contribution, round(mc / k / v, 6) AS share FROM m, v, k""")
+def risk_contributions(t: Tables) -> DataFrame:
+    c = covariance(t)
     equal = c.select(F.col("i").alias("entity")).distinct()
     equal = equal.join(F.broadcast(equal.agg(F.count("*").alias("k")))).select("entity", (1.0 / F.col("k")).alias("weight"))
-    out = Po.contributions(c, equal)
-    return out.select("entity", round6("weight").alias("weight"), round6("contribution").alias("contribution"), round6("share").alias("share"))
-
-
-@query(f"WITH {COV}, {EULER}")
-def risk_contributions(t: Tables) -> DataFrame:
-    return equal_contributions(covariance(t))
-
-
-@query(f"WITH {COV_ALL}, {EULER}")
-def risk_contributions_all(t: Tables) -> DataFrame:
-    return equal_contributions(covariance_all(t))
-
+    return Po.contributions(c, equal).select("entity", round6("weight").alias("weight"), round6("contribution").alias("contribution"), round6("share").alias("share"))
 
-INVERSE = "SELECT i AS entity, round((1 / sqrt(c)) / sum(1 / sqrt(c)) OVER (), 6) AS weight FROM cov WHERE i = j"
 
-
-@query(f"WITH {COV} {INVERSE}")
+@query(f"WITH {COV} SELECT i AS entity, round((1 / sqrt(greatest(c, 1e-12))) / sum(1 / sqrt(greatest(c, 1e-12))) OVER (), 6) AS weight FROM cov WHERE i = j")
 def inverse_volatility_weights(t: Tables) -> DataFrame:
     return Po.inverse_volatility(covariance(t)).select("entity", round6("weight").alias("weight"))
 
 
-@query(f"WITH {COV_ALL} {INVERSE}")
-def inverse_volatility_weights_all(t: Tables) -> DataFrame:
-    return Po.inverse_volatility(covariance_all(t)).select("entity", round6("weight").alias("weight"))
-
-
 @query(None)
 def optimised_weights(t: Tables) -> DataFrame:
-    """Minimum variance, maximum diversification, risk parity and hierarchical risk parity over every
-    entity; the matrix has a row a candidate and is solved on the driver, more than 500 raise."""
-    return Po.optimised(covariance_all(t)).select("method", "entity", round6("weight").alias("weight"))
+    """Minimum variance, maximum diversification, risk parity and hierarchical risk parity over every entity."""
+    return Po.optimised(covariance(t)).select("method", "entity", round6("weight").alias("weight"))
 
 
 @query("""WITH m AS (SELECT entity, CAST(date_trunc('month', d) AS DATE) AS m, product(1 + greatest(least(r, 0.2), -0.2)) - 1 AS mr FROM ret WHERE r IS NOT NULL GROUP BY 1, 2) SELECT entity, count(*) AS months, round(avg(mr), 6) AS mean, round(min(mr), 6) AS worst, round(avg(CAST(mr > 0 AS INT)), 6) AS positive FROM m GROUP BY 1""")
@@ -293,7 +257,7 @@ def monthly_metrics(t: Tables) -> DataFrame:
 def var_cvar(t: Tables) -> DataFrame:
     r = returns(t.panel()).where("r IS NOT NULL")
     q = r.groupBy("entity").agg(F.percentile("r", 0.05).alias("v"))
-    return r.join(F.broadcast(q), "entity").groupBy("entity").agg(round6(F.any_value("v")).alias("var_95"), round6(F.avg(F.when(F.col("r") <= F.col("v"), F.col("r")))).alias("cvar_95"))
+    return r.join(q, "entity").groupBy("entity").agg(round6(F.any_value("v")).alias("var_95"), round6(F.avg(F.when(F.col("r") <= F.col("v"), F.col("r")))).alias("cvar_95"))
 
 
 @query("""WITH b AS (SELECT ret.entity, regr_slope(ret.r, mret.r) AS beta FROM ret JOIN mret ON ret.d = mret.d WHERE ret.r IS NOT NULL AND mret.r IS NOT NULL GROUP BY 1), p AS (SELECT entity, arg_max(close, d) AS price FROM panel GROUP BY 1)
@@ -323,20 +287,12 @@ def non_overlapping_backtest(t: Tables) -> DataFrame:
     return m.groupBy("block").agg(F.count("*").alias("n"), round6(F.avg(ratio("b", "a") - 1)).alias("equal_weight"))
 
 
-IMPACT = """k AS (SELECT count(DISTINCT i) AS k FROM cov), v AS (SELECT sum(c) / any_value(k * k) AS v FROM cov, k), m AS (SELECT i, sum(c) / any_value(k) AS mc, max(c) FILTER (WHERE i = j) AS own FROM cov, k GROUP BY 1)
-SELECT i AS entity, round(sqrt(0.9 * 0.9 * v + 2 * 0.9 * 0.1 * mc + 0.01 * own) - sqrt(v), 8) AS impact FROM m, v"""
-
-
-@query(f"WITH {COV}, {IMPACT}")
+@query(f"""WITH {COV}, k AS (SELECT count(DISTINCT i) AS k FROM cov), v AS (SELECT sum(c) / any_value(k * k) AS v FROM cov, k), m AS (SELECT i, sum(c) / any_value(k) AS mc, max(c) FILTER (WHERE i = j) AS own FROM cov, k GROUP BY 1)
+SELECT i AS entity, round(sqrt(0.9 * 0.9 * v + 2 * 0.9 * 0.1 * mc + 0.01 * own) - sqrt(v), 8) AS impact FROM m, v""")
 def marginal_impact(t: Tables) -> DataFrame:
     return Po.marginal(covariance(t), 0.1).select("entity", F.round("impact", 8).alias("impact"))
 
 
-@query(f"WITH {COV_ALL}, {IMPACT}")
-def marginal_impact_all(t: Tables) -> DataFrame:
-    return Po.marginal(covariance_all(t), 0.1).select("entity", F.round("impact", 8).alias("impact"))
-
-
 @query(f"""WITH {STATS}, m AS (SELECT entity, arg_max(close, d) / max(close) - 1 AS from_high FROM panel GROUP BY 1) SELECT s.entity, gain, risk, round(from_high, 6) AS from_high, round(percent_rank() OVER (ORDER BY gain) * 0.5 + percent_rank() OVER (ORDER BY risk DESC) * 0.5, 6) AS opportunity FROM s JOIN m ON s.entity = m.entity""")
 def opportunity_map(t: Tables) -> DataFrame:
     m = t.panel().groupBy("entity").agg((F.max_by("close", "d") / F.max("close") - 1).alias("from_high"))

@@ -12,6 +12,7 @@ from chronoframe.operators import rules as R
 from chronoframe.operators import windows as W
 from chronoframe.operators.panel import returns
 from chronoframe.plans.bindings import Tables
+from chronoframe.queries.panel import features_standard
 from chronoframe.queries.registry import query
 
 STATE = """st AS (SELECT d, close / nullif(lag(close, 20) OVER w, 0) - 1 AS mom, stddev_samp(r) OVER (w ROWS 19 PRECEDING) AS vol, close / nullif(avg(close) OVER (w ROWS 59 PRECEDING), 0) - 1 AS dist, row_number() OVER w AS pos FROM mret WINDOW w AS (ORDER BY d)),
@@ -45,7 +46,7 @@ def analog_zscore(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {STATE}, l AS (SELECT * FROM state ORDER BY pos DESC LIMIT 1), tr AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS m_{c}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS q_{c}' for c in FEATURES)} FROM state WHERE pos < (SELECT pos FROM l)),
-z AS (SELECT d, pos, {', '.join(f'greatest(least((s.{c} - m_{c}) / nullif(q_{c}, 0), 12), -12) AS {c}' for c in FEATURES)} FROM state s, tr)
+z AS (SELECT d, pos, {', '.join(f'greatest(least((coalesce(s.{c}, m_{c}) - m_{c}) / coalesce(nullif(q_{c}, 0), 1), 12), -12) AS {c}' for c in FEATURES)} FROM state s, tr)
 SELECT z.d, z.pos, round(sqrt(((z.mom - k.mom) ** 2 + (z.vol - k.vol) ** 2 + (z.dist - k.dist) ** 2) / 3), 6) AS rms FROM z, (SELECT * FROM z ORDER BY pos DESC LIMIT 1) k WHERE z.pos < k.pos""")
 def analog_robust(t: Tables) -> DataFrame:
     s = state(t)
@@ -80,14 +81,14 @@ def family_distance(t: Tables) -> DataFrame:
     return x.select("d", "pos", round6("f").alias("distance"), F.round("s", 4).alias("score"), F.when(F.col("s") >= 90, "strong").when(F.col("s") >= 70, "usable").otherwise("weak").alias("tier"))
 
 
-PATHS = """paths AS (SELECT entity, d, close AS c0, list(close) OVER (PARTITION BY entity ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS p FROM panel), np AS (SELECT entity, d, list_transform(p, lambda x: round(x / c0 - 1, 9)) AS v FROM paths WHERE len(p) = 20 AND day(d) = 15)"""
+PATHS = """paths AS (SELECT entity, d, close AS c0, list(close) OVER (PARTITION BY entity ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS p FROM panel), np AS (SELECT entity, d, list_transform(p, lambda x: round(x / c0 - 1, 9)) AS v FROM paths WHERE len(p) = 20)"""
 
 
 def paths(t: Tables) -> DataFrame:
-    """(entity, d, v): 20 forward returns from the 15th of a month."""
+    """(entity, d, v): the 20 forward returns of every day that has them."""
     w = W.by_time("entity", "d").rowsBetween(1, 20)
     rows = t.panel().select("entity", "d", F.col("close").alias("c0"), F.collect_list("close").over(w).alias("p"))
-    return rows.where((F.size("p") == 20) & (F.dayofmonth("d") == 15)).select("entity", "d", F.expr("transform(p, x -> round(x / c0 - 1, 9))").alias("v"))
+    return rows.where(F.size("p") == 20).select("entity", "d", F.expr("transform(p, x -> round(x / c0 - 1, 9))").alias("v"))
 
 
 @query(f"""WITH {PATHS}, u AS (SELECT *, list_position(list_transform(v, lambda x: x >= 0.5), true) AS up, list_position(list_transform(v, lambda x: x <= -0.5), true) AS dn FROM np)
@@ -151,7 +152,7 @@ def scenario_classes(t: Tables) -> DataFrame:
     return c.groupBy(R.label(R.SCENARIO, "volatile_mixed").alias("scenario")).agg(F.count("*").alias("n"), round6(F.avg("terminal")).alias("mean_end"))
 
 
-REPLAY = f"""WITH {STATE}, c AS (SELECT pos AS cutoff, mom AS m0, vol AS v0 FROM state WHERE pos % 250 = 0), x AS (SELECT cutoff, s.pos, abs(s.mom - m0) + abs(s.vol - v0) AS dist FROM c JOIN state s ON s.pos < cutoff - 20), n AS (SELECT *, row_number() OVER (PARTITION BY cutoff ORDER BY round(dist, 9), pos) AS k FROM x),
+REPLAY = f"""WITH {STATE}, c AS (SELECT pos AS cutoff, mom AS m0, vol AS v0 FROM state), x AS (SELECT cutoff, s.pos, abs(s.mom - m0) + abs(s.vol - v0) AS dist FROM c JOIN state s ON s.pos < cutoff - 20), n AS (SELECT *, row_number() OVER (PARTITION BY cutoff ORDER BY round(dist, 9), pos) AS k FROM x),
 f AS (SELECT pos, lead(close, 20) OVER (ORDER BY d) / nullif(close, 0) - 1 AS y FROM (SELECT d, close, row_number() OVER (ORDER BY d) AS pos FROM market))
 SELECT n.cutoff, count(*) AS analogs, round(avg(f.y), 6) AS forecast, round(max(a.y), 6) AS actual FROM n JOIN f ON n.pos = f.pos LEFT JOIN f a ON a.pos = n.cutoff WHERE k <= 15 GROUP BY 1"""
 
@@ -170,13 +171,7 @@ def replay(t: Tables, stride: int) -> DataFrame:
 
 @query(REPLAY)
 def walk_forward_replay(t: Tables) -> DataFrame:
-    """Forecasts from the nearest states known at each cutoff; a state counts once its outcome is known."""
-    return replay(t, 250)
-
-
-@query(REPLAY.replace(" WHERE pos % 250 = 0", ""))
-def walk_forward_replay_all(t: Tables) -> DataFrame:
-    """The same with a cutoff at every state."""
+    """Forecasts from the nearest states known at every state; a state counts once its outcome is known."""
     return replay(t, 1)
 
 
@@ -196,9 +191,9 @@ def state_distances_mahalanobis(t: Tables) -> DataFrame:
 
 # Regimes
 
-MARKET = """mk AS (SELECT d, row_number() OVER w AS pos, close / max(close) OVER w - 1 AS drawdown, CASE WHEN count(r) OVER (w ROWS 19 PRECEDING) >= 20 THEN stddev_samp(r) OVER (w ROWS 19 PRECEDING) END AS vol, close / nullif(lag(close, 20) OVER w, 0) - 1 AS r20, close / nullif(lag(close, 60) OVER w, 0) - 1 AS r60,
+MARKET = """mk AS (SELECT d, row_number() OVER w AS pos, close / max(close) OVER w - 1 AS drawdown, CASE WHEN count(r) OVER (w ROWS 19 PRECEDING) >= 20 THEN stddev_samp(r) OVER (w ROWS 19 PRECEDING) * sqrt(252) END AS vol, close / nullif(lag(close, 20) OVER w, 0) - 1 AS r20, close / nullif(lag(close, 60) OVER w, 0) - 1 AS r60,
   CASE WHEN count(close) OVER (w ROWS 49 PRECEDING) >= 50 THEN close / avg(close) OVER (w ROWS 49 PRECEDING) - 1 END AS p50, CASE WHEN count(close) OVER (w ROWS 199 PRECEDING) >= 200 THEN avg(close) OVER (w ROWS 199 PRECEDING) END AS sma, close FROM mret WINDOW w AS (ORDER BY d)),
-mf AS (SELECT d, pos, drawdown, vol, r20, r60, p50, close / sma - 1 AS p200, sma / nullif(lag(sma, 20) OVER (ORDER BY d), 0) - 1 AS slope FROM mk)"""
+mf AS (SELECT d, pos, drawdown, vol, r20, r60, p50, close / sma - 1 AS p200, sma / nullif(lag(sma, 5) OVER (ORDER BY d), 0) - 1 AS slope FROM mk)"""
 
 
 def market_facts(t: Tables) -> DataFrame:
@@ -207,54 +202,89 @@ def market_facts(t: Tables) -> DataFrame:
     m = returns(t.market().withColumn("entity", F.lit(0)))
     mean = lambda n: W.rolling(F.avg("close"), F.col("close"), W.frame(w, n), n)
     back = lambda n: ratio("close", F.lag("close", n).over(w)) - 1
-    m = m.select("entity", "d", "close", F.row_number().over(w).cast("long").alias("pos"), (F.col("close") / F.max("close").over(W.so_far(w)) - 1).alias("drawdown"), W.rolling(F.stddev_samp("r"), F.col("r"), W.frame(w, 20), 20).alias("vol"),
+    m = m.select("entity", "d", "close", F.row_number().over(w).cast("long").alias("pos"), (F.col("close") / F.max("close").over(W.so_far(w)) - 1).alias("drawdown"), (W.rolling(F.stddev_samp("r"), F.col("r"), W.frame(w, 20), 20) * 252**0.5).alias("vol"),
                  back(20).alias("r20"), back(60).alias("r60"), (F.col("close") / mean(50) - 1).alias("p50"), mean(200).alias("sma"))
-    return m.select("d", "pos", "drawdown", "vol", "r20", "r60", "p50", (F.col("close") / F.col("sma") - 1).alias("p200"), (ratio("sma", F.lag("sma", 20).over(w)) - 1).alias("slope"))
+    return m.select("d", "pos", "drawdown", "vol", "r20", "r60", "p50", (F.col("close") / F.col("sma") - 1).alias("p200"), (ratio("sma", F.lag("sma", 5).over(w)) - 1).alias("slope"))
+
 
+REASONS = "CASE regime " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.REGIME_REASONS.items()) + " END"
 
-@query(f"""WITH {MARKET} SELECT d, {R.case(R.REGIME, R.REGIME_ELSE)} AS regime FROM mf""")
+
+@query(f"""WITH {MARKET}, g AS (SELECT d, {R.case(R.REGIME, R.REGIME_ELSE)} AS regime FROM mf) SELECT d, regime, {REASONS} AS reasons FROM g""")
 def regime_rules(t: Tables) -> DataFrame:
-    return market_facts(t).select("d", R.label(R.REGIME, R.REGIME_ELSE).alias("regime"))
+    return market_facts(t).select("d", R.label(R.REGIME, R.REGIME_ELSE).alias("regime")).withColumn("reasons", F.expr(REASONS))
+
+
+RATES = """ob AS (SELECT series, available, value FROM (SELECT *, row_number() OVER (PARTITION BY series, available ORDER BY vintage DESC) AS n FROM observations WHERE series IN ('1-URGENT', '5-LOW')) WHERE n = 1),
+lv AS (SELECT g.d, round(avg(o.value), 6) AS level FROM (SELECT d, s FROM market, (SELECT unnest(['1-URGENT', '5-LOW']) AS s)) g ASOF JOIN ob o ON g.s = o.series AND g.d >= o.available GROUP BY 1)"""
+
+
+def rate_level(t: Tables) -> DataFrame:
+    """(d, level): mean of two series' values known at each day."""
+    from chronoframe.operators.joins import asof
+
+    names = ["1-URGENT", "5-LOW"]
+    known = W.latest(t.observations().where(F.col("series").isin(names)), ["series", "available"], [F.col("vintage").desc()])
+    grid = t.market().select("d", F.explode(F.array(*[F.lit(n) for n in names])).alias("series"))
+    return asof(grid, known, ["series"], "d", "available", ["value"], inner=True, bucket="quarter").groupBy("d").agg(round6(F.avg("value")).alias("level"))
 
 
-@query(f"""WITH {MARKET}, q AS (SELECT d, r60 AS ret60, drawdown, vol, quantile_cont(vol, 0.33) OVER h AS v33, quantile_cont(vol, 0.67) OVER h AS v67, count(vol) OVER h AS n FROM mf WINDOW h AS (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT d, {R.case(R.MARKET_TREND, 'strong_bull')} AS market_trend, CASE WHEN n < 60 OR vol IS NULL THEN 'insufficient' WHEN vol > v67 THEN 'high' WHEN vol < v33 THEN 'low' ELSE 'normal' END AS volatility FROM q""")
+@query(f"""WITH {MARKET}, {RATES}, q AS (SELECT mf.d, pos, r60 AS ret60, drawdown, vol, level, {', '.join(f'quantile_cont(vol, 0.{x}) OVER h AS q{x}' for x in (25, 75, 90))}, count(vol) OVER h AS n FROM mf LEFT JOIN lv ON mf.d = lv.d WINDOW h AS (ORDER BY pos)),
+v AS (SELECT *, {R.case(R.VOLATILITY_REGIME, 'normal')} AS volatility, {R.case(R.MARKET_TREND, 'strong_bull')} AS market_trend FROM q),
+x AS (SELECT d, market_trend, volatility, level, count(level) OVER h AS n, level - lag(level, 20) OVER (ORDER BY pos) AS change, nullif(stddev_samp(level) OVER h, 0) * 0.1 AS meaningful, quantile_cont(level, 0.75) OVER h AS q75 FROM v WINDOW h AS (ORDER BY pos))
+SELECT d, market_trend, volatility, {R.case(R.RATES_REGIME, 'stable_normal')} AS rates FROM x""")
 def regime_dimensions(t: Tables) -> DataFrame:
-    w = W.before(Window.partitionBy("k").orderBy("pos"))
-    q = market_facts(t).withColumnRenamed("r60", "ret60").withColumn("k", F.lit(1))
-    q = q.withColumn("v33", F.percentile("vol", F.lit(0.33)).over(w)).withColumn("v67", F.percentile("vol", F.lit(0.67)).over(w)).withColumn("n", F.count("vol").over(w))
-    volatility = F.when((F.col("n") < 60) | F.col("vol").isNull(), "insufficient").when(F.col("vol") > F.col("v67"), "high").when(F.col("vol") < F.col("v33"), "low").otherwise("normal")
-    return q.select("d", R.label(R.MARKET_TREND, "strong_bull").alias("market_trend"), volatility.alias("volatility"))
+    """Trend, volatility and rates of the market by day, against what was known by then (a row a day)."""
+    facts = market_facts(t).withColumnRenamed("r60", "ret60").join(rate_level(t), "d", "left").withColumn("k", F.lit(1))
+    return A.regime_dimensions(facts, "pos", ["k"]).select("d", "market_trend", "volatility", "rates")
+
+
+@query(f"""WITH x AS (SELECT entity, d, close / nullif(lag(close, 20) OVER w, 0) - 1 AS r20, close / nullif(lag(close, 60) OVER w, 0) - 1 AS r60, close / nullif(max(close) OVER w, 0) - 1 AS drawdown, close / nullif(avg(close) OVER (w ROWS 19 PRECEDING), 0) - 1 AS p20 FROM panel WINDOW w AS (PARTITION BY entity ORDER BY d))
+SELECT entity, d, {R.case(R.STOCK_STATE, 'sideways')} AS stock_state FROM x""")
+def stock_states(t: Tables) -> DataFrame:
+    w = W.by_time("entity", "d")
+    back = lambda n: ratio("close", F.lag("close", n).over(w)) - 1
+    x = t.panel().select("entity", "d", back(20).alias("r20"), back(60).alias("r60"), (ratio("close", F.max("close").over(W.so_far(w))) - 1).alias("drawdown"), (ratio("close", F.avg("close").over(W.frame(w, 20))) - 1).alias("p20"))
+    return x.select("entity", "d", R.label(R.STOCK_STATE, "sideways").alias("stock_state"))
 
 
 def _bound(x: str, scale: float) -> str:
-    return f"CASE WHEN {x} IS NULL THEN 0.0 ELSE greatest(-1.0, least(1.0, {x} / {scale})) END"
+    return f"coalesce(greatest(-1.0, least(1.0, CASE WHEN {x} IS NOT NULL THEN ({x}) / ({scale}) END)) * CASE WHEN {x} IS NOT NULL THEN 1 END, 0.0)"
 
 
-@query(f"""WITH {MARKET}, g AS (SELECT *, {R.case(R.REGIME, R.REGIME_ELSE)} AS regime FROM mf), x AS (SELECT d, pos AS n, 0.20 * (({_bound('p50', 0.1)}) + ({_bound('p200', 0.2)})) / 2 + 0.15 * (({_bound('r20', 0.1)}) + ({_bound('r60', 0.2)})) / 2 - 0.15 * (({_bound('vol', 0.5)}) + ({_bound('drawdown', -0.3)})) / 2
-  + 0.10 * CASE regime {' '.join(f"WHEN '{k}' THEN {v}" for k, v in R.REGIME_SCORE.items())} ELSE 0 END AS total FROM g) SELECT d, round(total, 6) AS total, {R.case(R.STATUS, R.STATUS_ELSE)} AS status FROM x""")
+_BLOCKS = {"trend": f"({_bound('price_to_sma_50', 0.1)} + {_bound('price_to_sma_200', 0.2)}) / 2", "momentum": f"({_bound('return_20', 0.1)} + {_bound('return_60', 0.2)}) / 2", "relative_strength": _bound("relative_strength_60", 0.15),
+           "risk": f"-({_bound('volatility_60', 0.5)} + {_bound('current_drawdown', -0.3)}) / 2", "liquidity": _bound("(CASE WHEN coalesce(turnover_to_mean_20, 0) = 0 THEN 1.0 ELSE turnover_to_mean_20 END - 1)", 1.0),
+           "market_regime": "CASE regime " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in R.REGIME_SCORE.items()) + " ELSE 0.0 END", "historical_analogues": _bound("(frequency - 0.5)", 0.25)}
+
+
+@query(f"""WITH {MARKET}, g AS (SELECT d, {R.case(R.REGIME, R.REGIME_ELSE)} AS regime FROM mf),
+y AS (SELECT entity, d, lead(close, 20) OVER w / nullif(close, 0) - 1 AS y FROM panel WINDOW w AS (PARTITION BY entity ORDER BY d)), k AS (SELECT *, lag(y, 20) OVER (PARTITION BY entity ORDER BY d) AS known FROM y),
+f AS (SELECT entity, d, avg(CAST(known > 0 AS INT)) OVER w AS frequency, count(known) OVER w AS n FROM k WINDOW w AS (PARTITION BY entity ORDER BY d ROWS 249 PRECEDING)),
+x AS (SELECT feat.entity, feat.d, f.n, {', '.join(f'{v} AS block_{k}' for k, v in _BLOCKS.items())} FROM feat JOIN f ON feat.entity = f.entity AND feat.d = f.d JOIN g ON feat.d = g.d),
+z AS (SELECT *, {' + '.join(f'{R.BLOCK_WEIGHT[k]} * block_{k}' for k in _BLOCKS)} AS total FROM x)
+SELECT entity, d, n, {', '.join(f'round(block_{k}, 6) AS block_{k}' for k in _BLOCKS)}, round(total, 6) AS total, {R.case(R.STATUS, R.STATUS_ELSE)} AS status FROM z""")
 def score_blocks(t: Tables) -> DataFrame:
-    """Weighted blocks of the market; blocks without data (strength, liquidity, analogues) count 0."""
-    g = market_facts(t).withColumn("regime", R.label(R.REGIME, R.REGIME_ELSE))
-    b, c, w = R.bounded, F.col, R.BLOCK_WEIGHT
-    regime = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in R.REGIME_SCORE.items() for x in kv]), c("regime")), F.lit(0.0))
-    total = w["trend"] * (b(c("p50"), 0.1) + b(c("p200"), 0.2)) / 2 + w["momentum"] * (b(c("r20"), 0.1) + b(c("r60"), 0.2)) / 2 - w["risk"] * (b(c("vol"), 0.5) + b(c("drawdown"), -0.3)) / 2 + w["market_regime"] * regime
-    x = g.select("d", c("pos").alias("n"), total.alias("total"))
-    return x.select("d", round6("total").alias("total"), R.label(R.STATUS, R.STATUS_ELSE).alias("status"))
+    """Seven blocks an entity and day; the analogues' part is the share of gains among the outcomes of
+    20 rows known by then."""
+    from chronoframe.operators.joins import small
+    from chronoframe.operators.scoring import blocks
+
+    g = small(market_facts(t).select("d", R.label(R.REGIME, R.REGIME_ELSE).alias("regime")))
+    w = W.by_time("entity", "d")
+    y = t.panel().select("entity", "d", (ratio(F.lead("close", 20).over(w), "close") - 1).alias("y")).withColumn("known", F.lag("y", 20).over(w))
+    f = y.select("entity", "d", F.avg((F.col("known") > 0).cast("int")).over(W.frame(w, 250)).alias("frequency"), F.count("known").over(W.frame(w, 250)).alias("n"))
+    out = blocks(features_standard(t).join(f, ["entity", "d"]).join(g, "d"))
+    return out.select("entity", "d", "n", *[round6(f"block_{k}").alias(f"block_{k}") for k in R.BLOCK_WEIGHT], round6("total").alias("total"), "status")
 
 
-@query(f"""WITH {STATE}, n AS (SELECT max(pos) - 500 AS cut FROM state), c AS (SELECT avg(mom) AS m, avg(vol) AS v FROM state, n WHERE pos <= cut), x AS (SELECT d, pos, pos <= cut AS train, round(sqrt((mom - m) ** 2 + (vol - v) ** 2), 9) AS x FROM state, c, n), r AS (SELECT list_sort(list(x)) AS ref, count(*) AS k FROM x WHERE train)
-SELECT d, round(p, 6) AS percentile, {R.case(R.NOVELTY, 'historically_novel')} AS label FROM (SELECT d, len(list_filter(ref, lambda y: y <= x.x)) / CAST(k AS DOUBLE) AS p FROM x, r)""")
+@query(f"""WITH {STATE}, n AS (SELECT max(pos) - 500 AS cut FROM state), c AS (SELECT {', '.join(f'median({f}) AS c_{f}' for f in FEATURES)} FROM state, n WHERE pos <= cut), x AS (SELECT d, pos, pos <= cut AS train, round(sqrt(({' + '.join(f'({f} - c_{f}) ** 2' for f in FEATURES)}) / {len(FEATURES)}), 9) AS x FROM state, c, n), r AS (SELECT list_sort(list(x)) AS ref, count(*) AS k FROM x WHERE train)
+SELECT d, round(x, 6) AS distance, round(p, 6) AS percentile, {R.case(R.NOVELTY, 'historically_novel')} AS label FROM (SELECT d, x, len(list_filter(ref, lambda y: y <= x.x)) / CAST(k AS DOUBLE) AS p FROM x, r)""")
 def novelty_percentile(t: Tables) -> DataFrame:
-    """Share of training distances at or below a day's: a running count over the merged order."""
+    """Distance to the training rows' median, and the share of their own distances at or below it."""
     s = state(t)
     s = s.join(F.broadcast(s.agg((F.max("pos") - 500).alias("cut")))).withColumn("train", F.col("pos") <= F.col("cut"))
-    c = s.where("train").agg(F.avg("mom").alias("m"), F.avg("vol").alias("v"))
-    x = s.join(F.broadcast(c)).withColumn("x", F.round(F.sqrt((F.col("mom") - F.col("m")) ** 2 + (F.col("vol") - F.col("v")) ** 2), 9)).withColumn("k", F.lit(1))
-    w = Window.partitionBy("k")
-    p = F.sum(F.col("train").cast("int")).over(w.orderBy("x").rangeBetween(Window.unboundedPreceding, 0)) / F.sum(F.col("train").cast("int")).over(w)
-    x = x.withColumn("p", p)
-    return x.select("d", round6("p").alias("percentile"), R.label(R.NOVELTY, "historically_novel").alias("label"))
+    out = A.novelty(s, FEATURES, F.col("train"))
+    return out.select("d", round6("distance").alias("distance"), round6("p").alias("percentile"), R.label(R.NOVELTY, "historically_novel").alias("label"))
 
 
 @query(None)

@@ -15,13 +15,27 @@ def _fs(spark: SparkSession, uri: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
+def settle(spark: SparkSession, target: str) -> None:
+    """Finish a swap that a crash broke off: without a target, a whole staged folder takes its place,
+    else the one put aside does."""
+    fs, path = _fs(spark, target)
+    if not fs.exists(path):
+        for name, sign in (("__staged", "/_SUCCESS"), ("__old", "")):
+            _, other = _fs(spark, target + name)
+            if fs.exists(_fs(spark, target + name + sign)[1]):
+                fs.rename(other, path)
+                return
+
+
 def exists(spark: SparkSession, uri: str) -> bool:
+    settle(spark, uri)
     fs, path = _fs(spark, uri)
     return fs.exists(path)
 
 
 def replace(spark: SparkSession, staged: str, target: str) -> None:
-    """Put the staged folder in the target's place by renames; the old one goes last."""
+    """Put the staged folder in the target's place by renames; the old one goes last.  A crash in between
+    leaves both beside the target's name, and settle(), which every sink and exists() begin with, ends it."""
     fs, new = _fs(spark, staged)
     _, old = _fs(spark, target)
     _, aside = _fs(spark, f"{target}__old")
@@ -45,7 +59,7 @@ def append_absent(rows: DataFrame, target: str, keys: Sequence[str], batch_id: i
     fresh = fresh.persist()
     n = fresh.count()
     if batch_id is not None:
-        fresh.write.mode("overwrite").parquet(f"{target}/_batch={batch_id}".replace("/_batch", "/_batch"))
+        fresh.write.mode("overwrite").parquet(f"{target}/_batch={batch_id}")
     elif n:
         fresh.write.mode("append").parquet(target)
     fresh.unpersist()

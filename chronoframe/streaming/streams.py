@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -73,15 +72,28 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str])
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def shared(spark, name: str) -> str:
+    """A folder's URI in the shared folder that the session names; on a local master one of this process's
+    own will do where none is named, on a cluster it would not be seen by others."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="chronoframe-stream-")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}")
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path = store.makeQualified(path)
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return path.toString()
+
+
 def drained(tables, name: str, plan: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
     """All results of a streaming plan over a table's files: written by file sink in append mode,
     otherwise batch by batch, and read again."""
     spark = tables.spark
     batch = tables(name)
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="chronoframe-stream-")
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + os.path.abspath(base)
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = shared(spark, f"stream-{uuid.uuid4().hex}")
     landed = f"{root}/in"
     batch.write.parquet(landed)
     # A closing row far ahead moves the watermark past every open window; it is left out again.

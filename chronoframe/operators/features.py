@@ -62,5 +62,5 @@ def standard(prices: DataFrame, benchmark: DataFrame | None = None, entity: str
             cov, dx, dy = (full(a, "_x", w, n) for a in (F.covar_samp("_y", "_x"), F.stddev_samp("_x"), F.stddev_samp("_y")))
             more |= {f"beta_{n}": ratio(cov, dx * dx), f"correlation_{n}": ratio(cov, dx * dy)}
     whole = {"days_vs_sma_200", "zero_volume_days_20"}
-    rows = rows.withColumns({k: c if k in whole else finite(c) for k, c in more.items()})
-    return rows.select(*prices.columns, *out, *[f"sma_{n}" for n in MEANS], *more)
+    rows = rows.withColumns(more)  # named first: a window within a condition would be computed for each mention
+    return rows.select(*prices.columns, *out, *[f"sma_{n}" for n in MEANS], *[k if k in whole else finite(k).alias(k) for k in more])

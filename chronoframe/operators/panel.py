@@ -53,11 +53,12 @@ def returns(prices: DataFrame, close: str = "close", keys: Sequence[str] = ("ent
 def liquidity(prices: DataFrame) -> DataFrame:
     """Robust return, turnover means, volume and trades against the twenty rows before, Amihud by value
     and by volume, value over volatility, daily percentiles and the regime (0.8 and more high, under
-    0.2 low).  prices(entity, d, close, value, volume, trades).
+    0.2 low).  prices(entity, d, close, value, volume, and trades where they are known).
 
     A move by a factor of 100 or more, and one from or to a close that isn't over zero, is no return.
     """
     w = W.by_time("entity", "d")
+    prices = prices if "trades" in prices.columns else prices.withColumn("trades", F.lit(None).cast("long"))
     before = F.lag("close").over(w)
     move = F.when((F.col("close") > 0) & (before > 0), F.log(F.col("close")) - F.log(before))
     rows = prices.withColumn("r", move).withColumn("r", F.when(F.abs("r") < math.log(100), F.exp("r") - 1))

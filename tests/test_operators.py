@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -143,7 +144,7 @@ def test_family_distance_moves_missing_weight(spark):
 
 
 def test_dtw():
-    assert A.dtw([1, 2, 3], [1, 2, 2, 3]) == 0 and A.dtw([0, 0], [1, 1]) == 2
+    assert M.warping(np.array([[1, 2, 3]]), np.array([[1, 2, 2, 3]])) == 0 and M.warping(np.array([[0, 0]]), np.array([[1, 1]])) == 2
 
 
 def test_exclusive_quantile(spark):

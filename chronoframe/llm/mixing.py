@@ -94,7 +94,9 @@ def choose(docs: DataFrame, mixture: Mixture = Mixture(), domain: Column | None
     within them, so that a leaf of any size is never one task.
 
     Null and empty texts have 0 tokens and go with the units around them; a leaf without tokens gives
-    nothing.  A null doc_id is a unit like any other.  An empty table gives no rows.
+    nothing.  A null doc_id is a unit like any other, and repeated rows are one unit.  Very long texts are
+    counted whole.  Units whose order keys tie follow by doc_id.  An empty table gives no rows.  Columns of
+    docs named like a result's (domain, n_tokens, epoch, leaf_tokens, leaf_budget) are ignored.
     """
     rows = common.kept(units(docs, domain), "units")
     leaf = common.kept(budgets(rows, mixture), "budgets")
@@ -118,7 +120,8 @@ def choose(docs: DataFrame, mixture: Mixture = Mixture(), domain: Column | None
 
 
 def mix(docs: DataFrame, mixture: Mixture = Mixture(), domain: Column | None = None) -> DataFrame:
-    """The chosen rows of docs with its own columns, a row as often as it has epochs."""
+    """The chosen rows of docs with its own columns, a row as often as it has epochs.  Repeated rows come
+    and go together; columns of docs named like a unit's keep their own values."""
     times = choose(docs, mixture, domain).groupBy("doc_id", "lang", "source").agg((F.max("epoch") + 1).alias("_times"))
     times = times.select(F.col("doc_id").alias("_doc"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), "_times")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.coalesce("lang", F.lit("")) == F.col("_lang")) & (F.coalesce("source", F.lit("")) == F.col("_source"))

@@ -56,10 +56,11 @@ def slots(spark: SparkSession, shards: list[str], size: int = PRIME) -> DataFram
 def place(df: DataFrame, key: str, shards: list[str], size: int = PRIME) -> DataFrame:
     """df with slot and shard added, by a hash lookup in the broadcast table; nothing is shuffled.
 
-    Equal keys share a shard however many they are; null keys go where '' goes.  Columns named slot
-    or shard in df are replaced.  Every row is kept, repeated ones too; an empty table stays empty.
+    Equal keys share a shard however many they are; null keys go where '' goes, very long ones where
+    their hash says.  Columns named slot or shard in df are replaced, unless one of them is the key: its
+    values are read first.  Every row is kept, repeated ones too; an empty table stays empty.
     """
-    kept = df.drop("slot", "shard").withColumn("slot", slot_of(key, size))
+    kept = df.withColumn("_slot", slot_of(key, size)).drop("slot", "shard").withColumnRenamed("_slot", "slot")
     return kept.join(F.broadcast(slots(df.sparkSession, shards, size)), "slot").select(*[c for c in kept.columns if c != "slot"], "slot", "shard")
 
 

@@ -164,6 +164,31 @@ def test_mixing_edges(spark):
     df = spark.createDataFrame([(1, None, None, None), (1, "a b", "en", "s"), (1, "a b", "en", "s"), (None, "c", "en", "s")], "doc_id long, text string, lang string, source string")
     assert mixing.choose(df).count() > 0 and mixing.mix(df).columns == df.columns
     assert mixing.choose(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
+    clash = spark.createDataFrame([(1, "w " * 200_000, "en", "s", "mine", 7), (2, "a b", "en", "s", "mine", 8)], "doc_id long, text string, lang string, source string, domain string, n_tokens int")
+    whole = mixing.Mixture(max_epochs=1, budget_percent=100)
+    assert {(r.doc_id, r.n_tokens, r.epoch) for r in mixing.choose(clash, whole).collect()} == {(1, 200_000, 0), (2, 2, 0)}
+    kept = mixing.mix(clash, whole)
+    assert kept.columns == clash.columns and sorted((r.doc_id, r.domain, r.n_tokens) for r in kept.collect()) == [(1, "mine", 7), (2, "mine", 8)]
+
+
+def test_placement_by_a_column_that_is_replaced(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), ("b" * 100_000, 3)], "shard string, x int")
+    got = {r.x: (r.slot, r.shard) for r in sharding.place(df, "shard", ["p", "q"]).collect()}
+    table = sharding.lookup_table(["p", "q"])
+    for x, key in ((1, "a"), (2, ""), (3, "b" * 100_000)):
+        slot = int(hashlib.md5(key.encode()).hexdigest()[:8], 16) % sharding.PRIME
+        assert got[x] == (slot, ["p", "q"][table[slot]])
+
+
+def test_warc_sample_doesnt_depend_on_order(spark):
+    rows = [(k % 40, f"http://h/{k % 40}", "<html>" + "text " * (k % 40) + "</html>") for k in range(200)]
+    one = spark.createDataFrame(rows, "page_id long, url string, html string")
+    paths = []
+    for df in (one.coalesce(1), one.repartition(5)):
+        paths.append(common.scratch(spark, "test-warc"))
+        warc.write(df, paths[-1], sample_records=9)
+    leads = {bytes(r.content[8:8 + struct.unpack_from("<I", r.content, 4)[0]]) for p in paths for r in spark.read.format("binaryFile").load(p).where("length > 0").collect()}
+    assert len(leads) == 1 and all(warc.read(spark, p).count() == 200 for p in paths)
 
 
 def test_lookup_table():

@@ -107,13 +107,30 @@ _slot: dict = {}
 
 def only(kind, make):
     """What one operator keeps in a Python worker between tasks.  A worker keeps one such thing: asking
-    for another drops it, so that stages of one job don't pile up their caches."""
+    for another drops it and gives its memory back, so that stages of one job don't pile up their caches."""
     if kind not in _slot:
-        _slot.clear()
+        if _slot:
+            _slot.clear()
+            give_back()
         _slot[kind] = make()
     return _slot[kind]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, which the allocators would otherwise hold for later."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def few_keys(rows: DataFrame, key: str, n: int) -> DataFrame:
     """(key,): at most n distinct non-null keys of rows, those with the smallest hashes.
 

@@ -105,7 +105,7 @@ def plan(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: floa
 
 
 def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 0, vocabulary: str = "byte_bpe_50k.json",
-         linear: float = 1.0, quadratic: float = 1.0 / 1024, batch_tokens: int = 4_000_000, cache_entries: int = 500_000) -> DataFrame:
+         linear: float = 1.0, quadratic: float = 1.0 / 1024, batch_tokens: int = 4_000_000, cache_entries: int = 300_000) -> DataFrame:
     """Pack docs(doc_id, text) into sequences of `capacity` tokens (a power of two); rows are pieces.
 
     Each task encodes its documents and balances them over sequences in batches of batch_tokens

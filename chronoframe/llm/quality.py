@@ -40,7 +40,7 @@ class Words(dict):
     digits, a run of anything else the word of these marks.
     """
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         import regex
 
         super().__init__()
@@ -94,7 +94,7 @@ def contexts(docs: DataFrame, window: int = 2) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = index_vectors()
         total, gap = np.zeros(WORDS * SIZE), np.zeros(window, "<i4").tobytes()
-        for _, held in _blocks(batches, 0, 2_000_000):
+        for _, held in _blocks(batches, 0, 1_200_000):
             ids = np.frombuffer(gap.join(held), "<i4").astype(np.int64)
             for k in range(1, window + 1):
                 for here, there in ((ids[:-k], ids[k:]), (ids[k:], ids[:-k])):

@@ -3,6 +3,7 @@ walk-forward regressions, bootstrap.  Python runs over Arrow batches or one enti
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -244,22 +245,101 @@ def walk_forward_ridge(df: DataFrame, entity: str, time: str, features: Sequence
     return out.withColumn("prediction", F.nanvl("prediction", F.lit(None).cast("double")))
 
 
-def block_bootstrap(df: DataFrame, entity: str, time: str, value: str, block: int, draws: int = 300, seed: int = 3) -> DataFrame:
-    """(entity, n, mean, low, high): circular block bootstrap of the mean, 95 %."""
+BOOTSTRAPS = ("circular", "moving", "stationary")
+
+
+def block_positions(n: int, block: int, draws: int, kind: str, random: np.random.Generator) -> np.ndarray:
+    """draws x n positions in blocks: circular ones run on past the end from the start, moving ones begin
+    where they fit whole, stationary ones have geometric lengths of that mean and run on."""
+    if kind == "stationary":
+        fresh = random.random((draws, n)) < 1 / block
+        fresh[:, 0] = True
+        starts = random.integers(0, n, (draws, n))
+        since = np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0), axis=1)
+        first = np.take_along_axis(starts, np.arange(n) - since, axis=1)
+        return (first + since) % n
+    top = n if kind == "circular" else max(n - block + 1, 1)
+    starts = random.integers(0, top, (draws, -(-n // block)))
+    return ((starts[:, :, None] + np.arange(block)) % n).reshape(draws, -1)[:, :n]
+
+
+def block_bootstrap(df: DataFrame, entity: str, time: str, value: str, block: int, draws: int = 300, seed: int = 3, kind: str = "circular") -> DataFrame:
+    """(entity, n, mean, low, high): block bootstrap of the mean, 95 %, by one of BOOTSTRAPS.  For the gain of
+    a model, value is the baseline's error less the model's."""
+    if kind not in BOOTSTRAPS:
+        raise ValueError(f"kind must be one of {', '.join(BOOTSTRAPS)}")
     ship(df.sparkSession)
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         v = x.sort_values(time)[value].dropna().to_numpy(float)
         if not len(v):
             return pd.DataFrame({entity: [], "n": [], "mean": [], "low": [], "high": []})
-        random = np.random.default_rng([seed, len(v)])
-        starts = random.integers(0, len(v), (draws, -(-len(v) // block)))
-        at = (starts[:, :, None] + np.arange(block)) % len(v)
-        means = v[at.reshape(draws, -1)[:, :len(v)]].mean(1)
+        means = v[block_positions(len(v), block, draws, kind, np.random.default_rng([seed, len(v)]))].mean(1)
         return pd.DataFrame({entity: [x[entity].iloc[0]], "n": [len(v)], "mean": [v.mean()], "low": [np.quantile(means, 0.025)], "high": [np.quantile(means, 0.975)]})
 
-    kind = dict(df.dtypes)[entity]
-    return df.groupBy(entity).applyInPandas(run, f"{entity} {kind}, n long, mean double, low double, high double")
+    types = dict(df.dtypes)[entity]
+    return df.groupBy(entity).applyInPandas(run, f"{entity} {types}, n long, mean double, low double, high double")
+
+
+def clustered_bootstrap(df: DataFrame, cluster: str, value: str, draws: int = 300, seed: int = 3) -> DataFrame:
+    """(n, clusters, mean, low, high): whole clusters (days) are drawn, so that rows of one day stay
+    together.  A draw is a Poisson weight a cluster, made from its hash: one aggregation, no resampling."""
+    per = df.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
+    per = per.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
+    u = (F.xxhash64(F.col(cluster), F.col("draw"), F.lit(seed)).cast("double") / 2.0**64) + 0.5
+    cuts = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)]).tolist()
+    weight = F.when(F.col("draw") == 0, 1).otherwise(sum(((u >= c).cast("int") for c in cuts), F.lit(0)))
+    each = per.withColumn("w", weight).groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"), F.sum("n").alias("n"), F.count("*").alias("clusters"))
+    drawn = F.when(F.col("draw") > 0, F.col("m"))
+    return each.agg(F.max("n").alias("n"), F.max("clusters").alias("clusters"), F.max(F.when(F.col("draw") == 0, F.col("m"))).alias("mean"), F.percentile(drawn, 0.025).alias("low"), F.percentile(drawn, 0.975).alias("high"))
+
+
+def platt(df: DataFrame, probability: str, label: str, train: Column, strength: float = 1.0) -> DataFrame:
+    """Adds calibrated: a logistic fit of the label on the probability's logit over the train rows, with an
+    L2 penalty of 1 / (2 * strength) on the slope and none on the intercept; and slope and intercept."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    p = F.greatest(F.lit(1e-5), F.least(F.lit(1 - 1e-5), F.col(probability)))
+    rows = VectorAssembler(inputCols=["_x"], outputCol="_f").transform(df.withColumn("_x", F.log(p / (1 - p))).withColumn("_y", F.col(label).cast("double")))
+    known = rows.where(train)
+    n = known.count()
+    fit = LogisticRegression(featuresCol="_f", labelCol="_y", regParam=1 / (strength * max(n, 1)), standardization=False, maxIter=200, tol=1e-10).fit(known)
+    slope, intercept = float(fit.coefficients[0]), float(fit.intercept)
+    return rows.withColumn("calibrated", 1 / (1 + F.exp(-(F.lit(slope) * F.col("_x") + F.lit(intercept))))).withColumns({"slope": F.lit(slope), "intercept": F.lit(intercept)}).drop("_x", "_y", "_f")
+
+
+def regime_candidates(df: DataFrame, columns: Sequence[str], order: str, algorithms: Sequence[str] = ("kmeans", "gmm"), ks: Sequence[int] = (2, 3, 4, 5, 6), train_share: float = 0.7, seed: int = 7) -> DataFrame:
+    """(algorithm, k, silhouettes, persistence, smallest share, reproducibility, score) of clusterings fitted
+    on the first train_share of the rows in order, which the rest checks.
+
+    score = 0.35 test silhouette + 0.25 persistence (rows with their predecessor's label) + 0.25
+    reproducibility (1 less the silhouettes' difference, 0 at least) + 0.15 min(1, smallest share * k).
+    Silhouettes are by squared distance; one label alone has -1.  A row a day is expected.
+    """
+    from pyspark.ml.clustering import GaussianMixture, KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    w = Window.orderBy(order)
+    rows = df.select(*columns, F.row_number().over(w).alias("_n"))
+    cut = int(rows.count() * train_share)
+    rows = VectorAssembler(inputCols=list(columns), outputCol="_raw").transform(rows)
+    rows = StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(rows.where(F.col("_n") <= cut)).transform(rows).select("_n", "features").persist()
+    found = []
+    for algorithm in algorithms:
+        for k in ks:
+            out = (KMeans(k=k, seed=seed) if algorithm == "kmeans" else GaussianMixture(k=k, seed=seed)).fit(rows.where(F.col("_n") <= cut)).transform(rows).select("_n", "features", "prediction")
+            parts = [out.where(F.col("_n") <= cut), out.where(F.col("_n") > cut)]
+            silhouettes = [ClusteringEvaluator().evaluate(x) if x.select("prediction").distinct().count() > 1 else -1.0 for x in parts]
+            same = out.select((F.col("prediction") == F.lag("prediction").over(Window.orderBy("_n"))).cast("double").alias("s")).agg(F.avg("s")).first()[0]
+            sizes = {r.prediction: r["count"] for r in out.groupBy("prediction").count().collect()}
+            least = min(sizes.get(c, 0) for c in range(k)) / max(1, sum(sizes.values()))
+            again = max(0.0, 1 - abs(silhouettes[0] - silhouettes[1]))
+            score = 0.35 * silhouettes[1] + 0.25 * (same or 0.0) + 0.25 * again + 0.15 * min(1.0, least * k)
+            found.append((algorithm, k, *map(float, silhouettes), float(same or 0.0), float(least), float(again), float(score)))
+    rows.unpersist()
+    return df.sparkSession.createDataFrame(found, "algorithm string, k int, silhouette_train double, silhouette_test double, persistence double, smallest_share double, reproducibility double, score double")
 
 
 def elastic_net(df: DataFrame, features: Sequence[str], target: str, train: Column, alpha: float = 0.5, strength: float = 0.01) -> DataFrame:

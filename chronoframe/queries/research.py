@@ -9,6 +9,7 @@ from chronoframe.functions.expr import corr, count_if, ratio, round6, share
 from chronoframe.operators import models as M
 from chronoframe.operators import portfolio as Po
 from chronoframe.operators import rules as R
+from chronoframe.operators import splits as Sp
 from chronoframe.operators import stats as S
 from chronoframe.operators import windows as W
 from chronoframe.operators.panel import returns
@@ -181,6 +182,41 @@ def bootstrap_ci(t: Tables) -> DataFrame:
     return out.select("entity", "n", *[round6(c).alias(c) for c in ("mean", "low", "high")])
 
 
+@query(None)
+def bootstrap_variants(t: Tables) -> DataFrame:
+    """The interval of the mean by each kind of blocks, and with days drawn whole (entity 0)."""
+    r = returns(t.panel())
+    parts = [M.block_bootstrap(r, "entity", "d", "r", 20, kind=k).select(F.lit(k).alias("kind"), "entity", "n", "mean", "low", "high") for k in M.BOOTSTRAPS]
+    parts.append(M.clustered_bootstrap(r, "d", "r").select(F.lit("clustered").alias("kind"), F.lit(0).cast("long").alias("entity"), "n", "mean", "low", "high"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("kind", "entity", "n", *[round6(c).alias(c) for c in ("mean", "low", "high")])
+
+
+@query("""WITH c AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS s FROM (SELECT DISTINCT d FROM panel)), n AS (SELECT count(*) AS n, (count(*) - 250 - 40) // 4 AS size FROM c), f AS (SELECT unnest([0, 1, 2, 3]) AS k),
+e AS (SELECT k, CAST(floor(n * (0.4 + 0.6 * k / 4)) AS BIGINT) AS a, CAST(floor(n * (0.4 + 0.6 * (k + 1) / 4)) AS BIGINT) AS b, 270 + k * size AS p, least(n, 270 + k * size + size) AS q, n, size FROM f, n),
+u AS (SELECT 'purged' AS scheme, k AS fold, 'train' AS role, 0 AS x, p - 20 AS y FROM e WHERE n - 290 >= 80 UNION ALL SELECT 'purged', k, 'test', p, q FROM e WHERE n - 290 >= 80 UNION ALL SELECT 'expanding', k, 'train', 0, a FROM e UNION ALL SELECT 'expanding', k, 'test', a, b FROM e
+  UNION ALL SELECT 'embargoed', k, 'train', 0, greatest(0, a - 20) FROM e UNION ALL SELECT 'embargoed', k, 'test', least(b, a + 20), b FROM e UNION ALL SELECT 'holdout', 0, 'train', 0, greatest(0, CAST(floor(n * 0.6) AS BIGINT) - 20) FROM n
+  UNION ALL SELECT 'holdout', 0, 'validation', CAST(floor(n * 0.6) AS BIGINT), CAST(floor(n * 0.8) AS BIGINT) - 20 FROM n UNION ALL SELECT 'holdout', 0, 'holdout', CAST(floor(n * 0.8) AS BIGINT), n FROM n)
+SELECT scheme, CAST(fold AS INT) AS fold, role, count(*) AS days, min(d) AS first_d, max(d) AS last_d FROM u JOIN c ON s >= x AND s < y GROUP BY 1, 2, 3""")
+def split_schemes(t: Tables) -> DataFrame:
+    c = W.sessions(t.panel(), "d").withColumn("s", F.col("session") - 1)
+    n = c.count()
+    plans = {"purged": Sp.purged(n, 20), "expanding": Sp.expanding(n), "embargoed": Sp.embargoed(n, 20), "holdout": Sp.holdout(n, 20)}
+    spans = t.spark.createDataFrame([(name, *row) for name, rows in plans.items() for row in rows], "scheme string, fold int, role string, x long, y long")
+    rows = c.join(F.broadcast(spans), (F.col("s") >= F.col("x")) & (F.col("s") < F.col("y")))  # a few spans by a row a day
+    return rows.groupBy("scheme", "fold", "role").agg(F.count("*").alias("days"), F.min("d").alias("first_d"), F.max("d").alias("last_d"))
+
+
+@query(None)
+def platt_calibration(t: Tables) -> DataFrame:
+    """Logistic calibration learnt before 1999, applied after."""
+    day = F.lit("1999-01-01").cast("date")
+    out = M.platt(probabilities(t), "prob", "label", F.col("d") < day).where(F.col("d") >= day)
+    return out.select("entity", "d", "prob", round6("calibrated").alias("calibrated"))
+
+
 @query(None)
 def walk_forward_ridge(t: Tables) -> DataFrame:
     out = M.walk_forward_ridge(predictions(t).select("entity", "d", "y", "p", "s"), "entity", "d", ["p", "s"], "y", 5)

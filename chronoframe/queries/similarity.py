@@ -293,6 +293,13 @@ def kmeans_regimes(t: Tables) -> DataFrame:
     return M.cluster_states(state(t).na.drop(), list(FEATURES), "kmeans", (2, 3, 4)).select("d", "cluster")
 
 
+@query(None)
+def regime_candidates(t: Tables) -> DataFrame:
+    """Two to six clusters by k-means and by mixtures, scored on the later three tenths."""
+    out = M.regime_candidates(state(t).na.drop(), list(FEATURES), "pos")
+    return out.select("algorithm", "k", *[F.round(c, 4).alias(c) for c in out.columns[2:]])
+
+
 @query(None)
 def mixture_regimes(t: Tables) -> DataFrame:
     return M.cluster_states(state(t).na.drop(), list(FEATURES), "gmm", (2, 3)).select("d", "cluster")

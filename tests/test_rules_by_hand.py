@@ -256,3 +256,78 @@ def test_calendar_sized_tables_are_broadcast_only_when_small(spark):
     plan = lambda most: spark.range(100).join(small(spark.range(50), most), "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan(50) and "strategy=broadcast" not in plan(49)
     assert W.sessions(spark.createDataFrame([(day(1),), (day(0),), (day(1),)], "d date"), "d").count() == 2
+
+
+def test_split_plans():
+    from chronoframe.operators import splits as Sp
+
+    got = Sp.purged(1000, 20)
+    size = (1000 - 250 - 40) // 4
+    assert got[:2] == [(0, "train", 0, 250), (0, "test", 270, 270 + size)] and got[-1] == (3, "test", 270 + 3 * size, 270 + 4 * size)
+    assert Sp.purged(350, 20) == [] and all(b <= 1000 for *_, b in got)
+    assert Sp.expanding(100) == [(0, "train", 0, 40), (0, "test", 40, 55), (1, "train", 0, 55), (1, "test", 55, 70), (2, "train", 0, 70), (2, "test", 70, 85), (3, "train", 0, 85), (3, "test", 85, 100)]
+    assert Sp.embargoed(100, 5)[:2] == [(0, "train", 0, 35), (0, "test", 45, 55)]
+    assert Sp.holdout(100, 5) == [(0, "train", 0, 55), (0, "validation", 60, 75), (0, "holdout", 80, 100)] and Sp.holdout(200, 0, (0.7, 0.15))[2] == (0, "holdout", 170, 200)
+    nested = Sp.nested(2000, 20)
+    assert {r for _, r, _, _ in nested} == {"test", "inner_train", "inner_test"}
+    for fold, role, a, b in nested:
+        if role == "inner_test":
+            test = next(x for f, r, x, _ in nested if r == "test" and f // 100 == fold // 100)
+            assert b <= test - 20
+
+
+def test_block_positions():
+    random = np.random.default_rng(0)
+    for kind in M.BOOTSTRAPS:
+        at = M.block_positions(50, 7, 400, kind, random)
+        assert at.shape == (400, 50) and at.min() >= 0 and at.max() < 50
+        runs = np.diff(at, axis=1) % 50 == 1
+        if kind == "stationary":
+            assert 1 / 7 == pytest.approx(1 - runs.mean(), abs=0.02)
+        else:
+            assert all(runs[:, k].all() for k in range(49) if (k + 1) % 7)
+        if kind == "moving":
+            assert (at[:, ::7] <= 43).all()
+
+
+def test_bootstraps_cover_the_mean(spark):
+    r = np.random.default_rng(5)
+    rows = [(1, day(k), float(v)) for k, v in enumerate(r.normal(0.5, 1.0, 400))]
+    df = spark.createDataFrame(rows, "entity int, d date, r double")
+    values = np.array([x[2] for x in rows])
+    spread = values.std() / 20
+    for kind in M.BOOTSTRAPS:
+        got = M.block_bootstrap(df, "entity", "d", "r", 5, kind=kind).first()
+        assert got.mean == pytest.approx(values.mean()) and got.low < got.mean < got.high and 2 * spread < got.high - got.low < 6 * spread
+    got = M.clustered_bootstrap(df, "d", "r").first()
+    assert (got.n, got.clusters) == (400, 400) and got.mean == pytest.approx(values.mean()) and 2.5 * spread < got.high - got.low < 5.5 * spread
+    with pytest.raises(ValueError):
+        M.block_bootstrap(df, "entity", "d", "r", 5, kind="other")
+
+
+def test_platt_equals_newton(spark):
+    r = np.random.default_rng(6)
+    p = r.uniform(0.02, 0.98, 500)
+    y = (r.random(500) < 1 / (1 + np.exp(-(0.5 * np.log(p / (1 - p)) + 0.3)))).astype(int)
+    df = spark.createDataFrame([(k, float(a), int(b)) for k, (a, b) in enumerate(zip(p, y))], "k int, p double, y int")
+    got = M.platt(df, "p", "y", F.col("k") < 400).orderBy("k").collect()
+    x, t, w = np.log(p / (1 - p))[:400], y[:400], np.zeros(2)
+    for _ in range(50):
+        z = np.column_stack([x, np.ones(400)])
+        q = 1 / (1 + np.exp(-z @ w))
+        grad = z.T @ (q - t) + np.array([w[0], 0])
+        w -= np.linalg.solve(z.T @ (z * (q * (1 - q))[:, None]) + np.diag([1, 0]), grad)
+    assert got[0].slope == pytest.approx(w[0], abs=1e-4) and got[0].intercept == pytest.approx(w[1], abs=1e-4)
+    assert got[450].calibrated == pytest.approx(1 / (1 + math.exp(-(w[0] * math.log(p[450] / (1 - p[450])) + w[1]))), abs=1e-4)
+
+
+def test_regime_candidates_find_the_groups(spark):
+    r = np.random.default_rng(7)
+    centres = np.repeat([[0, 0], [8, 8], [0, 8]], 40, axis=0)[np.tile(np.arange(120).reshape(3, 40).T.ravel(), 2)]
+    x = np.repeat(centres, 1, axis=0) + 0.3 * r.normal(size=(240, 2))
+    df = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(x)], "pos int, a double, b double")
+    got = M.regime_candidates(df, ["a", "b"], "pos", ("kmeans",), (2, 3)).collect()
+    best = max(got, key=lambda g: g.score)
+    assert best.k == 3 and best.silhouette_test > 0.9
+    for g in got:
+        assert g.score == pytest.approx(0.35 * g.silhouette_test + 0.25 * g.persistence + 0.25 * g.reproducibility + 0.15 * min(1, g.smallest_share * g.k))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.functions.expr import clip, ratio
 from chronoframe.operators import rules as R
+from chronoframe.operators import windows as W
 
 
 def spaced_top_k(df: DataFrame, keys: Sequence[str], distance: str, position: str, spacing: int, k: int) -> DataFrame:
@@ -127,3 +128,36 @@ def novelty(df: DataFrame, columns: Sequence[str], train: Column) -> DataFrame:
     w = Window.partitionBy("_k")
     share = F.sum("_t").over(w.orderBy("distance").rangeBetween(Window.unboundedPreceding, 0)) / F.sum("_t").over(w)
     return rows.withColumn("p", share).drop("_t", "_k", *[f"_c_{c}" for c in columns])
+
+
+def path_statistics(df: DataFrame, path: str) -> DataFrame:
+    """Adds what a path of returns since its start, the start's 0 first, did: mae, mfe, max_drawdown (from the
+    running peak), time_to_trough and time_to_peak (first positions), terminal, underwater (ends below the
+    start), recovery_time (first position after the trough at the start or above), recovered (it had
+    fallen below and came back), new_high_after_recovery (above the start later still), and
+    fall_first_end_positive."""
+    low, high, end, n = F.array_min(path), F.array_max(path), F.element_at(path, -1), F.size(path)
+    rows = df.withColumns({"mae": low, "mfe": high, "terminal": end, "time_to_trough": (F.array_position(path, low) - 1).cast("int"), "time_to_peak": (F.array_position(path, high) - 1).cast("int"),
+                           "max_drawdown": W.drawdown_of(F.transform(path, lambda x: 1 + x))})
+    back = F.array_position(F.transform(path, lambda x, i: (x >= 0) & (i > F.col("time_to_trough"))), True)
+    rows = rows.withColumn("recovery_time", F.when(back > 0, back - 1).cast("int"))
+    later = F.array_max(F.slice(path, F.col("recovery_time") + 2, n))
+    return rows.withColumns({"underwater": F.col("terminal") < 0, "recovered": (F.col("mae") < 0) & F.col("recovery_time").isNotNull(), "new_high_after_recovery": F.coalesce((F.col("recovery_time") + 1 < n) & (later > 0), F.lit(False)),
+                             "fall_first_end_positive": (F.col("mae") < 0) & (F.col("terminal") > 0) & (F.col("time_to_trough") < n - 1)})
+
+
+def path_risk(df: DataFrame, keys: Sequence[str], weight: str, falls: Sequence[float] = (0.03, 0.05, 0.10, 0.15, 0.20)) -> DataFrame:
+    """Weighted frequencies of what path_statistics() found, by key: weights are taken as shares of their
+    sum; with the number of paths, the effective number and the weighted median drawdown."""
+    w = Window.partitionBy(*keys)
+    rows = df.withColumn("_w", F.col(weight) / F.sum(weight).over(w))
+    rows = rows.withColumn("_c", F.sum("_w").over(w.orderBy("max_drawdown").rangeBetween(Window.unboundedPreceding, 0)))
+    often = lambda c: F.sum(F.when(c, F.col("_w")).otherwise(0.0))
+    flags = ("underwater", "recovered", "new_high_after_recovery", "fall_first_end_positive")
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), effective_sample("_w").alias("effective_n"), F.min(F.when(F.col("_c") >= 0.5 - 1e-12, F.col("max_drawdown"))).alias("median_drawdown"), *[often(F.col(f)).alias(f) for f in flags],
+                                   *[often(F.col("max_drawdown") <= -x).alias(f"drawdown_{round(x * 100)}") for x in falls])
+
+
+def path_cosine(a: str, b: str) -> Column:
+    """1 less the cosine of two paths; null where one has no length."""
+    return 1 - cosine(a, b)

@@ -122,19 +122,40 @@ def shrunk(cov: np.ndarray, intensity: float) -> np.ndarray:
     return (1 - intensity) * cov + intensity * np.trace(cov) / len(cov) * np.eye(len(cov))
 
 
-def covariance_distances(df: DataFrame, key: str, column: str, components: int, intensity: float = 0.1) -> DataFrame:
-    """(key, mahalanobis, pca): distances to the mean under the shrunk covariance, and in the leading
-    principal components scaled by their deviations.  The matrices are dimension-sized."""
-    _, mean, cov = moments(df, column)
-    inverse = np.linalg.inv(shrunk(cov, intensity))
+def fitted_intensity(n: int, cov: np.ndarray, fourth: float) -> float:
+    """How far to pull for the least expected squared error (Ledoit and Wolf, 2004): n rows, their
+    covariance with divisor n, and the mean fourth power of the centred rows' lengths."""
+    p = len(cov)
+    mu = np.trace(cov) / p
+    spread = float(((cov - mu * np.eye(p)) ** 2).sum()) / p
+    noise = (fourth - float((cov * cov).sum())) / (p * n)
+    return 0.0 if spread <= 0 else float(min(max(noise, 0.0), spread) / spread)
+
+
+def covariance_distances(df: DataFrame, key: str, column: str, components: int, intensity: float | None = None, state: Sequence[float] | None = None, worst: float = 1e12) -> DataFrame:
+    """(key, mahalanobis, pca): distances to a state (the mean unless given) under the shrunk covariance, and
+    in the leading principal components scaled by their deviations.  The intensity is fitted unless
+    given; a matrix whose condition is over `worst` gives no Mahalanobis distance.  The matrices are
+    dimension-sized."""
+    n, mean, cov = moments(df, column)
+    vectors_ = df.select(F.col(column).cast("array<double>").alias("v"))
+    if intensity is None:
+        centre = F.array(*[F.lit(float(m)) for m in mean])
+        square = F.aggregate(F.zip_with("v", centre, lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda s, x: s + x)
+        intensity = fitted_intensity(n, cov, vectors_.agg(F.avg(square * square)).first()[0])
+    pulled = shrunk(cov, intensity)
+    sound = np.linalg.cond(pulled) <= worst
+    inverse = np.linalg.inv(pulled) if sound else np.full_like(pulled, np.nan)
     values, vectors = np.linalg.eigh(cov)
     lead = vectors[:, ::-1][:, :components] / np.sqrt(np.maximum(values[::-1][:components], 1e-12))
+    target = mean if state is None else np.asarray(state, float)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                z = np.stack(b["v"].to_numpy()).astype(float) - mean
-                yield pd.DataFrame({key: b["id"], "mahalanobis": np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", z, inverse, z), 0)), "pca": np.linalg.norm(z @ lead, axis=1)})
+                z = np.stack(b["v"].to_numpy()).astype(float) - target
+                far = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", z, inverse, z), 0)) if sound else [None] * len(b)
+                yield pd.DataFrame({key: b["id"], "mahalanobis": pd.array(far, "Float64"), "pca": np.linalg.norm(z @ lead, axis=1)})
 
     return df.select(F.col(key).alias("id"), F.col(column).cast("array<double>").alias("v")).mapInPandas(run, f"{key} long, mahalanobis double, pca double")
 

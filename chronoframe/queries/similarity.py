@@ -97,13 +97,28 @@ def first_passage(t: Tables) -> DataFrame:
     return paths(t).withColumn("x", A.first_passage(F.col("v"), 0.5, -0.5)).select("entity", "d", "x.side", "x.session")
 
 
-@query(f"""WITH {PATHS} SELECT entity, d, round(list_min(v), 6) AS adverse, round(list_max(v), 6) AS favourable, list_position(v, list_max(v)) AS time_to_high, list_position(v, list_min(v)) AS time_to_low, round(v[20], 6) AS terminal,
-  round(list_min(list_transform(v, lambda x, i: (1 + x) / greatest(1, list_max(list_transform(v[1:i], lambda y: 1 + y))) - 1)), 6) AS drawdown FROM np""")
+PATH_FACTS = """ps AS (SELECT entity, d, list_prepend(0.0::DOUBLE, v) AS p FROM np), pq AS (SELECT *, list_min(p) AS lo, list_max(p) AS hi, p[-1] AS e, list_position(p, list_min(p)) - 1 AS tt, list_position(p, list_max(p)) - 1 AS tp,
+  list_min(list_transform(p, lambda x, i: (1 + x) / (1 + list_max(p[1:i])) - 1)) AS dd FROM ps), pr AS (SELECT *, nullif(list_position(list_transform(p, lambda x, i: x >= 0 AND i - 1 > tt), true), 0) - 1 AS rec FROM pq),
+pf AS (SELECT *, e < 0 AS underwater, lo < 0 AND rec IS NOT NULL AS recovered, coalesce(rec + 1 < len(p) AND list_max(p[rec + 2:]) > 0, false) AS new_high, lo < 0 AND e > 0 AND tt < len(p) - 1 AS fall_first FROM pr)"""
+
+
+@query(f"""WITH {PATHS}, {PATH_FACTS} SELECT entity, d, round(lo, 6) AS mae, round(hi, 6) AS mfe, round(dd, 6) AS max_drawdown, CAST(tt AS INT) AS time_to_trough, CAST(tp AS INT) AS time_to_peak, round(e, 6) AS terminal, underwater, recovered, CAST(rec AS INT) AS recovery_time,
+  new_high AS new_high_after_recovery, fall_first AS fall_first_end_positive FROM pf""")
 def path_statistics(t: Tables) -> DataFrame:
-    p = paths(t)
-    levels = F.concat(F.array(F.lit(1.0)), F.transform("v", lambda x: 1 + x))
-    return p.select("entity", "d", round6(F.array_min("v")).alias("adverse"), round6(F.array_max("v")).alias("favourable"), F.array_position("v", F.array_max("v")).cast("int").alias("time_to_high"), F.array_position("v", F.array_min("v")).cast("int").alias("time_to_low"),
-                    round6(F.element_at("v", -1)).alias("terminal"), round6(W.drawdown_of(levels)).alias("drawdown"))
+    out = A.path_statistics(paths(t).withColumn("v", F.concat(F.array(F.lit(0.0)), "v")), "v")
+    return out.select("entity", "d", *[round6(c).alias(c) for c in ("mae", "mfe", "max_drawdown")], "time_to_trough", "time_to_peak", round6("terminal").alias("terminal"), "underwater", "recovered", "recovery_time", "new_high_after_recovery", "fall_first_end_positive")
+
+
+@query(f"""WITH {PATHS}, {PATH_FACTS}, w AS (SELECT *, 1.0 / (1 + (DATE '2001-12-31' - d) / 365.0) AS wt FROM pf), s AS (SELECT *, wt / sum(wt) OVER (PARTITION BY entity) AS sw FROM w),
+c AS (SELECT *, sum(sw) OVER (PARTITION BY entity ORDER BY dd RANGE UNBOUNDED PRECEDING) AS cd FROM s)
+SELECT entity, count(*) AS n, round(1 / sum(sw * sw), 4) AS effective_n, round(min(dd) FILTER (WHERE cd >= 0.5 - 1e-12), 6) AS median_drawdown, round(sum(sw) FILTER (WHERE underwater), 6) AS underwater, round(coalesce(sum(sw) FILTER (WHERE recovered), 0), 6) AS recovered,
+  round(coalesce(sum(sw) FILTER (WHERE new_high), 0), 6) AS new_high_after_recovery, round(coalesce(sum(sw) FILTER (WHERE fall_first), 0), 6) AS fall_first_end_positive, {', '.join(f'round(coalesce(sum(sw) FILTER (WHERE dd <= -{x}), 0), 6) AS drawdown_{round(x * 100)}' for x in (0.03, 0.05, 0.10, 0.15, 0.20))} FROM c GROUP BY 1""")
+def path_risk(t: Tables) -> DataFrame:
+    """What the paths of an entity did, later ones counting more."""
+    p = A.path_statistics(paths(t).withColumn("v", F.concat(F.array(F.lit(0.0)), "v")), "v")
+    p = p.withColumn("weight", 1.0 / (1 + F.datediff(F.lit("2001-12-31").cast("date"), "d") / 365.0))
+    out = A.path_risk(p, ["entity"], "weight")
+    return out.select("entity", "n", F.round("effective_n", 4).alias("effective_n"), *[round6(c).alias(c) for c in out.columns if c not in ("entity", "n", "effective_n")])
 
 
 @query(f"""WITH {PATHS}, w AS (SELECT entity, d, v[20] AS x, 1.0 / (1 + (DATE '2001-12-31' - d) / 365.0) AS wt FROM np), c AS (SELECT *, sum(wt) OVER (PARTITION BY entity ORDER BY x RANGE UNBOUNDED PRECEDING) AS cw, sum(wt) OVER (PARTITION BY entity) AS tw FROM w)
@@ -183,6 +198,15 @@ def dtw_paths(t: Tables) -> DataFrame:
     return M.dtw_distance(p.join(first, "entity"), "v", "v0").select("entity", "d", round6("dtw").alias("dtw"))
 
 
+@query(f"""WITH {PATHS}, f AS (SELECT entity, arg_min(v, d) AS v0 FROM np GROUP BY 1), j AS (SELECT np.entity, d, list_sum(list_transform(list_zip(v, v0), lambda z: z[1] * z[2])) AS xy, list_sum(list_transform(v, lambda z: z * z)) AS xx, list_sum(list_transform(v0, lambda z: z * z)) AS yy FROM np JOIN f ON np.entity = f.entity)
+SELECT entity, d, round(1 - xy / nullif(sqrt(xx) * sqrt(yy), 0), 6) AS distance FROM j""")
+def path_cosines(t: Tables) -> DataFrame:
+    """Cosine distance of each path to its entity's first path."""
+    p = paths(t)
+    first = p.groupBy("entity").agg(F.min_by("v", "d").alias("v0"))
+    return p.join(first, "entity").select("entity", "d", round6(A.path_cosine("v", "v0")).alias("distance"))
+
+
 @query(None)
 def state_distances_mahalanobis(t: Tables) -> DataFrame:
     """Shrunk Mahalanobis and PCA distances of vectors to their mean."""

@@ -331,3 +331,31 @@ def test_regime_candidates_find_the_groups(spark):
     assert best.k == 3 and best.silhouette_test > 0.9
     for g in got:
         assert g.score == pytest.approx(0.35 * g.silhouette_test + 0.25 * g.persistence + 0.25 * g.reproducibility + 0.15 * min(1, g.smallest_share * g.k))
+
+
+def test_path_statistics_of_two_paths(spark):
+    df = spark.createDataFrame([(1, [0.0, -0.11, 0.05, -0.02]), (1, [0.0, 0.20, 0.10, 0.15])], "entity int, v array<double>")
+    a, b = A.path_statistics(df, "v").orderBy("mae").collect()
+    assert (a.mae, a.mfe, a.time_to_trough, a.time_to_peak, a.recovery_time) == (-0.11, 0.05, 1, 2, 2) and a.max_drawdown == pytest.approx(-0.11)
+    assert a.underwater and a.recovered and not a.new_high_after_recovery and not a.fall_first_end_positive
+    assert (b.time_to_trough, b.recovery_time, b.recovered, b.new_high_after_recovery, b.underwater) == (0, 1, False, True, False) and b.max_drawdown == pytest.approx(1.10 / 1.20 - 1)
+    got = A.path_risk(A.path_statistics(df, "v").withColumn("weight", F.when(F.col("mae") < 0, 3.0).otherwise(1.0)), ["entity"], "weight").first()
+    assert (got.n, got.underwater, got.recovered, got.drawdown_5, got.drawdown_10) == (2, 0.75, 0.75, 1.0, pytest.approx(0.75)) and got.effective_n == pytest.approx(16 / 10) and got.median_drawdown == pytest.approx(-0.11)
+
+
+def test_distances_under_a_fitted_covariance(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(80, 4)) @ r.normal(size=(4, 4)) + 3
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    z = x - x.mean(0)
+    s = z.T @ z / 80
+    mu = np.trace(s) / 4
+    spread = ((s - mu * np.eye(4)) ** 2).sum()
+    noise = min(sum(((np.outer(q, q) - s) ** 2).sum() for q in z) / 80**2, spread)
+    pulled = noise / spread * mu * np.eye(4) + (1 - noise / spread) * s
+    got = {q.id: q for q in M.covariance_distances(df, "id", "v", 2, state=x[5].tolist()).collect()}
+    for k in (0, 5, 79):
+        d = x[k] - x[5]
+        assert got[k].mahalanobis == pytest.approx(math.sqrt(max(d @ np.linalg.solve(pulled, d), 0)), abs=1e-9)
+    flat = spark.createDataFrame([(k, [float(k), float(k), 0.0]) for k in range(9)], "id long, v array<double>")
+    assert all(q.mahalanobis is None for q in M.covariance_distances(flat, "id", "v", 1, intensity=0.0).collect())

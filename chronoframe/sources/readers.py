@@ -230,6 +230,72 @@ def report(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("period", F.to_date("period")).withColumn("value", value)
 
 
+def report_html(pages_df: DataFrame, html: str = "html") -> DataFrame:
+    """The same from a page's table: its first row must be the expected columns, by name and in order; a
+    page without them, a row of another width and a value that isn't a number fail."""
+    named = pages_df.withColumn("_page", F.sha2(html, 256))
+    rows = html_rows(named, html, ["_page"])
+    head = rows.groupBy("_page").agg(F.min_by("cells", "row").alias("_head"))
+    expected = F.array(*[F.lit(c) for c in REPORT])
+    wrong = F.raise_error(F.concat(F.lit("columns "), F.to_json("_head"), F.lit(f"; expected {list(REPORT)}"))).cast("array<string>")
+    body = rows.join(head.withColumn("_head", F.when(F.transform("_head", F.lower) == expected, F.col("_head")).otherwise(wrong)), "_page").where(F.col("cells") != F.col("_head"))
+    cells = F.when(F.size("cells") == len(REPORT), F.col("cells")).otherwise(F.raise_error(F.concat(F.lit("a row doesn't fit its columns: "), F.to_json("cells"))).cast("array<string>"))
+    body = body.withColumn("cells", cells).select(*[F.element_at("cells", k + 1).alias(c) for k, c in enumerate(REPORT)])
+    value = F.coalesce(number("value"), F.raise_error(F.concat(F.lit("not a number: "), F.coalesce("value", F.lit("null")))).cast("double"))
+    return body.withColumn("period", F.to_date("period")).withColumn("value", value)
+
+
+#: Where a series can be judged by what was known: its release rule, and whether that is verified.
+DEFINITION = "series string, title string, unit string, frequency string, source string, first_day date, release_rule string, revision_rule string, safe boolean, note string"
+
+
+def definitions(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
+    """Series definitions; a series whose history has no verified release times is kept as metadata with
+    safe = false."""
+    return spark.createDataFrame(list(rows), DEFINITION)
+
+
+def safe_observations(observations: DataFrame, known: DataFrame) -> DataFrame:
+    """Observations of the defined series that are point-in-time safe; all others stay out of strict use."""
+    return observations.join(known.where("safe").select("series"), "series", "left_semi")
+
+
+def overnight_rate(pages_df: DataFrame, hour: int = 15, zone: str = "Europe/Moscow", html: str = "html") -> DataFrame:
+    """(d, value, available) of an overnight rate's table: published on the next business day at `hour`
+    of the exchange's zone; Friday's and the weekend's on Monday."""
+    rows = rate_table(pages_df, html).drop("available")
+    ahead = F.when(F.dayofweek("d") == 6, 3).when(F.dayofweek("d") == 7, 2).otherwise(1)
+    local = F.date_add("d", ahead).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(hour))
+    return rows.withColumn("available", F.convert_timezone(F.lit(zone), F.lit("UTC"), local))
+
+
+#: Fields of the landed history blocks of other markets, as in HISTORY.
+FUTURES = {"secid": "string", "tradedate": "date", "open": "double", "high": "double", "low": "double", "close": "double", "volume": "double", "value": "double", "openposition": "double"}
+CANDLES = {"begin": "timestamp", "end": "timestamp", "open": "double", "high": "double", "low": "double", "close": "double", "volume": "double", "value": "double"}
+SERIES_BLOCK = {"secid": "string", "tradedate": "date", "close": "double", "waprice": "double", "yield": "double"}
+
+
+def futures_history(payloads: DataFrame, text: str = "payload") -> DataFrame:
+    """Futures and option contracts' days as contract rows; days without a close are left out."""
+    rows = columnar(payloads.select(text), "history", FUTURES, text)
+    return rows.select(F.col("secid").alias("contract"), F.col("tradedate").alias("d"), "open", "high", "low", "close", "volume", "value", F.col("openposition").alias("open_interest")).where("close IS NOT NULL")
+
+
+def candles(payloads: DataFrame, keys: Sequence[str], text: str = "payload") -> DataFrame:
+    """Intraday candles with the payload's own keys (entity, interval); a candle is known at its end."""
+    rows = columnar(payloads.select(*keys, text), "candles", CANDLES, text)
+    return rows.select(*keys, F.col("begin").alias("ts"), F.col("end").alias("available"), "open", "high", "low", "close", "volume", "value")
+
+
+def index_series(payloads: DataFrame, prefix: str, text: str = "payload") -> DataFrame:
+    """(series, observed, available, value): index, currency and bond series of landed history blocks,
+    named prefix_secid; the close, else the weighted price, known the day after."""
+    rows = columnar(payloads.select(text), "history", SERIES_BLOCK, text)
+    value = F.coalesce("close", "waprice")
+    out = rows.select(F.concat(F.lit(f"{prefix}_"), F.lower("secid")).alias("series"), F.col("tradedate").alias("observed"), F.date_add("tradedate", 1).alias("available"), value.alias("value"))
+    return out.where("observed IS NOT NULL AND value IS NOT NULL")
+
+
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """Files with their SHA-256, one row a content: the first path by name."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.sha2("content", 256).alias("content_hash"))
@@ -239,3 +305,12 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 def liquid_universe(stats: DataFrame, n: int) -> DataFrame:
     """The n most liquid entities; unknown liquidity counts as none."""
     return stats.orderBy(F.coalesce("liquidity", F.lit(0.0)).desc(), "entity").limit(n)
+
+
+def securities(payloads: DataFrame, text: str = "payload") -> DataFrame:
+    """Every share card found, inactive ones too: (entity, name, isin, active, kind), one row an entity, an
+    active card before an inactive one; without the inactive ones a history would hold survivors only."""
+    rows = columnar(payloads.select(text), "securities", {"secid": "string", "shortname": "string", "isin": "string", "is_traded": "int", "type": "string"}, text)
+    rows = rows.select(F.col("secid").alias("entity"), F.col("shortname").alias("name"), "isin", (F.coalesce("is_traded", F.lit(0)) == 1).alias("active"), F.col("type").alias("kind")).where("entity IS NOT NULL")
+    shares = rows.where(F.col("kind").isin("common_share", "preferred_share"))
+    return latest(shares, ["entity"], [F.col("active").desc(), F.col("name").asc_nulls_last(), F.col("isin").asc_nulls_last()])

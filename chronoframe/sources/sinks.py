@@ -107,6 +107,18 @@ def land_raw(payloads: DataFrame, target: str) -> DataFrame:
     return hashed
 
 
+def land_timestamped(payloads: DataFrame, target: str, retrieved: str, source: str) -> DataFrame:
+    """Immutable landing by time: payloads(payload, ...) go under their source and retrieval time (UTC, text
+    yyyymmddThhmmss), each with its hash.  A time that a source already has is refused, so nothing that
+    was landed is ever written over."""
+    spark, place = payloads.sparkSession, f"{target}/source={source}/retrieved={retrieved}"
+    if _fs(spark, place)[0].exists(_fs(spark, place)[1]):
+        raise ValueError(f"{place} is already landed")
+    hashed = payloads.withColumn("content_hash", F.sha2("payload", 256))
+    hashed.write.parquet(place)
+    return hashed
+
+
 class Ledger:
     """Append-only run records: a run id is a hash of version and inputs, and a completed run is
     found again instead of being done again."""

@@ -1,3 +1,4 @@
+import hashlib
 import datetime as dt
 import json
 
@@ -153,3 +154,65 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     go()
     go()
     assert sorted((r.k, r.v) for r in spark.read.option("recursiveFileLookup", "true").schema("k long, v string").parquet(out).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_securities_keep_inactive_cards(spark):
+    from chronoframe.sources import readers as Rd
+
+    block = json.dumps({"securities": {"columns": ["SECID", "SHORTNAME", "ISIN", "IS_TRADED", "TYPE"], "data": [["A", "a", "1", 1, "common_share"], ["A", "old", "0", 0, "common_share"], ["B", "b", None, 0, "preferred_share"], ["C", "c", "3", 1, "bond"]]}})
+    got = {r.entity: (r.name, r.active) for r in Rd.securities(spark.createDataFrame([(block,)], "payload string")).collect()}
+    assert got == {"A": ("a", True), "B": ("b", False)}
+
+
+def test_futures_candles_and_series(spark):
+    from chronoframe.sources import readers as Rd
+
+    one = lambda d: spark.createDataFrame([("E", json.dumps(d))], "entity string, payload string")
+    f = one({"history": {"columns": ["SECID", "TRADEDATE", "CLOSE", "OPENPOSITION"], "data": [["SiH4", "2024-01-09", 10.5, 77], ["SiH4", "2024-01-10", None, 78]]}})
+    assert [(r.contract, str(r.d), r.close, r.open_interest) for r in Rd.futures_history(f).collect()] == [("SiH4", "2024-01-09", 10.5, 77.0)]
+    c = one({"candles": {"columns": ["begin", "end", "open", "close"], "data": [["2024-01-09 10:00:00", "2024-01-09 10:00:59", 1.0, 2.0]]}})
+    r = Rd.candles(c, ["entity"]).first()
+    assert (r.entity, str(r.available), r.close, r.volume) == ("E", "2024-01-09 10:00:59", 2.0, None)
+    s = one({"history": {"columns": ["SECID", "TRADEDATE", "CLOSE", "WAPRICE"], "data": [["IMOEX", "2024-01-09", None, 5.0], ["IMOEX", None, 1.0, 1.0]]}})
+    assert [(r.series, str(r.available), r.value) for r in Rd.index_series(s, "moex").collect()] == [("moex_imoex", "2024-01-10", 5.0)]
+
+
+def test_html_report_is_strict(spark):
+    from chronoframe.sources import readers as Rd
+
+    head = "<table><tr><th>issuer</th><th>period</th><th>metric</th><th>value</th><th>unit</th></tr>"
+    page = lambda body: spark.createDataFrame([(head + body + "</table>",)], "html string")
+    row = "<tr><td>X</td><td>2024-03-31</td><td>profit</td><td>(1 234,5)</td><td>mln</td></tr>"
+    assert [(r.issuer, str(r.period), r.value) for r in Rd.report_html(page(row)).collect()] == [("X", "2024-03-31", -1234.5)]
+    for bad in (page("<tr><td>X</td></tr>"), page(row.replace("(1 234,5)", "many")), spark.createDataFrame([("<table><tr><th>a</th></tr><tr><td>1</td></tr></table>",)], "html string")):
+        with pytest.raises(Exception):
+            Rd.report_html(bad).collect()
+
+
+def test_overnight_rate_is_known_on_the_next_business_day(spark):
+    from chronoframe.sources import readers as Rd
+
+    html = "<table>" + "".join(f"<tr><td>{d}</td><td>7,{k}</td></tr>" for k, d in enumerate(("11.01.2024", "12.01.2024", "13.01.2024"))) + "</table>"
+    got = [(str(r.d), r.value, str(r.available)) for r in Rd.overnight_rate(spark.createDataFrame([(html,)], "html string")).orderBy("d").collect()]
+    assert got == [("2024-01-11", 7.0, "2024-01-12 12:00:00"), ("2024-01-12", 7.1, "2024-01-15 12:00:00"), ("2024-01-13", 7.2, "2024-01-15 12:00:00")]
+
+
+def test_unsafe_series_stay_out(spark):
+    from chronoframe.sources import readers as Rd
+
+    known = Rd.definitions(spark, [("a", "A", "%", "daily", "s", None, "next day", "final", True, ""), ("b", "B", "%", "monthly", "s", None, "unknown", "unknown", False, "metadata only")])
+    rows = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "series string, value double")
+    assert [r.series for r in Rd.safe_observations(rows, known).collect()] == ["a"]
+
+
+def test_timestamped_landing_is_never_overwritten(spark, tmp_path):
+    from chronoframe.sources import sinks as Sk
+
+    rows = spark.createDataFrame([("x",)], "payload string")
+    target = f"file://{tmp_path}/raw"
+    Sk.land_timestamped(rows, target, "20240109T100000", "iss")
+    Sk.land_timestamped(rows, target, "20240109T100001", "iss")
+    with pytest.raises(ValueError, match="already landed"):
+        Sk.land_timestamped(rows, target, "20240109T100000", "iss")
+    got = spark.read.parquet(target).collect()
+    assert len(got) == 2 and {r.content_hash for r in got} == {hashlib.sha256(b"x").hexdigest()}

@@ -62,14 +62,18 @@ class ByteBpe:
         self.model, self.split, self.table = self.whole.model, regex.compile(BYTE_SPLIT).findall, _byte_table()
         spec = json.loads(vocabulary_json)
         self.special = [x["content"] for x in spec.get("added_tokens") or []]
-        self.words = _Words(self._chunk, most)
+        self.words, self.bits = _Words(self._chunk, most), _Words(self._piece, 100_000)
         self.marks = {mark: self._pieces(mark) for mark in ".,;:!?"}
 
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():  # these stand for themselves, but for the space
+            own = piece.replace(" ", "Ġ")
+        else:
+            own = piece.encode().decode("latin-1").translate(self.table)
+        return array("i", [t.id for t in self.model.tokenize(own)]).tobytes()
+
     def _pieces(self, text: str) -> bytes:
-        tokenize, table, ids = self.model.tokenize, self.table, array("i")
-        for piece in self.split(text):
-            ids.extend([t.id for t in tokenize(piece.encode().decode("latin-1").translate(table))])
-        return ids.tobytes()
+        return b"".join(map(self.bits.__getitem__, self.split(text)))
 
     def _chunk(self, rest: str) -> bytes:
         """A space and `rest`; a word with one mark behind it is the word's ids and the mark's."""
@@ -86,7 +90,14 @@ class ByteBpe:
         if text[0] == " " or "  " in text or any(s in text for s in self.special):
             return array("i", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         head, *rest = text.split(" ")
-        return self._pieces(head) + b"".join(map(self.words.__getitem__, rest))
+        found = [self._pieces(head), *map(self.words.get, rest)]
+        try:  # what isn't known yet, one after the other
+            at = 0
+            while True:
+                at = found.index(None, at)
+                found[at] = self.words[rest[at - 1]]
+        except ValueError:
+            return b"".join(found)
 
 
 class WordCounts:

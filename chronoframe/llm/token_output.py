@@ -79,7 +79,7 @@ def digests(files: DataFrame) -> DataFrame:
     common.ship(files.sparkSession)
     sizes = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = sizes.select("part", F.coalesce(before, F.lit(0)).alias("base"))  # a row a file
+    bases = sizes.select("part", F.coalesce(before, F.lit(0)).alias("base"))  # a row a file, 100,000 at most
     each = files.select("doc_id", "part", "pos", "n_tokens", "tokens")
     each = each.mapInArrow(crc, "doc_id long, part int, pos long, n_tokens long, ids_crc32 long")
-    return each.join(bases, "part").select("doc_id", (F.col("base") + F.col("pos")).alias("start"), "n_tokens", "ids_crc32")
+    return each.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("pos")).alias("start"), "n_tokens", "ids_crc32")

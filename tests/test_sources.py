@@ -173,8 +173,8 @@ def test_futures_candles_and_series(spark):
     c = one({"candles": {"columns": ["begin", "end", "open", "close"], "data": [["2024-01-09 10:00:00", "2024-01-09 10:00:59", 1.0, 2.0]]}})
     r = Rd.candles(c, ["entity"]).first()
     assert (r.entity, str(r.available), r.close, r.volume) == ("E", "2024-01-09 10:00:59", 2.0, None)
-    s = one({"history": {"columns": ["SECID", "TRADEDATE", "CLOSE", "WAPRICE"], "data": [["IMOEX", "2024-01-09", None, 5.0], ["IMOEX", None, 1.0, 1.0]]}})
-    assert [(r.series, str(r.available), r.value) for r in Rd.index_series(s, "moex").collect()] == [("moex_imoex", "2024-01-10", 5.0)]
+    s = one({"history": {"columns": ["SECID", "TRADEDATE", "CLOSE", "WAPRICE"], "data": [["MAIN", "2024-01-09", None, 5.0], ["MAIN", None, 1.0, 1.0]]}})
+    assert [(r.series, str(r.available), r.value) for r in Rd.index_series(s, "idx").collect()] == [("idx_main", "2024-01-10", 5.0)]
 
 
 def test_html_report_is_strict(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.functions.expr import ratio, round6, share
+from chronoframe.functions.expr import ratio, round6, round_binary, share
 from chronoframe.operators import finance as Fi
 from chronoframe.operators import windows as W
 from chronoframe.operators.scoring import fundamental_confidence as fundamental_score
@@ -126,7 +126,7 @@ def corporate_action_episodes(t: Tables) -> DataFrame:
     boards = t.boards()
     selected = board_chain(boards).where("selected").select("entity", "board")
     e = Fi.action_episodes(boards.join(selected, ["entity", "board"]), RATIOS)
-    return e.select("episode_id", "entity", "episode", "first_d", "last_d", "jumps", F.array_join("boards", ",").alias("boards"), "price_before", "price_after", "factor", "nearest", round6("ratio_error").alias("ratio_error"), "kind")
+    return e.select("episode_id", "entity", "episode", "first_d", "last_d", "jumps", F.array_join("boards", ",").alias("boards"), "price_before", "price_after", "factor", "nearest", round_binary("ratio_error", 6).alias("ratio_error"), "kind")
 
 
 CURVE = """curve AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS d, CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 0.5 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 3 WHEN '4-NOT SPECIFIED' THEN 5 ELSE 10 END AS DOUBLE) AS tenor, round(avg(o_totalprice) / 1e4, 4) AS yield FROM orders GROUP BY 1, 2)"""

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from functools import reduce
+from operator import or_
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +102,60 @@ def bh_qvalues(df: DataFrame, p: str, order: Sequence[str]) -> DataFrame:
     return rows.withColumn("q", F.least(q, F.lit(1.0))).drop("_k", "_n")
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """df computed once, on the executors' disks, for several passes over it; given back at the end."""
+    rows = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
+def quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[float]]], accuracy: int = 10_000) -> dict[str, tuple[int, list[float | None]]]:
+    """By name, how many values the column has and its exact interpolated quantiles at those shares, null
+    without values: what percentile() gives, which holds every distinct value in one task.
+
+    Sketches bound each quantile between two values; what lies under them is counted and what lies between
+    is ranked, some n / accuracy rows a quantile.  A quantile that its sketch missed is ranked among all
+    values.  df is read four times, so it had better be kept.
+    """
+    targets, spread = [(name, x, p) for name, (x, ps) in wanted.items() for p in ps], 2.0 / accuracy
+    around = lambda ps: F.array(*[F.lit(min(1.0, max(0.0, q))) for p in ps for q in (p - spread, p + spread)])
+    first = df.agg(*[a for k, (x, ps) in enumerate(wanted.values()) for a in (F.count(x).alias(f"n{k}"), F.percentile_approx(x, around(ps), F.lit(accuracy)).alias(f"q{k}"))]).first()
+    n = {name: first[f"n{k}"] for k, name in enumerate(wanted)}
+    bounds = [q for k, (_, ps) in enumerate(wanted.values()) for q in zip(*[iter(first[f"q{k}"] or [None] * 2 * len(ps))] * 2)]
+    at = [(math.floor((n[name] - 1) * p), math.ceil((n[name] - 1) * p)) for name, _, p in targets]
+    found: dict[tuple[int, int], float] = {}
+
+    def rank(which: list[int], sketched: bool) -> None:
+        inside = {k: (targets[k][1] >= bounds[k][0]) & (targets[k][1] <= bounds[k][1]) if sketched else targets[k][1].isNotNull() for k in which}
+        under = df.agg(*[F.count(F.when(targets[k][1] < bounds[k][0], 1)).alias(f"u{k}") for k in which]).first() if sketched else {f"u{k}": 0 for k in which}
+        some = df.where(reduce(or_, inside.values())).select(F.explode(F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("k"), targets[k][1].cast("double").alias("v"))) for k, c in inside.items()]))).alias("x"))
+        w = Window.partitionBy("k").orderBy("v")
+        some = some.groupBy("x.k", "x.v").agg(F.count("*").alias("c")).withColumn("e", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        hit = lambda k, t: (F.col("k") == k) & (F.col("e") - F.col("c") + under[f"u{k}"] <= t) & (F.col("e") + under[f"u{k}"] > t)
+        for r in some.where(reduce(or_, [hit(k, t) for k in which for t in set(at[k])])).collect():
+            found.update({(r.k, t): r.v for t in at[r.k] if r.e - r.c + under[f"u{r.k}"] <= t < r.e + under[f"u{r.k}"]})
+
+    missing = lambda: [k for k, (name, _, _) in enumerate(targets) if n[name] and any((k, t) not in found for t in at[k])]
+    for sketched in (True, False):
+        if left := missing():
+            rank(left, sketched)
+
+    def value(k: int, p: float, count: int) -> float | None:
+        if not count:
+            return None
+        (low, high), place = at[k], (count - 1) * p
+        a, b = found[k, low], found[k, high]
+        return a if low == high or a == b else (high - place) * a + (place - low) * b
+
+    out: dict[str, tuple[int, list[float | None]]] = {name: (n[name], []) for name in wanted}
+    for k, (name, _, p) in enumerate(targets):
+        out[name][1].append(value(k, p, n[name]))
+    return out
+
+
 def psi(reference: DataFrame, current: DataFrame, value: str, bins: int = 10, floor: float = 1e-6) -> DataFrame:
     """(psi, status): population stability index over the quantile bins of the reference.
 
@@ -106,19 +165,18 @@ def psi(reference: DataFrame, current: DataFrame, value: str, bins: int = 10, fl
     """
     x = F.col(value)
     ref, cur = reference.where(x.isNotNull()), current.where(x.isNotNull())
-    cuts = ref.agg(*[F.percentile(x, k / bins).alias(f"e{k}") for k in range(bins + 1)], F.count("*").alias("n")).first()
-    m = cur.count()
+    n, cuts = quantiles(ref, {"cuts": (x, [k / bins for k in range(bins + 1)])})["cuts"]
     spark = reference.sparkSession
-    if cuts.n < bins or m < bins:
+    if n < bins or (m := cur.count()) < bins:
         return spark.createDataFrame([(None, "insufficient_sample")], "psi double, status string")
-    edges = sorted({cuts[f"e{k}"] for k in range(bins + 1)})
+    edges = sorted(set(cuts))
     if len(edges) < 3:
         return spark.createDataFrame([(0.0, "stable")], "psi double, status string")
     inside = [(x >= a) & ((x < b) if b < edges[-1] else (x <= b)) for a, b in zip(edges, edges[1:])]
-    shares = lambda df, n: df.agg(*[(F.count(F.when(c, 1)) / n).alias(f"s{k}") for k, c in enumerate(inside)])
-    both = shares(ref, cuts.n).join(F.broadcast(shares(cur, m).toDF(*[f"t{k}" for k in range(len(inside))])))
-    p, q = [F.greatest(f"s{k}", F.lit(floor)) for k in range(len(inside))], [F.greatest(f"t{k}", F.lit(floor)) for k in range(len(inside))]
-    return both.select(sum(((b - a) * F.log(b / a) for a, b in zip(p, q)), F.lit(0.0)).alias("psi")).withColumn("status", R.label(R.PSI_STATUS, "stable"))
+    shares = lambda df, n: df.agg(*[(F.count(F.when(c, 1)) / n).alias(f"s{k}") for k, c in enumerate(inside)]).first()
+    both = [(max(a, floor), max(b, floor)) for a, b in zip(shares(ref, n), shares(cur, m))]
+    found = spark.createDataFrame([(sum((b - a) * math.log(b / a) for a, b in both),)], "psi double")
+    return found.withColumn("status", R.label(R.PSI_STATUS, "stable"))
 
 
 def autocovariances(df: DataFrame, keys: Sequence[str], time: str, value: str, lags: int) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from chronoframe.functions.expr import corr
 from chronoframe.functions.workers import ship
+from chronoframe.operators.stats import kept, quantiles
 
 
 def nearest(vectors: DataFrame, key: str, column: str, is_query: Column, k: int, queries_at_once: int = 2048, rows_at_once: int = 32_768) -> DataFrame:
@@ -401,11 +402,13 @@ def spectral_clusters(pairs: DataFrame, k: int, seed_iterations: int = 30) -> Da
 def select_features(df: DataFrame, features: Sequence[str], train: Column, missing: float = 0.4, floor: float = 1e-9, limit: float = 0.9, cap: int = 35) -> list[str]:
     """Features that are rarely missing, vary (median absolute deviation) and don't repeat a better
     one, by train rows only; the better of two has the larger deviation.  Statistics are one row."""
-    rows = df.where(train)
-    mid = rows.agg(*[F.percentile(c, 0.5).alias(c) for c in features]).first()
-    aggs = [a for c in features for a in (F.avg(F.col(c).isNull().cast("double")).alias(f"m_{c}"), F.percentile(F.abs(F.col(c) - F.lit(mid[c])), 0.5).alias(f"d_{c}"))]
     pairs = [(a, b) for k, a in enumerate(features) for b in features[:k]]
-    stats = rows.agg(*aggs, *[corr(a, b).alias(f"c_{a}|{b}") for a, b in pairs]).first().asDict()
+    with kept(df.where(train).select(*features)) as rows:
+        mid = {c: v[0] for c, (_, v) in quantiles(rows, {c: (F.col(c), [0.5]) for c in features}).items()}
+        known = [c for c in features if mid[c] is not None]
+        gap = {c: v[0] for c, (_, v) in quantiles(rows, {c: (F.abs(F.col(c) - F.lit(mid[c])), [0.5]) for c in known}).items()} if known else {}
+        stats = rows.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(f"m_{c}") for c in features], *[corr(a, b).alias(f"c_{a}|{b}") for a, b in pairs]).first().asDict()
+    stats |= {f"d_{c}": gap.get(c) for c in features}
     fit = [c for c in features if stats[f"m_{c}"] is not None and stats[f"m_{c}"] <= missing and (stats[f"d_{c}"] or 0) > floor]
     chosen: list[str] = []
     for c in sorted(fit, key=lambda c: (-stats[f"d_{c}"], c)):

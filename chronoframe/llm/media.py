@@ -165,7 +165,8 @@ def write(docs: DataFrame, path: str, level: int = 9, earlier: Store | None = No
     uses = store.lists(spark).agg(F.sum(F.size("digests"))).first()[0] or 0
     hot = owners.where(F.col("rows") > max(SHARED, uses // HOT_CHUNKS)).select("digest", F.col("rid").alias("owner"))  # HOT_CHUNKS rows at most
     sent = texts.mapInArrow(send, f"{CHUNKS}, rid long").join(F.broadcast(hot), "digest", "left").where("owner IS NULL OR owner = rid").drop("owner")
-    owned = owners.select(F.col("digest").alias("_digest"), F.col("rid").alias("_least")).repartition(buckets, "_digest").hint("shuffle_hash")
+    # The filter keeps the count in this plan: `hot` and `owned` then share one shuffle of the lists.
+    owned = owners.where("rows > 0").select(F.col("digest").alias("_digest"), F.col("rid").alias("_least")).repartition(buckets, "_digest").hint("shuffle_hash")
     # Joined by digest alone, as the rows are dealt: no row has less than the owner's hash.
     mine = sent.repartition(buckets, "digest").join(owned, (F.col("digest") == F.col("_digest")) & (F.col("rid") <= F.col("_least")), "left_semi").drop("rid").dropDuplicates(["digest"])
     if earlier:

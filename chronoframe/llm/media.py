@@ -76,6 +76,19 @@ def recipe_of(digests: list[bytes]) -> bytes:
 
 #: A chunk in more payloads than this is dealt over several tasks when payloads are rebuilt.
 SHARED, HOT_CHUNKS = 5_000, 50_000
+#: Rounds in which chunks are sent and stored.
+ROUNDS = 2
+
+
+def ranges_of(rounds: int) -> list[tuple[bytes, bytes]]:
+    """Ranges (from, below) of digests, one for each round: together all digests, each half its predecessor.
+
+    A round needs twice its share, shuffled and stored, beside what is stored already: with halves the
+    need is the same in all rounds, 2 / (2 - 2 ** (1 - rounds)) of all chunks instead of 2.
+    """
+    ends = [((1 << rounds) - (1 << rounds - k)) * ((1 << 32) - 1) // ((1 << rounds) - 1) for k in range(1, rounds)]
+    marks = [b"", *(e.to_bytes(4, "big") for e in ends), b"\xff" * 33]
+    return list(zip(marks, marks[1:]))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -118,6 +131,10 @@ def write(docs: DataFrame, path: str, level: int = 9, earlier: Store | None = No
     is bucketed by digest, a bucket for each 64 MB of input and as many as the session's shuffle
     partitions at least: later joins on it don't move its bytes.
 
+    Chunks are sent and stored in ROUNDS rounds by ranges of their digests, and a round's shuffle is
+    removed before the next: with two rounds disk holds 4/3 of the stored bytes at most, not twice
+    them.  Each round cuts all texts again and compresses the chunks of its range only.
+
     Null and empty texts are one unit of bytes 255.  Very long texts are cut whole, a task holding one
     at a time.  Repeated rows and null doc_ids have lists each.  An empty table gives an empty store.
     Other columns, those named like a result's too, are ignored.
@@ -136,45 +153,51 @@ def write(docs: DataFrame, path: str, level: int = 9, earlier: Store | None = No
                 own.append(digests)
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(own, pa.list_(pa.binary())), batch.column(2)], names=["doc_id", "n_bytes", "recipe", "digests", "rid"])
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        compress, least = zstandard.ZstdCompressor(level=level).compress, {}
-        for batch in batches:
-            out, size = [], 0
-            for text, rid in zip(batch.column(1), batch.column(2).to_pylist()):
-                for chunk in chunks_of(payload_of(text.as_py())):
-                    digest = hashlib.sha256(chunk).digest()
-                    if rid < least.get(digest[:16], 1 << 63):
-                        if len(least) >= REMEMBERED:
-                            least.clear()
-                        least[digest[:16]] = rid
-                        out.append((digest, len(chunk), compress(chunk), rid))
-                        size += len(out[-1][2])
-                if size > 4 << 20:
+    def sender(low: bytes, high: bytes):
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import zstandard
+
+            compress, least = zstandard.ZstdCompressor(level=level).compress, {}
+            for batch in batches:
+                out, size = [], 0
+                for text, rid in zip(batch.column(1), batch.column(2).to_pylist()):
+                    for chunk in chunks_of(payload_of(text.as_py())):
+                        digest = hashlib.sha256(chunk).digest()
+                        if low <= digest < high and rid < least.get(digest[:16], 1 << 63):
+                            if len(least) >= REMEMBERED:
+                                least.clear()
+                            least[digest[:16]] = rid
+                            out.append((digest, len(chunk), compress(chunk), rid))
+                            size += len(out[-1][2])
+                    if size > 4 << 20:
+                        yield _chunk_batch(out)
+                        out, size = [], 0
+                if out:
                     yield _chunk_batch(out)
-                    out, size = [], 0
-            if out:
-                yield _chunk_batch(out)
+
+        return send
 
     buckets = common.parts_for(spark, docs)
     texts, store = _texts(docs), Store(path, buckets)
     texts.mapInArrow(lists, LISTS).write.parquet(f"{path}/lists")
-    held = store.lists(spark).select("rid", F.explode("digests").alias("digest"))
-    owners = held.groupBy("digest").agg(F.min("rid").alias("rid"), F.count("*").alias("rows"))
     uses = store.lists(spark).agg(F.sum(F.size("digests"))).first()[0] or 0
-    hot = owners.where(F.col("rows") > max(SHARED, uses // HOT_CHUNKS)).select("digest", F.col("rid").alias("owner"))  # HOT_CHUNKS rows at most
-    sent = texts.mapInArrow(send, f"{CHUNKS}, rid long").join(F.broadcast(hot), "digest", "left").where("owner IS NULL OR owner = rid").drop("owner")
-    # The filter keeps the count in this plan: `hot` and `owned` then share one shuffle of the lists.
-    owned = owners.where("rows > 0").select(F.col("digest").alias("_digest"), F.col("rid").alias("_least")).repartition(buckets, "_digest").hint("shuffle_hash")
-    # Joined by digest alone, as the rows are dealt: no row has less than the owner's hash.
-    mine = sent.repartition(buckets, "digest").join(owned, (F.col("digest") == F.col("_digest")) & (F.col("rid") <= F.col("_least")), "left_semi").drop("rid").dropDuplicates(["digest"])
-    if earlier:
-        mine = mine.join(earlier.chunks(spark).select("digest"), "digest", "left_anti")
     name = f"chunks_{uuid.uuid4().hex}"
-    with common.freed(spark):
-        mine.write.bucketBy(buckets, "digest").option("path", f"{path}/chunks").option("compression", "uncompressed").saveAsTable(name)
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        for low, high in ranges_of(ROUNDS):
+            held = store.lists(spark).select("rid", F.explode("digests").alias("digest")).where((F.col("digest") >= F.lit(low)) & (F.col("digest") < F.lit(high)))
+            owners = held.groupBy("digest").agg(F.min("rid").alias("rid"), F.count("*").alias("rows"))
+            hot = owners.where(F.col("rows") > max(SHARED, uses // HOT_CHUNKS)).select("digest", F.col("rid").alias("owner"))  # HOT_CHUNKS rows at most
+            sent = texts.mapInArrow(sender(low, high), f"{CHUNKS}, rid long").join(F.broadcast(hot), "digest", "left").where("owner IS NULL OR owner = rid").drop("owner")
+            # The filter keeps the count in this plan: `hot` and `owned` then share one shuffle of the lists.
+            owned = owners.where("rows > 0").select(F.col("digest").alias("_digest"), F.col("rid").alias("_least")).repartition(buckets, "_digest").hint("shuffle_hash")
+            # Joined by digest alone, as the rows are dealt: no row has less than the owner's hash.
+            mine = sent.repartition(buckets, "digest").join(owned, (F.col("digest") == F.col("_digest")) & (F.col("rid") <= F.col("_least")), "left_semi").drop("rid").dropDuplicates(["digest"])
+            if earlier:
+                mine = mine.join(earlier.chunks(spark).select("digest"), "digest", "left_anti")
+            with common.freed(spark):
+                mine.write.mode("append").bucketBy(buckets, "digest").option("path", f"{path}/chunks").option("compression", "uncompressed").saveAsTable(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     return store
 
 

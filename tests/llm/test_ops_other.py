@@ -284,6 +284,49 @@ def test_hot_chunks_are_sent_once_and_dealt_out(spark, monkeypatch):
     assert [got[k].payload_sha256 for k in range(len(texts))] == [hashlib.sha256(media.payload_of(t)).hexdigest() for t in texts]
 
 
+def test_media_chunks_are_never_all_in_one_shuffle(spark):
+    r = np.random.default_rng(5)
+    texts = [" ".join(map(str, r.integers(0, 10**9, 4000))) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+    df.count()
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        stages = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in map(stages.apply, range(stages.size()))}
+
+    before = shuffled()
+    store = media.write(df, common.scratch(spark, "test-media"))
+    most = max(n for k, n in shuffled().items() if k not in before)
+    chunks = store.chunks(spark).withColumn("file", F.input_file_name()).collect()
+    stored = sum(len(c.data) for c in chunks)
+    assert 0.5 * stored < most < 0.8 * stored
+    assert len(chunks) == len({bytes(c.digest) for c in chunks}) == len({x for t in texts for x in media.chunks_of(media.payload_of(t))})
+    low, high = media.ranges_of(media.ROUNDS)
+    sides = {}
+    for c in chunks:
+        sides.setdefault(c.file, set()).add(bytes(c.digest) < low[1])
+    assert all(len(x) == 1 for x in sides.values()) and low[1] == high[0]
+    assert {x.doc_id: x.payload_sha256 for x in media.read(spark, store).collect()} == {k: hashlib.sha256(media.payload_of(t)).hexdigest() for k, t in enumerate(texts)}
+    df.unpersist()
+
+
+def test_media_rounds_hold_every_digest_once(spark):
+    edges = [b"\0" * 32, b"\xff" * 32]
+    for n in (1, 2, 3):
+        ranges = media.ranges_of(n)
+        assert len(ranges) == n and ranges[0][0] == b"" and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:]))
+        around = [m + b"\0" * 28 for m, _ in ranges[1:]] + [(int.from_bytes(m, "big") - 1).to_bytes(4, "big") + b"\xff" * 28 for m, _ in ranges[1:]]
+        at = edges + around
+        assert all(sum(a <= d < b for a, b in ranges) == 1 for d in at)
+        rows = spark.createDataFrame([(bytearray(d),) for d in at], "d binary")
+        assert sum(rows.where((F.col("d") >= F.lit(a)) & (F.col("d") < F.lit(b))).count() for a, b in ranges) == len(at)
+        ends = [int.from_bytes(b[:4], "big") / ((1 << 32) - 1) for _, b in ranges]
+        shares = np.diff([0, *ends])
+        assert max(shares * 2 + np.cumsum([0, *shares[:-1]])) == pytest.approx(2 / (2 - 2 ** (1 - n)))
+
+
 def test_media_columns_equal_brute_force(spark):
     import math
 
